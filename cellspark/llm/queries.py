@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language_id
+from . import byte_bpe, language_id
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_byte_bpe": byte_bpe.op2_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
 
