@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, language_id, sharding, token_counts, url_filter
+from . import byte_bpe, language_id, quality, sharding, spotsigs, token_counts, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+    "op3_quality": quality.op3_quality,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_sharding": sharding.op8_sharding,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_spotsigs": spotsigs.op10_spotsigs,
 }
 ORACLES: dict[str, str] = {}
 
