@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, language_id, ngram_join, quality, sharding, spotsigs, suffix_dedup, token_counts, url_filter
+from . import byte_bpe, decontamination, language_id, ngram_join, quality, sharding, spotsigs, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_quality": quality.op3_quality,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_sharding": sharding.op8_sharding,

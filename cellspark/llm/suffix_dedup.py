@@ -26,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ngram_join import _BASE, _BYTE, _power, mix
-from .shared import materialize, release
+from .shared import materialize
 
 WINDOW, GRAM = 100, 32
 BYTES = 3_000_000  # parsed at once
@@ -246,28 +247,26 @@ def _suffixes(docs: DataFrame, decided: DataFrame, hot_from: int) -> DataFrame:
     return dealt.mapInArrow(order, "doc long, a long, b long")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with ``doc``: doc_id where ids are unique, else the rank by (doc_id, text hash)."""
+def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` (doc_id, text, row) with ``doc``: doc_id where ids are unique, else the rank by (doc_id, text hash)."""
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if ids.isEmpty():
-        return docs.withColumn("doc", F.col("doc_id").cast("long"))
-    named = docs.withColumn("_hash", F.xxhash64("text"))
-    order = named.select("doc_id", "_hash").distinct().orderBy(F.asc_nulls_first("doc_id"), "_hash")
+        return docs.withColumn("doc", F.col("doc_id").cast("long")), True
+    named = docs.withColumn("hash", F.xxhash64("text"))
+    order = named.select("doc_id", "hash").distinct().orderBy(F.asc_nulls_first("doc_id"), "hash")
     ranks = order.rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1]))  # only where ids repeat: ranks over all partitions
     ranks = materialize(docs.sparkSession.createDataFrame(ranks, "r_id long, r_hash long, doc long"))
-    return named.join(ranks, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("_hash") == F.col("r_hash"))).select("doc_id", "text", "doc")
+    return named.join(ranks, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("hash") == F.col("r_hash"))).select("doc_id", "text", "row", "doc"), False
 
 
 def remove(docs: DataFrame, carry=("doc_id",), hot_from: int = HOT) -> DataFrame:
     """The columns of ``carry``, n_bytes, n_removed, n_spans and kept (binary) of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    extra = [c for c in carry if c not in ("doc_id", "text")]
-    if extra:
-        return docs.join(remove(docs.select("doc_id", "text"), hot_from=hot_from), "doc_id").select(*carry, "n_bytes", "n_removed", "n_spans", "kept")
-    rows = _numbered(docs.select("doc_id", "text"))
-    decided = materialize(_decide(_phrases(rows.select("doc", "text"))))
+    rows, unique = _numbered(docs.select("doc_id", "text", F.struct(*carry).alias("row")))
+    texts = rows.select("doc", "text")
+    decided = materialize(_decide(_phrases(texts)))
     spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the parse
-    later = materialize(_suffixes(rows.dropDuplicates(["doc"]) if "_hash" in rows.columns else rows, decided, hot_from))
+    later = materialize(_suffixes(texts if unique else texts.dropDuplicates(["doc"]), decided, hot_from))
     whole = decided.where(F.col("kind") == GONE).select("doc", F.shiftright("at", 14).alias("a"), (F.shiftright("at", 14) + (F.shiftright("at", 7).bitwiseAND(127))).alias("b"))
     spans = whole.union(later).groupBy("doc").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))  # of one document
     spark.sparkContext._jvm.System.gc()
@@ -286,10 +285,11 @@ def remove(docs: DataFrame, carry=("doc_id",), hot_from: int = HOT) -> DataFrame
                 np.add.at(edge, np.array(b) + WINDOW, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 out.append((len(raw), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), np.frombuffer(raw, np.uint8)[~gone].tobytes()))
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in carry} | {n: pa.array([o[i] for o in out], k) for i, (n, k) in enumerate(kinds.items())})
+            yield pa.RecordBatch.from_pydict({"row": batch.column("row")} | {n: pa.array([o[i] for o in out], k) for i, (n, k) in enumerate(kinds.items())})
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*carry).schema)
-    return rows.join(spans, "doc", "left").mapInArrow(apply, kept + "n_bytes long, n_removed long, n_spans long, kept binary")
+    row = rows.schema["row"].dataType
+    shape = T.StructType([T.StructField("row", row)] + [T.StructField(n, T.BinaryType() if n == "kept" else T.LongType()) for n in kinds])
+    return rows.join(spans, "doc", "left").mapInArrow(apply, shape).select("row.*", *kinds)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
