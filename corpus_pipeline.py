@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellspark.llm import byte_bpe, decontamination, language_id, ngram_join, suffix_dedup
 from cellspark.llm.shared import materialize
@@ -50,7 +51,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.where(F.length(F.trim("text")) > 0).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def whole_characters(kept):
     """Bytes as text, without the parts of characters that a cut has left."""
     return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
