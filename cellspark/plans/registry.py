@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from . import queries_geometry
+
+MODULES: tuple = (queries_geometry,)
 
 
 def queries() -> dict:
