@@ -3,11 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure(spark: SparkSession) -> None:
-    """Set a checkpoint folder where the session names none, as in tests; a cluster names a shared one."""
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cellspark-"))
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of its own where the session names none, as in tests."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="cellspark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read again: later plans start from its rows, and a lost
+    executor costs no more than the stage it was in."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/cellspark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checkpoints import cut
+
 K = 8
 PAIRS = 2_000
 PER_SQUARE = 4
@@ -69,7 +71,7 @@ def _by_grid(points: DataFrame, k: int) -> DataFrame:
         safe = F.least(*inner)
         state = open_.join(last.withColumnRenamed("src", "cell_id"), ["slide_id", "cell_id"], "left")
         sure = (F.col("_far") <= r) | ((F.coalesce("_got", F.lit(0)) >= F.least(F.lit(k), F.col("_n") - 1)) & (F.sqrt("_worst") < safe))
-        state = state.withColumn("_sure", F.coalesce(sure, F.lit(False))).select(*placed.columns, "_sure").checkpoint()
+        state = cut(state.withColumn("_sure", F.coalesce(sure, F.lit(False))).select(*placed.columns, "_sure"))
         done.append(found.join(state.where("_sure").select("slide_id", F.col("cell_id").alias("src")), ["slide_id", "src"], "left_semi").select("slide_id", "src", "dst", "d2", "rank"))
         open_ = state.where(~F.col("_sure")).drop("_sure")
         if open_.isEmpty():
@@ -81,15 +83,12 @@ def knn(cells: DataFrame, k: int = K, pairs: int = PAIRS) -> DataFrame:
     """Directed edges (slide_id, src, dst, rank, d) to the min(k, n - 1) nearest other cells of the slide.
 
     ``cells`` has slide_id, cell_id, centroid_x, centroid_y; rows without finite centroids take no part."""
-    from ..operators.checkpoints import ensure
-
     points = _points(cells)
     sizes = points.groupBy("slide_id").agg(F.count("*").alias("n"))
     largest = sizes.agg(F.max("n")).first()[0] or 0
     if largest <= pairs:
         found = _by_pairs(points, k)
     else:
-        ensure(cells.sparkSession)
         big = sizes.where(F.col("n") > pairs).select("slide_id")
         found = _by_grid(points.join(big, "slide_id", "left_semi"), k)
         small = points.join(big, "slide_id", "left_anti")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels, ring, score
 from ..operators import spatial
+from ..operators.checkpoints import cut
 
 
 def shape(cells: DataFrame) -> DataFrame:
@@ -42,8 +43,8 @@ def medians(cells: DataFrame) -> DataFrame:
 
 def scored(cells: DataFrame, k: int = spatial.K) -> DataFrame:
     """``shape`` with knn_density, the normalised field, score, area gate and label."""
-    own = shape(cells).drop("ring")
-    own = spatial.knn_density(own, spatial.knn(own, k))
+    own = cut(shape(cells).drop("ring"))  # read by three plans below
+    own = cut(spatial.knn_density(own, spatial.knn(own, k)))
     mids = medians(own)
     field = spatial.rbf_field(own, mids.select("slide_id", "sigma"))
     out = own.join(field, ["slide_id", "cell_id"]).join(mids, "slide_id")

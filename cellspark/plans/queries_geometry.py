@@ -177,10 +177,10 @@ def _(spark, d):
 @query(
     "slide_hull_corners",
     f"""WITH {POINTS_SQL}, d AS (SELECT DISTINCT slide_id, centroid_x AS x, centroid_y AS y FROM pts),
-    e AS (SELECT a.slide_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM d a JOIN d b ON a.slide_id=b.slide_id AND (a.x<>b.x OR a.y<>b.y)),
-    k AS (SELECT e.slide_id, ax, ay, bx, by FROM e JOIN d ON d.slide_id=e.slide_id GROUP BY ALL
-          HAVING bool_and((bx-ax)*(d.y-ay)-(by-ay)*(d.x-ax) > 0 OR ((bx-ax)*(d.y-ay)-(by-ay)*(d.x-ax) = 0 AND (d.x-ax)*(bx-ax)+(d.y-ay)*(by-ay) BETWEEN 0 AND (bx-ax)*(bx-ax)+(by-ay)*(by-ay))))
-    SELECT slide_id, count(*) AS corners, {r('sum(ax*by-bx*ay)/2')} AS area FROM k GROUP BY slide_id""",
+    e AS (SELECT a.slide_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS byy FROM d a JOIN d b ON a.slide_id=b.slide_id AND (a.x<>b.x OR a.y<>b.y)),
+    k AS (SELECT e.slide_id, ax, ay, bx, byy FROM e JOIN d ON d.slide_id=e.slide_id GROUP BY ALL
+          HAVING bool_and((bx-ax)*(d.y-ay)-(byy-ay)*(d.x-ax) > 0 OR ((bx-ax)*(d.y-ay)-(byy-ay)*(d.x-ax) = 0 AND (d.x-ax)*(bx-ax)+(d.y-ay)*(byy-ay) BETWEEN 0 AND (bx-ax)*(bx-ax)+(byy-ay)*(byy-ay))))
+    SELECT slide_id, count(*) AS corners, {r('sum(ax*byy-bx*ay)/2')} AS area FROM k GROUP BY slide_id""",
 )
 def _(spark, d):
     """O076, O222: hull of all centroids of a slide."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_geometry
+from . import queries_geometry, queries_stats
 
-MODULES: tuple = (queries_geometry,)
+MODULES: tuple = (queries_geometry, queries_stats)
 
 
 def queries() -> dict:
