@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_geometry, queries_stats
+from . import queries_extended, queries_geometry, queries_stats
 
-MODULES: tuple = (queries_geometry, queries_stats)
+MODULES: tuple = (queries_geometry, queries_stats, queries_extended)
 
 
 def queries() -> dict:
