@@ -37,7 +37,7 @@ WORDS, PERCENT = 3, 90
 BLOCK = 256
 SKETCH_BITS = 2048
 SMALL = 2_000_000  # ids that a worker may hold at once: 16 MB
-TEXTS = 4_000_000  # bytes hashed at once
+TEXTS = 1_000_000  # bytes hashed at once
 KNOWN = 100_000  # sets whose hash a task remembers
 KEY, PAIR, SIZE = 0, 1, 2
 

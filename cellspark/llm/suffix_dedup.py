@@ -32,7 +32,7 @@ from .ngram_join import _BASE, _BYTE, _power, mix
 from .shared import materialize
 
 WINDOW, GRAM = 100, 32
-BYTES = 3_000_000  # parsed at once
+BYTES = 1_000_000  # parsed at once
 HOT = 20_000
 LOW = np.uint64((1 << 30) - 1)
 FIRST, GONE = 0, 1
@@ -259,8 +259,10 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
     return named.join(ranks, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("hash") == F.col("r_hash"))).select("doc_id", "text", "row", "doc"), False
 
 
-def remove(docs: DataFrame, carry=("doc_id",), hot_from: int = HOT) -> DataFrame:
-    """The columns of ``carry``, n_bytes, n_removed, n_spans and kept (binary) of each row of ``docs`` (doc_id, text)."""
+def remove(docs: DataFrame, carry=("doc_id",), hot_from: int = HOT, as_text: bool = False) -> DataFrame:
+    """The columns of ``carry``, n_bytes, n_removed, n_spans and kept (binary) of each row of ``docs`` (doc_id, text).
+
+    With ``as_text`` kept is a string, without the parts of characters that a cut has left."""
     spark = docs.sparkSession
     rows, unique = _numbered(docs.select("doc_id", "text", F.struct(*carry).alias("row")))
     texts = rows.select("doc", "text")
@@ -270,7 +272,8 @@ def remove(docs: DataFrame, carry=("doc_id",), hot_from: int = HOT) -> DataFrame
     whole = decided.where(F.col("kind") == GONE).select("doc", F.shiftright("at", 14).alias("a"), (F.shiftright("at", 14) + (F.shiftright("at", 7).bitwiseAND(127))).alias("b"))
     spans = whole.union(later).groupBy("doc").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))  # of one document
     spark.sparkContext._jvm.System.gc()
-    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
+    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.string() if as_text else pa.binary()}
+    ready = (lambda b: b.decode("utf-8", "ignore")) if as_text else bytes
 
     def apply(batches):
         for batch in batches:
@@ -278,17 +281,17 @@ def remove(docs: DataFrame, carry=("doc_id",), hot_from: int = HOT) -> DataFrame
             for text, a, b in zip(*(batch.column(c).to_pylist() for c in ("text", "a", "b")), strict=True):
                 raw = (text or "").encode("utf-8", "replace")
                 if not a:
-                    out.append((len(raw), 0, 0, raw))
+                    out.append((len(raw), 0, 0, ready(raw)))
                     continue
                 edge = np.zeros(len(raw) + 1, np.int32)
                 np.add.at(edge, a, 1)
                 np.add.at(edge, np.array(b) + WINDOW, -1)
                 gone = np.cumsum(edge[:-1]) > 0
-                out.append((len(raw), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), np.frombuffer(raw, np.uint8)[~gone].tobytes()))
+                out.append((len(raw), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), ready(np.frombuffer(raw, np.uint8)[~gone].tobytes())))
             yield pa.RecordBatch.from_pydict({"row": batch.column("row")} | {n: pa.array([o[i] for o in out], k) for i, (n, k) in enumerate(kinds.items())})
 
     row = rows.schema["row"].dataType
-    shape = T.StructType([T.StructField("row", row)] + [T.StructField(n, T.BinaryType() if n == "kept" else T.LongType()) for n in kinds])
+    shape = T.StructType([T.StructField("row", row)] + [T.StructField(n, T.LongType() if n != "kept" else T.StringType() if as_text else T.BinaryType()) for n in kinds])
     return rows.join(spans, "doc", "left").mapInArrow(apply, shape).select("row.*", *kinds)
 
 

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cellspark.llm import byte_bpe, decontamination, language_id, ngram_join, suffix_dedup
 from cellspark.llm.shared import materialize
@@ -46,17 +45,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the passages that stand earlier in the corpus."""
-    left = suffix_dedup.remove(docs, tuple(docs.columns))
-    kept = left.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(whole_characters("kept")))
+    left = suffix_dedup.remove(docs, tuple(docs.columns), as_text=True)
+    kept = left.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept")))
     return kept.where(F.length(F.trim("text")) > 0).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
-@F.pandas_udf(T.StringType())
-def whole_characters(kept):
-    """Bytes as text, without the parts of characters that a cut has left."""
-    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a leaked benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
