@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-CACHE = 400_000
+CACHE = 600_000
 
 _counters: dict[str, Counter] = {}
 
@@ -53,13 +53,16 @@ class Counter:
         self.names = {i: t for t, i in self.ids.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.rank = {t: rank for rank, t in self.merges.values()}
+        self.halves = {t: pair for pair, (_, t) in self.merges.items()}
+        self.spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.longest = max(len(t.removesuffix(self.suffix)) for t in self.ids)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.symbol = byte_symbols()
-        self.pair: dict[tuple[int, int], bool] = {}
+        self.pair: dict[int, bool] = {}
         self.prefix: dict[str, tuple[int, ...]] = {}
         self.total: dict[str, int] = {}
 
@@ -78,47 +81,85 @@ class Counter:
             seq = [*seq[:at], self.merges[seq[at], seq[at + 1]][1], *seq[at + 2 :]]
         return seq
 
+    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        """What stands at one end of a token while it is merged: (token so far, rank of the merge that takes it)."""
+        if (found := self.spines.get((token, side))) is None:
+            found, above, at = [], 1 << 60, token
+            while True:
+                found.append((at, above))
+                if at not in self.halves:
+                    break
+                above, at = self.rank[at], self.halves[at][side]
+            self.spines[token, side] = found = found[::-1]
+        return found
+
+    def _apart(self, left: int, right: int) -> bool:
+        """Whether no merge crosses from one token into the next: the ends that face each other are followed in the
+        order of their merges; a crossing pair wins where its rank comes before the left end's merge, or not after the
+        right end's, as of equal ranks the leftmost goes first."""
+        a, b, i, j = self._spine(left, 1), self._spine(right, 0), 0, 0
+        while True:
+            (x, upx), (y, upy) = a[i], b[j]
+            cross = self.merges.get((x, y))
+            if cross is not None and cross[0] < upx and cross[0] <= upy:
+                return False
+            if upx == upy == 1 << 60:
+                return True
+            if upx <= upy:
+                i += 1
+            else:
+                j += 1
+
     def _fits(self, left: int, token: int) -> bool:
         """Whether token follows left (-1: begins a word) in an encoding."""
-        if (found := self.pair.get((left, token))) is None:
-            own = [token] if left < 0 else [left, token]
+        key = left << 20 | token
+        if (found := self.pair.get(key)) is None:
             if len(self.pair) > 4 * CACHE:
                 self.pair.clear()
-            found = self.pair[left, token] = self._merge([s for t in own for s in self._symbols(t)]) == own
+            found = self.pair[key] = self._merge(self._symbols(token)) == [token] if left < 0 else self._apart(left, token)
         return found
 
-    def word(self, word: str) -> tuple[int, ...]:
-        """Tokens of each prefix of a word, by code points, as if the prefix ended the text."""
+    def word(self, word: str, whole_only: bool = False) -> tuple[int, ...]:
+        """Tokens of each prefix of a word, by code points, as if the prefix ended the text; with ``whole_only`` the
+        last of them alone, as the inner counts of the shorter prefixes give it."""
         raw = word.encode("utf-8", "replace")
         s = "".join(map(self.symbol.__getitem__, raw))
-        last, inner, out = [-1] * (len(s) + 1), [0] * (len(s) + 1), []
+        ids, last, inner, out = self.ids, [-1] * (len(s) + 1), [0] * (len(s) + 1), []
         for i in range(1, len(s) + 1):
             starts = range(max(0, i - self.longest), i)
-            for k in starts:
-                t = self.ids.get(s[k:i])
-                if t is not None and self._fits(last[k], t):
-                    last[i], inner[i] = t, inner[k] + 1
-                    break
-            if i == len(s) or raw[i] & 0xC0 != 0x80:
+            if i < len(s):
                 for k in starts:
-                    t = self.ids.get(s[k:i] + self.suffix)
+                    t = ids.get(s[k:i])
                     if t is not None and self._fits(last[k], t):
-                        out.append(inner[k] + 1)
+                        last[i], inner[i] = t, inner[k] + 1
                         break
-        if len(word) == 3 and word[0] == "'":  # two thirds of a contraction are two words
+                if whole_only or raw[i] & 0xC0 == 0x80:
+                    continue
+            for k in starts:
+                t = ids.get(s[k:i] + self.suffix)
+                if t is not None and self._fits(last[k], t):
+                    out.append(inner[k] + 1)
+                    break
+        if not whole_only and len(word) == 3 and word[0] == "'":  # two thirds of a contraction are two words
             out[1] = self.word(word[0])[-1] + self.word(word[1])[-1] if self.words.findall(word[:2]) != [word[:2]] else out[1]
         return tuple(out)
 
     def learn(self, words) -> None:
-        """Put words into the cache."""
+        """Put the totals of words into the cache."""
         new = {w for w in words if w not in self.total}
         if len(self.total) + len(new) > CACHE:
             self.total.clear()
-            self.prefix.clear()
             new = set(words)
         for w in new:
-            self.prefix[w] = p = self.word(w)
-            self.total[w] = p[-1]
+            self.total[w] = self.word(w, True)[-1]
+
+    def prefixes(self, word: str) -> tuple[int, ...]:
+        """``word`` through a cache."""
+        if word not in self.prefix:
+            if len(self.prefix) > CACHE:
+                self.prefix.clear()
+            self.prefix[word] = self.word(word)
+        return self.prefix[word]
 
     def normal(self, text: str) -> str:
         """NFC, then lower case code point by code point."""
@@ -165,10 +206,9 @@ class Counter:
             at, open_part = 0, part
             for m in self.words.finditer(part):
                 out += [before] * (m.start() - at)
-                if m[0] not in self.prefix:
-                    self.learn([m[0]])
-                out += [before + c for c in self.prefix[m[0]]]
-                before += self.prefix[m[0]][-1]
+                counts = self.prefixes(m[0])
+                out += [before + c for c in counts]
+                before += counts[-1]
                 at = m.end()
             out += [before] * (len(part) - at)
         return out
