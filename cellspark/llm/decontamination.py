@@ -46,6 +46,7 @@ PLAIN, NUM, UNIT, MEASURE, NAME = range(5)
 _kind_hash = np.array([0] + [xxhash.xxh64_intdigest(f"<{k}>") for k in ("num", "unit", "measure", "name")], np.uint64)
 _number = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*")
 _measure = re.compile(r"([+-]?\d[\d.,]*)([^\W\d_]+|%)")
+_OUTER = "".join(map(chr, range(0x21, 0x30))) + ":;<=>?@[\\]^_`{|}~«»“”„"
 _edges = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -60,6 +61,11 @@ class Words(dict):
         self.hashes = np.zeros(0, np.uint64)
 
     def __missing__(self, word: str) -> int:
+        bare = word.strip(_OUTER)
+        if bare.isalpha():  # most words: no number and no unit attached
+            low = bare.lower()
+            kind = NUM if low in NUMBER_WORDS else PLAIN
+            return self._add(word, low, kind, kind == PLAIN and bare[0].isupper() and bare[1:].islower() | (len(bare) == 1), low in UNITS)
         bare = word if _number.fullmatch(word) else _edges.sub("", word)
         low = bare.lower()
         kind = -1 if not bare else NUM if _number.fullmatch(bare) or low in NUMBER_WORDS else MEASURE if (m := _measure.fullmatch(bare)) and m[2].lower() in UNITS else PLAIN
@@ -67,6 +73,9 @@ class Words(dict):
         if word == "%":
             kind, low = PLAIN, "%"
         capital = bare[:1].isupper() and bare[1:] == bare[1:].lower() and kind == PLAIN
+        return self._add(word, low, kind, capital, unit)
+
+    def _add(self, word: str, low: str, kind: int, capital: bool, unit: bool) -> int:
         self.rows.append((kind, capital, unit, word.rstrip("\"')]»”")[-1:] in (".", "!", "?", ":"), xxhash.xxh64_intdigest(low)))
         self.values.append(low)
         self[word] = len(self.values) - 1
