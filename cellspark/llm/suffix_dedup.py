@@ -131,6 +131,8 @@ def _phrases(docs: DataFrame) -> DataFrame:
             doc, at, trigger, phrase = doc[order], at[order], trigger[order], phrase[order]
             first = np.concatenate(([True], (trigger[1:] != trigger[:-1]) | (phrase[1:] != phrase[:-1])))
             first[1:] |= (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])  # an equal row, not an earlier text
+            spread = mix(doc.view(np.uint64) + mix(at.view(np.uint64))).view(np.int64)  # what is gone needs no company
+            trigger = np.where(first, trigger, spread)
             yield _rows(_PARSED, np.where(first, FIRST, GONE).astype(np.int8), trigger, np.where(first, phrase, 0), doc, at)
 
     return docs.mapInArrow(run, "kind byte, trigger long, phrase long, doc long, at long")
