@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE, BLOCK = 200_000, 100_000
+CACHE, BLOCK = 150_000, 100_000
 
 _models: dict[tuple[str, str], Encoder] = {}
 
@@ -140,8 +140,9 @@ def _schema(df: DataFrame, carry) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*carry).schema)
 
 
-def encode(docs: DataFrame, carry=("doc_id",), path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """The columns of ``carry`` and ``ids array<int>`` of column ``text``."""
+def encode(docs: DataFrame, carry=("doc_id",), path: str | None = None, pattern: str | None = None, round_trip: bool = False) -> DataFrame:
+    """The columns of ``carry`` and ``ids array<int>`` of column ``text``; with ``round_trip`` also ``decoded binary``,
+    decoded from the ids by the same worker."""
     found = default_vocabulary()
     path, pattern = path or found[0], pattern or found[1]
 
@@ -153,9 +154,12 @@ def encode(docs: DataFrame, carry=("doc_id",), path: str | None = None, pattern:
                 packed.append(own.encode(text) if text else b"")
                 ends.append(ends[-1] + len(packed[-1]) // 4)
             values = pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32())
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in carry} | {"ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)})
+            out = {c: batch.column(c) for c in carry} | {"ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)}
+            if round_trip:
+                out["decoded"] = pa.array([own.decode(np.frombuffer(p, "<i4").tolist()) for p in packed], pa.binary())
+            yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, _schema(docs, carry) + "ids array<int>")
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, _schema(docs, carry) + "ids array<int>" + ", decoded binary" * round_trip)
 
 
 def decode(encoded: DataFrame, carry=("doc_id", "ids"), path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -177,7 +181,7 @@ def decode(encoded: DataFrame, carry=("doc_id", "ids"), path: str | None = None,
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of ``docs``."""
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return decode(encode(docs)).select(
+    return encode(docs, round_trip=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

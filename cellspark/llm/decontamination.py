@@ -18,6 +18,7 @@ one for one, repeated rows and ids included; repeated items count once in item_i
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
 from functools import reduce
 
@@ -31,7 +32,7 @@ from .ngram_join import mix
 
 SIZE, LEAST, COVER = 8, 3, 0.5
 INDEX = 500_000
-KNOWN = 400_000
+KNOWN = 200_000
 #: Number words and units.
 NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion "
@@ -55,10 +56,8 @@ class Words(dict):
 
     def __init__(self):
         super().__init__()
-        self.values: list[str] = []
-        self.rows: list[tuple] = []
-        self.table = np.zeros((0, 4), np.int8)
-        self.hashes = np.zeros(0, np.uint64)
+        self.values: dict[int, str] = {}  # of words that can be slots
+        self.traits, self.hashes = array("b"), array("Q")
 
     def __missing__(self, word: str) -> int:
         bare = word.strip(_OUTER)
@@ -76,28 +75,22 @@ class Words(dict):
         return self._add(word, low, kind, capital, unit)
 
     def _add(self, word: str, low: str, kind: int, capital: bool, unit: bool) -> int:
-        self.rows.append((kind, capital, unit, word.rstrip("\"')]»”")[-1:] in (".", "!", "?", ":"), xxhash.xxh64_intdigest(low)))
-        self.values.append(low)
-        self[word] = len(self.values) - 1
-        return self[word]
-
-    def arrays(self):
-        """The tables by id, brought up to date."""
-        if len(self.table) < len(self.rows):
-            new = self.rows[len(self.table) :]
-            self.table = np.concatenate((self.table, np.array([r[:4] for r in new], np.int8)))
-            self.hashes = np.concatenate((self.hashes, np.array([r[4] for r in new], np.uint64)))
-        return self.table, self.hashes
+        self[word] = at = len(self.hashes)
+        self.traits.extend((kind, capital, unit, word.rstrip("\"')]»”")[-1:] in (".", "!", "?", ":")))
+        self.hashes.append(xxhash.xxh64_intdigest(low))
+        if kind != PLAIN or capital or unit:
+            self.values[at] = low
+        return at
 
     def template(self, text: str):
         """(ids, kinds, hashes) of the template tokens of a text."""
-        if len(self.values) > KNOWN:
-            self.__init__()
+        if len(self) > KNOWN:
             self.clear()
+            self.__init__()
         words = text.split()
         ids = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        table, hashes = self.arrays()
-        own = table[ids]
+        own = np.frombuffer(self.traits, np.int8).reshape(-1, 4)[ids]
+        hashes = np.frombuffer(self.hashes, np.uint64)
         opens = np.ones(len(ids), bool)
         opens[1:] = own[:-1, 3] > 0
         real = own[:, 0] >= 0
@@ -156,7 +149,7 @@ class Index:
             there, back, exact, fits = {}, {}, True, True
             for p in places:
                 if kinds[p] != PLAIN:
-                    mine, theirs = (kinds[p], values[p]), (kinds[p], words.values[ids[p + shift]])
+                    mine, theirs = (kinds[p], values[p]), (kinds[p], words.values[int(ids[p + shift])])
                     fits &= there.setdefault(mine, theirs) == theirs and back.setdefault(theirs, mine) == mine
                     exact &= mine == theirs
             if fits:
@@ -174,7 +167,7 @@ def _index_blocks(benchmark: DataFrame):
         if block and size + len(ids) > INDEX:
             yield Index(block)
             block, size = [], 0
-        block.append((row["item_id"], kind.tolist(), [words.values[i] for i in ids.tolist()], hashes))
+        block.append((row["item_id"], kind.tolist(), [words.values.get(i, "") for i in ids.tolist()], hashes))
         size += len(ids)
     if block:
         yield Index(block)

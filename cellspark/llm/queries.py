@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import byte_bpe, decontamination, language_id, ngram_join, quality, sharding, spotsigs, suffix_dedup, token_counts, url_filter
+from .shared import bounded_batches
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -19,9 +20,17 @@ QUERIES = {
 ORACLES: dict[str, str] = {}
 
 
+def _bounded(f):
+    def run(spark, sf_dir):
+        bounded_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
     """Query name to function of (spark, sf_dir)."""
-    return dict(QUERIES)
+    return {name: _bounded(f) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict:

@@ -28,6 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Let Arrow batches to Python workers hold ``most`` bytes: batches of so many rows hold any amount of text."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
 

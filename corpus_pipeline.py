@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellspark.llm import byte_bpe, decontamination, language_id, ngram_join, suffix_dedup
-from cellspark.llm.shared import materialize
+from cellspark.llm.shared import bounded_batches, materialize
 
 LEAST_COSINE = 0.03
 WORDS, PERCENT = 5, 80
@@ -32,6 +32,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the corpus's own labels name."""
+    bounded_batches(spark)
     model = language_id.prototypes(docs)
     found = language_id.identify(_packed(docs), model, carry=("row",))
     return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select("row.*")
@@ -39,12 +40,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    bounded_batches(spark)
     gone = ngram_join.cluster(docs, WORDS, PERCENT).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the passages that stand earlier in the corpus."""
+    bounded_batches(spark)
     left = suffix_dedup.remove(docs, tuple(docs.columns), as_text=True)
     kept = left.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept")))
     return kept.where(F.length(F.trim("text")) > 0).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
@@ -52,6 +55,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a leaked benchmark item."""
+    bounded_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontamination.leaks(_packed(docs), benchmark, ("row",))
     return found.where(F.size("item_ids") == 0).select("row.*")
@@ -59,9 +63,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and whether decoding gives the text back."""
-    coded = byte_bpe.encode(docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "text"), ("doc_id", "sha"))
-    back = byte_bpe.decode(coded, ("doc_id", "sha", "ids"))
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"))
+    bounded_batches(spark)
+    coded = byte_bpe.encode(docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "text"), ("doc_id", "sha"), round_trip=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"))
 
 
 STAGES = [
