@@ -226,3 +226,26 @@ def _(spark, d):
 def _(spark, d):
     """Tumbling counts by key, as the stream makes them."""
     return service.windowed_counts(_table(spark, d, "events"), 3600).select("user_id", "calls", F.unix_timestamp(F.col("window.start").cast("timestamp")).alias("start"))
+
+
+@query("coordinate_digests", f"""WITH {CELLS_SQL} SELECT slide_id, sha256(string_agg(format('{{:.6f}},{{:.6f}};', x, y), '' ORDER BY cell_id, i)) AS digest FROM v GROUP BY slide_id""")
+def _(spark, d):
+    """O116-O118: digest of all coordinates of a document."""
+    return exports.coordinate_digests(cells_embed(spark, d), "slide_id", "cell_id")
+
+
+@query("geometry_unchanged", "SELECT DISTINCT p_brand AS slide_id, p_brand<>'Brand#11' AS same FROM part")
+def _(spark, d):
+    """O116: exports leave coordinates alone; one slide here is moved."""
+    c = cells_parts(spark, d).withColumn("source_index", F.col("cell_id"))
+    moved = c.withColumn("ring", F.when(F.col("slide_id") == "Brand#11", ring.shift("ring", "1D", "0D")).otherwise(F.col("ring")))
+    return exports.unchanged(c, moved, "slide_id")
+
+
+@query("stage_defaults", "SELECT p_brand AS slide_id, count(*) AS cell_count, count(*) FILTER (p_brand='Brand#11') AS malignant FROM part GROUP BY p_brand")
+def _(spark, d):
+    """O035, O036: defaults of a stage document; labels of the wrong length become Normal."""
+    n = points_parts(spark, d).groupBy("slide_id").agg(F.count("*").cast("int").alias("cell_count"))
+    n = n.withColumn("clinical", F.when(F.col("slide_id") == "Brand#11", F.expr("array_repeat('Malignant', cell_count)")).otherwise(F.array(F.lit("Malignant"))))
+    out = exports.with_defaults(n)
+    return out.select("slide_id", F.col("cell_count").cast("long").alias("cell_count"), F.size(F.expr("filter(biology, b -> b = 'Epithelial_Malignant')")).cast("long").alias("malignant"))

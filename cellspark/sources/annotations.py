@@ -268,3 +268,20 @@ def slabs(content: DataFrame, dims: int, rows: int = 64) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "slab", "values"])
 
     return content.select("path", "content").mapInPandas(run, "path string, slab long, values array<float>")
+
+
+def arrays(content: DataFrame, name: str = "image") -> DataFrame:
+    """(path, height, width, channels, values) of the array ``name`` (or ``name``s, or the first) of NPZ files."""
+    import numpy as np
+
+    def run(parts):
+        for part in parts:
+            out = []
+            for path, raw in zip(part["path"], part["content"], strict=True):
+                with np.load(io.BytesIO(bytes(raw)), allow_pickle=False) as z:
+                    a = np.asarray(z[next((n for n in (name, f"{name}s") if n in z.files), z.files[0])], np.float32)
+                a = a.reshape(*a.shape[:2], -1)
+                out.append((path, *a.shape, a.ravel().tolist()))
+            yield pd.DataFrame(out, columns=["path", "height", "width", "channels", "values"])
+
+    return content.select("path", "content").mapInPandas(run, "path string, height int, width int, channels int, values array<float>")

@@ -140,3 +140,37 @@ def annotate_xml(raw: bytes, rows: list[dict]) -> bytes:
         e.set("Confidence", f"{row['confidence']:.4f}")
         e.set("CellId", str(row["cell_id"]))
     return ET.tostring(root)
+
+
+def coordinate_digests(records: DataFrame, key: str = "path", order: str = "source_index") -> DataFrame:
+    """key, digest: sha256 over all coordinates (six digits) of a document in its order, to show that an export has left
+    the geometry alone."""
+    line = F.expr("array_join(transform(ring, p -> format_string('%.6f,%.6f;', p.x, p.y)), '')")
+    own = records.select(key, F.struct(F.col(order).alias("i"), line.alias("t")).alias("c")).groupBy(key).agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    return own.select(key, F.sha2(F.array_join(F.expr("transform(cs, c -> c.t)"), "").cast("binary"), 256).alias("digest"))
+
+
+def unchanged(before: DataFrame, after: DataFrame, key: str = "path") -> DataFrame:
+    """key, same: whether both sides have the same digest."""
+    a, b = coordinate_digests(before, key), coordinate_digests(after, key).withColumnRenamed("digest", "other")
+    return a.join(b, key, "full").select(key, F.coalesce(F.col("digest") == F.col("other"), F.lit(False)).alias("same"))
+
+
+def annotate_geojson(text: str, rows: dict[int, dict]) -> str:
+    """A feature collection with class, confidence and cell id of ``rows`` (by place) in its features' properties;
+    features without a row stay as they are, coordinates are not touched."""
+    doc = json.loads(text)
+    for i, f in enumerate(doc.get("features") or []):
+        if i in rows:
+            f["properties"] = (f.get("properties") or {}) | {"classification": {"name": rows[i]["clinical"]}, "confidence": rows[i]["confidence"], "cell_id": rows[i]["cell_id"]}
+    return json.dumps(doc)
+
+
+def with_defaults(slides: DataFrame) -> DataFrame:
+    """Slides (slide_id, cell_count, clinical array) with what later stages expect: labels of the right length or all
+    Normal, biology labels, confidence, version and parameters."""
+    fits = F.coalesce(F.size("clinical") == F.col("cell_count"), F.lit(False))
+    labels = F.when(fits, F.col("clinical")).otherwise(F.expr("array_repeat('Normal', cell_count)"))
+    out = slides.withColumns({"schema_version": F.lit("2"), "clinical": labels, "knn_k": F.lit(8), "knn_metric": F.lit("euclidean")})
+    biology = F.expr("transform(clinical, c -> CASE WHEN c = 'Malignant' THEN 'Epithelial_Malignant' ELSE 'Stromal' END)")
+    return out.withColumns({"biology": biology, "confidence": F.expr("array_repeat(0.85D, cell_count)")})

@@ -51,3 +51,13 @@ def test_status(spark):
 def test_heat(spark):
     rows = spark.range(3).select(imaging.heat_color(F.col("id") / 2.0).alias("c")).collect()
     assert [r["c"] for r in rows] == [[0, 0, 255], [255, 255, 0], [255, 0, 0]]
+
+
+def test_touching_nuclei_are_split():
+    y, x = np.mgrid[0:40, 0:60]
+    left, right = (x - 20) ** 2 + (y - 20) ** 2 <= 144, (x - 41) ** 2 + (y - 20) ** 2 <= 144
+    own = np.where((x - 20) ** 2 + (y - 20) ** 2 <= (x - 41) ** 2 + (y - 20) ** 2, 20, 41)
+    mask = left | right
+    h, v = np.where(mask, (x - own) / 12, 0), np.where(mask, (y - 20) / 12, 0)
+    got = imaging.split_instances(mask.astype(float), h, v)
+    assert set(np.unique(got)) == {0, 1, 2} and got[20, 14] != got[20, 47] and ((got > 0) == mask).mean() > 0.99

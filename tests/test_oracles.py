@@ -1,6 +1,7 @@
 """Every query with a DuckDB twin gives its rows."""
 
 import math
+import os
 
 import duckdb
 import pytest
@@ -16,6 +17,11 @@ def plain(v):
     return str(v)
 
 
+@pytest.fixture(scope="module")
+def sf_dir():
+    return os.environ.get("TEST_ORACLE_DIR", "/root/testdata/sf0.01")
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     c = duckdb.connect()

@@ -1,5 +1,6 @@
 """Parsers, exports and streams."""
 
+import io
 import json
 import zipfile
 
@@ -90,3 +91,17 @@ def test_limiter_stream(spark, tmp_path):
     q.awaitTermination(180)
     got = {r["event_id"]: r["allowed"] for r in spark.sql("SELECT * FROM limited").collect()}
     assert got == {i: i < 8 for i in range(20)}
+
+
+def test_arrays(spark):
+    b = io.BytesIO()
+    np.savez(b, images=np.ones((2, 3, 3)))
+    row = annotations.arrays(spark.createDataFrame([("a", bytearray(b.getvalue()))], "path string, content binary")).first()
+    assert (row["height"], row["width"], row["channels"], len(row["values"])) == (2, 3, 3, 18)
+
+
+def test_geojson_export_keeps_coordinates():
+    text = json.dumps({"features": [{"geometry": {"type": "Point", "coordinates": [1, 2]}, "properties": {"k": 1}}, {"geometry": None}]})
+    doc = json.loads(exports.annotate_geojson(text, {0: {"clinical": "Immune", "confidence": 0.5, "cell_id": 0}}))
+    assert doc["features"][0]["properties"] == {"k": 1, "classification": {"name": "Immune"}, "confidence": 0.5, "cell_id": 0}
+    assert doc["features"][0]["geometry"]["coordinates"] == [1, 2] and doc["features"][1] == {"geometry": None}
