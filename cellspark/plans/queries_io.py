@@ -249,3 +249,63 @@ def _(spark, d):
     n = n.withColumn("clinical", F.when(F.col("slide_id") == "Brand#11", F.expr("array_repeat('Malignant', cell_count)")).otherwise(F.array(F.lit("Malignant"))))
     out = exports.with_defaults(n)
     return out.select("slide_id", F.col("cell_count").cast("long").alias("cell_count"), F.size(F.expr("filter(biology, b -> b = 'Epithelial_Malignant')")).cast("long").alias("malignant"))
+
+
+@query("json_polygons", _BACK.format(n=32))
+def _(spark, d):
+    """O012, O016, O274, O279, O281, O282, O295: polygons in any JSON layout, by name of the file."""
+    c = cells_parts(spark, d)
+    docs = c.select("slide_id", F.struct("cell_id", exports.coordinates().alias("boundary")).alias("c")).groupBy("slide_id").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    text = F.to_json(F.struct(F.expr("transform(cs, c -> named_struct('boundary', c.boundary))").alias("nuclei")))
+    return _back(annotations.parse(docs.select(F.concat("slide_id", F.lit(".json")).alias("path"), text.cast("binary").alias("content")))).drop("source_class")
+
+
+@query("annotation_manifest", f"WITH {POINTS_SQL}, {_RANK}, n AS (SELECT slide_id, count(*) AS c FROM pts GROUP BY ALL) SELECT slide_id, position, centroid_x, centroid_y, c AS record_count FROM rk JOIN n USING (slide_id)")
+def _(spark, d):
+    """O034: the manifest that joins exports to their sources."""
+    files = _xml(spark, d, "Region", "Vertex").withColumn("modificationTime", F.lit("2024-01-01").cast("timestamp"))
+    m = exports.manifest(annotations.parse(files), files)
+    m = m.select(F.regexp_extract("path", r"^(.*)\.\w+$", 1).alias("slide_id"), F.col("cell_id").cast("long").alias("position"), "centroid_x", "centroid_y", "record_count")
+    return rounded(m, "centroid_x", "centroid_y", digits=3)
+
+
+@query("incomplete_labels", "SELECT p_brand AS slide_id, CASE WHEN count(*)<80 THEN 'labels for 80 of '||count(*)||' cells' WHEN count(*)>80 THEN 'labels for 80 of '||count(*)||' cells' END AS message FROM part GROUP BY p_brand")
+def _(spark, d):
+    """O119: slides whose labels do not fit their cells."""
+    n = points_parts(spark, d).groupBy("slide_id").agg(F.count("*").alias("n"))
+    return n.select("slide_id", F.when(F.col("n") != 80, F.concat(F.lit("labels for 80 of "), F.col("n").cast("string"), F.lit(" cells"))).alias("message"))
+
+
+@query("prediction_files", "SELECT p_brand AS slide_id, count(*) AS n FROM part GROUP BY p_brand")
+def _(spark, d):
+    """O026, O280: prediction rows from a list or from records; an empty file is an error."""
+    p = points_parts(spark, d).groupBy("slide_id").agg(F.collect_list(F.struct("cell_id", F.lit("Stromal").alias("predicted_class"))).alias("r"))
+    text = p.withColumn("json", F.when(F.substring("slide_id", -1, 1) == "1", F.to_json("r")).otherwise(F.to_json(F.struct(F.col("r").alias("records")))))
+    return exports.prediction_records(text).groupBy("slide_id").agg(F.count("*").alias("n"))
+
+
+@query("round_trip_export", "SELECT p_brand AS slide_id, count(*) AS regions, true AS same FROM part GROUP BY p_brand")
+def _(spark, d):
+    """O043, O259, O283, O284: regions labelled in their XML, read again, with the geometry as it was."""
+    files = _xml(spark, d, "Region", "Vertex")
+    before = annotations.parse(files)
+    rows = before.select("path", F.struct(F.col("source_index").alias("cell_id"), F.lit("Normal").alias("clinical"), F.lit(0.85).alias("confidence")).alias("r")).groupBy("path").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    after = annotations.parse(exports.labelled_xml(files, rows))
+    n = after.groupBy("path").agg(F.count("*").alias("regions")).join(exports.unchanged(before, after), "path")
+    return n.select(F.regexp_extract("path", r"^(.*)\.\w+$", 1).alias("slide_id"), "regions", "same")
+
+
+@query("cell_points", f"WITH {POINTS_SQL} SELECT slide_id, count(*) AS cells, count(*) FILTER (cell_id%3=0) AS cancer FROM pts GROUP BY slide_id")
+def _(spark, d):
+    """O289: cells as points with a flag, and their counts."""
+    p = points_parts(spark, d).select("slide_id", F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y"), (F.col("cell_id") % 3 == 0).alias("is_cancer"))
+    return p.groupBy("slide_id").agg(F.count("*").alias("cells"), F.count_if("is_cancer").alias("cancer"))
+
+
+@query("feature_table_full", None)
+def _(spark, d):
+    """O045, O082, O223: all 19 columns, with the distance to the hull of all cells."""
+    from .features import NAMES, features
+
+    out = features(cells_parts(spark, d))
+    return rounded(out, *NAMES, digits=4)

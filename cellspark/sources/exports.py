@@ -174,3 +174,25 @@ def with_defaults(slides: DataFrame) -> DataFrame:
     out = slides.withColumns({"schema_version": F.lit("2"), "clinical": labels, "knn_k": F.lit(8), "knn_metric": F.lit("euclidean")})
     biology = F.expr("transform(clinical, c -> CASE WHEN c = 'Malignant' THEN 'Epithelial_Malignant' ELSE 'Stromal' END)")
     return out.withColumns({"biology": biology, "confidence": F.expr("array_repeat(0.85D, cell_count)")})
+
+
+def prediction_records(text: DataFrame) -> DataFrame:
+    """slide_id, cell_id, predicted_class of prediction files (slide_id, json): a list, or an object with records."""
+    row = "array<struct<cell_id: bigint, predicted_class: string>>"
+    listed = F.col("json").rlike(r"^\s*\[")
+    found = F.when(listed, F.from_json("json", row)).otherwise(F.from_json("json", f"records {row}")["records"])
+    own = text.select("slide_id", found.alias("r"))
+    some = F.assert_true(F.coalesce(F.size("r"), F.lit(0)) > 0, F.lit("a prediction file has no rows"))
+    return own.withColumn("_ok", some).where(F.col("_ok").isNull()).select("slide_id", F.explode("r").alias("p")).select("slide_id", "p.*")
+
+
+def labelled_xml(sources: DataFrame, rows: DataFrame) -> DataFrame:
+    """path, content of XML files (path, content) with the labels of ``rows`` (path, rows in document order)."""
+    import pandas as pd
+
+    def run(parts):
+        for part in parts:
+            out = [annotate_xml(bytes(raw), list(own)) for raw, own in zip(part["content"], part["rows"], strict=True)]
+            yield pd.DataFrame({"path": part["path"], "content": out})
+
+    return sources.select("path", "content").join(rows, "path").mapInPandas(run, "path string, content binary")
