@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import materialize, release
+from .shared import materialize, release, sweep
 
 WORDS, PERCENT = 3, 90
 BLOCK = 256
@@ -267,12 +267,29 @@ def _arrays(column) -> list[np.ndarray]:
     return [values[x:y].view(np.uint64) for x, y in zip(at, at[1:], strict=False)]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) with whether they link."""
-    x, y = (sets.select(F.col("doc_id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
-    joined = pairs.select("a", "b").distinct().join(x, "a").join(y, "b")
+def _marks(sets: DataFrame) -> DataFrame:
+    """doc_id, size and bits (SKETCH_BITS parity bits as longs) of each set."""
+
+    def run(batches):
+        for batch in batches:
+            found = _arrays(batch.column("s"))
+            bits = [sketch(s).view(np.int64) for s in found]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "size": pa.array([len(s) for s in found], pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64()))})
+
+    return sets.where("size(s) > 0").mapInArrow(run, "doc_id long, size long, bits array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) with whether they link. Sketches that differ in more bits than linked sets may in
+    shingles settle most of the others, so that whole sets meet only where a link is likely."""
+    x, y = (marks.select(F.col("doc_id").alias(k), F.col("size").alias(f"n{k}"), F.col("bits").alias(f"b{k}")) for k in "ab")
+    apart = F.expr("aggregate(zip_with(ba, bb, (x, y) -> bit_count(x ^ y)), 0, (t, v) -> t + v)")
+    near = apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    judged = materialize(pairs.select("a", "b").distinct().join(x, "a").join(y, "b").select("a", "b", near.alias("near")))
+    u, v = (sets.select(F.col("doc_id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
-    return joined.select("a", "b", (both * 100 >= percent * (F.size("sa") + F.size("sb") - both)).alias("linked"))
+    exact = judged.where("near").join(u, "a").join(v, "b").select("a", "b", (both * 100 >= percent * (F.size("sa") + F.size("sb") - both)).alias("linked"))
+    return exact.union(judged.where("not near").select("a", "b", F.lit(False).alias("linked")))
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -289,7 +306,7 @@ def _blocks(members: DataFrame, bands_of: int) -> DataFrame:
         for run in _runs(batches, ("key", "i", "j"), ("own", "doc_id", "component", "size", "bits")):
             i, j = run["i"][0], run["j"][0]
             left, right = np.flatnonzero(run["own"] == i), np.flatnonzero(run["own"] == j)
-            bits = np.stack([np.frombuffer(x, np.uint64) for x in run["bits"]])
+            bits = np.stack(list(run["bits"])).view(np.uint64)
             out = []
             for x in left.tolist():
                 y = right[(right > x) if i == j else slice(None)]
@@ -310,37 +327,43 @@ def _blocks(members: DataFrame, bands_of: int) -> DataFrame:
 
 def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``, which has doc_id and text."""
+    spark = docs.sparkSession
     named = docs.where("doc_id is not null")
     met = materialize(_meet(named, words, percent))
+    sweep(spark)
     buckets = met.where(F.col("kind") == KEY).select("key", "a", "b")
     equal = met.where(F.col("kind") == PAIR).select("a", "b")
     pairs = materialize(buckets.select("a", "b").distinct())
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = materialize(_sets(named, ids, words))
-    tried = materialize(_verified(pairs, sets, percent))
+    marks = materialize(_marks(sets))
+    tried = materialize(_verified(pairs, sets, marks, percent))
+    sweep(spark)
     links = equal.union(tried.where("linked").select("a", "b"))
     labels = components(links)
 
     open_keys = buckets.join(tried.where("not linked"), ["a", "b"]).select("key").distinct()
     open_keys = materialize(buckets.join(open_keys, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     if not open_keys.isEmpty():
-        members = materialize(_members(sets, open_keys, percent))
+        members = materialize(_members(sets, marks, open_keys, percent))
+        sweep(spark)
         sizes = members.groupBy("key").agg(F.count("*").alias("n"))
         shared = members.join(sizes, "key").groupBy("doc_id").agg(F.sum("n").alias("shared"))
         lead = members.join(shared, "doc_id").groupBy("key").agg(F.max(F.struct("shared", -F.col("doc_id"), "doc_id")).alias("m")).select("key", F.col("m.doc_id").alias("lead"))
         own = _labelled(members, labels)
         to = _labelled(lead.withColumnRenamed("lead", "doc_id"), labels).select("key", F.col("doc_id").alias("lead"), F.col("component").alias("lead_component"))
         second = own.join(to, "key").where("component <> lead_component").select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b"))
-        links = links.union(materialize(_verified(second, sets, percent).where("linked")).select("a", "b"))
+        links = links.union(materialize(_verified(second, sets, marks, percent).where("linked")).select("a", "b"))
         labels = components(links)
 
         own = materialize(_labelled(members, labels))
         mixed = own.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "n")
         third = _blocks(own.join(mixed, "key"), percent)
-        found = materialize(_verified(third, sets, percent).where("linked")).select("a", "b")
+        found = materialize(_verified(third, sets, marks, percent).where("linked")).select("a", "b")
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links)
+    sweep(spark)
     out = met.where(F.col("kind") == SIZE).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     out = _labelled(out, labels).withColumnRenamed("component", "component_id")
     for done in (pairs, sets, tried):
@@ -348,7 +371,7 @@ def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     return out.union(_nameless(docs, words))
 
 
-def _members(sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+def _members(sets: DataFrame, marks: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
     """(key, doc_id, size, bits) of the sets that have one of ``keys``."""
 
     def run(batches):
@@ -362,14 +385,9 @@ def _members(sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
                 if n:
                     yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(own)), "doc_id": pa.array(np.repeat(part, n))})
 
-    def bits(batches):
-        for batch in batches:
-            found = _arrays(batch.column("s"))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "size": pa.array([len(s) for s in found], pa.int64()), "bits": pa.array([sketch(s).tobytes() for s in found], pa.binary())})
-
     some = sets.where("size(s) > 0")
     own = some.mapInArrow(run, "key long, doc_id long").join(keys, "key", "left_semi")
-    return own.join(some.mapInArrow(bits, "doc_id long, size long, bits binary"), "doc_id")
+    return own.join(marks, "doc_id")
 
 
 def _nameless(docs: DataFrame, words: int) -> DataFrame:

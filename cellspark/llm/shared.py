@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,12 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that have been written out."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a frame made by ``materialize`` that no later plan reads."""
     spark = df.sparkSession

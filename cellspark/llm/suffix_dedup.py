@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ngram_join import _BASE, _BYTE, _power, mix
-from .shared import materialize
+from .shared import materialize, sweep
 
 WINDOW, GRAM = 100, 32
 BYTES = 1_000_000  # parsed at once
@@ -269,11 +269,11 @@ def remove(docs: DataFrame, carry=("doc_id",), hot_from: int = HOT, as_text: boo
     rows, unique = _numbered(docs.select("doc_id", "text", F.struct(*carry).alias("row")))
     texts = rows.select("doc", "text")
     decided = materialize(_decide(_phrases(texts)))
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the parse
+    sweep(spark)
     later = materialize(_suffixes(texts if unique else texts.dropDuplicates(["doc"]), decided, hot_from))
     whole = decided.where(F.col("kind") == GONE).select("doc", F.shiftright("at", 14).alias("a"), (F.shiftright("at", 14) + (F.shiftright("at", 7).bitwiseAND(127))).alias("b"))
     spans = whole.union(later).groupBy("doc").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))  # of one document
-    spark.sparkContext._jvm.System.gc()
+    sweep(spark)
     kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.string() if as_text else pa.binary()}
     ready = (lambda b: b.decode("utf-8", "ignore")) if as_text else bytes
 
