@@ -240,55 +240,64 @@ def _meet(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return met.repartition("key").sortWithinPartitions("kind", "key", "a").mapInArrow(first, shape)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """doc_id and shingle hashes of the documents named in ``ids``."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    if ids.count() <= SMALL:
-        held = spark.sparkContext.broadcast(np.sort(ids.toPandas()["doc_id"].to_numpy(np.int64)))  # SMALL at most
-    else:
-        held, docs = None, docs.join(ids, "doc_id", "left_semi")
+def _held(rows: DataFrame, column: str):
+    """The sorted values of a column for the workers, if there are at most SMALL; else None."""
+    if rows.count() > SMALL:
+        return None
+    return rows.sparkSession.sparkContext.broadcast(np.sort(rows.toPandas()[column].to_numpy(np.int64)))  # SMALL at most
+
+
+def _picked(docs: DataFrame, ids: DataFrame, words: int, make, schema: str) -> DataFrame:
+    """What ``make`` gives of the sets of the documents named in ``ids``, from one pass over the texts."""
+    docs, held = docs.select("doc_id", "text"), _held(ids, "doc_id")
+    if held is None:
+        docs = docs.join(ids, "doc_id", "left_semi")
 
     def run(batches):
         for batch in batches:
             if held is not None:
                 want = np.isin(batch.column("doc_id").to_numpy(zero_copy_only=False), held.value)
                 batch = batch.filter(pa.array(want))
-            sets = list(shingle_sets(batch.column("text").to_pylist(), words))
-            ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            values = np.concatenate([s.view(np.int64) for s in sets]) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "s": pa.ListArray.from_arrays(pa.array(ends), pa.array(values))})
+            if batch.num_rows:
+                yield from make(batch.column("doc_id"), list(shingle_sets(batch.column("text").to_pylist(), words)))
 
-    return docs.mapInArrow(run, "doc_id long, s array<long>")
+    return docs.mapInArrow(run, schema)
 
 
-def _arrays(column) -> list[np.ndarray]:
-    values, at = column.values.to_numpy(), column.offsets.to_pylist()
-    return [values[x:y].view(np.uint64) for x, y in zip(at, at[1:], strict=False)]
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """doc_id and shingle hashes of the documents named in ``ids``."""
 
+    def make(doc, sets):
+        ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+        values = np.concatenate([s.view(np.int64) for s in sets])
+        yield pa.RecordBatch.from_pydict({"doc_id": doc, "s": pa.ListArray.from_arrays(pa.array(ends), pa.array(values))})
 
-def _marks(sets: DataFrame) -> DataFrame:
-    """doc_id, size and bits (SKETCH_BITS parity bits as longs) of each set."""
+    return _picked(docs, ids, words, make, "doc_id long, s array<long>")
 
-    def run(batches):
-        for batch in batches:
-            found = _arrays(batch.column("s"))
-            bits = [sketch(s).view(np.int64) for s in found]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "size": pa.array([len(s) for s in found], pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64()))})
 
-    return sets.where("size(s) > 0").mapInArrow(run, "doc_id long, size long, bits array<long>")
+def _marks(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """doc_id, size and bits (SKETCH_BITS parity bits as longs) of the documents named in ``ids``."""
+
+    def make(doc, sets):
+        bits = [sketch(s).view(np.int64) for s in sets]
+        yield pa.RecordBatch.from_pydict({"doc_id": doc, "size": pa.array([len(s) for s in sets], pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64()))})
 
+    return _picked(docs, ids, words, make, "doc_id long, size long, bits array<long>")
 
-def _verified(pairs: DataFrame, sets: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+
+def _verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, words: int, percent: int) -> DataFrame:
     """The distinct pairs (a, b) with whether they link. Sketches that differ in more bits than linked sets may in
-    shingles settle most of the others, so that whole sets meet only where a link is likely."""
+    shingles settle most of the others, so that whole sets are made only where a link is likely."""
     x, y = (marks.select(F.col("doc_id").alias(k), F.col("size").alias(f"n{k}"), F.col("bits").alias(f"b{k}")) for k in "ab")
     apart = F.expr("aggregate(zip_with(ba, bb, (x, y) -> bit_count(x ^ y)), 0, (t, v) -> t + v)")
     near = apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
     judged = materialize(pairs.select("a", "b").distinct().join(x, "a").join(y, "b").select("a", "b", near.alias("near")))
+    likely = judged.where("near")
+    ids = materialize(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct())
+    sets = materialize(_sets(docs, ids, words))
     u, v = (sets.select(F.col("doc_id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
-    exact = judged.where("near").join(u, "a").join(v, "b").select("a", "b", (both * 100 >= percent * (F.size("sa") + F.size("sb") - both)).alias("linked"))
+    exact = likely.join(u, "a").join(v, "b").select("a", "b", (both * 100 >= percent * (F.size("sa") + F.size("sb") - both)).alias("linked"))
     return exact.union(judged.where("not near").select("a", "b", F.lit(False).alias("linked")))
 
 
@@ -334,10 +343,9 @@ def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     buckets = met.where(F.col("kind") == KEY).select("key", "a", "b")
     equal = met.where(F.col("kind") == PAIR).select("a", "b")
     pairs = materialize(buckets.select("a", "b").distinct())
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialize(_sets(named, ids, words))
-    marks = materialize(_marks(sets))
-    tried = materialize(_verified(pairs, sets, marks, percent))
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    marks = materialize(_marks(named, ids, words))
+    tried = materialize(_verified(pairs, named, marks, words, percent))
     sweep(spark)
     links = equal.union(tried.where("linked").select("a", "b"))
     labels = components(links)
@@ -345,7 +353,7 @@ def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     open_keys = buckets.join(tried.where("not linked"), ["a", "b"]).select("key").distinct()
     open_keys = materialize(buckets.join(open_keys, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     if not open_keys.isEmpty():
-        members = materialize(_members(sets, marks, open_keys, percent))
+        members = materialize(_members(named, ids, marks, open_keys, words, percent))
         sweep(spark)
         sizes = members.groupBy("key").agg(F.count("*").alias("n"))
         shared = members.join(sizes, "key").groupBy("doc_id").agg(F.sum("n").alias("shared"))
@@ -353,41 +361,40 @@ def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
         own = _labelled(members, labels)
         to = _labelled(lead.withColumnRenamed("lead", "doc_id"), labels).select("key", F.col("doc_id").alias("lead"), F.col("component").alias("lead_component"))
         second = own.join(to, "key").where("component <> lead_component").select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b"))
-        links = links.union(materialize(_verified(second, sets, marks, percent).where("linked")).select("a", "b"))
+        links = links.union(materialize(_verified(second, named, marks, words, percent).where("linked")).select("a", "b"))
         labels = components(links)
 
         own = materialize(_labelled(members, labels))
         mixed = own.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "n")
         third = _blocks(own.join(mixed, "key"), percent)
-        found = materialize(_verified(third, sets, marks, percent).where("linked")).select("a", "b")
+        found = materialize(_verified(third, named, marks, words, percent).where("linked")).select("a", "b")
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links)
     sweep(spark)
     out = met.where(F.col("kind") == SIZE).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     out = _labelled(out, labels).withColumnRenamed("component", "component_id")
-    for done in (pairs, sets, tried):
+    for done in (pairs, ids, tried):
         release(done)
     return out.union(_nameless(docs, words))
 
 
-def _members(sets: DataFrame, marks: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
-    """(key, doc_id, size, bits) of the sets that have one of ``keys``."""
+def _members(docs: DataFrame, ids: DataFrame, marks: DataFrame, keys: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key, doc_id, size, bits) of the documents named in ``ids`` that have one of ``keys``."""
+    held = _held(keys, "key")
 
-    def run(batches):
-        bands = Bands(percent)
-        for batch in batches:
-            ids, all_sets = batch.column("doc_id").to_numpy(), _arrays(batch.column("s"))
-            for at in range(0, len(ids), 500):
-                own = [bands.keys(np.sort(s)) for s in all_sets[at : at + 500]]
-                n = [len(k) for k in own]
-                part = ids[at : at + 500]
-                if n:
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(own)), "doc_id": pa.array(np.repeat(part, n))})
-
-    some = sets.where("size(s) > 0")
-    own = some.mapInArrow(run, "key long, doc_id long").join(keys, "key", "left_semi")
-    return own.join(marks, "doc_id")
+    def make(doc, sets):
+        bands, doc = Bands(percent), doc.to_numpy()
+        for at in range(0, len(doc), 500):
+            own = [bands.keys(s) if len(s) else np.zeros(0, np.int64) for s in sets[at : at + 500]]
+            key, of = np.concatenate(own), np.repeat(doc[at : at + 500], [len(k) for k in own])
+            if held is not None:
+                want = np.isin(key, held.value)
+                key, of = key[want], of[want]
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key), "doc_id": pa.array(of)})
+
+    own = _picked(docs, ids, words, make, "key long, doc_id long")
+    return (own if held is not None else own.join(keys, "key", "left_semi")).join(marks, "doc_id")
 
 
 def _nameless(docs: DataFrame, words: int) -> DataFrame:
