@@ -29,6 +29,8 @@ from .shared import held_out
 DIM = 1024
 GROUP_DOCS, GROUP_CHARS = 256, 1_000_000
 UNKNOWN = "und"
+#: Of the least score that counts as a learned language (least_scores).
+NOISE, QUANTILE, SHARE, BAND_ROWS, BIN = 3.0, 0.01, 0.5, 20, 0.001
 
 _vectors: dict[tuple[int, int], np.ndarray] = {}
 _letters = np.full(0x110000, -1, np.int32)
@@ -109,10 +111,12 @@ def _counted(group: list[tuple[int, np.ndarray]], keys: list[int], n_keys: int,
     return out
 
 
-def bundle(texts: list, dim: int = DIM) -> np.ndarray:
-    """A hypervector for each text; zeros where there is no trigram."""
+def bundle(texts: list, dim: int = DIM, grams: np.ndarray | None = None) -> np.ndarray:
+    """A hypervector for each text; zeros where there is no trigram. Numbers of trigrams are added to ``grams``."""
     out = np.zeros((len(texts), dim))
     for group in _groups(texts):
+        if grams is not None:
+            np.add.at(grams, [r for r, _ in group], [len(s) - 2 for _, s in group])
         rows = sorted({r for r, _ in group})
         out[rows] += _counted(group, [rows.index(r) for r, _ in group] if len(rows) < 2 else list(np.searchsorted(rows, [r for r, _ in group])), len(rows), dim)
     return out
@@ -144,8 +148,9 @@ def prototypes(labelled: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
     return dict(sorted(found.items()))
 
 
-def identify(docs: DataFrame, model: dict[str, np.ndarray], dim: int = DIM, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns of ``carry``, lang_pred and score (the cosine, at least 0) for each row of ``docs``, which has ``text``."""
+def identify(docs: DataFrame, model: dict[str, np.ndarray], dim: int = DIM, carry: tuple[str, ...] = ("doc_id",), sizes: bool = False) -> DataFrame:
+    """Columns of ``carry``, lang_pred and score (the cosine, at least 0) for each row of ``docs``, which has ``text``;
+    with ``sizes`` also band, the logarithm to base 2 of the text's number of trigrams, rounded down (0: one or none)."""
     names = list(model)
     protos = np.stack([v / (np.linalg.norm(v) or 1) for v in model.values()]) if names else np.zeros((0, dim))
 
@@ -153,8 +158,9 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], dim: int = DIM, carr
         for batch in batches:
             texts = batch.column("text").to_pylist()
             cos = np.zeros((len(texts), max(1, len(names))))
+            grams = np.zeros(len(texts), np.int64)
             if names:
-                h = bundle(texts, dim)
+                h = bundle(texts, dim, grams)
                 norm = np.linalg.norm(h, axis=1, keepdims=True)
                 cos = h @ protos.T / np.where(norm == 0, 1, norm)
             best = cos.argmax(1)
@@ -162,10 +168,34 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], dim: int = DIM, carr
             out = {c: batch.column(c) for c in carry}
             out["lang_pred"] = pa.array([names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], pa.string())
             out["score"] = pa.array([min(1.0, max(0.0, float(row[b]))) if k else 0.0 for row, b, k in zip(cos, best, known, strict=True)], pa.float64())
+            if sizes:
+                out["band"] = pa.array([max(1, int(n)).bit_length() - 1 for n in grams], pa.int32())
             yield pa.RecordBatch.from_pydict(out)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(predict, f"{kept}, lang_pred string, score double")
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(predict, f"{kept}, lang_pred string, score double" + ", band int" * sizes)
+
+
+def least_scores(labelled: DataFrame, model: dict[str, np.ndarray], dim: int = DIM) -> list[float]:
+    """By band, the least score of a text in a learned language: SHARE of the QUANTILE of the scores of labelled texts
+    (columns text and lang) that get their own label, and at least NOISE standard deviations of unrelated texts' cosine.
+    Long texts score far higher than short ones, so each band has its own; one of fewer than BAND_ROWS texts takes that
+    of the band below. Every labelled row counts; what is collected is a histogram of bounded size."""
+    found = identify(labelled.where("text is not null and lang is not null"), model, dim, ("lang",), sizes=True)
+    rows = found.where("lang = lang_pred").groupBy("band", F.floor(F.col("score") / BIN).alias("bin")).agg(F.count("*").alias("n")).collect()
+    floor = NOISE / dim**0.5
+    least = []
+    for band in range(64):
+        own = sorted((r["bin"], r["n"]) for r in rows if r["band"] == band)
+        total, below = sum(n for _, n in own), 0
+        least.append(least[-1] if least else floor)
+        if total >= BAND_ROWS:
+            for at, n in own:
+                below += n
+                if below > QUANTILE * total:
+                    least[-1] = max(floor, SHARE * at * BIN)
+                    break
+    return least
 
 
 _LETTER = re.compile(r"[^\W\d_]")

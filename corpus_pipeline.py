@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written as Parquet and read again
 as the next one's docs. All but the last return the columns of the documents.
 
-1. language: documents without a letter, or unlike every language prototype, go.
+1. language: documents without a letter, or unlike every language prototype, go. How like a document must be is read
+   from the scores of the labelled documents of its length (language_id.least_scores).
 2. near duplicates: of each component of five-word shingles at a similarity of 0.8 the least id stays.
 3. repeats: bytes in 100-byte strings that start earlier too go; documents of which only white space is left go.
 4. decontamination: documents into which a benchmark item leaked go.
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 from cellspark.llm import byte_bpe, decontamination, language_id, ngram_join, suffix_dedup
 from cellspark.llm.shared import bounded_batches, materialize
 
-LEAST_COSINE = 0.03
 WORDS, PERCENT = 5, 80
 
 
@@ -34,8 +34,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the corpus's own labels name."""
     bounded_batches(spark)
     model = language_id.prototypes(docs)
-    found = language_id.identify(_packed(docs), model, carry=("row",))
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select("row.*")
+    least = language_id.least_scores(docs, model)
+    found = language_id.identify(_packed(docs), model, carry=("row",), sizes=True)
+    enough = F.col("score") >= F.element_at(F.array(*map(F.lit, least)), F.col("band") + 1)
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & enough).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -225,3 +225,19 @@ def test_pipeline_of_odd_and_no_rows(spark, odd, none, sf_dir):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf_dir)
         assert docs.count() >= 0
+
+
+def test_pipeline_drops_unlearned_languages(spark, sf_dir):
+    """Foreign scripts and random letters of 20 to 2,000 words, without a label, go; labelled documents stay."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(5)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    planted = []
+    for low, high in ((0x430, 0x44F), (0xAC00, 0xD7A3), (0x3B1, 0x3C9), (97, 122)):
+        for n in [20] * 15 + [200] * 10 + [2000] * 5:
+            text = " ".join("".join(chr(rng.randint(low, high)) for _ in range(rng.randint(2, 9))) for _ in range(n))
+            planted.append((10**9 + len(planted), text, None, "s", len(text)))
+    both = docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, both, sf_dir).select("doc_id").collect()}
+    assert {r["doc_id"] for r in docs.select("doc_id").collect()} <= kept
+    assert len([i for i in kept if i >= 10**9]) <= 0.02 * len(planted)
