@@ -7,8 +7,9 @@ before it, (n(context, byte) + A * p of order k-1) / (n(context) + A). The score
 log-likelihoods over its length. The threshold is the one with the least balanced error on a quarter of the examples
 that the models do not see, read from a histogram; without examples of both kinds the method allows.
 
-Counts are kept by hash in tables whose width is the number of examples rounded up to a power of two, from 2**14 to
-2**18: whole corpora are counted, the table that each worker gets is at most 21 MB.
+Counts are exact: an n-gram has at most ORDERS bytes, so it and its order make one whole number, which is the key of
+its counts. The table has one row for each distinct n-gram and context of the examples, whatever their number; each
+worker gets it whole, 24 bytes a row.
 
 Null URLs and URLs without ``://`` have an empty host and path; no rule fits them and the models judge the string as it
 is (null: the empty string, score 0). Rows are kept one for one. Other columns are not read.
@@ -24,9 +25,7 @@ from pyspark.sql import functions as F
 #: The rules of the query.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 ORDERS, A = 5, 2.0
-LEAST_BITS, MOST_BITS = 14, 18
 BIN = 0.005
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -48,73 +47,62 @@ def rule_of(host: Column, path: Column, rules) -> Column:
     return found
 
 
-def _hashes(urls: list[str | None], bits: int):
-    """(URL's index for each byte, per order the cells of (context, byte) and of the context)."""
+def _grams(urls: list[str | None]):
+    """(URL's index for each byte, per order the keys of (context, byte) and of the context)."""
     raw = [(u or "").encode("utf-8", "replace") for u in urls]
     lengths = np.array([len(r) for r in raw])
     pad = b"\0" * (ORDERS - 1)  # no URL looks into the one before it
-    data = np.frombuffer(b"".join(pad + r for r in raw) or b"\0", np.uint8).astype(np.uint64)
+    data = np.frombuffer(b"".join(pad + r for r in raw) or b"\0", np.uint8).astype(np.int64)
     starts = np.cumsum(lengths + ORDERS - 1) - lengths
     at = np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-    cells, context = [], np.zeros(len(at), np.uint64)
+    keys, context = [], np.zeros(len(at), np.int64)
     for k in range(ORDERS):
         if k:
-            context = (context ^ (data[at - k] + np.uint64(k << 8))) * _MIX
-            context ^= context >> np.uint64(29)
-        seed = np.uint64(k + 1) * np.uint64(0xD1B54A32D192ED03 & (2**60 - 1))
-        gram = ((context ^ seed ^ data[at]) + np.uint64(1)) * _MIX
-        whole = ((context ^ seed) + np.uint64(0x51ED27)) * _MIX
-        shift = np.uint64(64 - bits)
-        cells.append(((gram >> shift).astype(np.int64), (whole >> shift).astype(np.int64)))
-    return np.repeat(np.arange(len(raw)), lengths), cells
+            context = context | data[at - k] << 8 * k
+        keys.append((context | data[at] | 2 * k << 8 * ORDERS, context | 2 * k + 1 << 8 * ORDERS))
+    return np.repeat(np.arange(len(raw)), lengths), keys
 
 
-def _count(examples: DataFrame, bits: int) -> np.ndarray:
-    """Counts [kind, order, gram or context, cell] over all examples (columns url, kind 0 or 1)."""
-    width = 1 << bits
+def _count(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, counts [kind, key]) over all examples (columns url, kind 0 or 1)."""
 
     def run(batches):
-        total = np.zeros(2 * ORDERS * 2 * width, np.int64)
         for batch in batches:
             kinds = np.array(batch.column("kind").to_pylist())
-            of, cells = _hashes(batch.column("url").to_pylist(), bits)
-            for kind in (0, 1):
-                own = kinds[of] == kind
-                for k, pair in enumerate(cells):
-                    for j, cell in enumerate(pair):
-                        at = ((kind * ORDERS + k) * 2 + j) * width
-                        total[at : at + width] += np.bincount(cell[own], minlength=width)
-        some = np.flatnonzero(total)
-        for at in range(0, len(some), 50_000):
-            part = some[at : at + 50_000]
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(part, pa.int64()), "n": pa.array(total[part], pa.int64())})
-
-    rows = examples.select("url", "kind").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(2 * ORDERS * 2 * width)  # as many rows at most as the tables have cells
-    out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
-    return out.reshape(2, ORDERS, 2, width)
-
-
-def _ratio(counts: np.ndarray, urls: list[str | None], bits: int) -> np.ndarray:
+            of, keys = _grams(batch.column("url").to_pylist())
+            found, place = np.unique(np.concatenate([x for pair in keys for x in pair]), return_inverse=True)
+            good = np.tile(kinds[of] == 1, 2 * ORDERS) if len(of) else np.zeros(0, bool)
+            bad, good = (np.bincount(place[own], minlength=len(found)) for own in (~good, good))
+            for at in range(0, len(found), 50_000):
+                yield pa.RecordBatch.from_pydict({n: pa.array(x[at : at + 50_000], pa.int64()) for n, x in (("key", found), ("bad", bad), ("good", good))})
+
+    counted = examples.select("url", "kind").mapInArrow(run, "key long, bad long, good long")
+    rows = counted.groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas().sort_values("key")
+    return rows["key"].to_numpy(np.int64), rows[["bad", "good"]].to_numpy(float).T.copy()
+
+
+def _ratio(keys: np.ndarray, counts: np.ndarray, urls: list[str | None]) -> np.ndarray:
     """Length-normalised log-likelihood of accepted less that of rejected."""
-    of, cells = _hashes(urls, bits)
-    logs = []
-    for kind in (1, 0):
-        p = np.full(len(of), 1 / 256)
-        for k, (gram, whole) in enumerate(cells):
-            n, all_n = counts[kind, k, 0][gram], counts[kind, k, 1][whole]
-            p = (np.minimum(n, all_n) + A * p) / (all_n + A)
-        logs.append(np.log(p))
+    of, pairs = _grams(urls)
+
+    def seen(x):
+        if not len(keys):
+            return np.zeros((2, len(x)))
+        near = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+        return np.where(keys[near] == x, counts[:, near], 0.0)
+
+    p = np.full((2, len(of)), 1 / 256)
+    for gram, whole in pairs:
+        p = (seen(gram) + A * p) / (seen(whole) + A)
+    logs = np.log(p)
     lengths = np.bincount(of, minlength=len(urls))
-    return np.bincount(of, weights=logs[0] - logs[1], minlength=len(urls)) / np.maximum(lengths, 1)
-
+    return np.bincount(of, weights=logs[1] - logs[0], minlength=len(urls)) / np.maximum(lengths, 1)
 
-def _scored(urls: DataFrame, counts, bits: int, carry) -> DataFrame:
-    shared = urls.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
 
+def _scored(urls: DataFrame, shared, carry) -> DataFrame:
     def run(batches):
         for batch in batches:
-            r = _ratio(shared.value, batch.column("url").to_pylist(), bits)
+            r = _ratio(*shared.value, batch.column("url").to_pylist())
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in carry} | {"ratio": pa.array(r, pa.float64())})
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in urls.select(*carry).schema)
@@ -145,11 +133,10 @@ def judge(pages: DataFrame, rules=RULES, carry=("page_id",)) -> DataFrame:
     examples = parsed.where("rule is not null").withColumn("kind", F.col("rule").isin(allowed).cast("int"))
     test = F.crc32(F.col("url").cast("binary")) % 4 == 0
     sizes = {r["kind"]: r["n"] for r in examples.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    bits = max(LEAST_BITS, min(MOST_BITS, int(sum(sizes.values())).bit_length()))
-    counts = _count(examples.where(~test), bits)
+    counts = pages.sparkSession.sparkContext.broadcast(_count(examples.where(~test)))
     both = len(sizes) == 2
-    edge = _threshold(_scored(examples.where(test), counts, bits, ("kind",))) if both else -1e300
-    out = _scored(parsed, counts, bits, (*carry, "host", "path", "rule"))
+    edge = _threshold(_scored(examples.where(test), counts, ("kind",))) if both else -1e300
+    out = _scored(parsed, counts, (*carry, "host", "path", "rule"))
     own = F.when(F.col("rule").isin(allowed), "allow").when(F.col("rule").isNotNull(), "block")
     return out.withColumn("verdict", own.otherwise(F.when(F.col("ratio") >= edge, "allow").otherwise("block")))
 

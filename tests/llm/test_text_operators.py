@@ -153,6 +153,30 @@ def test_url_models_separate_what_rules_do(spark):
     assert np.mean([(r["verdict"] == "allow") == bool(r["page_id"] % 2) for r in out]) > 0.95
 
 
+def test_url_counts_are_exact(spark):
+    """Ratios are those of counts kept by n-gram in dictionaries, also with more n-grams than 2**18."""
+    rng = random.Random(9)
+    urls = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60)) for _ in range(6000)] + ["", "é"]
+    kinds = [i % 3 // 2 for i in range(len(urls))]
+    keys, counts = url_filter._count(spark.createDataFrame(list(zip(urls, kinds, strict=True)), "url string, kind int"))
+    want = [{}, {}]
+    grams = lambda raw: [(k, raw[i - k : i], raw[i : i + 1]) for i in range(4, len(raw)) for k in range(5)]
+    for u, kind in zip(urls, kinds, strict=True):
+        for k, context, byte in grams(b"\0" * 4 + u.encode()):
+            for key in ((k, context, byte), (k, context)):
+                want[kind][key] = want[kind].get(key, 0) + 1
+    assert len(keys) == len(set(want[0]) | set(want[1])) > 1 << 18 and counts.sum() == sum(map(len, map(str.encode, urls))) * 10
+    some = [*urls[:20], "not seen before", "", None]
+    for u, got in zip(some, url_filter._ratio(keys, counts, some), strict=True):
+        raw, total = b"\0" * 4 + (u or "").encode(), 0.0
+        for kind in (0, 1):
+            p = 0.0
+            for k, context, byte in grams(raw):
+                p = ((want[kind].get((k, context, byte), 0)) + 2 * (p if k else 1 / 256)) / (want[kind].get((k, context), 0) + 2)
+                total += (2 * kind - 1) * np.log(p) * (k == 4)
+        assert abs(got - total / max(1, len(raw) - 4)) < 1e-9
+
+
 QUESTION = "Then Alice bought 12 apples for 3 dollars each at the corner market and later sold 5 of them to Bob"
 
 
