@@ -3,15 +3,21 @@
 Words lose outer punctuation and become template tokens: numbers (digits or number words) are <num>, units behind a
 number are <unit>, numbers with a unit attached are <measure>, capitalised words that do not open a sentence are <name>,
 all others are their lower case. Windows of SIZE template tokens, at least half of them plain words, are joined by hash
-with those of the benchmark; items with fewer tokens (at least LEAST) are one window of their length. Matched windows on
+with those of the benchmark; items with fewer tokens (at least LEAST) are one window of their length. Whether a word opens
+a sentence depends on what stands before it, so a window whose first word is capitalised is joined in both readings; the
+other reading than the item's takes the same word only. Matched windows on
 one diagonal of a document and an item are put together. Their slots must be consistent: within a type each value of the
 item stands for one value of the document and the other way round. An item has leaked where consistent windows cover
 at least COVER of its tokens; with all values equal the leak is exact, else the question is re-parameterised.
 
-The benchmark's index goes to the workers in blocks of at most INDEX windows (an item is never split), one pass over the
+Besides, windows of SIZE literal tokens (lower-cased words less outer punctuation, signs such as + included) are joined by
+hash, whatever their kinds; an item with fewer is one window, also of a single token. An item whose literal windows cover
+at least COVER of its tokens on one diagonal has leaked exactly.
+
+The benchmark's index goes to the workers in blocks of items with at most INDEX literal tokens (an item is never split), one pass over the
 documents each; documents are read as they lie, without a shuffle of texts.
 
-Null and empty texts, and items with fewer than LEAST tokens, match nothing; null item ids are ignored. Rows are kept
+Null and empty texts match nothing; null item ids are ignored. Rows are kept
 one for one, repeated rows and ids included; repeated items count once in item_ids. An empty benchmark flags nothing.
 """
 
@@ -77,13 +83,13 @@ class Words(dict):
     def _add(self, word: str, low: str, kind: int, capital: bool, unit: bool) -> int:
         self[word] = at = len(self.hashes)
         self.traits.extend((kind, capital, unit, word.rstrip("\"')]»”")[-1:] in (".", "!", "?", ":")))
-        self.hashes.append(xxhash.xxh64_intdigest(low))
+        self.hashes.append(xxhash.xxh64_intdigest(word if kind < 0 else low.rstrip(".,:/") if kind == NUM else low))
         if kind != PLAIN or capital or unit:
             self.values[at] = low
         return at
 
     def template(self, text: str):
-        """(ids, kinds, hashes) of the template tokens of a text."""
+        """(ids, kinds, hashes) of the template tokens of a text, and the hashes of its literal tokens."""
         if len(self) > KNOWN:
             self.clear()
             self.__init__()
@@ -93,62 +99,90 @@ class Words(dict):
         hashes = np.frombuffer(self.hashes, np.uint64)
         opens = np.ones(len(ids), bool)
         opens[1:] = own[:-1, 3] > 0
-        real = own[:, 0] >= 0
+        real, literal = own[:, 0] >= 0, hashes[ids]
         ids, own, opens = ids[real], own[real], opens[real]
         kind = own[:, 0].copy()
         kind[(own[:, 1] > 0) & ~opens] = NAME
         after = np.zeros(len(ids), bool)
         after[1:] = kind[:-1] == NUM
         kind[(own[:, 2] > 0) & after & (own[:, 0] == PLAIN)] = UNIT
-        return ids, kind, np.where(kind == PLAIN, hashes[ids], _kind_hash[kind])
+        return ids, kind, np.where(kind == PLAIN, hashes[ids], _kind_hash[kind]), literal
 
 
-def windows(hashes: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each window, whether at least half of it is plain words)."""
+def windows(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each window, put together from those of its parts of 1, 2, 4 and 8 tokens."""
     n = len(hashes) - size + 1
     if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    out = np.full(n, size, np.uint64)
-    for j in range(size):
-        out = mix(out * np.uint64(3) + hashes[j : j + n])
-    plain = np.concatenate(([0], np.cumsum(kind == PLAIN)))
-    return out, 2 * (plain[size:] - plain[:-size]) >= size
+        return np.zeros(0, np.uint64)
+    out, at, part, width = np.full(n, size, np.uint64), 0, hashes, 1
+    while True:
+        if size & width:
+            out = mix(out * np.uint64(3) + part[at : at + n])
+            at += width
+        if 2 * width > size:
+            return out
+        part = mix(part[:-width] * np.uint64(3) + part[width:])
+        width *= 2
 
 
 class Index:
     """Windows of a block of items: hash to (item, place)."""
 
-    def __init__(self, items: list[tuple[int, list, list, np.ndarray]]):
-        self.items = items  # (id, kinds, values, hashes)
+    def __init__(self, items: list[tuple[int, list, list, list, list, np.ndarray, np.ndarray]]):
+        self.items = items  # (id, kinds, values, capitals, plain hashes, hashes, literal hashes)
         self.at: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for k, (_, kind, _, hashes) in enumerate(items):
+        self.literal: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+        for k, (_, kind, _, capital, plain, hashes, literal) in enumerate(items):
+            size = min(SIZE, len(literal))
+            for place, h in enumerate(windows(literal, size).tolist()):
+                self.literal[size][h].append((k, place))
+            if len(kind) < LEAST:
+                continue
             size = min(SIZE, len(kind))
-            found, good = windows(hashes, np.array(kind), size)
-            for place in np.flatnonzero(good).tolist():
-                self.at[size][int(found[place])].append((k, place))
-        self.at = {size: dict(x) for size, x in self.at.items()}
-        self.sorted = {size: np.sort(np.array(list(x), np.uint64)) for size, x in self.at.items()}
-
-    def leaks(self, words: Words, text: str) -> dict[int, tuple[float, bool]]:
-        """Item id to (share of its tokens, exact) of the items that leaked into a text."""
-        ids, kind, hashes = words.template(text)
+            is_plain = np.array(kind) == PLAIN
+            for place, h in enumerate(windows(hashes, size).tolist()):
+                own = is_plain[place : place + size]
+                if 2 * own.sum() >= size:
+                    self.at[size][h].append((k, place))
+                if capital[place] and 2 * (own[1:].sum() + 1) >= size:
+                    other = hashes[place : place + size].copy()
+                    other[0] = _kind_hash[NAME] if own[0] else plain[place]
+                    self.at[size][int(windows(other, size)[0])].append((k, place))
+        self.at, self.literal = ({size: dict(x) for size, x in t.items()} for t in (self.at, self.literal))
+        self.sorted, self.sorted_literal = ({size: np.sort(np.array(list(x), np.uint64)) for size, x in t.items()} for t in (self.at, self.literal))
+
+    @staticmethod
+    def _lines(hashes: np.ndarray, at: dict, ordered: dict) -> dict[tuple[int, int], list[tuple[int, int, int]]]:
+        """(item, diagonal) to (place in the item, place in the text, size) of the windows found."""
         lines: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-        for size, known in self.sorted.items():
-            found, good = windows(hashes, kind, size)
+        for size, known in ordered.items():
+            found = windows(hashes, size)
             if len(found):
                 near = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                for place in np.flatnonzero(good & (known[near] == found)).tolist():
-                    for k, at in self.at[size][int(found[place])]:
-                        lines[k, place - at].append((at, place, size))
+                for place in np.flatnonzero(known[near] == found).tolist():
+                    for k, own in at[size][int(found[place])]:
+                        lines[k, place - own].append((own, place, size))
+        return lines
+
+    def leaks(self, words: Words, text: str) -> dict[int, tuple[float, bool]]:
+        """Item id to (share of its tokens, exact) of the items that leaked into a text."""
+        ids, kind, hashes, literal = words.template(text)
         out: dict[int, tuple[float, bool]] = {}
-        for (k, shift), hits in lines.items():
-            item, kinds, values, _ = self.items[k]
+        for (k, _), hits in self._lines(literal, self.literal, self.sorted_literal).items():
+            item, n = self.items[k][0], len(self.items[k][6])
+            places = len({at + j for at, _, size in hits for j in range(size)})
+            if places >= COVER * n:
+                out[item] = max(out.get(item, (0.0, False)), (places / n, True))
+        for (k, shift), hits in self._lines(hashes, self.at, self.sorted).items():
+            item, kinds, values, _, plain, _, _ = self.items[k]
             places = sorted({at + j for at, _, size in hits for j in range(size)})
             if len(places) < COVER * len(kinds):
                 continue
             there, back, exact, fits = {}, {}, True, True
             for p in places:
-                if kinds[p] != PLAIN:
+                if kinds[p] != kind[p + shift]:  # the other reading of a first word
+                    fits &= plain[p] == words.hashes[int(ids[p + shift])]
+                elif kinds[p] != PLAIN:
                     mine, theirs = (kinds[p], values[p]), (kinds[p], words.values[int(ids[p + shift])])
                     fits &= there.setdefault(mine, theirs) == theirs and back.setdefault(theirs, mine) == mine
                     exact &= mine == theirs
@@ -158,23 +192,25 @@ class Index:
 
 
 def _index_blocks(benchmark: DataFrame):
-    """The benchmark as indexes of at most INDEX windows."""
+    """The benchmark as indexes of items with at most INDEX literal tokens."""
     words, block, size = Words(), [], 0
     for row in benchmark.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        ids, kind, hashes = words.template(row["text"])
-        if len(ids) < LEAST:
+        ids, kind, hashes, literal = words.template(row["text"])
+        if not len(literal):
             continue
-        if block and size + len(ids) > INDEX:
+        if block and size + len(literal) > INDEX:
             yield Index(block)
             block, size = [], 0
-        block.append((row["item_id"], kind.tolist(), [words.values.get(i, "") for i in ids.tolist()], hashes))
-        size += len(ids)
+        own = ids.tolist()
+        capital = [words.traits[4 * i + 1] > 0 and k in (PLAIN, NAME) for i, k in zip(own, kind.tolist(), strict=True)]
+        block.append((row["item_id"], kind.tolist(), [words.values.get(i, "") for i in own], capital, [words.hashes[i] for i in own], hashes, literal))
+        size += len(literal)
     if block:
         yield Index(block)
 
 
 def _scan(docs: DataFrame, index: Index, carry) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # INDEX windows at most
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # a few windows for each of INDEX tokens at most
 
     def run(batches):
         words = Words()

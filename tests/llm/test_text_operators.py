@@ -196,6 +196,14 @@ def test_decontamination(spark):
     assert leaked(spark, [], [(1, QUESTION)]) == {}
 
 
+def test_decontamination_of_items_without_plain_words(spark):
+    """Verbatim copies of sums, names and very short items leak, and so does a short item behind a line without a stop."""
+    items = [(1, "Compute 12 + 7 * 3 - 4 / 2 = 9"), (2, "At 9:30 Alice Smith paid Bob Jones 45 dollars for 3 kg"), (3, "What is the capital of the Netherlands"), (4, "Zyx 77"), (5, "Where did Alice go with 3 apples")]
+    texts = [f"so here: {items[0][1]}. and more", f"well {items[1][1]}, he said", f"Quiz\n{items[2][1]}", "we saw zyx 77 there", "Quiz\nWhere did Carol go with 8 apples",
+             "Compute 12 - 7 * 3 + 4 / 2 = 9", "Quiz\nBob is the capital of the Netherlands", "Quiz\nSay did Carol go with 8 apples", "zyx 78 and 77 zyx"]
+    assert leaked(spark, texts, items) == {0: ([1], [1]), 1: ([2], [2]), 2: ([3], [3]), 3: ([4], [4]), 4: ([5], [])} | {i: ([], []) for i in (5, 6, 7, 8)}
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     items = [(i, f"item number {w} speaks of {w} and nothing else but {w} in the whole wide world of words") for i, w in enumerate(("apple", "pear", "plum", "fig"))]
     texts = [t for _, t in items] + [items[0][1] + " then " + items[3][1]]
