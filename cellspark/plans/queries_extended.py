@@ -209,7 +209,7 @@ _S = "list_distinct(list_append(list_filter(range(0, {n}, 448), lambda v: v<=gre
 
 
 def _images(spark, d):
-    return _table(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"), (F.lit(300) + F.col("p_partkey") * 37 % 1500).alias("width"), (F.lit(200) + F.col("p_partkey") * 53 % 1200).alias("height"))
+    return _table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.lit(300) + F.col("p_partkey") * 37 % 1500).alias("width"), (F.lit(200) + F.col("p_partkey") * 53 % 1200).alias("height"))
 
 
 @query("overlapping_tiles", f"WITH {_IMG}, y AS (SELECT *, unnest({_S.format(n='height')}) AS y0 FROM img), x AS (SELECT *, unnest({_S.format(n='width')}) AS x0 FROM y) SELECT id, x0, y0, least(512,width-x0) AS w, least(512,height-y0) AS h FROM x")

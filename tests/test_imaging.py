@@ -77,3 +77,14 @@ def test_imaging_queries_take_every_part(spark, tmp_path):
     boxes = {i: (min(x for x, _ in p), min(y for _, y in p), max(x for x, _ in p) + 1, max(y for _, y in p) + 1, len(p)) for i, p in inside.items()}
     assert {r["inst"]: (r["x0"], r["y0"], r["x1"], r["y1"], r["n"]) for r in run("instance_info")} == boxes
     assert {r["id"]: r["red"] for r in run("heat_colors")} == {1: 10, 2: 255, 3: 255, 10: 71, 25: 122}
+
+
+def test_tile_queries_take_every_part(spark, tmp_path):
+    from cellspark.plans import registry
+
+    spark.range(1, 42).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    sizes = {i: (300 + i * 37 % 1500, 200 + i * 53 % 1200) for i in range(1, 42)}
+    starts = lambda n: {*range(0, max(0, n - 512) + 1, 448), max(0, n - 512)}
+    for name, side, first in (("overlapping_tiles", 512, starts), ("plain_tiles", 256, lambda n: range(0, n, 256))):
+        got = [tuple(r[c] for c in ("id", "x0", "y0", "w", "h")) for r in registry.queries()[name](spark, str(tmp_path)).collect()]
+        assert sorted(got) == sorted((i, x, y, min(side, w - x), min(side, h - y)) for i, (w, h) in sizes.items() for x in first(w) for y in first(h))
