@@ -105,9 +105,15 @@ def knn_density(cells: DataFrame, edges: DataFrame) -> DataFrame:
 def rbf_field(cells: DataFrame, sigma: DataFrame | float, first: int | None = None, salt: int = SALT) -> DataFrame:
     """slide_id, cell_id, rbf: sum over the other cells of exp(-d2 / (2 sigma^2)), sigma at least 1e-12.
 
-    ``sigma`` is one number or (slide_id, sigma); ``first`` limits the sources to cell ids below it."""
+    ``sigma`` is one number or (slide_id, sigma); ``first`` limits the sources to so many cells of each
+    slide, by id; a task passes on no more of a slide than that.
+    """
     p = _points(cells)
-    a, b = _sides(p, p if first is None else p.where(F.col("cell_id") < first))
+    sources = p
+    if first is not None:
+        rank = F.row_number().over(Window.partitionBy("slide_id").orderBy("cell_id"))
+        sources = p.withColumn("_rank", rank).where(F.col("_rank") <= first).drop("_rank")
+    a, b = _sides(p, sources)
     a = a.withColumn("_salt", F.pmod(F.xxhash64("src"), F.lit(salt)))
     b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)).cast("array<bigint>")))
     a = a.withColumn("sigma", F.lit(sigma)) if isinstance(sigma, float) else a.join(sigma, "slide_id")

@@ -73,7 +73,7 @@ def _(spark, d):
 )
 def _(spark, d):
     """O168: greedy walk to the nearest unvisited cell."""
-    return ordered.radial_walk(points_parts(spark, d), 20)
+    return ordered.radial_walk(points_parts(spark, d), 50)
 
 
 @query("laplacian_loss", f"WITH {POINTS_SQL}, {KNN_SQL.format(t='pts', k=4)} SELECT e.slide_id, {r('sum(0.5*((a.area-b.area)*(a.area-b.area)/1e4+(a.centroid_x-b.centroid_x)*(a.centroid_x-b.centroid_x)/1e4)+0.01*0.25)',4)} AS loss FROM edges e JOIN pts a ON a.slide_id=e.slide_id AND a.cell_id=src JOIN pts b ON b.slide_id=e.slide_id AND b.cell_id=dst GROUP BY e.slide_id")

@@ -238,8 +238,8 @@ def _(spark, d):
 
 @query("rbf_field_blocked", f"WITH {POINTS_SQL} SELECT a.slide_id, a.cell_id, {r('coalesce(sum(exp(-((a.centroid_x-b.centroid_x)*(a.centroid_x-b.centroid_x)+(a.centroid_y-b.centroid_y)*(a.centroid_y-b.centroid_y))/(2*50.0*50.0))),0)')} AS rbf FROM pts a LEFT JOIN pts b ON a.slide_id=b.slide_id AND a.cell_id<>b.cell_id AND b.cell_id<1000 GROUP BY ALL")
 def _(spark, d):
-    """O129: the field of the first sources only (ids below 1000)."""
-    return rounded(spatial.rbf_field(points_parts(spark, d), 50.0, first=1000), "rbf")
+    """O129: the field of the first 3,072 cells of each slide."""
+    return rounded(spatial.rbf_field(points_parts(spark, d), 50.0, first=3072), "rbf")
 
 
 @query(

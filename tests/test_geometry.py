@@ -95,3 +95,22 @@ def test_suppression_and_distance(spark):
 
 def test_empty_cells(spark):
     assert enrich.enrich(rings(spark)).count() == 0
+
+
+def test_first_sources_are_counted_within_each_slide(spark):
+    rows = [(s, 5000 + 10 * i, float(i), 0.0, 1.0) for s in ("a", "b") for i in range(6)]
+    cells = spark.createDataFrame(rows, "slide_id string, cell_id long, centroid_x double, centroid_y double, area double")
+    want = {(s, c): pytest.approx(sum(math.exp(-((x - j) ** 2) / 2) for j in range(4) if j != x)) for s, c, x, _, _ in rows}
+    assert {(r["slide_id"], r["cell_id"]): r["rbf"] for r in spatial.rbf_field(cells, 1.0, first=4).collect()} == want
+
+
+def test_blocked_field_and_walk_take_the_limits_of_the_reference(spark, monkeypatch):
+    """All 60 cells of a slide are sources, though most ids are above 1,000, and a walk takes 50 steps."""
+    from cellspark.plans import queries_extended, queries_geometry, registry
+
+    cells = spark.createDataFrame([("s", 900 + 10 * i, float(i * i), 0.0, 1.0) for i in range(60)], "slide_id string, cell_id long, centroid_x double, centroid_y double, area double")
+    for module in (queries_extended, queries_geometry):
+        monkeypatch.setattr(module, "points_parts", lambda *_: cells)
+    want = {900 + 10 * i: round(sum(math.exp(-((i * i - j * j) ** 2) / 5000) for j in range(60) if j != i), 6) for i in range(60)}
+    assert {r["cell_id"]: r["rbf"] for r in registry.queries()["rbf_field_blocked"](spark, "").collect()} == pytest.approx(want, abs=2e-6)
+    assert [r["cell_id"] for r in registry.queries()["radial_walk"](spark, "").orderBy("step").collect()] == [900 + 10 * i for i in range(51)]
