@@ -44,7 +44,7 @@ def segment_cells(text: DataFrame) -> DataFrame:
 
 
 def detect(path: Column, text: Column) -> Column:
-    """Format of a file from its name and its first characters."""
+    """Format of a file from its name and its text."""
     suffix = F.lower(F.regexp_extract(path, r"\.([^.]+)$", 1))
     asap = text.rlike(r"<(\w+:)?Coordinate\b") & ~text.rlike(r"<(\w+:)?(Region|Vertex)\b")
     return (
@@ -219,6 +219,17 @@ def from_html(text: str) -> list[tuple]:
     return out
 
 
+def format_of(kind: str, raw: bytes) -> str:
+    """The format of a whole file whose name says ``kind``: of XML and JSON the parsed document decides."""
+    if kind in ("aperio_xml", "asap_xml"):
+        tags = {_tag(e) for e in ET.fromstring(raw).iter()}
+        return "asap_xml" if "Coordinate" in tags and not tags & {"Region", "Vertex"} else "aperio_xml"
+    if kind == "json":
+        doc = json.loads(raw.decode("utf-8", "replace"))
+        return "geojson" if isinstance(doc, dict) and doc.get("type") == "FeatureCollection" else "json"
+    return kind
+
+
 def parse_one(kind: str, raw: bytes) -> list[tuple]:
     """(region, class, points) of one file."""
     if kind in ("aperio_xml", "asap_xml"):
@@ -241,13 +252,14 @@ def parse(contents: DataFrame) -> DataFrame:
                 try:
                     if kind == "unknown":
                         raise ValueError("unsupported annotation format")
+                    kind = format_of(kind, bytes(raw))
                     for i, (region, label, pts) in enumerate(parse_one(kind, bytes(raw))):
                         out.append((path, kind, i, None if region is None else str(region), label, [{"x": x, "y": y} for x, y in pts], None))
                 except Exception as e:  # a bad file becomes a row of its own
                     out.append((path, kind, None, None, None, None, f"{type(e).__name__}: {e}"[:300]))
             yield pd.DataFrame(out, columns=["path", "format", "source_index", "region_id", "source_class", "ring", "error"])
 
-    named = contents.select("path", detect(F.col("path"), F.substring(F.decode("content", "UTF-8"), 1, 100_000)).alias("format"), "content")
+    named = contents.select("path", detect(F.col("path"), F.lit("")).alias("format"), "content")
     return named.mapInPandas(run, SCHEMA)
 
 

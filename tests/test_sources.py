@@ -105,3 +105,18 @@ def test_geojson_export_keeps_coordinates():
     doc = json.loads(exports.annotate_geojson(text, {0: {"clinical": "Immune", "confidence": 0.5, "cell_id": 0}}))
     assert doc["features"][0]["properties"] == {"k": 1, "classification": {"name": "Immune"}, "confidence": 0.5, "cell_id": 0}
     assert doc["features"][0]["geometry"]["coordinates"] == [1, 2] and doc["features"][1] == {"geometry": None}
+
+
+def test_formats_are_those_of_whole_files(spark):
+    """A top-level type, a Region and a Vertex count wherever they stand; a nested type or a comment does not."""
+    square = [[0, 0], [1, 0], [1, 1], [0, 1]]
+    features = [{"geometry": {"coordinates": at, "type": kind}, "properties": {"note": "x" * 60_000}, "type": "Feature"} for kind, at in (("Polygon", [square]), ("Point", [5, 5]), ("MultiPolygon", [[square]]))]
+    late = json.dumps({"features": features, "type": "FeatureCollection"})
+    nested = json.dumps({"meta": {"type": "FeatureCollection"}, "polygons": [square]})
+    corners = lambda tag: "".join(f'<{tag} X="{x}" Y="{y}"/>' for x, y in square)
+    aperio = f'<A><!--{"x" * 110_000}--><Annotation><Coordinate X="0" Y="0"/></Annotation><Region Id="7"><Vertices>{corners("Vertex")}</Vertices></Region></A>'.replace("<!--", "<Coordinate/><!--", 1)
+    asap = f'<A><!-- <Region> --><Annotation Name="n"><Coordinates>{corners("Coordinate")}</Coordinates></Annotation></A>'
+    rows = parsed(spark, ("late.json", late), ("nested.json", nested), ("late.xml", aperio), ("comment.xml", asap))
+    assert [(r["path"], r["format"], r["source_index"]) for r in rows if r["path"] == "late.json"] == [("late.json", "geojson", i) for i in range(3)]
+    assert {r["path"]: r["format"] for r in rows} == {"late.json": "geojson", "nested.json": "json", "late.xml": "aperio_xml", "comment.xml": "asap_xml"}
+    assert not any(r["error"] for r in rows)
