@@ -8,7 +8,8 @@ characters (the empty text: the empty set). Likeness is the Jaccard coefficient
 
 ``matches`` finds all pairs at or above a threshold without comparing all: sets are partitioned by length so that only
 partitions whose lengths allow the threshold meet, each set is joined by the rarest of its signatures (prefix filter),
-and candidates are compared with an early end. Equal sets are compared once, through their representative.
+and candidates are compared whole. Equal sets are compared once, through their representative. ``op10_spotsigs`` compares
+each document with two given texts and needs none of this.
 
 Null text: as the empty text. Rows are kept one for one; repeated ids and texts have equal fingerprints. The next
 document is the one that follows in (doc_id, text) order, null ids first, and the first follows the last.
