@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngram_join import mix
+from .shared import mix
 
 SIZE, LEAST, COVER = 8, 3, 0.5
 INDEX = 500_000

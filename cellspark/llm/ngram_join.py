@@ -8,14 +8,17 @@ each set becomes m > D words of 64 parity bits: a shingle belongs to the word th
 is XORed into it. A differing shingle disturbs one word, so at least m - D words of linked sets are equal; of these at
 least one is not empty unless the empty words of a set alone number m - D, and then the set also keeps its empty words.
 A join on (band, word's place, word) therefore misses no link. Within a task, equal sets are linked at once and only one
-of them goes on.
+of them goes on. A document's size and its sketch of 2048 bits come from the same pass over the texts.
 
 Verification, without comparing all members of a bucket. Round 1 compares each member with the first of its bucket,
 exactly. Buckets of three and more where that failed go to round 2, which compares with the member that shares most
 buckets, usually the original of a family. Where a bucket still holds several components, round 3 compares members of
 different components in blocks of bounded size by 2048-bit parity sketches, whose Hamming distance is a lower bound of
 the difference, and verifies exactly those pairs that the bound lets pass. Every pair that might link and whose ends are
-not yet connected is thus tried, and components are those of all links.
+not yet connected is thus tried, and components are those of all links. Before whole sets are made, the sketches rule out
+most unlike pairs; the sets of the others come from one pass over the texts, which a filter of fixed size keeps to the
+documents named, so texts are never shuffled. Shingles are compared as 64-bit hashes: for two sets of a thousand shingles
+each a wrong match has odds of about one to 10**13.
 
 No words or null text: size 0, linked with nothing. Fewer words than a shingle has: the whole sequence is one shingle.
 Equal ids are one node; rows with a null id are in no link and have a null component. Other columns are not read.
@@ -31,12 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import materialize, release, sweep
+from .shared import key_filter, materialize, may_hold, mix, release
 
 WORDS, PERCENT = 3, 90
 BLOCK = 256
 SKETCH_BITS = 2048
-SMALL = 2_000_000  # ids that a worker may hold at once: 16 MB
 TEXTS = 1_000_000  # bytes hashed at once
 KNOWN = 100_000  # sets whose hash a task remembers
 KEY, PAIR, SIZE = 0, 1, 2
@@ -48,13 +50,6 @@ _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n of the base and of its inverse."""
     if len(_powers["up"]) <= n:
@@ -179,110 +174,89 @@ def _runs(batches, keys: tuple[str, ...], rest: tuple[str, ...]) -> Iterator[dic
         yield {c: np.concatenate([h[c] for h in held]) for c in held[0]}
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of longs as a column of lists."""
+    ends = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
+
 def _meet(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Rows (kind, key, a, b): sizes of documents, equal sets within a task, and pairs (first, member) of buckets."""
+    """Rows (kind, key, a, b, bits): sizes and sketches of documents (SIZE: a, b, bits), equal sets within a task (PAIR:
+    a, b), and pairs of the first and another member of each bucket (KEY: key, a, b)."""
 
     def keys(batches):
         bands, known = Bands(percent), {}
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            kind, key, a, b = [], [], [], []
-            for doc, s in zip(ids, shingle_sets(batch.column("text").to_pylist(), words), strict=True):
-                own = [np.array([SIZE])], [np.array([hash(doc) * 0x9E3779B9 & (1 << 62) - 1])], [np.array([doc])], [np.array([len(s)])]
-                if len(s):
-                    mark = s.tobytes() if len(s) < 4 else (len(s), int(np.bitwise_xor.reduce(mix(s))), int(np.add.reduce(mix(s + np.uint64(9)))))
-                    if (first := known.setdefault(mark, doc)) != doc:
-                        own[0].append(np.array([PAIR]))
-                        own[1].append(own[1][0])
-                        own[2].append(np.array([first]))
-                        own[3].append(np.array([doc]))
-                    else:
-                        k = bands.keys(s)
-                        own[0].append(np.full(len(k), KEY))
-                        own[1].append(k)
-                        own[2].append(np.full(len(k), doc))
-                        own[3].append(np.zeros(len(k), np.int64))
-                    if len(known) > KNOWN:
-                        known.clear()
-                for all_, x in zip((kind, key, a, b), own, strict=True):
-                    all_ += x
-                if len(kind) > 4000:
-                    yield rows(kind, key, a, b)
-                    kind, key, a, b = [], [], [], []
-            if kind:
-                yield rows(kind, key, a, b)
-
-    def rows(kind, key, a, b):
-        kind, key, a, b = (np.concatenate(x) for x in (kind, key, a, b))
-        return pa.RecordBatch.from_pydict({"kind": pa.array(kind.astype(np.int8)), "key": pa.array(key.astype(np.int64)), "a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64))})
+            sets = shingle_sets(batch.column("text").to_pylist(), words)
+            for at in range(0, len(ids), 500):
+                own, key, of, pairs = ids[at : at + 500], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+                sizes, bits = [], []
+                for doc, s in zip(own, sets, strict=False):
+                    sizes.append(len(s))
+                    bits.append(sketch(s).view(np.int64))
+                    if len(s):
+                        mark = s.tobytes() if len(s) < 4 else (len(s), int(np.bitwise_xor.reduce(mix(s))), int(np.add.reduce(mix(s + np.uint64(9)))))
+                        if (first := known.setdefault(mark, doc)) != doc:
+                            pairs.append((first, doc))
+                        else:
+                            key.append(bands.keys(s))
+                            of.append(np.full(len(key[-1]), doc, np.int64))
+                        if len(known) > KNOWN:
+                            known.clear()
+                key, of = np.concatenate(key), np.concatenate(of)
+                yield rows(key, of, None, None)
+                doc = np.array(own, np.int64)
+                yield rows(spread(doc), doc, np.array(sizes, np.int64), bits)
+                if pairs:
+                    a, b = np.array(pairs, np.int64).T
+                    yield rows(spread(b), a, b, [bits[0][:0]] * len(pairs))
+
+    def spread(doc):
+        return mix(doc.view(np.uint64) + np.uint64(3)).view(np.int64)
+
+    def rows(key, a, b, bits):
+        none = pa.nulls(len(key), pa.int64())
+        marks = pa.nulls(len(key), pa.list_(pa.int64())) if bits is None else _lists(bits)
+        return pa.RecordBatch.from_pydict({"key": pa.array(key), "a": pa.array(a), "b": none if b is None else pa.array(b), "bits": marks})
 
     def first(batches):
         last, leader = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            kind, key, a, b = (batch.column(c).to_numpy() for c in ("kind", "key", "a", "b"))
-            other = kind != KEY
-            k, d = key[~other], a[~other]
-            out = [(kind[other], key[other], a[other], b[other])]
+            other = np.array(batch.column("b").is_valid())
+            done = batch.filter(pa.array(other))
+            if done.num_rows:
+                kind = np.where(np.diff(done.column("bits").offsets.to_numpy()) > 0, SIZE, PAIR).astype(np.int8)
+                yield pa.RecordBatch.from_pydict({"kind": pa.array(kind)} | {c: done.column(c) for c in ("key", "a", "b", "bits")})
+            k, d = (batch.column(c).to_numpy()[~other] for c in ("key", "a"))
             if len(k):
                 new = np.concatenate(([last is None or k[0] != last], k[1:] != k[:-1]))
-                lead = np.where(new, d, 0)
                 at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
                 lead = np.where(at < 0, leader, d[at])
                 last, leader = k[-1], lead[-1]
                 pair = ~new & (lead != d)
-                out.append((np.full(pair.sum(), KEY, np.int8), k[pair], lead[pair], d[pair]))
-            yield rows(*map(list, zip(*out, strict=True)))
+                n = int(pair.sum())
+                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(n, KEY, np.int8)), "key": pa.array(k[pair]), "a": pa.array(lead[pair]), "b": pa.array(d[pair]), "bits": pa.nulls(n, pa.list_(pa.int64()))})
 
-    shape = "kind byte, key long, a long, b long"
+    shape = "key long, a long, b long, bits array<long>"
     met = docs.select("doc_id", "text").mapInArrow(keys, shape)
-    return met.repartition("key").sortWithinPartitions("kind", "key", "a").mapInArrow(first, shape)
-
-
-def _held(rows: DataFrame, column: str):
-    """The sorted values of a column for the workers, if there are at most SMALL; else None."""
-    if rows.count() > SMALL:
-        return None
-    return rows.sparkSession.sparkContext.broadcast(np.sort(rows.toPandas()[column].to_numpy(np.int64)))  # SMALL at most
+    return met.repartition("key").sortWithinPartitions("key", "a").mapInArrow(first, "kind byte, " + shape)
 
 
-def _picked(docs: DataFrame, ids: DataFrame, words: int, make, schema: str) -> DataFrame:
-    """What ``make`` gives of the sets of the documents named in ``ids``, from one pass over the texts."""
-    docs, held = docs.select("doc_id", "text"), _held(ids, "doc_id")
-    if held is None:
-        docs = docs.join(ids, "doc_id", "left_semi")
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """doc_id and shingle hashes of the documents named in ``ids`` (and of a few others), from one pass over the texts."""
+    held = key_filter(ids, "doc_id")
 
     def run(batches):
         for batch in batches:
-            if held is not None:
-                want = np.isin(batch.column("doc_id").to_numpy(zero_copy_only=False), held.value)
-                batch = batch.filter(pa.array(want))
+            batch = batch.filter(pa.array(may_hold(held.value, batch.column("doc_id").to_numpy())))
             if batch.num_rows:
-                yield from make(batch.column("doc_id"), list(shingle_sets(batch.column("text").to_pylist(), words)))
-
-    return docs.mapInArrow(run, schema)
-
-
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """doc_id and shingle hashes of the documents named in ``ids``."""
+                sets = [s.view(np.int64) for s in shingle_sets(batch.column("text").to_pylist(), words)]
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "s": _lists(sets)})
 
-    def make(doc, sets):
-        ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-        values = np.concatenate([s.view(np.int64) for s in sets])
-        yield pa.RecordBatch.from_pydict({"doc_id": doc, "s": pa.ListArray.from_arrays(pa.array(ends), pa.array(values))})
-
-    return _picked(docs, ids, words, make, "doc_id long, s array<long>")
-
-
-def _marks(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """doc_id, size and bits (SKETCH_BITS parity bits as longs) of the documents named in ``ids``."""
-
-    def make(doc, sets):
-        bits = [sketch(s).view(np.int64) for s in sets]
-        yield pa.RecordBatch.from_pydict({"doc_id": doc, "size": pa.array([len(s) for s in sets], pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64()))})
-
-    return _picked(docs, ids, words, make, "doc_id long, size long, bits array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, s array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, words: int, percent: int) -> DataFrame:
@@ -293,12 +267,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, words: int, p
     near = apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
     judged = materialize(pairs.select("a", "b").distinct().join(x, "a").join(y, "b").select("a", "b", near.alias("near")))
     likely = judged.where("near")
-    ids = materialize(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct())
-    sets = materialize(_sets(docs, ids, words))
+    sets = materialize(_sets(docs, likely.select(F.col("a").alias("doc_id")).union(likely.select("b")), words))
     u, v = (sets.select(F.col("doc_id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     exact = likely.join(u, "a").join(v, "b").select("a", "b", (both * 100 >= percent * (F.size("sa") + F.size("sb") - both)).alias("linked"))
-    return exact.union(judged.where("not near").select("a", "b", F.lit(False).alias("linked")))
+    found = materialize(exact.union(judged.where("not near").select("a", "b", F.lit(False).alias("linked"))))
+    release(judged, sets)
+    return found
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -336,67 +311,45 @@ def _blocks(members: DataFrame, bands_of: int) -> DataFrame:
 
 def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``, which has doc_id and text."""
-    spark = docs.sparkSession
-    named = docs.where("doc_id is not null")
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     met = materialize(_meet(named, words, percent))
-    sweep(spark)
     buckets = met.where(F.col("kind") == KEY).select("key", "a", "b")
     equal = met.where(F.col("kind") == PAIR).select("a", "b")
-    pairs = materialize(buckets.select("a", "b").distinct())
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    marks = materialize(_marks(named, ids, words))
-    tried = materialize(_verified(pairs, named, marks, words, percent))
-    sweep(spark)
+    sizes = met.where(F.col("kind") == SIZE).select(F.col("a").alias("doc_id"), F.col("b").alias("size"), "bits")
+    marks = sizes.where("size > 0")
+    tried = _verified(buckets, named, marks, words, percent)
     links = equal.union(tried.where("linked").select("a", "b"))
     labels = components(links)
 
     open_keys = buckets.join(tried.where("not linked"), ["a", "b"]).select("key").distinct()
-    open_keys = materialize(buckets.join(open_keys, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    if not open_keys.isEmpty():
-        members = materialize(_members(named, ids, marks, open_keys, words, percent))
-        sweep(spark)
-        sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-        shared = members.join(sizes, "key").groupBy("doc_id").agg(F.sum("n").alias("shared"))
+    inside = materialize(buckets.join(open_keys, "key", "left_semi"))
+    held = [tried, inside]
+    members = inside.select("key", F.col("b").alias("doc_id")).union(inside.select("key", "a").distinct()).distinct()
+    counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
+    members = materialize(members.join(counts, "key"))
+    held.append(members)
+    if not members.isEmpty():
+        shared = members.groupBy("doc_id").agg(F.sum("n").alias("shared"))
         lead = members.join(shared, "doc_id").groupBy("key").agg(F.max(F.struct("shared", -F.col("doc_id"), "doc_id")).alias("m")).select("key", F.col("m.doc_id").alias("lead"))
         own = _labelled(members, labels)
         to = _labelled(lead.withColumnRenamed("lead", "doc_id"), labels).select("key", F.col("doc_id").alias("lead"), F.col("component").alias("lead_component"))
         second = own.join(to, "key").where("component <> lead_component").select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b"))
-        links = links.union(materialize(_verified(second, named, marks, words, percent).where("linked")).select("a", "b"))
+        again = _verified(second, named, marks, words, percent)
+        links = links.union(again.where("linked").select("a", "b"))
         labels = components(links)
 
-        own = materialize(_labelled(members, labels))
+        own = materialize(_labelled(members.select("key", "doc_id"), labels))
         mixed = own.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "n")
-        third = _blocks(own.join(mixed, "key"), percent)
-        found = materialize(_verified(third, named, marks, words, percent).where("linked")).select("a", "b")
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
-    sweep(spark)
-    out = met.where(F.col("kind") == SIZE).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
-    out = _labelled(out, labels).withColumnRenamed("component", "component_id")
-    for done in (pairs, ids, tried):
-        release(done)
+        third = _blocks(own.join(mixed, "key").join(marks, "doc_id"), percent)
+        found = _verified(third, named, marks, words, percent)
+        held += [again, own, found]
+        links = links.union(found.where("linked").select("a", "b"))
+        labels = components(links)
+    release(*held)
+    out = _labelled(sizes.select("doc_id", F.col("size").alias("n_shingles")), labels).withColumnRenamed("component", "component_id")
     return out.union(_nameless(docs, words))
 
 
-def _members(docs: DataFrame, ids: DataFrame, marks: DataFrame, keys: DataFrame, words: int, percent: int) -> DataFrame:
-    """(key, doc_id, size, bits) of the documents named in ``ids`` that have one of ``keys``."""
-    held = _held(keys, "key")
-
-    def make(doc, sets):
-        bands, doc = Bands(percent), doc.to_numpy()
-        for at in range(0, len(doc), 500):
-            own = [bands.keys(s) if len(s) else np.zeros(0, np.int64) for s in sets[at : at + 500]]
-            key, of = np.concatenate(own), np.repeat(doc[at : at + 500], [len(k) for k in own])
-            if held is not None:
-                want = np.isin(key, held.value)
-                key, of = key[want], of[want]
-            yield pa.RecordBatch.from_pydict({"key": pa.array(key), "doc_id": pa.array(of)})
-
-    own = _picked(docs, ids, words, make, "key long, doc_id long")
-    return (own if held is not None else own.join(keys, "key", "left_semi")).join(marks, "doc_id")
-
-
 def _nameless(docs: DataFrame, words: int) -> DataFrame:
     """Sizes of the rows with a null id."""
 

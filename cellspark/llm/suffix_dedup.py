@@ -5,16 +5,20 @@ of equal ones) is its trigger, so every such string has a trigger that its bytes
 equal triggers at equal places. Consecutive string starts with one trigger form a phrase; phrases partition the starts
 of a document, and a phrase's text is what its strings cover.
 
-Dictionary and parse. The parse, one row (trigger, phrase, document, position) for each phrase, is put in order by
-trigger and phrase: equal phrases come together, their first occurrence in corpus order enters the dictionary, all
-others are removed whole. A dictionary phrase whose trigger no other dictionary phrase has is done. The suffixes of the
-others are ordered by (trigger, distance to it, the WINDOW bytes), which is the suffix array of the dictionary as deep as
-a match needs; in each class of equal suffixes all but the first in corpus order are removed. In very repetitive text
-nearly all phrases end at the first step, so few bytes are ever sorted.
+Parse. Its rows (trigger, phrase, document, position) are put in order by trigger and phrase, which is the suffix array
+of the parse as deep as one phrase: equal phrases come together, the first occurrence in corpus order enters the
+dictionary, all others are removed whole. In very repetitive text nearly all phrases end here.
 
-Equal phrases of one task are merged before the shuffle, so a phrase that fills a third of the corpus is one row for
-each block of a task. Triggers with over HOT dictionary phrases are split: each of their suffixes is dealt out by its
-own hash, also merged beforehand. Hashes of phrases and suffixes are compared under an equal 64-bit trigger hash.
+Dictionary. A phrase whose trigger no other dictionary phrase has is done. Of the others, all phrases of a trigger come
+into one task, and their suffixes are ranked by prefix doubling: ranks of 8, 16, 32 and 64 bytes give the rank of WINDOW
+bytes, which is the suffix array of the dictionary as deep as a match needs, with bytes compared exactly. Within equal
+ranks the corpus order (document, position) decides: all but the first are removed.
+
+Equal phrases of one block are merged before the shuffle, and what is removed there goes out as joined spans, so a phrase
+that fills a third of the corpus is one row for each block, and a run of one letter one row. Triggers with over HOT
+dictionary phrases are split: each of their suffixes is dealt by the hash of its own bytes, also merged beforehand.
+Phrases, and suffixes of such triggers, are compared as 64-bit hashes under an equal 64-bit hash of the trigger; for 10**12
+phrases under triggers of 1,000 phrases at most a wrong match has odds of about one to 30,000.
 
 Null and empty texts have no bytes; texts shorter than WINDOW keep all. Equal rows (id and text) are one document and
 get one result each. Null ids come first; rows that share an id but not a text follow in the order of a text hash.
@@ -23,13 +27,14 @@ get one result each. Null ids come first; rows that share an id but not a text f
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ngram_join import _BASE, _BYTE, _power, mix
-from .shared import materialize, sweep
+from .ngram_join import _BASE, _BYTE, _power
+from .shared import key_filter, materialize, may_hold, mix, release
 
 WINDOW, GRAM = 100, 32
 BYTES = 1_000_000  # parsed at once
@@ -93,187 +98,232 @@ def _rows(schema: dict[str, pa.DataType], *columns):
     return pa.RecordBatch.from_pydict({n: pa.array(c, t) for (n, t), c in zip(schema.items(), columns, strict=True)})
 
 
-def _sorted_runs(batches, keys: tuple[str, ...], convert):
-    """Columns of sorted batches, cut so that no run of equal keys is split."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = convert(batch)
-        if held is not None:
-            cols = {c: np.concatenate((held[c], v)) for c, v in cols.items()}
-        n = len(cols[keys[0]])
-        change = np.zeros(n, bool)
-        for k in keys:
-            change[1:] |= cols[k][1:] != cols[k][:-1]
-        cut = int(np.flatnonzero(change)[-1]) if change.any() else 0
-        if cut:
-            yield {c: v[:cut] for c, v in cols.items()}
-        held = {c: v[cut:] for c, v in cols.items()}
-    if held is not None:
-        yield held
+def _changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a row of sorted columns differs from the one before it; the first row does."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _sorted(columns: dict[str, np.ndarray], by: tuple[str, ...]) -> dict[str, np.ndarray]:
+    order = np.lexsort([columns[c] for c in reversed(by)])
+    return {c: v[order] for c, v in columns.items()}
+
 
+_KEY = ("trigger", "phrase")
+_PLACE = ("doc", "tie", "at")
+_PARSED = {"kind": pa.int8(), "trigger": pa.int64(), "phrase": pa.int64(), "doc": pa.int64(), "tie": pa.int64(), "at": pa.int64()}
+_SHAPE = "kind byte, trigger long, phrase long, doc long, tie long, at long"
 
-_PARSED = {"kind": pa.int8(), "trigger": pa.int64(), "phrase": pa.int64(), "doc": pa.int64(), "at": pa.int64()}
-_DECIDED = {"hot": pa.bool_(), "trigger": pa.int64(), "doc": pa.int64(), "at": pa.int64()}
+
+def _spans(doc: np.ndarray, tie: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """Spans of starts (a to b, both included) of documents, those that touch joined."""
+    order = np.lexsort((a, tie, doc))
+    doc, tie, a, b = doc[order], tie[order], a[order], b[order]
+    new = _changes([doc, tie])
+    new[1:] |= a[1:] > b[:-1] + 1
+    at = np.flatnonzero(new)
+    return doc[at], tie[at], a[at], b[np.concatenate((at[1:] - 1, [len(a) - 1]))] if len(at) else b
+
+
+def _gone(doc, tie, a, b):
+    """Rows of spans that are removed; dealt by a hash of their own, as they need no company."""
+    doc, tie, a, b = _spans(doc, tie, a, b)
+    spread = mix(doc.view(np.uint64) + mix(a.view(np.uint64) + tie.view(np.uint64))).view(np.int64)
+    return _rows(_PARSED, np.full(len(doc), GONE, np.int8), spread, b, doc, tie, a << 14)
 
 
 def _phrases(docs: DataFrame) -> DataFrame:
-    """The parse: (kind, trigger, phrase, doc, at = start << 14 | strings less one << 7 | distance of the trigger)."""
+    """The parse: FIRST rows (trigger, phrase, doc, tie, at = start << 14 | strings less one << 7 | distance of the
+    trigger) and GONE rows (any, last start, doc, tie, first start << 14)."""
 
     def run(batches):
         for batch, part in _blocks(batches, "text"):
-            ids = batch.column("doc").to_numpy()
+            doc, tie = (batch.column(c).to_numpy() for c in ("doc", "tie"))
             text, start, more, off, trigger, phrase = parse([p for _, _, p in part])
-            doc = ids[np.array([r for r, _, _ in part])[text]]
+            row = np.array([r for r, _, _ in part])[text]
             at = (start + np.array([o for _, o, _ in part])[text]) << 14 | more << 7 | off
-            order = np.lexsort((at, doc, phrase, trigger))
-            doc, at, trigger, phrase = doc[order], at[order], trigger[order], phrase[order]
-            first = np.concatenate(([True], (trigger[1:] != trigger[:-1]) | (phrase[1:] != phrase[:-1])))
-            first[1:] |= (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])  # an equal row, not an earlier text
-            spread = mix(doc.view(np.uint64) + mix(at.view(np.uint64))).view(np.int64)  # what is gone needs no company
-            trigger = np.where(first, trigger, spread)
-            yield _rows(_PARSED, np.where(first, FIRST, GONE).astype(np.int8), trigger, np.where(first, phrase, 0), doc, at)
+            c = _sorted({"trigger": trigger, "phrase": phrase, "doc": doc[row], "tie": tie[row], "at": at}, _KEY + _PLACE)
+            first = _changes([c[k] for k in _KEY])
+            equal = ~_changes([c[k] for k in _KEY + _PLACE])  # the same place of an equal row
+            yield _rows(_PARSED, np.full(first.sum(), FIRST, np.int8), *(c[k][first] for k in _KEY + _PLACE))
+            late = ~first & ~equal
+            a = c["at"][late] >> 14
+            yield _gone(c["doc"][late], c["tie"][late], a, a + (c["at"][late] >> 7 & 127))
 
-    return docs.mapInArrow(run, "kind byte, trigger long, phrase long, doc long, at long")
+    return docs.mapInArrow(run, _SHAPE)
 
 
-def _decide(phrases: DataFrame) -> DataFrame:
-    """(kind, trigger, doc, at): phrases removed whole (GONE), and dictionary phrases that share a trigger (FIRST)."""
-    schema = {c: t for c, t in _PARSED.items() if c != "phrase"}
+def _dictionary(phrases: DataFrame) -> DataFrame:
+    """The parse with FIRST rows only for the first occurrence of each phrase; all others are GONE."""
 
     def run(batches):
-        for c in _sorted_runs(batches, ("kind", "trigger"), lambda b: {n: b.column(n).to_numpy() for n in _PARSED}):
-            new_trigger = np.concatenate(([True], (c["trigger"][1:] != c["trigger"][:-1]) | (c["kind"][1:] != c["kind"][:-1])))
-            new = new_trigger.copy()
-            new[1:] |= c["phrase"][1:] != c["phrase"][:-1]
-            again = np.zeros(len(new), bool)  # the same place once more
-            again[1:] = ~new[1:] & (c["doc"][1:] == c["doc"][:-1]) & (c["at"][1:] == c["at"][:-1])
-            group = np.cumsum(new_trigger) - 1
-            shared = np.bincount(group, weights=new)[group] > 1
+        lead = None  # the first row of the run that the last batch ended in
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            done = batch.column("kind").to_numpy() == GONE
+            yield batch.filter(pa.array(done))
+            c = {k: batch.column(k).to_numpy()[~done] for k in _KEY + _PLACE}
+            if not len(c["doc"]):
+                continue
+            if lead is not None:
+                c = {k: np.concatenate((lead[k], v)) for k, v in c.items()}
+            new = _changes([c[k] for k in _KEY])
             leader = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            again |= ~new & (c["doc"] == c["doc"][leader]) & (c["at"] == c["at"][leader])
-            gone = (c["kind"] == GONE) | ~new & ~again
-            keep = gone | shared & new
-            yield _rows(schema, np.where(gone, GONE, FIRST).astype(np.int8)[keep], c["trigger"][keep], c["doc"][keep], c["at"][keep])
+            late = ~new & np.logical_or.reduce([c[k] != c[k][leader] for k in _PLACE])
+            keep = new.copy()
+            keep[: int(lead is not None)] = False
+            yield _rows(_PARSED, np.full(keep.sum(), FIRST, np.int8), *(c[k][keep] for k in _KEY + _PLACE))
+            a = c["at"][late] >> 14
+            yield _gone(c["doc"][late], c["tie"][late], a, a + (c["at"][late] >> 7 & 127))
+            lead = {k: v[leader[-1] : leader[-1] + 1] for k, v in c.items()}
 
-    dealt = phrases.repartition("trigger").sortWithinPartitions("kind", "trigger", "phrase", "doc", "at")
-    return dealt.mapInArrow(run, "kind byte, trigger long, doc long, at long")
+    return phrases.repartition(*_KEY).sortWithinPartitions("kind", *_KEY, *_PLACE).mapInArrow(run, _SHAPE)
 
 
-_SUFFIX = {"hot": pa.bool_(), "trigger": pa.int64(), "hash": pa.int64(), "doc": pa.int64(), "at": pa.int64(), "bytes": pa.binary()}
-_SPANS = {"doc": pa.int64(), "a": pa.int64(), "b": pa.int64()}
+_SUFFIX = {"hot": pa.int8(), "trigger": pa.int64(), "hash": pa.int64(), "doc": pa.int64(), "tie": pa.int64(), "at": pa.int64(), "bytes": pa.binary()}
+_FOUND = {"doc": pa.int64(), "tie": pa.int64(), "a": pa.int64(), "b": pa.int64()}
+PLAIN, HOT_ONE, DONE = 0, 1, 2
 
 
-def _windows(raw: list[bytes]):
-    """(text, start, hash) of all WINDOW-byte strings of short texts."""
-    data = np.frombuffer(b"".join(raw), np.uint8)
+def _strings(raw: list[bytes]):
+    """All bytes, and text, start in its text and place in all bytes of each WINDOW-byte string."""
     lengths = np.array([len(r) for r in raw])
-    stops = np.cumsum(lengths)
     count = lengths - WINDOW + 1
     text = np.repeat(np.arange(len(raw)), count)
     start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    at = (stops - lengths)[text] + start
+    return np.frombuffer(b"".join(raw), np.uint8), text, start, (np.cumsum(lengths) - lengths)[text] + start
+
+
+def hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hash of the WINDOW bytes at each place."""
     up, down = _power(len(data))
     sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[data] * up[:-1], dtype=np.uint64)))
-    return text, start, mix((sums[at + WINDOW] - sums[at]) * down[at]).view(np.int64)
+    return mix((sums[at + WINDOW] - sums[at]) * down[at]).view(np.int64)
 
 
-def _joined_spans(doc: np.ndarray, at: np.ndarray):
-    """Runs of consecutive starts in each document."""
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    if not len(doc):
-        return doc, at, at
-    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1))))
-    return doc[new], at[new], at[np.concatenate((new[1:] - 1, [len(at) - 1]))]
+def ranks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The rank of the WINDOW bytes at each place among all of them, in byte order, by prefix doubling."""
+    pad = np.concatenate((data, np.zeros(7, np.uint8)))
+    word = np.zeros(len(data), np.uint64)
+    for j in range(8):
+        word = word << np.uint64(8) | pad[j : j + len(data)]
+    rank, width = np.unique(word, return_inverse=True)[1], 8
+    while width < WINDOW:
+        step = min(width, WINDOW - width)
+        rank = np.unique(rank[:-step] * np.int64(len(rank) + 1) + rank[step:], return_inverse=True)[1]
+        width += step
+    return rank[at]
 
 
-def _suffixes(docs: DataFrame, decided: DataFrame, hot_from: int) -> DataFrame:
-    """Spans (doc, a, b) of string starts that the dictionary's own order removes."""
-    shared = decided.where(F.col("kind") == FIRST).select("trigger", "doc", "at")
-    hot = shared.groupBy("trigger").agg(F.count("*").alias("n")).where(F.col("n") > hot_from).select("trigger", F.lit(True).alias("hot"))
-    marked = shared.join(hot, "trigger", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    wanted = marked.groupBy("doc").agg(F.collect_list(F.struct("trigger", "at", "hot")).alias("w"))  # phrases of one document
+def _suffixes(docs: DataFrame, first: DataFrame, hot_from: int) -> DataFrame:
+    """Spans (doc, tie, a, b) of string starts that the dictionary's own order removes."""
+    shared = first.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1")
+    marked = first.select("trigger", *_PLACE).join(shared, "trigger").withColumn("hot", F.col("n") > hot_from)
+    wanted = marked.groupBy("doc", "tie").agg(F.collect_list(F.struct("trigger", "at", "hot")).alias("w"))  # phrases of one document
 
     def cut(batches):
         for batch in batches:
             plain, parts = [], []
-            for doc, text, want in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "w")), strict=True):
+            for doc, tie, text, want in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "text", "w")), strict=True):
                 raw = text.encode("utf-8", "replace")
                 for w in want:
                     start, more = w["at"] >> 14, w["at"] >> 7 & 127
-                    (parts if w["hot"] else plain).append((w["trigger"], doc, w["at"], raw[start : start + more + WINDOW]))
+                    (parts if w["hot"] else plain).append((w["trigger"], doc, tie, w["at"], raw[start : start + more + WINDOW]))
+                if len(plain) >= 20_000:
+                    yield whole(plain)
+                    plain = []
             if plain:
-                trigger, doc, at, raw = zip(*plain, strict=True)
-                yield _rows(_SUFFIX, [False] * len(plain), trigger, [0] * len(plain), doc, at, raw)
+                yield whole(plain)
             for lo in range(0, len(parts), 20_000):
-                trigger, doc, at, raw = zip(*parts[lo : lo + 20_000], strict=True)
-                text, start, hashed = _windows(list(raw))
-                at, doc, trigger = (np.array(v, np.int64)[text] for v in (at, doc, trigger))
-                key = mix(trigger.view(np.uint64) + ((at & 127) - start).astype(np.uint64)).view(np.int64)
-                place = (at >> 14) + start
-                order = np.lexsort((place, doc, hashed, key))
-                key, hashed, doc, place = key[order], hashed[order], doc[order], place[order]
-                first = np.concatenate(([True], (key[1:] != key[:-1]) | (hashed[1:] != hashed[:-1])))
-                yield _rows(_SUFFIX, np.ones(first.sum(), bool), key[first], hashed[first], doc[first], place[first] << 14, [b""] * int(first.sum()))
-                for d, a, b in zip(*_joined_spans(doc[~first], place[~first]), strict=True):
-                    yield _rows(_SUFFIX, [None], [0], [0], [d], [a << 14], [int(b).to_bytes(8, "little")])
+                yield from split(parts[lo : lo + 20_000])
+
+    def whole(plain):
+        trigger, doc, tie, at, raw = zip(*plain, strict=True)
+        return _rows(_SUFFIX, [PLAIN] * len(plain), trigger, [0] * len(plain), doc, tie, at, raw)
+
+    def split(parts):
+        trigger, doc, tie, at, raw = zip(*parts, strict=True)
+        data, text, start, place = _strings(list(raw))
+        trigger, doc, tie, at = (np.array(v, np.int64)[text] for v in (trigger, doc, tie, at))
+        key = mix(trigger.view(np.uint64) + ((at & 127) - start).astype(np.uint64)).view(np.int64)
+        c = _sorted({"trigger": key, "hash": hashes(data, place), "doc": doc, "tie": tie, "at": (at >> 14) + start}, ("trigger", "hash", *_PLACE))
+        new = _changes([c["trigger"], c["hash"]])
+        late = ~new & _changes([c[k] for k in ("trigger", "hash", *_PLACE)])
+        n = int(new.sum())
+        yield _rows(_SUFFIX, [HOT_ONE] * n, c["trigger"][new], c["hash"][new], c["doc"][new], c["tie"][new], c["at"][new], [b""] * n)
+        doc, tie, a, b = _spans(c["doc"][late], c["tie"][late], c["at"][late], c["at"][late])
+        key = mix(doc.view(np.uint64) + mix(a.view(np.uint64))).view(np.int64)
+        yield _rows(_SUFFIX, [DONE] * len(doc), key, b, doc, tie, a, [b""] * len(doc))
 
     def order(batches):
-        columns = ("hot", "trigger", "hash", "doc", "at", "bytes")
-        convert = lambda b: {n: np.array(b.column(n).to_pylist(), object) if n == "bytes" else b.column(n).to_numpy(zero_copy_only=False) if n != "hot" else b.column(n).cast(pa.int8()).fill_null(2).to_numpy(zero_copy_only=False) for n in columns}
-        for c in _sorted_runs(batches, ("hot", "trigger"), convert):
-            done = c["hot"] == 2
-            if done.any():
-                yield _rows(_SPANS, c["doc"][done], c["at"][done] >> 14, np.array([int.from_bytes(x, "little") for x in c["bytes"][done]], np.int64))
-            plain, docs_, places, kinds = c["hot"] == 0, [], [], []
-            if plain.any():
-                text, start, hashed = _windows(list(c["bytes"][plain]))
-                at, doc, trigger = (c[n][plain][text] for n in ("at", "doc", "trigger"))
-                kinds.append((trigger, (at & 127) - start, hashed, doc, (at >> 14) + start))
-            if (split := c["hot"] == 1).any():
-                kinds.append((c["trigger"][split], np.zeros(split.sum(), np.int64), c["hash"][split], c["doc"][split], c["at"][split] >> 14))
-            for trigger, off, hashed, doc, place in kinds:
-                by = np.lexsort((place, doc, hashed, off, trigger))
-                trigger, off, hashed, doc, place = (v[by] for v in (trigger, off, hashed, doc, place))
-                same = (trigger[1:] == trigger[:-1]) & (off[1:] == off[:-1]) & (hashed[1:] == hashed[:-1])
-                gone = np.concatenate(([False], same))
-                docs_.append(doc[gone])
-                places.append(place[gone])
-            if docs_:
-                yield _rows(_SPANS, *_joined_spans(np.concatenate(docs_), np.concatenate(places)))
-
-    cuts = docs.join(wanted, "doc").select("doc", "text", "w").mapInArrow(cut, "hot boolean, trigger long, hash long, doc long, at long, bytes binary")
-    dealt = cuts.repartition("hot", "trigger").sortWithinPartitions("hot", "trigger", "hash", "doc", "at")
-    return dealt.mapInArrow(order, "doc long, a long, b long")
-
-
-def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """``docs`` (doc_id, text, row) with ``doc``: doc_id where ids are unique, else the rank by (doc_id, text hash)."""
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
-    if ids.isEmpty():
-        return docs.withColumn("doc", F.col("doc_id").cast("long")), True
-    named = docs.withColumn("hash", F.xxhash64("text"))
-    order = named.select("doc_id", "hash").distinct().orderBy(F.asc_nulls_first("doc_id"), "hash")
-    ranks = order.rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1]))  # only where ids repeat: ranks over all partitions
-    ranks = materialize(docs.sparkSession.createDataFrame(ranks, "r_id long, r_hash long, doc long"))
-    return named.join(ranks, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("hash") == F.col("r_hash"))).select("doc_id", "text", "row", "doc"), False
+        held, lead = None, None
+        for batch in batches:
+            kind = batch.column("hot").to_numpy()
+            done = batch.filter(pa.array(kind == DONE))
+            yield _rows(_FOUND, done.column("doc"), done.column("tie"), done.column("at"), done.column("hash"))
+            if (kind == HOT_ONE).any():
+                c = {k: batch.column(k).to_numpy()[kind == HOT_ONE] for k in ("trigger", "hash", *_PLACE)}
+                c = c if lead is None else {k: np.concatenate((lead[k], v)) for k, v in c.items()}
+                new = _changes([c["trigger"], c["hash"]])
+                leader = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+                late = ~new & np.logical_or.reduce([c[k] != c[k][leader] for k in _PLACE])
+                yield _rows(_FOUND, *_spans(c["doc"][late], c["tie"][late], c["at"][late], c["at"][late]))
+                lead = {k: v[leader[-1] : leader[-1] + 1] for k, v in c.items()}
+            plain = batch.filter(pa.array(kind == PLAIN))
+            if plain.num_rows:  # the phrases of the last trigger wait for the next batch: HOT at most
+                rows = pa.Table.from_batches([plain] if held is None else [held, plain])
+                trigger = rows.column("trigger").to_numpy()
+                cut_at = int(np.flatnonzero(_changes([trigger]))[-1])
+                if cut_at:
+                    yield ranked(rows.slice(0, cut_at))
+                held = rows.slice(cut_at).combine_chunks().to_batches()[0]
+        if held is not None:
+            yield ranked(pa.Table.from_batches([held]))
+
+    def ranked(rows):
+        data, text, start, place = _strings(rows.column("bytes").to_pylist())
+        doc, tie, at = (rows.column(c).to_numpy()[text] for c in _PLACE)
+        c = _sorted({"rank": ranks(data, place), "doc": doc, "tie": tie, "at": (at >> 14) + start}, ("rank", *_PLACE))
+        late = ~_changes([c["rank"]]) & _changes([c[k] for k in ("rank", *_PLACE)])
+        return _rows(_FOUND, *_spans(c["doc"][late], c["tie"][late], c["at"][late], c["at"][late]))
+
+    cuts = docs.join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "w").mapInArrow(cut, "hot byte, trigger long, hash long, doc long, tie long, at long, bytes binary")
+    dealt = cuts.repartition("hot", "trigger", "hash").sortWithinPartitions("hot", "trigger", "hash", *_PLACE)
+    return dealt.mapInArrow(order, "doc long, tie long, a long, b long")
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with doc and tie, by which rows stand in corpus order. tie is 0 unless an id is null or might repeat, for
+    which a filter of fixed size stands; then it is a hash of the text."""
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    held = key_filter(again, "doc_id")
+    doc, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64("text")
+    if not held.value.any():
+        return docs.withColumns({"doc": doc, "tie": F.when(F.col("doc_id").isNull(), text).otherwise(F.lit(0).cast("long"))})
+
+    @F.pandas_udf("boolean")
+    def repeats(ids: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(held.value, ids.to_numpy(np.int64)))
+
+    return docs.withColumn("doc", doc).withColumn("tie", F.when(F.col("doc_id").isNull() | repeats("doc"), text).otherwise(F.lit(0).cast("long")))
 
 
 def remove(docs: DataFrame, carry=("doc_id",), hot_from: int = HOT, as_text: bool = False) -> DataFrame:
     """The columns of ``carry``, n_bytes, n_removed, n_spans and kept (binary) of each row of ``docs`` (doc_id, text).
 
     With ``as_text`` kept is a string, without the parts of characters that a cut has left."""
-    spark = docs.sparkSession
-    rows, unique = _numbered(docs.select("doc_id", "text", F.struct(*carry).alias("row")))
-    texts = rows.select("doc", "text")
-    decided = materialize(_decide(_phrases(texts)))
-    sweep(spark)
-    later = materialize(_suffixes(texts if unique else texts.dropDuplicates(["doc"]), decided, hot_from))
-    whole = decided.where(F.col("kind") == GONE).select("doc", F.shiftright("at", 14).alias("a"), (F.shiftright("at", 14) + (F.shiftright("at", 7).bitwiseAND(127))).alias("b"))
-    spans = whole.union(later).groupBy("doc").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))  # of one document
-    sweep(spark)
+    rows = _placed(docs.select("doc_id", "text", F.struct(*carry).alias("row"))).select("doc", "tie", "text", "row")
+    texts = rows.select("doc", "tie", "text")
+    entries = materialize(_dictionary(_phrases(texts)))
+    later = _suffixes(texts, entries.where(F.col("kind") == FIRST), hot_from)
+    whole = entries.where(F.col("kind") == GONE).select("doc", "tie", F.shiftright("at", 14).alias("a"), F.col("phrase").alias("b"))
+    removed = materialize(whole.union(later))
+    release(entries)
+    spans = removed.groupBy("doc", "tie").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))  # of one document
     kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.string() if as_text else pa.binary()}
     ready = (lambda b: b.decode("utf-8", "ignore")) if as_text else bytes
 
@@ -294,7 +344,7 @@ def remove(docs: DataFrame, carry=("doc_id",), hot_from: int = HOT, as_text: boo
 
     row = rows.schema["row"].dataType
     shape = T.StructType([T.StructField("row", row)] + [T.StructField(n, T.LongType() if n != "kept" else T.StringType() if as_text else T.BinaryType()) for n in kinds])
-    return rows.join(spans, "doc", "left").mapInArrow(apply, shape).select("row.*", *kinds)
+    return rows.join(spans, ["doc", "tie"], "left").mapInArrow(apply, shape).select("row.*", *kinds)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
