@@ -38,7 +38,7 @@ from .shared import key_filter, materialize, may_hold, mix, release
 
 WINDOW, GRAM = 100, 32
 BYTES = 1_000_000  # parsed at once
-HOT = 20_000
+HOT = 1_000
 LOW = np.uint64((1 << 30) - 1)
 FIRST, GONE = 0, 1
 
@@ -157,7 +157,8 @@ def _phrases(docs: DataFrame) -> DataFrame:
 
 
 def _dictionary(phrases: DataFrame) -> DataFrame:
-    """The parse with FIRST rows only for the first occurrence of each phrase; all others are GONE."""
+    """The parse with FIRST rows only for the first occurrence of each phrase (without its hash, which nothing asks for
+    any more); all others are GONE."""
 
     def run(batches):
         lead = None  # the first row of the run that the last batch ended in
@@ -176,7 +177,8 @@ def _dictionary(phrases: DataFrame) -> DataFrame:
             late = ~new & np.logical_or.reduce([c[k] != c[k][leader] for k in _PLACE])
             keep = new.copy()
             keep[: int(lead is not None)] = False
-            yield _rows(_PARSED, np.full(keep.sum(), FIRST, np.int8), *(c[k][keep] for k in _KEY + _PLACE))
+            n = int(keep.sum())
+            yield _rows(_PARSED, np.full(n, FIRST, np.int8), c["trigger"][keep], np.zeros(n, np.int64), *(c[k][keep] for k in _PLACE))
             a = c["at"][late] >> 14
             yield _gone(c["doc"][late], c["tie"][late], a, a + (c["at"][late] >> 7 & 127))
             lead = {k: v[leader[-1] : leader[-1] + 1] for k, v in c.items()}
@@ -207,10 +209,9 @@ def hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def ranks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The rank of the WINDOW bytes at each place among all of them, in byte order, by prefix doubling."""
-    pad = np.concatenate((data, np.zeros(7, np.uint8)))
-    word = np.zeros(len(data), np.uint64)
+    word = np.zeros(len(data) - 7, np.uint64)
     for j in range(8):
-        word = word << np.uint64(8) | pad[j : j + len(data)]
+        word = word << np.uint64(8) | data[j : j + len(word)]
     rank, width = np.unique(word, return_inverse=True)[1], 8
     while width < WINDOW:
         step = min(width, WINDOW - width)
