@@ -14,8 +14,11 @@ Besides, windows of SIZE literal tokens (lower-cased words less outer punctuatio
 hash, whatever their kinds; an item with fewer is one window, also of a single token. An item whose literal windows cover
 at least COVER of its tokens on one diagonal has leaked exactly.
 
-The benchmark's index goes to the workers in blocks of items with at most INDEX literal tokens (an item is never split), one pass over the
-documents each; documents are read as they lie, without a shuffle of texts.
+The windows of both tables are rows, and they meet in an equi-join of their hashes. A window of a document becomes a row
+only if it passes a filter of fixed size made of all windows of the benchmark, so hardly any other is shuffled; it
+takes the kinds and hashes of its tokens along. Hits are put together by text and item, and equal texts are one text: each
+is looked at once in a task and merged across tasks, and all its rows get its result. Neither the benchmark nor the hits
+pass through the driver. Tokens, windows and texts are compared as 64-bit hashes.
 
 Null and empty texts match nothing; null item ids are ignored. Rows are kept
 one for one, repeated rows and ids included; repeated items count once in item_ids. An empty benchmark flags nothing.
@@ -26,7 +29,6 @@ from __future__ import annotations
 import re
 from array import array
 from collections import defaultdict
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix
+from .shared import key_filter, materialize, may_hold, mix
 
 SIZE, LEAST, COVER = 8, 3, 0.5
-INDEX = 500_000
-KNOWN = 200_000
+LITERAL = np.uint64(0x6C62272E07BB0142)
+KNOWN = 200_000  # words and texts that a task remembers
 #: Number words and units.
 NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion "
@@ -62,7 +64,6 @@ class Words(dict):
 
     def __init__(self):
         super().__init__()
-        self.values: dict[int, str] = {}  # of words that can be slots
         self.traits, self.hashes = array("b"), array("Q")
 
     def __missing__(self, word: str) -> int:
@@ -70,7 +71,7 @@ class Words(dict):
         if bare.isalpha():  # most words: no number and no unit attached
             low = bare.lower()
             kind = NUM if low in NUMBER_WORDS else PLAIN
-            return self._add(word, low, kind, kind == PLAIN and bare[0].isupper() and bare[1:].islower() | (len(bare) == 1), low in UNITS)
+            return self._add(word, low, kind, kind == PLAIN and bare[0].isupper() and bare[1:] == bare[1:].lower(), low in UNITS)
         bare = word if _number.fullmatch(word) else _edges.sub("", word)
         low = bare.lower()
         kind = -1 if not bare else NUM if _number.fullmatch(bare) or low in NUMBER_WORDS else MEASURE if (m := _measure.fullmatch(bare)) and m[2].lower() in UNITS else PLAIN
@@ -84,8 +85,6 @@ class Words(dict):
         self[word] = at = len(self.hashes)
         self.traits.extend((kind, capital, unit, word.rstrip("\"')]»”")[-1:] in (".", "!", "?", ":")))
         self.hashes.append(xxhash.xxh64_intdigest(word if kind < 0 else low.rstrip(".,:/") if kind == NUM else low))
-        if kind != PLAIN or capital or unit:
-            self.values[at] = low
         return at
 
     def template(self, text: str):
@@ -125,127 +124,156 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
         width *= 2
 
 
-class Index:
-    """Windows of a block of items: hash to (item, place)."""
-
-    def __init__(self, items: list[tuple[int, list, list, list, list, np.ndarray, np.ndarray]]):
-        self.items = items  # (id, kinds, values, capitals, plain hashes, hashes, literal hashes)
-        self.at: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        self.literal: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for k, (_, kind, _, capital, plain, hashes, literal) in enumerate(items):
-            size = min(SIZE, len(literal))
-            for place, h in enumerate(windows(literal, size).tolist()):
-                self.literal[size][h].append((k, place))
-            if len(kind) < LEAST:
-                continue
-            size = min(SIZE, len(kind))
-            is_plain = np.array(kind) == PLAIN
-            for place, h in enumerate(windows(hashes, size).tolist()):
-                own = is_plain[place : place + size]
-                if 2 * own.sum() >= size:
-                    self.at[size][h].append((k, place))
-                if capital[place] and 2 * (own[1:].sum() + 1) >= size:
-                    other = hashes[place : place + size].copy()
-                    other[0] = _kind_hash[NAME] if own[0] else plain[place]
-                    self.at[size][int(windows(other, size)[0])].append((k, place))
-        self.at, self.literal = ({size: dict(x) for size, x in t.items()} for t in (self.at, self.literal))
-        self.sorted, self.sorted_literal = ({size: np.sort(np.array(list(x), np.uint64)) for size, x in t.items()} for t in (self.at, self.literal))
-
-    @staticmethod
-    def _lines(hashes: np.ndarray, at: dict, ordered: dict) -> dict[tuple[int, int], list[tuple[int, int, int]]]:
-        """(item, diagonal) to (place in the item, place in the text, size) of the windows found."""
-        lines: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-        for size, known in ordered.items():
-            found = windows(hashes, size)
-            if len(found):
-                near = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                for place in np.flatnonzero(known[near] == found).tolist():
-                    for k, own in at[size][int(found[place])]:
-                        lines[k, place - own].append((own, place, size))
-        return lines
-
-    def leaks(self, words: Words, text: str) -> dict[int, tuple[float, bool]]:
-        """Item id to (share of its tokens, exact) of the items that leaked into a text."""
-        ids, kind, hashes, literal = words.template(text)
-        out: dict[int, tuple[float, bool]] = {}
-        for (k, _), hits in self._lines(literal, self.literal, self.sorted_literal).items():
-            item, n = self.items[k][0], len(self.items[k][6])
-            places = len({at + j for at, _, size in hits for j in range(size)})
-            if places >= COVER * n:
-                out[item] = max(out.get(item, (0.0, False)), (places / n, True))
-        for (k, shift), hits in self._lines(hashes, self.at, self.sorted).items():
-            item, kinds, values, _, plain, _, _ = self.items[k]
-            places = sorted({at + j for at, _, size in hits for j in range(size)})
-            if len(places) < COVER * len(kinds):
-                continue
-            there, back, exact, fits = {}, {}, True, True
-            for p in places:
-                if kinds[p] != kind[p + shift]:  # the other reading of a first word
-                    fits &= plain[p] == words.hashes[int(ids[p + shift])]
-                elif kinds[p] != PLAIN:
-                    mine, theirs = (kinds[p], values[p]), (kinds[p], words.values[int(ids[p + shift])])
-                    fits &= there.setdefault(mine, theirs) == theirs and back.setdefault(theirs, mine) == mine
-                    exact &= mine == theirs
-            if fits:
-                out[item] = max(out.get(item, (0.0, False)), (len(places) / len(kinds), exact))
-        return out
-
-
-def _index_blocks(benchmark: DataFrame):
-    """The benchmark as indexes of items with at most INDEX literal tokens."""
-    words, block, size = Words(), [], 0
-    for row in benchmark.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        ids, kind, hashes, literal = words.template(row["text"])
-        if not len(literal):
-            continue
-        if block and size + len(literal) > INDEX:
-            yield Index(block)
-            block, size = [], 0
-        own = ids.tolist()
-        capital = [words.traits[4 * i + 1] > 0 and k in (PLAIN, NAME) for i, k in zip(own, kind.tolist(), strict=True)]
-        block.append((row["item_id"], kind.tolist(), [words.values.get(i, "") for i in own], capital, [words.hashes[i] for i in own], hashes, literal))
-        size += len(literal)
-    if block:
-        yield Index(block)
+def _literal(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each window of literal tokens."""
+    return mix(windows(hashes, size) ^ LITERAL)
+
+
+def _item(words: Words, text: str):
+    """Windows of an item: (hash, literal, place, size, tokens of the item, kinds, hashes of the tokens)."""
+    ids, kind, hashes, literal = words.template(text)
+    if not len(literal):
+        return
+    plain = np.frombuffer(words.hashes, np.uint64)[ids]
+    capital = (np.frombuffer(words.traits, np.int8).reshape(-1, 4)[ids, 1] > 0) & ((kind == PLAIN) | (kind == NAME))
+    size = min(SIZE, len(literal))
+    for place, h in enumerate(_literal(literal, size).tolist()):
+        yield h, True, place, size, len(literal), b"", b""
+    if len(kind) < LEAST:
+        return
+    size = min(SIZE, len(kind))
+    for place, h in enumerate(windows(hashes, size).tolist()):
+        part = slice(place, place + size)
+        own, rest = kind[part] == PLAIN, (place, size, len(kind), kind[part].astype(np.int8).tobytes(), plain[part].tobytes())
+        if 2 * own.sum() >= size:
+            yield h, False, *rest
+        if capital[place] and 2 * (own[1:].sum() + 1) >= size:
+            other = hashes[part].copy()
+            other[0] = _kind_hash[NAME] if own[0] else plain[place]
+            yield int(windows(other, size)[0]), False, *rest
+
+
+_ITEM = {"hash": pa.int64(), "literal": pa.bool_(), "at": pa.int32(), "size": pa.int32(), "n": pa.int32(), "kinds": pa.binary(), "tokens": pa.binary(), "item_id": pa.int64()}
+_HIT = {"text_hash": pa.int64(), "bytes": pa.int64(), "hash": pa.int64(), "place": pa.int32(), "own_kinds": pa.binary(), "own_tokens": pa.binary()}
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _columns(schema: dict[str, pa.DataType], rows: list[tuple]):
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_pydict({n: pa.array(c, t) for (n, t), c in zip(schema.items(), columns, strict=True)})
 
 
-def _scan(docs: DataFrame, index: Index, carry) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # a few windows for each of INDEX tokens at most
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """One row for each window of the benchmark (item_id, text)."""
 
     def run(batches):
         words = Words()
         for batch in batches:
-            found = [sorted(shared.value.leaks(words, t).items()) if t else [] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict(
-                {c: batch.column(c) for c in carry}
-                | {
-                    "item_ids": pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int64())),
-                    "exact_ids": pa.array([[i for i, (_, exact) in f if exact] for f in found], pa.list_(pa.int64())),
-                    "coverage": pa.array([max((c for _, (c, _) in f), default=0.0) for f in found], pa.float64()),
-                }
-            )
+            items = zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            yield _columns(_ITEM, [(_signed(h), *rest, item) for item, text in items for h, *rest in _item(words, text)])
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*carry).schema)
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, kept + "item_ids array<long>, exact_ids array<long>, coverage double")
+    named = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return named.mapInArrow(run, "hash long, literal boolean, at int, size int, n int, kinds binary, tokens binary, item_id long").distinct()
+
+
+def _hits(texts: DataFrame, known, sizes: list[tuple[bool, int]]) -> DataFrame:
+    """Windows of ``texts`` (text_hash, bytes, text) that might be the benchmark's."""
+
+    def run(batches):
+        words, seen = Words(), set()
+        for batch in batches:
+            rows = []
+            for key, n, text in zip(*(batch.column(c).to_pylist() for c in ("text_hash", "bytes", "text")), strict=True):
+                if not text or (key, n) in seen:
+                    continue
+                if len(seen) > KNOWN:
+                    seen.clear()
+                seen.add((key, n))
+                ids, kind, hashes, literal = words.template(text)
+                plain = np.frombuffer(words.hashes, np.uint64)[ids]
+                for is_literal, size in sizes:
+                    found = _literal(literal, size) if is_literal else windows(hashes, size)
+                    for at in np.flatnonzero(may_hold(known.value, found)).tolist():
+                        part = slice(at, at + size)
+                        own = (b"", b"") if is_literal else (kind[part].astype(np.int8).tobytes(), plain[part].tobytes())
+                        rows.append((key, n, _signed(int(found[at])), at, *own))
+            yield _columns(_HIT, rows)
+
+    return texts.mapInArrow(run, "text_hash long, bytes long, hash long, place int, own_kinds binary, own_tokens binary").distinct()
+
+
+def _judge(rows: list[dict]) -> tuple[float, bool] | None:
+    """(share of the item's tokens, exact) of the hits of one text and item, if it leaked."""
+    lines: dict[tuple[bool, int], list[dict]] = defaultdict(list)
+    for r in rows:
+        lines[r["literal"], r["place"] - r["at"]].append(r)
+    best = None
+    for (literal, _), own in lines.items():
+        n, places = own[0]["n"], {}
+        for r in own:
+            at = range(r["at"], r["at"] + r["size"])
+            sides = zip(r["kinds"], np.frombuffer(r["tokens"], np.uint64).tolist(), r["own_kinds"], np.frombuffer(r["own_tokens"], np.uint64).tolist(), strict=True)
+            places.update(dict.fromkeys(at) if literal else zip(at, sides, strict=True))
+        if len(places) < COVER * n:
+            continue
+        there, back, exact, fits = {}, {}, True, True
+        for kind, token, own_kind, own_token in () if literal else places.values():
+            if kind != own_kind:  # the other reading of a first word
+                fits &= token == own_token
+            elif kind != PLAIN:
+                mine, theirs = (kind, token), (kind, own_token)
+                fits &= there.setdefault(mine, theirs) == theirs and back.setdefault(theirs, mine) == mine
+                exact &= mine == theirs
+        if fits:
+            found = (len(places) / n, exact)
+            best = found if best is None else max(best, found)
+    return best
+
+
+def _leaked(hits: DataFrame) -> DataFrame:
+    """(text_hash, bytes, item_id, coverage, exact) of the leaks among joined windows."""
+    names = ("text_hash", "bytes", "item_id")
+    shape = {"text_hash": pa.int64(), "bytes": pa.int64(), "item_id": pa.int64(), "coverage": pa.float64(), "exact": pa.bool_()}
+
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                own = tuple(r[c] for c in names)
+                if own != key:
+                    if held and (found := _judge(held)):
+                        out.append((*key, *found))
+                    held, key = [], own
+                held.append(r)
+            yield _columns(shape, out)
+        if held and (found := _judge(held)):
+            yield _columns(shape, [(*key, *found)])
+
+    dealt = hits.repartition(*names).sortWithinPartitions(*names)  # the hits of one text and one item
+    return dealt.mapInArrow(run, "text_hash long, bytes long, item_id long, coverage double, exact boolean")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, carry=("doc_id",)) -> DataFrame:
     """The columns of ``carry``, item_ids (leaked items), exact_ids (those with equal values) and coverage (the largest)
-    for each row of ``docs``. Of a benchmark of several blocks each adds its columns to the rows in turn."""
-    indexes = list(_index_blocks(benchmark))
-    if not indexes:
-        none = F.array().cast("array<long>")
-        return docs.select(*carry, none.alias("item_ids"), none.alias("exact_ids"), F.lit(0.0).alias("coverage"))
-
-    def step(rows: DataFrame, index: Index) -> DataFrame:
-        old = [F.col(c).alias(f"_{c}") for c in ("item_ids", "exact_ids", "coverage")]
-        kept = rows.select(*carry, "text", *old)
-        out = _scan(kept, index, (*carry, "text", "_item_ids", "_exact_ids", "_coverage"))
-        merged = [F.array_sort(F.array_union(f"_{c}", c)).alias(c) for c in ("item_ids", "exact_ids")]
-        return out.select(*carry, "text", *merged, F.greatest("_coverage", "coverage").alias("coverage"))
-
-    first = _scan(docs, indexes[0], tuple(dict.fromkeys((*carry, "text"))))
-    return reduce(step, indexes[1:], first).select(*carry, "item_ids", "exact_ids", "coverage")
+    for each row of ``docs``."""
+    key = {"text_hash": F.xxhash64("text"), "bytes": F.octet_length("text").cast("long")}
+    items = materialize(item_windows(benchmark))
+    sizes = sorted((r["literal"], r["size"]) for r in items.select("literal", "size").distinct().collect())  # 2 * SIZE at most
+    texts = docs.select(*(c.alias(n) for n, c in key.items()), "text")
+    met = _hits(texts, key_filter(items.select("hash"), "hash"), sizes).join(items, "hash")
+    found = _leaked(met).groupBy(*key).agg(
+        F.sort_array(F.collect_set("item_id")).alias("item_ids"),  # of one text
+        F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("item_id")))).alias("exact_ids"),
+        F.max("coverage").alias("coverage"),
+    )
+    rows = docs.select(F.struct(*carry).alias("row"), *(c.alias(n) for n, c in key.items()))
+    none = F.array().cast("array<long>")
+    lists = [F.coalesce(c, none).alias(c) for c in ("item_ids", "exact_ids")]
+    return rows.join(materialize(found), list(key), "left").select("row.*", *lists, F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
