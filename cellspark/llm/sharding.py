@@ -8,11 +8,14 @@ one place on, and so on. Only the arcs' counts decide this (shards * VNODES numb
 the driver plans in terms of arcs, and each row finds its shard from its rank within its arc.
 
 Ranks need no global sort: an arc is cut into buckets of the hash, about ROWS rows each, counts of buckets are summed
-along each arc, and rows are numbered within their bucket. Hashes of ids are even, also where one source or one text
-makes up a third of the rows.
-
-The law is ``rows``: row counts differ by one at most. Null ids hash as a fixed string; equal ids, and copies of a text,
-are rows like others. Null text: 0 bytes. An empty table gives an empty table. Other columns are not read.
+along each arc, and rows are numbered within their bucket. The hash is that of the whole row, key first: rows that share
+a key or a text stand at different places of the ring. Rows equal in every column are one entry with a count, numbered
+together and written out in parts of PART rows, so that not even they make a bucket large.
+
+The law is ``rows``: row counts differ by one at most. Bounds that tight move more rows than a plain ring when a shard is
+added: of 100,000 rows about a quarter move from 16 to 17 shards, where one in 17 would have to; SLACK lets each shard go
+over its share, and 0.25 brings the moved rows near that ideal. Nulls are hashed as nulls. Null text: 0 bytes. An
+empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARDS, VNODES, ROWS = 16, 64, 4096
+SHARDS, VNODES, ROWS, PART = 16, 64, 4096, 10_000
 CELL_BITS = 16
 CELLS = 1 << CELL_BITS
 
@@ -50,43 +53,50 @@ def plan(counts: list[int], owners: list[int], bounds: list[int]) -> list[list[t
     return runs
 
 
-def assign(rows: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, key: str = "doc_id") -> DataFrame:
+def bounds_of(total: int, shards: int, slack: float = 0.0) -> list[int]:
+    """The most rows of each shard: its even share, or ``slack`` times more."""
+    even = [total // shards + (s < total % shards) for s in range(shards)]
+    return [n + int(n * slack) for n in even]
+
+
+def assign(rows: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, key: str = "doc_id", slack: float = 0.0) -> DataFrame:
     """``rows`` (small columns only) with shard and slot (from 0 without gaps in each shard)."""
     spark = rows.sparkSession
     places, owners = ring(shards, vnodes)
-    hashed = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1)
+    names = [key, *(c for c in rows.columns if c != key)]
     total = rows.count()
-    cells = max(1, -(-total // (len(places) * ROWS)))  # buckets of an arc
-    step = max(1, (1 << 63) // (len(places) * cells))
-    keyed = rows.withColumn("_hash", hashed)
     if total == 0:
         return rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
+    cells = max(1, -(-total // (len(places) * ROWS)))  # buckets of an arc
+    step = max(1, (1 << 63) // (len(places) * cells))
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in names])  # a null does not change the hash of what follows
+    own = rows.select(F.struct(*rows.columns).alias("_row"), F.shiftrightunsigned(F.xxhash64(*names, nulls), 1).alias("_hash"))
+    keyed = own.groupBy("_row", "_hash").agg(F.count("*").alias("_n"))
     arcs = spark.createDataFrame(pd.DataFrame({"_cell": range(CELLS), "_arc": [place_of(c, places) for c in range(CELLS)]}), "_cell long, _arc int")
     keyed = keyed.withColumns({"_cell": F.shiftright("_hash", 63 - CELL_BITS), "_bucket": F.expr(f"_hash div {step}")})
     keyed = keyed.join(F.broadcast(arcs), "_cell").drop("_cell")  # CELLS rows
 
-    sums = keyed.groupBy("_arc", "_bucket").agg(F.count("*").alias("_n"))
-    by_arc = {r["_arc"]: r["n"] for r in sums.groupBy("_arc").agg(F.sum("_n").alias("n")).collect()}
-    counts = [by_arc.get(a, 0) for a in range(len(places))]
-    bounds = [total // shards + (s < total % shards) for s in range(shards)]
-    base, runs = [0] * shards, []
-    for arc, own in enumerate(plan(counts, owners, bounds)):
-        at = 0
-        for shard, n in own:
-            runs.append((arc, at, at + n, shard, base[shard]))
+    sums = keyed.groupBy("_arc", "_bucket").agg(F.sum("_n").alias("_n"))
+    by_arc = {r["_arc"]: r["n"] for r in sums.groupBy("_arc").agg(F.sum("_n").alias("n")).collect()}  # one row an arc
+    runs, base = [], [0] * shards
+    for own_runs in plan([by_arc.get(a, 0) for a in range(len(places))], owners, bounds_of(total, shards, slack)):
+        at, found = 0, []
+        for shard, n in own_runs:
+            found.append((at, at + n, shard, base[shard]))
             at, base[shard] = at + n, base[shard] + n
+        runs.append(found)
+    table = spark.createDataFrame(list(enumerate(runs)), "_arc int, _runs array<struct<a:long,b:long,shard:int,base:long>>")
     before = Window.partitionBy("_arc").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     # the first arc also holds the end of the ring: its keys rank in the order of buckets like all others
     ranked = sums.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long")).drop("_n")
-    within = Window.partitionBy("_arc", "_bucket").orderBy("_hash", *[F.col(c) for c in rows.columns])
-    ranks = keyed.withColumn("_i", F.row_number().over(within)).join(ranked, ["_arc", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_i") - 1)
-    starts = [[] for _ in places]
-    for r in runs:
-        starts[r[0]].append(r)
-    table = spark.createDataFrame([(a, [(x[1], x[2], x[3], x[4]) for x in own]) for a, own in enumerate(starts)], "_arc int, _runs array<struct<a:long,b:long,shard:int,base:long>>")
-    run = F.expr("filter(_runs, r -> _rank >= r.a and _rank < r.b)[0]")
-    out = ranks.join(F.broadcast(table), "_arc").withColumn("_run", run)  # one row for each place of the ring
-    return out.select(*rows.columns, F.col("_run.shard").alias("shard"), (F.col("_run.base") + F.col("_rank") - F.col("_run.a")).alias("slot"))
+    within = Window.partitionBy("_arc", "_bucket").orderBy("_hash", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    entries = keyed.withColumn("_i", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(ranked, ["_arc", "_bucket"])
+    parts = entries.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(PART).cast("long"))))
+    parts = parts.withColumn("_from", F.col("_before") + F.col("_i") + F.col("_part")).withColumn("_n", F.least(F.col("_n") - F.col("_part"), F.lit(PART)))
+    dealt = parts.select("_row", "_arc", "_from", "_n").repartition("_arc", "_from")
+    each = dealt.withColumn("_rank", F.explode(F.sequence("_from", F.col("_from") + F.col("_n") - 1))).join(F.broadcast(table), "_arc")  # one row for each place of the ring
+    out = each.withColumn("_run", F.expr("filter(_runs, r -> _rank >= r.a and _rank < r.b)[0]"))
+    return out.select("_row.*", F.col("_run.shard").alias("shard"), (F.col("_run.base") + F.col("_rank") - F.col("_run.a")).alias("slot"))
 
 
 def place_of(cell: int, places: list[int]) -> int:
