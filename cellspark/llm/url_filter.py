@@ -8,8 +8,10 @@ log-likelihoods over its length. The threshold is the one with the least balance
 that the models do not see, read from a histogram; without examples of both kinds the method allows.
 
 Counts are exact: an n-gram has at most ORDERS bytes, so it and its order make one whole number, which is the key of
-its counts. The table has one row for each distinct n-gram and context of the examples, whatever their number; each
-worker gets it whole, 24 bytes a row.
+its counts in a table with one row for each distinct n-gram and context of the examples. URLs meet that table in a join:
+blocks of about BLOCK rows ask for their distinct n-grams, and the answers go to the block's URLs, so a task holds the
+n-grams of one block and nothing is broadcast. Each row is dealt by the hash of all it carries; equal rows share a block,
+which is read as a stream.
 
 Null URLs and URLs without ``://`` have an empty host and path; no rule fits them and the models judge the string as it
 is (null: the empty string, score 0). Rows are kept one for one. Other columns are not read.
@@ -21,11 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .shared import materialize, release
 
 #: The rules of the query.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 ORDERS, A = 5, 2.0
 BIN = 0.005
+BLOCK = 5_000
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -63,22 +69,21 @@ def _grams(urls: list[str | None]):
     return np.repeat(np.arange(len(raw)), lengths), keys
 
 
-def _count(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted keys, counts [kind, key]) over all examples (columns url, kind 0 or 1)."""
+def _count(examples: DataFrame) -> DataFrame:
+    """(key, bad, good) of each n-gram and context of the examples (columns url, kind 0 or 1)."""
 
     def run(batches):
         for batch in batches:
-            kinds = np.array(batch.column("kind").to_pylist())
+            kinds = batch.column("kind").to_numpy()
             of, keys = _grams(batch.column("url").to_pylist())
             found, place = np.unique(np.concatenate([x for pair in keys for x in pair]), return_inverse=True)
-            good = np.tile(kinds[of] == 1, 2 * ORDERS) if len(of) else np.zeros(0, bool)
+            good = np.tile(kinds[of] == 1, 2 * ORDERS)
             bad, good = (np.bincount(place[own], minlength=len(found)) for own in (~good, good))
             for at in range(0, len(found), 50_000):
                 yield pa.RecordBatch.from_pydict({n: pa.array(x[at : at + 50_000], pa.int64()) for n, x in (("key", found), ("bad", bad), ("good", good))})
 
     counted = examples.select("url", "kind").mapInArrow(run, "key long, bad long, good long")
-    rows = counted.groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas().sort_values("key")
-    return rows["key"].to_numpy(np.int64), rows[["bad", "good"]].to_numpy(float).T.copy()
+    return counted.groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
 def _ratio(keys: np.ndarray, counts: np.ndarray, urls: list[str | None]) -> np.ndarray:
@@ -99,14 +104,59 @@ def _ratio(keys: np.ndarray, counts: np.ndarray, urls: list[str | None]) -> np.n
     return np.bincount(of, weights=logs[1] - logs[0], minlength=len(urls)) / np.maximum(lengths, 1)
 
 
-def _scored(urls: DataFrame, shared, carry) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            r = _ratio(*shared.value, batch.column("url").to_pylist())
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in carry} | {"ratio": pa.array(r, pa.float64())})
+def _scored(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rows`` (url, row) with ratio, by the table ``counts``."""
+    blocks = max(1, -(-rows.count() // BLOCK))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("url", F.to_json("row")), F.lit(blocks)))
+
+    def ask(batches):
+        block, urls = None, []
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in urls.select(*carry).schema)
-    return urls.select(*dict.fromkeys([*carry, "url"])).mapInArrow(run, kept + "ratio double")
+        def wanted():
+            keys = np.unique(np.concatenate([x for pair in _grams(urls)[1] for x in pair]))
+            for at in range(0, len(keys), 50_000):
+                part = keys[at : at + 50_000]
+                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(part), block)), "key": pa.array(part)})
+
+        for batch in batches:
+            of, own = batch.column("block").to_numpy(), batch.column("url").to_pylist()
+            at = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for a, b in zip(at, at[1:], strict=False):
+                if urls and (of[a] != block or len(urls) > 4 * BLOCK):
+                    yield from wanted()
+                    urls = []
+                block = of[a] if b > a else block
+                urls += own[a:b]
+        if urls:
+            yield from wanted()
+
+    def judge_block(batches):
+        block, held, model = None, [], None
+        for batch in batches:
+            of, is_row = batch.column("block").to_numpy(), np.array(batch.column("row").is_valid())
+            at = [0, *(np.flatnonzero((of[1:] != of[:-1]) | (is_row[1:] != is_row[:-1])) + 1).tolist(), len(of)]
+            for a, b in zip(at, at[1:], strict=False):
+                if b == a:
+                    continue
+                part = batch.slice(a, b - a)
+                if of[a] != block:
+                    block, held, model = of[a], [], None
+                if not is_row[a]:
+                    held.append([part.column(c).to_numpy() for c in ("key", "bad", "good")])
+                    continue
+                if model is None:
+                    key, bad, good = map(np.concatenate, zip(*held, strict=True)) if held else [np.zeros(0, np.int64)] * 3
+                    model, held = (key, np.stack((bad, good)).astype(float)), []
+                ratio = pa.array(_ratio(*model, part.column("url").to_pylist()), pa.float64())
+                yield pa.RecordBatch.from_pydict({"row": part.column("row"), "ratio": ratio})
+
+    asked = dealt.select("block", "url").repartition("block").sortWithinPartitions("block").mapInArrow(ask, "block long, key long").distinct()
+    shape = rows.schema["row"].dataType
+    none = F.lit(None)
+    answers = asked.join(counts, "key").select("block", "key", "bad", "good", none.cast("string").alias("url"), none.cast(shape).alias("row"))
+    wanting = dealt.select("block", *(none.cast("long").alias(c) for c in ("key", "bad", "good")), "url", "row")
+    met = answers.union(wanting).repartition("block").sortWithinPartitions("block", F.col("row").isNotNull(), "key")
+    return met.mapInArrow(judge_block, T.StructType([T.StructField("row", shape), T.StructField("ratio", T.DoubleType())])).select("row.*", "ratio")
 
 
 def _threshold(examples: DataFrame) -> float:
@@ -130,15 +180,15 @@ def judge(pages: DataFrame, rules=RULES, carry=("page_id",)) -> DataFrame:
     parsed = pages.select(*dict.fromkeys([*carry, "url"])).withColumns({"host": host, "path": path})
     parsed = parsed.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     allowed = [r for r, v in rules if v == "allow"]
-    examples = parsed.where("rule is not null").withColumn("kind", F.col("rule").isin(allowed).cast("int"))
-    test = F.crc32(F.col("url").cast("binary")) % 4 == 0
-    sizes = {r["kind"]: r["n"] for r in examples.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    counts = pages.sparkSession.sparkContext.broadcast(_count(examples.where(~test)))
-    both = len(sizes) == 2
-    edge = _threshold(_scored(examples.where(test), counts, ("kind",))) if both else -1e300
-    out = _scored(parsed, counts, (*carry, "host", "path", "rule"))
-    own = F.when(F.col("rule").isin(allowed), "allow").when(F.col("rule").isNotNull(), "block")
-    return out.withColumn("verdict", own.otherwise(F.when(F.col("ratio") >= edge, "allow").otherwise("block")))
+    parsed = parsed.withColumns({"_kind": F.when(F.col("rule").isNotNull(), F.col("rule").isin(allowed).cast("int")), "_test": F.crc32(F.col("url").cast("binary")) % 4 == 0})
+    counts = materialize(_count(parsed.where("_kind is not null and not _test").select("url", F.col("_kind").alias("kind"))))
+    names = (*carry, "host", "path", "rule", "_kind", "_test")
+    out = materialize(_scored(parsed.select("url", F.struct(*names).alias("row")), counts))
+    release(counts)
+    sizes = out.where("_kind is not null").groupBy("_kind").agg(F.count("*")).collect()  # two rows
+    edge = _threshold(out.where("_kind is not null and _test").withColumnRenamed("_kind", "kind")) if len(sizes) == 2 else -1e300
+    own = F.when(F.col("_kind") == 1, "allow").when(F.col("_kind") == 0, "block")
+    return out.withColumn("verdict", own.otherwise(F.when(F.col("ratio") >= edge, "allow").otherwise("block"))).drop("_kind", "_test")
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
