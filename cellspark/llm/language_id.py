@@ -2,11 +2,12 @@
 
 Every letter has a random vector of +1 and -1, made from a hash of its code point, so any script has vectors and no
 table is kept. A trigram is bound as roll(a, 2) * roll(b, 1) * c, a text is the sum (bundle) of its trigrams, and a
-language prototype is the sum of all learned texts of that language. A text gets the language whose prototype has
-the largest cosine with it.
+language prototype is the sum of all learned texts of that language, each scaled to one length so that very long ones do
+not drown the others. A text gets the language whose prototype has the largest cosine with it.
 
 Bundling is linear, so texts become vectors through one product of a count matrix and the vectors of the distinct
-trigrams at hand. Sums are integers held exactly in doubles: the model does not depend on the order of the rows.
+trigrams at hand. Scaled texts are rounded to whole numbers and sums are exact: the model does not depend on the order
+of the rows.
 
 Letters are the code points of Unicode's letter categories, lower-cased; any run of others is one space.
 Null texts, and texts without a letter, are ``und`` with score 0. Without learned rows every text is ``und``.
@@ -16,7 +17,6 @@ Rows are kept one for one: repeated rows and repeated ids get one result each. O
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +28,7 @@ from .shared import held_out
 
 DIM = 1024
 GROUP_DOCS, GROUP_CHARS = 256, 1_000_000
+LENGTH = 1 << 20  # of a learned text; sums of up to 2**33 texts stay exact in doubles
 UNKNOWN = "und"
 #: Of the least score that counts as a learned language (least_scores).
 NOISE, QUANTILE, SHARE, BAND_ROWS, BIN = 3.0, 0.01, 0.5, 20, 0.001
@@ -45,33 +46,35 @@ def letter_vector(point: int, dim: int) -> np.ndarray:
 
 
 def _symbols(text: str) -> np.ndarray:
-    """Lower-cased letters of a text as code points, runs of others as one 32, one 32 at either end."""
-    points = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Lower-cased letters of a text as code points, every other character as 32."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     found = _letters[points]
     if (found < 0).any():
         for p in np.unique(points[found < 0]):
             low = chr(p).lower()
             _letters[p] = ord(low if len(low) == 1 else chr(p)) if chr(p).isalpha() else 32
         found = _letters[points]
-    space = found == 32
-    return found[~(space & np.concatenate(([False], space[:-1])))]
+    return found
 
 
-def _pieces(text: str) -> Iterator[str]:
-    """Parts of at most about GROUP_CHARS, cut after a character that is no letter if there is one near."""
-    while len(text) > GROUP_CHARS:
-        cut = next((i + 1 for i in range(GROUP_CHARS - 1, GROUP_CHARS - 1000, -1) if not text[i].isalpha()), GROUP_CHARS)
-        yield text[:cut]
-        text = text[cut:]
-    yield text
+def _pieces(text: str) -> Iterator[np.ndarray]:
+    """The symbols of a text: letters, runs of others as one 32, one 32 at either end. Texts of more than GROUP_CHARS
+    come in pieces, each of which repeats the last two symbols before it, so that every trigram is in one piece."""
+    tail, edge = np.array([32], np.int32), np.array([32], np.int32)
+    for at in range(0, max(1, len(text)), GROUP_CHARS):
+        last = at + GROUP_CHARS >= len(text)
+        s = np.concatenate((tail, _symbols(text[at : at + GROUP_CHARS]), edge[: int(last)]))
+        space = s == 32
+        s = s[~(space & np.concatenate(([False], space[:-1])))]
+        yield s
+        tail = s[-2:]
 
 
 def _groups(texts: list) -> Iterator[list[tuple[int, np.ndarray]]]:
     """(row, symbols) in groups of bounded size."""
     group, chars = [], 0
     for row, text in enumerate(texts):
-        for piece in _pieces(text or ""):
-            s = _symbols(piece)
+        for s in _pieces(text or ""):
             if len(s) >= 3:
                 group.append((row, s))
                 chars += len(s)
@@ -122,18 +125,22 @@ def bundle(texts: list, dim: int = DIM, grams: np.ndarray | None = None) -> np.n
     return out
 
 
+def scaled(h: np.ndarray) -> np.ndarray:
+    """Bundles of one LENGTH, in whole numbers; zeros stay."""
+    norm = np.linalg.norm(h, axis=1, keepdims=True)
+    return np.rint(h * (LENGTH / np.where(norm == 0, 1, norm)))
+
+
 def prototypes(labelled: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
     """Language prototypes from columns text and lang: every row counts, partial sums leave each task."""
 
     def sums(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            for group in _groups(batch.column("text").to_pylist()):
-                names = sorted({langs[r] for r, _ in group})
-                part = _counted(group, [names.index(langs[r]) for r, _ in group], len(names), dim)
-                for name, row in zip(names, part, strict=True):
-                    total[name] = total.get(name, 0) + row
+            langs = np.array(batch.column("lang").to_pylist(), object)
+            v = scaled(bundle(batch.column("text").to_pylist(), dim))
+            for name in set(langs):
+                total[name] = total.get(name, 0) + v[langs == name].sum(0)
         for name, row in total.items():
             yield pa.RecordBatch.from_pydict({"lang": [name], "v": pa.array([row.tolist()], pa.list_(pa.float64()))})
 
@@ -164,7 +171,7 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], dim: int = DIM, carr
                 norm = np.linalg.norm(h, axis=1, keepdims=True)
                 cos = h @ protos.T / np.where(norm == 0, 1, norm)
             best = cos.argmax(1)
-            known = [bool(names) and t is not None and bool(_LETTER.search(t)) for t in texts]
+            known = [bool(names) and t is not None and any(map(str.isalpha, t)) for t in texts]
             out = {c: batch.column(c) for c in carry}
             out["lang_pred"] = pa.array([names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], pa.string())
             out["score"] = pa.array([min(1.0, max(0.0, float(row[b]))) if k else 0.0 for row, b, k in zip(cos, best, known, strict=True)], pa.float64())
@@ -198,9 +205,6 @@ def least_scores(labelled: DataFrame, model: dict[str, np.ndarray], dim: int = D
     return least
 
 
-_LETTER = re.compile(r"[^\W\d_]")
-
-
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
