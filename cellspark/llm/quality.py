@@ -175,8 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     joined = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("text", F.col("label").cast("int").alias("label"))  # ``rows`` rows at most
     found = joined.mapInArrow(run, "label int, x array<double>").toArrow()
     x = np.array(found.column("x").to_pylist(), float).reshape(found.num_rows, len(FEATURES))
-    order = np.lexsort(x.T)  # the order in which rows arrive must not matter
-    return Model(x[order], np.array(found.column("label").to_pylist(), float)[order])
+    y = np.array(found.column("label").to_pylist(), float)
+    order = np.lexsort((y, *x.T))  # the order in which rows arrive must not matter
+    return Model(x[order], y[order])
 
 
 def score(docs: DataFrame, model: Model, carry=("doc_id",)) -> DataFrame:
