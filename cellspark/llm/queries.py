@@ -17,7 +17,32 @@ QUERIES = {
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_spotsigs": spotsigs.op10_spotsigs,
 }
-ORACLES: dict[str, str] = {}
+
+#: Every 100-byte string by its hexadecimal digits; those that start earlier too mark what goes.
+_REPEATS = r"""WITH d AS (SELECT doc_id, encode(coalesce(text,'')) AS b, octet_length(encode(coalesce(text,''))) AS n FROM documents),
+h AS (SELECT doc_id, n, hex(b) AS x FROM d),
+p AS (SELECT doc_id, i, md5(substring(x, 2*i+1, 200)) AS k FROM (SELECT doc_id, x, unnest(range(0, greatest(0, n-99))) AS i FROM h)),
+f AS (SELECT doc_id, i FROM p QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+r AS (SELECT doc_id, i, i > coalesce(lag(i) OVER w, -1000) + 100 AS new FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+q AS (SELECT doc_id, min(i) AS a, max(i)+100 AS z FROM (SELECT doc_id, i, sum(new::int) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r) GROUP BY doc_id, run),
+t AS (SELECT doc_id, sum(z-a)::bigint AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM q GROUP BY doc_id)
+SELECT h.doc_id, n::bigint AS n_bytes, coalesce(n_removed,0) AS n_removed, coalesce(n_spans,0) AS n_spans,
+sha256(unhex(CASE WHEN t.a IS NULL THEN x ELSE array_to_string(list_transform(range(0, len(t.a)+1), lambda j: substring(x, 2*(CASE WHEN j=0 THEN 0 ELSE t.z[j] END)+1, 2*((CASE WHEN j=len(t.a) THEN n ELSE t.a[j+1] END)-(CASE WHEN j=0 THEN 0 ELSE t.z[j] END)))), '') END)) AS kept_sha256
+FROM h LEFT JOIN t USING (doc_id)
+"""
+
+#: Shingles as lists of words, all pairs that share one, components by reachability.
+_LINKS = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w)=0 THEN [] WHEN len(w)<3 THEN [array_to_string(w,' ')] ELSE list_distinct(list_transform(range(1,len(w)-1), lambda i: w[i]||' '||w[i+1]||' '||w[i+2])) END AS s FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+g AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x=b.x AND a.doc_id<b.doc_id AND 100*least(a.n,b.n)>=90*greatest(a.n,b.n) GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (SELECT a, b FROM g WHERE 100*k>=90*(na+nb-k)),
+u AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT u.b, c.r FROM c JOIN u ON c.doc_id=u.a)
+SELECT s.doc_id, len(s)::bigint AS n_shingles, m AS component_id FROM s JOIN (SELECT doc_id, min(r) AS m FROM c GROUP BY doc_id) USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_suffix_dedup": _REPEATS, "op6_ngram_join": _LINKS}
 
 
 def _bounded(f):

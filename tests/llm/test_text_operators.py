@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 from cellspark.llm import byte_bpe, decontamination, language_id, quality, token_counts, url_filter
 
+from .conftest import TEXTS
+
 
 def test_language_of_odd_rows(odd, none):
     model = language_id.prototypes(odd)
@@ -31,6 +35,33 @@ def test_language_vectors_are_bundles_of_bound_letters():
     assert np.array_equal(language_id.bundle(["", None, "Ab, 1 A"], d)[2], want)
 
 
+def test_language_of_very_long_texts(monkeypatch):
+    """A text in pieces has the bundle of the whole."""
+    text = "Ab, 1 A ünd so weiter und  so fort. " * 50
+    want = language_id.bundle([text, None, "ab"], 128)
+    for n in (1, 2, 37, 1000):
+        monkeypatch.setattr(language_id, "GROUP_CHARS", n)
+        assert np.array_equal(language_id.bundle([text, None, "ab"], 128), want)
+
+
+def test_language_is_brute_force(spark):
+    """Prototypes are sums of bundles, the prediction is the largest cosine, and only letters are letters."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("a house in the wood", "en"), ("der hund und die katze", "de"), ("das haus im wald", "de"), ("le chat et le chien", "fr")])]
+    model = language_id.prototypes(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 256)
+    sums = {lang: sum(np.rint(h / np.linalg.norm(h) * 2**20) for h in language_id.bundle([t for _, t, k in rows if k == lang], 256)) for lang in ("en", "de", "fr")}
+    assert all(np.array_equal(model[k], v) for k, v in sums.items()) and len(model) == 3
+    texts = ["the wood", "die hunde", "le chien", "²½①", "Ⅷ 12", "x", "日本"]
+    cos = lambda a, b: a @ b / ((np.linalg.norm(a) * np.linalg.norm(b)) or 1)
+    got = {r["text"]: r for r in language_id.identify(spark.createDataFrame([(t,) for t in texts], "text string"), model, 256, ("text",)).collect()}
+    for t in texts:
+        own = {k: cos(language_id.bundle([t], 256)[0], v) for k, v in sums.items()}
+        best = max(sorted(own), key=own.get)
+        if t in ("²½①", "Ⅷ 12"):
+            assert (got[t]["lang_pred"], got[t]["score"]) == ("und", 0)
+        else:
+            assert abs(got[t]["score"] - max(0.0, own[best])) < 1e-9 and got[t]["lang_pred"] == best
+
+
 def test_language_accuracy_on_held_out_rows(spark, sf_dir):
     p = language_id.op1_language_id(spark, sf_dir).where("held_out").join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id")
     assert p.where("lang = lang_pred").count() / p.count() > 0.95
@@ -85,6 +116,74 @@ def test_quality(spark, sf_dir, odd, none):
     assert quality.score(none, model).count() == 0
 
 
+def test_quality_learns_nothing_from_held_out_rows(spark, tmp_path):
+    """Scores stay as they are when labels of held-out rows, languages and sources change; repeated labels count each."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("doc_id", F.col("doc_id") % 10_000)
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    for name, d, x in (
+        ("one", docs, labels.unionByName(labels)),
+        ("two", docs.withColumns({"lang": F.lit("xx"), "source": F.lit("y")}), labels.unionByName(labels).withColumns({"quality": F.when(out, 1 - F.col("quality")).otherwise(F.col("quality")).cast(labels.schema["quality"].dataType)})),
+    ):
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        x.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    one, two = ({r["doc_id"]: r for r in quality.op3_quality(spark, f"{tmp_path}/{n}").collect()} for n in ("one", "two"))
+    assert one.keys() == two.keys() and all(one[i]["score"] == two[i]["score"] for i in one)
+    assert all(r["predicted"] == (r["score"] >= 0.7) and r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in one.items())
+
+
+def test_quality_features_by_a_plain_reading():
+    for text in ("Ab cd! 12\n\nthe the end.", "", None, "é É 日本 x,y", "a  b\tc\u3000d", "!!!??"):
+        got, t = dict(zip(quality.FEATURES, quality.features(text), strict=True)), text or ""
+        words, lines = t.split(), [x for x in t.split("\n") if x]
+        letters, solid = [c for c in t if c.isalpha()], max(1, sum(not c.isspace() for c in t))
+        marks = [c for c in t if not (c.isalpha() or c.isdigit() or c.isspace())]
+        m, k = max(1, len(words)), max(1, len(lines))
+        want = {
+            "log_chars": np.log1p(len(t)), "letters": len(letters) / solid, "upper": sum(c.isupper() for c in letters) / max(1, len(letters)), "digits": sum(c.isdigit() for c in t) / solid,
+            "symbols": len(marks) / solid, "mean_word": solid / m, "distinct_words": len(set(words)) / m, "top_word": max((words.count(w) for w in words), default=0) / m,
+            "repeats": sum(a == b for a, b in zip(words, words[1:], strict=False)) / m, "log_line": np.log1p(max(1, len(t)) / k), "distinct_lines": len(set(lines)) / k,
+            "ended_lines": sum(x[-1] in ".!?" for x in lines) / k, "short_words": sum(len(w) < 3 for w in words) / m, "capital_words": sum(w[0].isupper() for w in words) / m,
+        }
+        assert all(abs(got[n] - v) < 1e-9 for n, v in want.items()), (text, got, want)
+
+
+def boosted(x, y):
+    """The model's main effects by rows and loops: each step fits one feature's binned gradient by three greedy cuts."""
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, quality.BINS + 1)[1:-1])) for c in x.T]
+    share = (y.sum() + 1) / (len(y) + 2)
+    total = np.full(len(y), np.log(share / (1 - share)))
+    bins = [np.array([sum(e < v for e in own) for v in c]) for own, c in zip(edges, x.T, strict=True)]
+    for _ in range(quality.ROUNDS):
+        for b, own in zip(bins, edges, strict=True):
+            p = 1 / (1 + np.exp(-total))
+            g, h = y - p, p * (1 - p)
+            parts = [(0, len(own) + 1)]
+            fit = lambda lo, hi: (g[(b >= lo) & (b < hi)].sum(), h[(b >= lo) & (b < hi)].sum())
+            worth = lambda lo, hi: (lambda s: s[0] ** 2 / (s[1] + quality.PENALTY))(fit(lo, hi))
+            for _ in range(3):
+                gains = [(worth(lo, c) + worth(c, hi) - worth(lo, hi), lo, hi, c) for lo, hi in parts for c in range(lo + 1, hi)]
+                best = max(gains, key=lambda v: v[0], default=(0,))
+                if best[0] <= 1e-9:
+                    break
+                parts.remove(best[1:3])
+                parts += [(best[1], best[3]), (best[3], best[2])]
+            for lo, hi in parts:
+                s = fit(lo, hi)
+                total[(b >= lo) & (b < hi)] += quality.RATE * s[0] / (s[1] + quality.PENALTY)
+    return total
+
+
+def test_quality_is_brute_force(monkeypatch):
+    monkeypatch.setattr(quality, "BINS", 6)
+    monkeypatch.setattr(quality, "ROUNDS", 5)
+    monkeypatch.setattr(quality, "PAIRS", 0)
+    rng = np.random.default_rng(3)
+    x = rng.random((120, 3))
+    y = (x[:, 0] + 0.3 * rng.random(120) > 0.6).astype(float)
+    assert np.allclose(quality.Model(x, y).score(x), 1 / (1 + np.exp(-boosted(x, y))), atol=1e-9)
+
+
 def test_additive_score_is_the_sum_of_tables():
     rng = np.random.default_rng(1)
     x = rng.random((400, 3))
@@ -109,18 +208,23 @@ def test_token_counts_are_the_library(odd, none):
     for _ in range(150):
         s = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
         n = own.normal(s)
-        assert own.table(s) == [count(n[:j]) for j in range(len(n) + 1)]
+        assert own.table(s).tolist() == own.walk(s) == [count(n[:j]) for j in range(len(n) + 1)]
         assert own.count(s) == count(s)
     special = "hello <|endoftext|> world<|endoftext|>"
     assert own.count(special) == count(special) == own.table(special)[-1]
 
 
 def test_truncation(spark):
-    df = spark.createDataFrame([(1, "hello wonderful world"), (2, None), (3, "a b c d")], "doc_id long, text string")
-    cuts = {r["doc_id"]: r["cut_chars"] for r in token_counts.truncation(df, 2).collect()}
-    table = token_counts.counter(token_counts.default_vocabulary()).table("hello wonderful world")
-    assert cuts == {1: max(i for i, c in enumerate(table) if c <= 2), 2: 0, 3: 4}
-    assert token_counts.prefix_tokens(df).where("doc_id = 3").first()["prefix_tokens"][-1] == 4
+    """Questions about budgets are answered from the stored table alone."""
+    rows = [(1, "hello wonderful world"), (2, None), (3, "a b c d"), (4, ""), (5, "x" * 70_000), (6, "日本 <|endoftext|> \u3000 z")]
+    table = token_counts.prefix_tokens(spark.createDataFrame(rows, "doc_id long, text string"), ("doc_id",))
+    own = token_counts.counter(token_counts.default_vocabulary())
+    for budget in (0, 2, 3, 2048):
+        got = {r["doc_id"]: r for r in table.select("doc_id", token_counts.n_tokens().alias("n"), token_counts.fits(budget).alias("fits"), token_counts.cut_chars(budget).alias("cut")).collect()}
+        for i, t in rows:
+            walked = own.walk(t or "")
+            assert (got[i]["n"], got[i]["cut"]) == (walked[-1], max(j for j, c in enumerate(walked) if c <= budget))
+            assert got[i]["n"] == own.count(t or "") and got[i]["fits"] == (walked[-1] <= budget)
 
 
 URLS = [
@@ -158,7 +262,8 @@ def test_url_counts_are_exact(spark):
     rng = random.Random(9)
     urls = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60)) for _ in range(6000)] + ["", "é"]
     kinds = [i % 3 // 2 for i in range(len(urls))]
-    keys, counts = url_filter._count(spark.createDataFrame(list(zip(urls, kinds, strict=True)), "url string, kind int"))
+    table = url_filter._count(spark.createDataFrame(list(zip(urls, kinds, strict=True)), "url string, kind int")).toPandas().sort_values("key")
+    keys, counts = table["key"].to_numpy(), table[["bad", "good"]].to_numpy(float).T.copy()
     want = [{}, {}]
     grams = lambda raw: [(k, raw[i - k : i], raw[i : i + 1]) for i in range(4, len(raw)) for k in range(5)]
     for u, kind in zip(urls, kinds, strict=True):
@@ -177,6 +282,51 @@ def test_url_counts_are_exact(spark):
         assert abs(got - total / max(1, len(raw) - 4)) < 1e-9
 
 
+def test_url_judgement_is_brute_force(spark, monkeypatch):
+    """Models, ratios, the threshold and all verdicts by dictionaries; the join of blocks gives the same."""
+    rng = random.Random(12)
+    hosts = ["a.org", "b.com", "c.net", "example.org"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['fr', 'de', 'es', 'x'])}/{''.join(rng.choice('abcdeé') for _ in range(rng.randint(0, 9)))}" for _ in range(400)] + [None, "", "no scheme", "http://x/" + "long" * 50_000]
+    rows = [(i if i % 50 else None, u) for i, u in enumerate(urls)] + [(7, urls[7])] * 30
+    monkeypatch.setattr(url_filter, "BLOCK", 40)
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    allowed = {r for r, v in url_filter.RULES if v == "allow"}
+    of = {}
+    for i, u in rows:
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        fits = [r for r, _ in url_filter.RULES if (lambda n, p: (host.lower() == n or host.lower().endswith("." + n)) and path.startswith(p))(r.split("/")[0], "/" + r.split("/", 1)[1])]
+        of[u] = max(fits, key=len, default=None)
+    counts = [{}, {}]
+    grams = lambda raw: [(k, raw[i - k : i], raw[i : i + 1]) for i in range(4, len(raw)) for k in range(5)]
+    test = lambda u: zlib.crc32((u or "").encode()) % 4 == 0
+    for _, u in rows:
+        if of[u] and not test(u):
+            for k, context, byte in grams(b"\0" * 4 + u.encode()):
+                for key in ((k, context, byte), (k, context)):
+                    counts[of[u] in allowed][key] = counts[of[u] in allowed].get(key, 0) + 1
+    ratio = {}
+    for u in of:
+        raw, total = b"\0" * 4 + (u or "").encode(), 0.0
+        for kind in (0, 1):
+            p = 0.0
+            for k, context, byte in grams(raw):
+                p = (counts[kind].get((k, context, byte), 0) + 2 * (p if k else 1 / 256)) / (counts[kind].get((k, context), 0) + 2)
+                total += (2 * kind - 1) * np.log(p) * (k == 4)
+        ratio[u] = total / max(1, len(raw) - 4)
+    tested = [(ratio[u], of[u] in allowed) for _, u in rows if of[u] and test(u)]
+    error = lambda e: sum(r < e for r, g in tested if g) / sum(g for _, g in tested) + sum(r >= e for r, g in tested if not g) / sum(not g for _, g in tested)
+    rest = [r for r in got if r["rule"] is None]
+    edge = (min([r["ratio"] for r in rest if r["verdict"] == "allow"], default=9.0) + max([r["ratio"] for r in rest if r["verdict"] == "block"], default=-9.0)) / 2
+    assert all((r["verdict"] == "allow") == (r["ratio"] >= edge) for r in rest)
+    assert all(r["verdict"] == ("allow" if r["rule"] in allowed else "block") for r in got if r["rule"])
+    assert any(error(x) <= min(error(e) for e, _ in tested) + 1e-9 for x in np.arange(edge - 0.5, edge + 0.5, 0.005))
+    want = sorted((i is None, i or 0, round(ratio[u], 9)) for i, u in rows)
+    assert sorted((r["page_id"] is None, r["page_id"] or 0, round(r["ratio"], 9)) for r in got) == want
+
+
 QUESTION = "Then Alice bought 12 apples for 3 dollars each at the corner market and later sold 5 of them to Bob"
 
 
@@ -204,12 +354,27 @@ def test_decontamination_of_items_without_plain_words(spark):
     assert leaked(spark, texts, items) == {0: ([1], [1]), 1: ([2], [2]), 2: ([3], [3]), 3: ([4], [4]), 4: ([5], [])} | {i: ([], []) for i in (5, 6, 7, 8)}
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
+def test_decontamination_of_several_items_and_odd_rows(spark, odd, none):
     items = [(i, f"item number {w} speaks of {w} and nothing else but {w} in the whole wide world of words") for i, w in enumerate(("apple", "pear", "plum", "fig"))]
-    texts = [t for _, t in items] + [items[0][1] + " then " + items[3][1]]
+    texts = [t for _, t in items] + [items[0][1] + " then " + items[3][1]] + [items[2][1]] * 40
     one = leaked(spark, texts, items)
-    monkeypatch.setattr(decontamination, "INDEX", 20)
-    assert leaked(spark, texts, items) == one and one[4] == ([0, 3], [0, 3])
+    assert one[4] == ([0, 3], [0, 3]) and all(one[i] == ([2], [2]) for i in range(5, 45))
+    bench = spark.createDataFrame([(7, TEXTS[0])] * 3 + [(8, "over the lazy dog")], "item_id long, text string")
+    found = decontamination.leaks(odd, bench, ("doc_id", "text", "key", "row")).collect()
+    assert len(found) == odd.count()
+    assert all((r["item_ids"] == [7, 8]) == (r["text"] == TEXTS[0]) and r["row"] == "row" for r in found)
+    assert decontamination.leaks(none, bench).count() == 0
+    long = spark.createDataFrame([(None, "filler words " * 400_000 + QUESTION), (1, "filler words " * 10)], "doc_id long, text string")
+    assert {r["doc_id"]: r["item_ids"] for r in decontamination.leaks(long, spark.createDataFrame([(1, QUESTION)], "item_id long, text string")).collect()} == {None: [1], 1: []}
+
+
+def test_decontamination_joins_through_a_full_filter(spark, monkeypatch):
+    """What the filter lets through for nothing does not match in the join."""
+    items = [(1, QUESTION), (2, "What is the capital of the Netherlands")]
+    texts = [QUESTION, "Quiz\nWhat is the capital of the Netherlands", "nothing of it", "a clean text about markets and apples and other things"]
+    want = leaked(spark, texts, items)
+    monkeypatch.setattr(decontamination, "key_filter", lambda df, c: df.sparkSession.sparkContext.broadcast(np.full(1 << 20, ~np.uint64(0))))
+    assert leaked(spark, texts, items) == want and want[0] == ([1], [1]) and want[3] == ([], [])
 
 
 def test_decontamination_finds_whole_passages(spark, sf_dir):
