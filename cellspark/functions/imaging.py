@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,56 +102,6 @@ def blurred(a: np.ndarray, sigma: float) -> np.ndarray:
     return a
 
 
-def peaks(h: np.ndarray, distance: int, percentile: float) -> list[tuple[float, float, float]]:
-    """Local maxima (x, y, value) of the blurred map above a percentile, the highest first, apart by ``distance``."""
-    b = blurred(h.astype(float), 1.0)
-    size = max(3, 2 * distance + 1) // 2
-    p = np.pad(b, size, constant_values=-np.inf)
-    top = np.lib.stride_tricks.sliding_window_view(p, (2 * size + 1, 2 * size + 1)).max((2, 3))
-    ys, xs = np.nonzero((b >= np.percentile(b, percentile)) & (b == top))
-    kept: list[tuple[float, float, float]] = []
-    for i in np.lexsort((xs, ys, -b[ys, xs])):
-        x, y = float(xs[i]), float(ys[i])
-        if all((x - u) ** 2 + (y - v) ** 2 >= distance * distance for u, v, _ in kept):
-            kept.append((x, y, float(b[ys[i], xs[i]])))
-    return kept
-
-
-def exemplars(h: np.ndarray, half: float = 14, most: int = 80, negatives: int = 4, overlap: float = 0.3, percentile: float = 70) -> list[tuple]:
-    """Boxes (x0, y0, x1, y1, label): around peaks without much overlap (1), and of pale places away from them (0)."""
-    if h.size == 0 or h.std() < 0.02:
-        return []
-    height, width = h.shape
-
-    def box(x, y):
-        return max(0.0, x - half), max(0.0, y - half), min(float(width), x + half), min(float(height), y + half)
-
-    def share(a, b):
-        w, v = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-        both = max(0.0, w) * max(0.0, v)
-        return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both) if both else 0.0
-
-    good: list[tuple] = []
-    centres = []
-    for x, y, _ in peaks(h, max(5, int(half * 0.45)), percentile):
-        b = box(x, y)
-        if len(good) < most and all(share(b, g) <= overlap for g in good):
-            good.append(b)
-            centres.append((x, y))
-    pale = blurred(h.astype(float), 2.0)
-    bad: list[tuple] = []
-    ys, xs = np.nonzero(pale <= np.percentile(pale, 25))
-    for i in np.lexsort((xs, ys, pale[ys, xs])):
-        if len(bad) >= negatives or not good:
-            break
-        x, y = float(xs[i]), float(ys[i])
-        b = box(x, y)
-        far = all((x - u) ** 2 + (y - v) ** 2 >= max(half * 2.5, 12.0) ** 2 for u, v in centres)
-        if far and b[2] - b[0] >= 4 and b[3] - b[1] >= 4 and all(share(b, n) <= 0.2 for n in bad):
-            bad.append(b)
-    return [(*b, 1) for b in good] + [(*b, 0) for b in bad]
-
-
 def parts(mask: np.ndarray) -> np.ndarray:
     """4-connected parts of a mask, numbered from 1 in row order."""
     out, n = np.zeros(mask.shape, int), 0
@@ -238,6 +189,43 @@ def outline(mask: np.ndarray) -> list[tuple[float, float]]:
     return [(float(x), float(y)) for x, y in corners]
 
 
+def mask_instances(masks: DataFrame, height: int, width: int, least: int = 20) -> DataFrame:
+    """id, inst, n, ring: connected parts of at least ``least`` pixels of masks, numbered in row order, each with its
+    pixels and its closed outline.
+
+    ``masks`` has id and mask, the height * width flags of one tile; tiles are of a bounded size."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for own, flags in zip(batch.column("id").to_pylist(), batch.column("mask").to_pylist(), strict=True):
+                labels = parts(np.array(flags, bool).reshape(height, width))
+                for inst, n in enumerate(np.bincount(labels.ravel()).tolist()[1:], 1):
+                    if n >= least:
+                        out.append((own, inst, n, [{"x": x, "y": y} for x, y in outline(labels == inst)]))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+            yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for (n, t), c in zip((("id", pa.int64()), ("inst", pa.int64()), ("n", pa.int64()), ("ring", pa.list_(point))), columns, strict=True)})
+
+    return masks.select(F.col("id").cast("long").alias("id"), "mask").mapInArrow(run, "id long, inst long, n long, ring array<struct<x:double,y:double>>")
+
+
+def nuclei_instances(maps: DataFrame, height: int, width: int, threshold: float = 0.5) -> DataFrame:
+    """id, px, py, inst of tiles (id, nuclei, horizontal, vertical: height * width numbers each) by ``split_instances``."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for own, *maps_ in zip(*(batch.column(c).to_pylist() for c in ("id", "nuclei", "horizontal", "vertical")), strict=True):
+                labels = split_instances(*(np.array(m, float).reshape(height, width) for m in maps_), threshold)
+                y, x = np.nonzero(labels)
+                rows.append((np.full(len(x), own, np.int64), x, y, labels[y, x]))
+            columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 4
+            yield pa.RecordBatch.from_pydict({n: pa.array(c.astype(np.int64)) for n, c in zip(("id", "px", "py", "inst"), columns, strict=True)})
+
+    return maps.select(F.col("id").cast("long").alias("id"), "nuclei", "horizontal", "vertical").mapInArrow(run, "id long, px long, py long, inst long")
+
+
 def with_model(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
     """Rows of a model: ``load`` runs once in each task and returns a function from batch to batch. Segmentation,
     embedding and classification models, whose weights are not part of this library, plug in here."""

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of its own where the session names none, as in tests."""
+    """spark.checkpoint.dir. Where it is unset and Spark runs on this machine alone, as in tests, a temporary folder is
+    set; a cluster must name one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="cellspark-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="spark-cellspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -24,3 +29,14 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{folder(spark)}/cellspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cached(spark: SparkSession, name: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows that ``make`` gave for this name and key before, from the shared folder, or now. The key should be a
+    digest of all that the rows depend on, such as those of the sources' files."""
+    path = f"{folder(spark)}/cellspark-cache/{name}/{hashlib.sha256(key.encode()).hexdigest()}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -176,29 +176,6 @@ def dedupe_by_distance(cells: DataFrame, least: float = 12.0) -> DataFrame:
     return cells.select("slide_id", "cell_id", "area", "centroid_x", "centroid_y").groupBy("slide_id").applyInPandas(keep, "slide_id string, cell_id long")
 
 
-def _eigen(c: np.ndarray) -> tuple[list[float], list[list[float]]]:
-    """Eigenvalues and vectors by power iteration from equal entries and deflation."""
-    values, vectors = [], []
-    for _ in range(len(c)):
-        v, last = np.full(len(c), 1 / np.sqrt(len(c))), 0.0
-        for _ in range(256):
-            w = c @ v
-            new = float(v @ w / (v @ v))
-            size = float(np.linalg.norm(w))
-            if size < 1e-30:
-                last = new
-                break
-            done, last, v = abs(new - last) < 1e-12, new, w / size
-            if done:
-                break
-        if last < 1e-15:
-            break
-        values.append(last)
-        vectors.append(v.tolist())
-        c = c - last * np.outer(v, v)
-    return values, vectors
-
-
 def spectral(cells: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """(by slide: singular_values, rank90, energy; by cell: u, the left vector, and its quadrant).
 
@@ -211,12 +188,18 @@ def spectral(cells: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame
 
     @F.pandas_udf(kind)
     def decompose(gram: pd.Series) -> pd.DataFrame:
+        if not len(gram):
+            return pd.DataFrame([], columns=["singular_values", "vectors", "rank90", "energy"])
+        values, vectors = np.linalg.eigh(np.stack([np.array(g, float).reshape(len(columns), -1) for g in gram]))
+        vectors = np.swapaxes(vectors, 1, 2)
+        vectors = vectors * np.where(vectors.sum(2, keepdims=True) < 0, -1, 1)  # the sign that a sum of at least 0 has
         out = []
-        for g in gram:
-            values, vectors = _eigen(np.array(g, float).reshape(len(columns), -1))
-            total = sum(values)
-            rank = next((k + 1 for k in range(len(values)) if sum(values[: k + 1]) >= 0.9 * total), len(values))
-            out.append(([float(np.sqrt(v)) for v in values], vectors, rank, sum(values[:rank]) / total if total > 1e-18 else 1.0))
+        for own, rows in zip(values[:, ::-1], vectors[:, ::-1], strict=True):
+            some = own >= 1e-15
+            own, rows = own[some], rows[some]
+            part, total = np.cumsum(own), own.sum()
+            rank = min(int((part < 0.9 * total).sum()) + 1, len(own))
+            out.append((np.sqrt(own).tolist(), rows.tolist(), rank, float(part[rank - 1] / total) if total > 1e-18 else 1.0))
         return pd.DataFrame(out, columns=["singular_values", "vectors", "rank90", "energy"])
 
     slides = cut(grams.select("slide_id", decompose("gram").alias("d")).select("slide_id", "d.*"))

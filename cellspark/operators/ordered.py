@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,13 +94,37 @@ def radial_walk(cells: DataFrame, steps: int = 50) -> DataFrame:
 
 
 def sliding_count(df: DataFrame, key: str, ts: str, seconds: int = 60, limit: int = 100) -> DataFrame:
-    """Each row with the calls of its key in the ``seconds`` before it (itself included), whether it is within the
-    limit, and the seconds until the oldest of them leaves the window (at least 1)."""
-    at = F.col(ts).cast("timestamp").cast("double")
-    w = Window.partitionBy(key).orderBy("_t").rangeBetween(-seconds, 0)
-    df = df.withColumn("_t", at)
-    out = df.withColumns({"calls": F.count("*").over(w), "_first": F.min("_t").over(w)})
-    return out.withColumns({"allowed": F.col("calls") <= limit, "retry_after": F.greatest(F.lit(1.0), F.lit(float(seconds)) - (F.col("_t") - F.col("_first")))}).drop("_t", "_first")
+    """Each row with the calls of its key that were allowed in the ``seconds`` before it (both ends included, itself too
+    if it is), whether it is allowed, and the seconds until the oldest of them leaves the window (at least 1).
+
+    Only allowed calls count, so each decision depends on those before it: a key's rows go through a task in the order
+    of time, then of their other columns, and at most ``limit`` times are held. Rows without a time are not allowed and
+    count nothing; a null key is a key."""
+    names = df.columns
+    timed = df.withColumn("_t", F.col(ts).cast("timestamp").cast("double"))
+    shape = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", calls long, allowed boolean, retry_after double"
+
+    def decide(batches):
+        own, held = None, deque()
+        for batch in batches:
+            keys, times, out = batch.column(key).to_pylist(), batch.column("_t").to_pylist(), []
+            for k, t in zip(keys, times, strict=True):
+                if k != own:
+                    own, held = k, deque()
+                if t is None:
+                    out.append((0, False, 1.0))
+                    continue
+                while held and held[0] < t - seconds:
+                    held.popleft()
+                allowed = len(held) < limit
+                if allowed:
+                    held.append(t)
+                out.append((len(held), allowed, max(1.0, seconds - (t - held[0])) if held else 1.0))
+            calls, allowed, retry = zip(*out, strict=True) if out else ((), (), ())
+            found = {"calls": pa.array(calls, pa.int64()), "allowed": pa.array(allowed, pa.bool_()), "retry_after": pa.array(retry, pa.float64())}
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in names} | found)
+
+    return timed.repartition(key).sortWithinPartitions(key, "_t", *[c for c in names if c not in (key, ts)]).mapInArrow(decide, shape)
 
 
 def tiles(images: DataFrame, tile: int = 512, overlap: int = 64) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Neighbours: slides of at most PAIRS cells are joined with themselves; larger ones go over a grid, whose ring of
 neighbouring squares is widened only for the cells that still might have nearer ones outside. Both are exact, ties go
-to the lower id. Fields sum over all pairs of a slide, as they are defined; targets are salted over SALT parts of a
-slide, so that one large slide spreads over the cluster."""
+to the lower id. Gaussian fields meet in squares of REACH sigma: what lies further away adds less than the last bit of
+one term (exp(-REACH**2 / 2) is under 1e-16), so the cost grows with the cells, not with their pairs."""
 
 from __future__ import annotations
 
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from .checkpoints import cut
 
 K = 8
-PAIRS = 2_000
+PAIRS = 100
 PER_SQUARE = 4
-SALT = 16
+REACH = 8.7
 
 
 def _top(pairs: DataFrame, k: int) -> DataFrame:
@@ -102,37 +102,47 @@ def knn_density(cells: DataFrame, edges: DataFrame) -> DataFrame:
     return cells.join(mean, ["slide_id", "cell_id"], "left").withColumn("knn_density", F.coalesce("knn_density", F.lit(0.0)))
 
 
-def rbf_field(cells: DataFrame, sigma: DataFrame | float, first: int | None = None, salt: int = SALT) -> DataFrame:
+def _squares(p: DataFrame, x: str, y: str, side: str, around: int) -> DataFrame:
+    """``p`` with the square (_gx, _gy) of each point, or all within ``around`` squares of it."""
+    at = lambda c: F.floor(F.col(c) / F.col(side))
+    if not around:
+        return p.withColumns({"_gx": at(x), "_gy": at(y)})
+    spread = lambda c: F.explode(F.sequence(at(c) - around, at(c) + around))
+    return p.withColumn("_gx", spread(x)).withColumn("_gy", spread(y))
+
+
+def rbf_field(cells: DataFrame, sigma: DataFrame | float, first: int | None = None) -> DataFrame:
     """slide_id, cell_id, rbf: sum over the other cells of exp(-d2 / (2 sigma^2)), sigma at least 1e-12.
 
     ``sigma`` is one number or (slide_id, sigma); ``first`` limits the sources to so many cells of each
     slide, by id; a task passes on no more of a slide than that.
     """
     p = _points(cells)
+    p = p.withColumn("sigma", F.lit(sigma)) if isinstance(sigma, float) else p.join(sigma, "slide_id")
+    p = p.withColumn("sigma", F.greatest("sigma", F.lit(1e-12))).withColumn("_side", F.col("sigma") * REACH)
     sources = p
     if first is not None:
         rank = F.row_number().over(Window.partitionBy("slide_id").orderBy("cell_id"))
         sources = p.withColumn("_rank", rank).where(F.col("_rank") <= first).drop("_rank")
-    a, b = _sides(p, sources)
-    a = a.withColumn("_salt", F.pmod(F.xxhash64("src"), F.lit(salt)))
-    b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)).cast("array<bigint>")))
-    a = a.withColumn("sigma", F.lit(sigma)) if isinstance(sigma, float) else a.join(sigma, "slide_id")
-    both = a.join(b, ["slide_id", "_salt"])
-    s = F.greatest(F.col("sigma"), F.lit(1e-12))
-    term = F.when(F.col("src") != F.col("dst"), F.exp(-_d2() / (2 * s * s))).otherwise(0.0)
+    a, b = _sides(_squares(p, "x", "y", "_side", 0), _squares(sources, "x", "y", "_side", 1))
+    both = a.drop("_side").withColumnRenamed("src", "cell_id").join(p.select("slide_id", "cell_id", "sigma"), ["slide_id", "cell_id"])
+    both = both.withColumnRenamed("cell_id", "src").join(b.drop("_side"), ["slide_id", "_gx", "_gy"])
+    term = F.when(F.col("src") != F.col("dst"), F.exp(-_d2() / (2 * F.col("sigma") * F.col("sigma")))).otherwise(0.0)
     sums = both.groupBy("slide_id", F.col("src").alias("cell_id")).agg(F.sum(term).alias("rbf"))
     return cells.select("slide_id", "cell_id").join(sums, ["slide_id", "cell_id"], "left").withColumn("rbf", F.coalesce("rbf", F.lit(0.0)))
 
 
 def surface(cells: DataFrame, resolution: int, sigma: float = 1.0) -> DataFrame:
     """Field at the centres of a resolution x resolution grid over each slide's bounding box: slide_id, i, j, value."""
-    p = _points(cells)
+    p = _points(cells).withColumn("_side", F.lit(sigma * REACH))
     box = p.groupBy("slide_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     axis = F.sequence(F.lit(0), F.lit(resolution - 1))
-    grid = box.withColumn("i", F.explode(axis)).withColumn("j", F.explode(axis))
+    grid = box.withColumn("i", F.explode(axis)).withColumn("j", F.explode(axis)).withColumn("_side", F.lit(sigma * REACH))
     grid = grid.withColumns({"gx": F.col("x0") + (F.col("i") + 0.5) * (F.col("x1") - F.col("x0")) / resolution, "gy": F.col("y0") + (F.col("j") + 0.5) * (F.col("y1") - F.col("y0")) / resolution})
     dx, dy = F.col("gx") - F.col("x"), F.col("gy") - F.col("y")
-    return grid.join(p, "slide_id").groupBy("slide_id", "i", "j").agg(F.sum(F.exp(-(dx * dx + dy * dy) / (2 * sigma * sigma))).alias("value"))
+    near = _squares(grid, "gx", "gy", "_side", 1).join(_squares(p, "x", "y", "_side", 0).drop("_side"), ["slide_id", "_gx", "_gy"])
+    sums = near.groupBy("slide_id", "i", "j").agg(F.sum(F.exp(-(dx * dx + dy * dy) / (2 * sigma * sigma))).alias("value"))
+    return grid.select("slide_id", "i", "j").join(sums, ["slide_id", "i", "j"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
 def density_ratios(cells: DataFrame, edges: DataFrame, value: str = "area") -> DataFrame:
@@ -160,7 +170,8 @@ def project(cells: DataFrame, instances: DataFrame, most: float = 64.0, least_io
     the best overlap of at least ``least_iou``; a cell takes its most confident instance, later ones first.
 
     ``cells``: slide_id, cell_id, centroid_x, centroid_y, box. ``instances``: slide_id, inst_id, x, y, box, label,
-    confidence. The distance join meets in squares of side ``most``, the box join only for what is left."""
+    confidence. The distance join meets in squares of side ``most``, and so does the box join of what is left, in all
+    squares that a box touches."""
     square = lambda x, y: (F.floor(F.col(x) / most), F.floor(F.col(y) / most))
     c = cells.select("slide_id", "cell_id", "centroid_x", "centroid_y", F.col("box").alias("cell_box"))
     gx, gy = square("centroid_x", "centroid_y")
@@ -172,7 +183,9 @@ def project(cells: DataFrame, instances: DataFrame, most: float = 64.0, least_io
     from ..functions.ring import iou
 
     left = instances.join(near, ["slide_id", "inst_id"], "left_anti")
-    over = left.join(c, "slide_id").withColumn("iou", iou("box", "cell_box")).where(F.col("iou") >= least_iou)
+    span = lambda box, lo, hi: F.explode(F.sequence(F.floor(F.col(f"{box}.{lo}") / most), F.floor(F.col(f"{box}.{hi}") / most)))
+    touched = lambda t, box: t.withColumn("_gx", span(box, "x0", "x1")).withColumn("_gy", span(box, "y0", "y1"))
+    over = touched(left, "box").join(touched(c, "cell_box"), ["slide_id", "_gx", "_gy"]).withColumn("iou", iou("box", "cell_box")).where(F.col("iou") >= least_iou)
     over = over.groupBy("slide_id", "inst_id").agg(F.max(F.struct("iou", -F.col("cell_id"), "cell_id")).alias("m")).select("slide_id", "inst_id", F.col("m.cell_id").alias("cell_id"))
     hit = near.union(over).join(instances, ["slide_id", "inst_id"])
     best = hit.groupBy("slide_id", "cell_id").agg(F.max(F.struct("confidence", "inst_id", "label")).alias("m")).select("slide_id", "cell_id", F.col("m.label").alias("label"), F.col("m.confidence").alias("confidence"))

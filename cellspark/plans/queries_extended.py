@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels, ring, score
 from ..operators import graph, ordered, spatial
-from ..sources.fixtures import CELLS_SQL, POINTS_SQL, cells_embed, points_parts
+from ..sources.fixtures import CELLS_SQL, FOLLOW_SQL, POINTS_SQL, cells_embed, followers, points_parts
 from . import enrich
 from .queries_geometry import KNN_SQL, r, rounded
 
@@ -68,7 +68,7 @@ def _(spark, d):
 @query(
     "radial_walk",
     f"""WITH RECURSIVE {POINTS_SQL}, w AS (SELECT slide_id, 0 AS step, min(cell_id) AS cell_id, [min(cell_id)] AS seen FROM pts GROUP BY slide_id
-    UNION ALL SELECT w.slide_id, w.step+1, n.c, list_append(w.seen, n.c) FROM w JOIN pts a ON a.slide_id=w.slide_id AND a.cell_id=w.cell_id, LATERAL (SELECT arg_min(b.cell_id, (b.centroid_x-a.centroid_x)*(b.centroid_x-a.centroid_x)+(b.centroid_y-a.centroid_y)*(b.centroid_y-a.centroid_y) + b.cell_id*1e-9) AS c FROM pts b WHERE b.slide_id=w.slide_id AND NOT list_contains(w.seen, b.cell_id)) n WHERE w.step<20 AND n.c IS NOT NULL)
+    UNION ALL SELECT w.slide_id, w.step+1, n.c, list_append(w.seen, n.c) FROM w JOIN pts a ON a.slide_id=w.slide_id AND a.cell_id=w.cell_id, LATERAL (SELECT arg_min(b.cell_id, (b.centroid_x-a.centroid_x)*(b.centroid_x-a.centroid_x)+(b.centroid_y-a.centroid_y)*(b.centroid_y-a.centroid_y) + b.cell_id*1e-9) AS c FROM pts b WHERE b.slide_id=w.slide_id AND NOT list_contains(w.seen, b.cell_id)) n WHERE w.step<50 AND n.c IS NOT NULL)
     SELECT slide_id, step, cell_id FROM w""",
 )
 def _(spark, d):
@@ -84,11 +84,21 @@ def _(spark, d):
     return rounded(graph.laplacian_loss(spatial.knn(p, 4).withColumn("weight", F.lit(0.5)), feats, ["f1", "f2"]), "loss", digits=4)
 
 
-@query("constrained_weights", None)
+@query(
+    "constrained_weights",
+    f"""WITH RECURSIVE {POINTS_SQL}, {KNN_SQL.format(t='pts', k=8)}, few AS (SELECT * FROM pts QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY cell_id)<=30),
+    g AS (SELECT e.slide_id, list(pow((a.area-b.area)/100,2)+pow((a.centroid_x-b.centroid_x)/100,2) ORDER BY src, dst) AS g FROM edges e JOIN few a ON a.slide_id=e.slide_id AND a.cell_id=src JOIN few b ON b.slide_id=e.slide_id AND b.cell_id=dst GROUP BY e.slide_id),
+    s AS (SELECT slide_id, g, list_transform(g, lambda x: 1.0::double) AS w, 'inf'::double AS prev, 0 AS i, false AS done FROM g
+      UNION ALL SELECT slide_id, g, CASE WHEN done THEN w WHEN t>1e6 THEN list_transform(n, lambda x: x*1e6/t) WHEN t<0.1 THEN list_transform(n, lambda x: x*0.1/greatest(t,1e-18)) ELSE n END, loss, i+1, done FROM
+        (SELECT *, list_sum(n) AS t FROM (SELECT *, abs(prev-loss)<1e-6 AS done, list_transform(list_zip(w,g), lambda z: least(10,greatest(0,z[1]-0.001*(z[2]+0.02*z[1])))) AS n FROM
+          (SELECT slide_id, g, w, prev, i, list_sum(list_transform(list_zip(w,g), lambda z: z[1]*z[2]+0.01*z[1]*z[1])) AS loss FROM s WHERE NOT done AND i<200)))),
+    z AS (SELECT slide_id, arg_max(done,i) AS done, max(i) AS i, arg_max(prev,i) AS prev, arg_max(w,i) AS w, any_value(g) AS g FROM s GROUP BY slide_id)
+    SELECT slide_id, {r('CASE WHEN done THEN prev ELSE list_sum(list_transform(list_zip(w,g), lambda z: z[1]*z[2]+0.01*z[1]*z[1])) END',4)} AS loss, i::bigint AS rounds FROM z""",
+)
 def _(spark, d):
     """O183-O185: projected gradient descent on the first cells of each slide."""
     p = points_parts(spark, d).withColumns({"f1": F.col("area") / 100, "f2": F.col("centroid_x") / 100})
-    return rounded(graph.constrained_weights(spatial.knn(p), p, ["f1", "f2"]), "loss")
+    return rounded(graph.constrained_weights(spatial.knn(p), p, ["f1", "f2"]), "loss", digits=4)
 
 
 @query(
@@ -129,12 +139,21 @@ def _(spark, d):
     return rounded(rounded(graph.tissue_iq(p, m, "phenotype"), "cv_iq"), "mean_iq", "std_iq", digits=9)
 
 
-@query("spectral_embedding", None)
+#: Eigenvalues e1 >= e2 >= e3 of the slides' matrices of products (a..f), by the closed form for three columns.
+_EIGEN = f"""WITH {CELLS_SQL}, m AS (SELECT slide_id, sum(area*area/100) a, sum(circularity*circularity) b, sum(eccentricity*eccentricity) c, sum(area/10*circularity) d, sum(circularity*eccentricity) e, sum(area/10*eccentricity) f FROM g GROUP BY ALL),
+q AS (SELECT *, (a+b+c)/3 AS q FROM m), p AS (SELECT *, sqrt((pow(a-q,2)+pow(b-q,2)+pow(c-q,2)+2*(d*d+e*e+f*f))/6) AS p FROM q),
+t AS (SELECT *, acos(greatest(-1,least(1,((a-q)*((b-q)*(c-q)-e*e)-d*(d*(c-q)-e*f)+f*(d*e-(b-q)*f))/(2*p*p*p))))/3 AS t FROM p),
+ev AS (SELECT *, q+2*p*cos(t) AS e1, q+2*p*cos(t+2*pi()/3) AS e3, 3*q-(q+2*p*cos(t))-(q+2*p*cos(t+2*pi()/3)) AS e2 FROM t),
+rk AS (SELECT *, CASE WHEN e1>=0.9*(e1+e2+e3) THEN 1 WHEN e1+e2>=0.9*(e1+e2+e3) THEN 2 ELSE 3 END AS rank90 FROM ev)"""
+
+
+@query("spectral_embedding", _EIGEN + f" SELECT slide_id, {r('e1+e2+e3', 3)} AS energy, {r('sqrt(e1)', 4)} AS s1, {r('sqrt(e2)', 4)} AS s2, {r('sqrt(e3)', 4)} AS s3, rank90 FROM rk")
 def _(spark, d):
     """O186-O189, O198: singular values and rank by slide."""
     c = enrich.shape(cells_embed(spark, d)).select("slide_id", "cell_id", "circularity", "eccentricity", (F.col("area") / 10).alias("a10"))
     slides, _ = graph.spectral(c, ["a10", "circularity", "eccentricity"])
-    return slides.select("slide_id", (F.round(F.expr("aggregate(singular_values, 0D, (t, s) -> t + s * s)"), 3) + 0.0).alias("energy"), F.col("rank90"))
+    out = slides.select("slide_id", (F.round(F.expr("aggregate(singular_values, 0D, (t, s) -> t + s * s)"), 3) + 0.0).alias("energy"), *[F.col("singular_values")[i].alias(f"s{i + 1}") for i in range(3)], F.col("rank90"))
+    return rounded(out, "s1", "s2", "s3", digits=4)
 
 
 @query("spectral_energy", f"WITH {CELLS_SQL} SELECT slide_id, {r('sum(area*area/100+circularity*circularity+eccentricity*eccentricity)',3)} AS energy FROM g GROUP BY slide_id")
@@ -143,7 +162,17 @@ def _(spark, d):
     return QUERIES["spectral_embedding"](spark, d).select("slide_id", "energy")
 
 
-@query("orthogonal_pairs", None)
+@query(
+    "orthogonal_pairs",
+    # the projection on an eigenvector is the product of (M - other values) over the differences; M (a, d, f; d, b, e; f, e, c)
+    _EIGEN + f""", w AS (SELECT g.slide_id, cell_id, area/10 AS x, circularity AS y, eccentricity AS z, rk.* EXCLUDE (slide_id) FROM g JOIN rk USING (slide_id)),
+    mw AS (SELECT *, a*x+d*y+f*z AS mx, d*x+b*y+e*z AS my, f*x+e*y+c*z AS mz FROM w),
+    u AS (SELECT *, mx-e1*x AS x1, my-e1*y AS y1, mz-e1*z AS z1, mx-e2*x AS x2, my-e2*y AS y2, mz-e2*z AS z2, mx-e3*x AS x3, my-e3*y AS y3, mz-e3*z AS z3 FROM mw),
+    dt AS (SELECT s.slide_id, s.cell_id AS a, t.cell_id AS b, (s.x2*t.x3+s.y2*t.y3+s.z2*t.z3)/((s.e1-s.e2)*(s.e1-s.e3)*s.e1)
+      + CASE WHEN s.rank90>1 THEN (s.x1*t.x3+s.y1*t.y3+s.z1*t.z3)/((s.e2-s.e1)*(s.e2-s.e3)*s.e2) ELSE 0 END + CASE WHEN s.rank90>2 THEN (s.x1*t.x2+s.y1*t.y2+s.z1*t.z2)/((s.e3-s.e1)*(s.e3-s.e2)*s.e3) ELSE 0 END AS dot
+      FROM u s JOIN u t ON s.slide_id=t.slide_id AND s.cell_id<t.cell_id)
+    SELECT slide_id, a, b, {r('dot')} AS dot FROM dt WHERE abs(dot)<=0.01""",
+)
 def _(spark, d):
     """O133, O188: nearly orthogonal pairs and quadrants."""
     c = enrich.shape(cells_embed(spark, d)).select("slide_id", "cell_id", "circularity", "eccentricity", (F.col("area") / 10).alias("a10"))
@@ -189,22 +218,28 @@ def _(spark, d):
     f"""WITH {POINTS_SQL}, m AS (SELECT slide_id, cell_id%3=0 AS f, count(*) n, avg(centroid_x/100) ma, avg(area/100) mb, var_pop(centroid_x/100) va, var_pop(area/100) vb, covar_pop(centroid_x/100,area/100) cab FROM pts GROUP BY ALL),
     b AS (SELECT p.slide_id, -3+6.0*i/6 AS alpha, -3+6.0*j/6 AS beta, pi()*t/6 AS theta, i, j, t, p.ma-q.ma AS da, p.mb-q.mb AS db, p.va+q.va AS va, p.vb+q.vb AS vb, p.cab+q.cab AS cab FROM m p JOIN m q ON p.slide_id=q.slide_id AND p.f AND NOT q.f AND p.n>=2 AND q.n>=2, (SELECT unnest(range(7)) i), (SELECT unnest(range(7)) j), (SELECT unnest(range(7)) t)),
     s AS (SELECT *, CASE WHEN sqrt(greatest((alpha*alpha*va+beta*beta*vb+2*alpha*beta*cab)*cos(theta)*cos(theta),0))>1e-12 THEN round(abs(alpha*da+beta*db)*abs(cos(theta))/sqrt(greatest((alpha*alpha*va+beta*beta*vb+2*alpha*beta*cab)*cos(theta)*cos(theta),0)),9) ELSE 0 END AS s FROM b)
-    SELECT slide_id, {r('max(s)',6)} AS separation FROM s GROUP BY slide_id""",
+    SELECT slide_id, {r('alpha')} AS alpha, {r('beta')} AS beta, {r('theta')} AS theta, {r('s',6)} AS separation FROM s QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY s DESC, i, j, t)=1""",
 )
 def _(spark, d):
     """O173: grid search for the best projection."""
     p = points_parts(spark, d).withColumns({"a": F.col("centroid_x") / 100, "b": F.col("area") / 100, "f": F.col("cell_id") % 3 == 0})
-    return rounded(graph.best_axis(p, "a", "b", "f").select("slide_id", "separation"), "separation")
+    return rounded(graph.best_axis(p, "a", "b", "f"), "alpha", "beta", "theta", "separation")
 
 
-@query("sliding_counter", f"SELECT event_id, count(*) OVER w AS calls, count(*) OVER w<=3 AS allowed, {r('greatest(1,86400-(epoch(ts)-epoch(min(ts) OVER w)))',3)} AS retry_after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW)")
+@query(
+    "sliding_counter",
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    c AS (SELECT user_id, 0::bigint AS i, 0::bigint AS event_id, []::double[] AS held, false AS allowed, 0::double AS t FROM e GROUP BY user_id
+    UNION ALL SELECT user_id, i, event_id, CASE WHEN len(live)<3 THEN list_append(live, t) ELSE live END, len(live)<3, t FROM (SELECT e.user_id, e.i, e.event_id, e.t, list_filter(c.held, lambda h: h>=e.t-86400) AS live FROM c JOIN e ON e.user_id=c.user_id AND e.i=c.i+1))
+    SELECT event_id, len(held)::bigint AS calls, allowed, {r('greatest(1,86400-(t-held[1]))',3)} AS retry_after FROM c WHERE i>0""",
+)
 def _(spark, d):
-    """O250, O251: calls of a key in a sliding window, and when the oldest leaves it."""
+    """O250, O251: allowed calls of a key in a sliding window, and when the oldest leaves it."""
     out = ordered.sliding_count(_table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 86400, 3)
     return rounded(out.select("event_id", "calls", "allowed", "retry_after"), "retry_after", digits=3)
 
 
-_IMG = "img AS (SELECT p_partkey AS id, 300+p_partkey*37%1500 AS width, 200+p_partkey*53%1200 AS height FROM part WHERE p_partkey%20=0)"
+_IMG = "img AS (SELECT p_partkey AS id, 300+p_partkey*37%1500 AS width, 200+p_partkey*53%1200 AS height FROM part)"
 _S = "list_distinct(list_append(list_filter(range(0, {n}, 448), lambda v: v<=greatest(0,{n}-512)), greatest(0,{n}-512)))"
 
 
@@ -230,7 +265,15 @@ def _(spark, d):
     return ordered.to_uint8(points_parts(spark, d), "slide_id", "centroid_x").select("slide_id", "cell_id", "u8")
 
 
-@query("nms", None)
+#: One row for each step of a greedy choice: ``ok`` says whether candidate i joins what is held.
+_GREEDY = """c AS (SELECT slide_id, cell_id, x, y, h, row_number() OVER (PARTITION BY slide_id ORDER BY area DESC, cell_id) AS i FROM (SELECT slide_id, cell_id, area, centroid_x AS x, centroid_y AS y, sqrt(area/pi()) AS h FROM pts)),
+    s AS (SELECT slide_id, 0::bigint AS i, []::struct(x double, y double, h double)[] AS held, false AS kept, 0::bigint AS cell_id FROM pts GROUP BY slide_id
+      UNION ALL SELECT slide_id, i, CASE WHEN ok THEN list_append(held, struct_pack(x:=x, y:=y, h:=h)) ELSE held END, ok, cell_id FROM
+        (SELECT c.slide_id, c.i, c.cell_id, c.x, c.y, c.h, s.held, len(list_filter(s.held, lambda k: {clash}))=0 AS ok FROM s JOIN c ON c.slide_id=s.slide_id AND c.i=s.i+1))"""
+_BOTH = "(greatest(0,least(c.x+c.h,k.x+k.h)-greatest(c.x-c.h,k.x-k.h))*greatest(0,least(c.y+c.h,k.y+k.h)-greatest(c.y-c.h,k.y-k.h)))"
+
+
+@query("nms", f"""WITH RECURSIVE {POINTS_SQL}, {_GREEDY.format(clash=f'{_BOTH}>0.3*(4*c.h*c.h+4*k.h*k.h-{_BOTH})')} SELECT slide_id AS "group", cell_id AS id FROM s WHERE kept""")
 def _(spark, d):
     """O138: greedy suppression of overlapping boxes."""
     p = points_parts(spark, d)
@@ -239,44 +282,49 @@ def _(spark, d):
     return graph.suppress(b)
 
 
-@query("dedupe_by_distance", None)
+@query("dedupe_by_distance", f"WITH RECURSIVE {POINTS_SQL}, {_GREEDY.format(clash='(c.x-k.x)*(c.x-k.x)+(c.y-k.y)*(c.y-k.y)<1600')} SELECT slide_id, cell_id FROM s WHERE kept")
 def _(spark, d):
     """O137: cells kept by area whose centroids are apart."""
     return graph.dedupe_by_distance(points_parts(spark, d), 40.0)
 
 
-@query("fft_energy", f"WITH {CELLS_SQL} SELECT slide_id, cell_id, {r('32*sum(x*x+y*y)',2)} AS energy FROM v GROUP BY ALL")
+#: Power of each frequency, by an explicit transform, in single precision.
+SPECTRUM_SQL = f"""WITH {CELLS_SQL}, sp AS (SELECT slide_id, cell_id, k, cast(cast(pow(sum(x*cos(2*pi()*i*k/32)+y*sin(2*pi()*i*k/32)),2)+pow(sum(y*cos(2*pi()*i*k/32)-x*sin(2*pi()*i*k/32)),2) AS float) AS double) AS power FROM v, (SELECT unnest(range(32)) AS k) GROUP BY ALL)"""
+
+
+@query("fft_energy", SPECTRUM_SQL + f" SELECT slide_id, cell_id, k, {r('power', 3)} AS power FROM sp")
 def _(spark, d):
-    """O092, O101, O271: the spectrum's energy is that of the ring (Parseval)."""
-    c = cells_embed(spark, d).withColumn("s", kernels.spectrum_udf("ring"))
-    return c.select("slide_id", "cell_id", (F.round(F.expr("aggregate(s, 0D, (t, x) -> t + x)"), 2) + 0.0).alias("energy"))
+    """O092, O101, O271: the power of each frequency of a ring."""
+    c = cells_embed(spark, d).select("slide_id", "cell_id", F.posexplode(kernels.spectrum_udf("ring")).alias("k", "power"))
+    return rounded(c, "power", digits=3)
 
 
-@query("low_pass_mean", f"WITH {CELLS_SQL} SELECT slide_id, cell_id, {r('avg(x)')} AS x, {r('avg(y)')} AS y FROM v GROUP BY ALL")
+@query("low_pass_mean", f"WITH {CELLS_SQL} SELECT a.slide_id, a.cell_id, a.i, {r('sum(b.x*w)')} AS x, {r('sum(b.y*w)')} AS y FROM v a JOIN v b ON a.cell_id=b.cell_id, LATERAL (SELECT (1+2*(cos(t)+cos(2*t)+cos(3*t)+cos(4*t)+cos(5*t)))/32 AS w FROM (SELECT 2*pi()*(a.i-b.i)/32 AS t)) GROUP BY ALL")
 def _(spark, d):
-    """O091, O093, O104: smoothing keeps the mean."""
-    x, y = ring.vertex_mean("low")
-    c = cells_embed(spark, d).withColumn("low", kernels.low_pass(6)("ring"))
-    return rounded(c.select("slide_id", "cell_id", x.alias("x"), y.alias("y")), "x", "y")
+    """O091, O093, O104: every vertex of a ring without its frequencies from six on."""
+    c = cells_embed(spark, d).select("slide_id", "cell_id", F.posexplode(kernels.low_pass(6)("ring")).alias("i", "p"))
+    return rounded(c.select("slide_id", "cell_id", "i", F.col("p.x").alias("x"), F.col("p.y").alias("y")), "x", "y")
 
 
 @query(
     "cyclic_convolution",
-    f"""WITH {CELLS_SQL}, p AS (SELECT a.cell_id AS a, b.cell_id AS b FROM cells a JOIN cells b ON a.slide_id=b.slide_id AND b.cell_id=a.cell_id+10)
-    SELECT a, b, {r('(sum(x.x) OVER () - sum(x.x) OVER ())')} AS zero FROM p JOIN v x ON x.cell_id=a AND x.i=0""",
+    f"""WITH {CELLS_SQL}, {FOLLOW_SQL}, n AS (SELECT unnest(range(32)) AS i)
+    SELECT fo.a, fo.b, n.i, {r('sum(p.x*q.x-p.y*q.y)')} AS x, {r('sum(p.x*q.y+p.y*q.x)')} AS y FROM fo JOIN v p ON p.cell_id=fo.a JOIN v q ON q.cell_id=fo.b JOIN n ON n.i=(p.i+q.i)%32 GROUP BY ALL""",
 )
 def _(spark, d):
-    """O103, O105: convolution of the rings of cells ten ids apart: its sum is the product of the sums."""
-    c = cells_embed(spark, d)
-    p = c.toDF("slide_id", "a", "ra").join(c.toDF("slide_id", "b", "rb").withColumn("a", F.col("b") - 10), ["slide_id", "a"])
-    p = p.withColumn("c", kernels.convolve_udf("ra", "rb"))
-    t = {k: F.expr(ring.total(f"transform({n}, q -> q.{x})")) for k, n, x in (("ax", "ra", "x"), ("ay", "ra", "y"), ("bx", "rb", "x"), ("by", "rb", "y"), ("cx", "c", "x"))}
-    return p.select("a", "b", (F.round(t["cx"] - (t["ax"] * t["bx"] - t["ay"] * t["by"]), 6) + 0.0).alias("zero"))
+    """O103, O105: cyclic convolution of the rings of each cell and the next one of its slide."""
+    out = followers(cells_embed(spark, d)).select("a", "b", F.posexplode(kernels.convolve_udf("ra", "rb")).alias("i", "p"))
+    return rounded(out.select("a", "b", "i", F.col("p.x").alias("x"), F.col("p.y").alias("y")), "x", "y")
 
 
-@query("kappa", f"""WITH {CELLS_SQL}, k AS (SELECT slide_id, cell_id, i, x-mx AS x, y-my AS y FROM v JOIN s USING (slide_id, cell_id)), f AS (SELECT a.slide_id, a.cell_id, a.i, sum(b.x*w) AS x, sum(b.y*w) AS y FROM k a JOIN (SELECT *, unnest(range(32)) AS j FROM k) b ON a.cell_id=b.cell_id AND a.i=b.j,
+#: kappa of each ring, by an explicit transform.
+KAPPA_SQL = f"""WITH {CELLS_SQL}, k AS (SELECT slide_id, cell_id, i, x-mx AS x, y-my AS y FROM v JOIN s USING (slide_id, cell_id)), f AS (SELECT a.slide_id, a.cell_id, a.i, sum(b.x*w) AS x, sum(b.y*w) AS y FROM k a JOIN (SELECT *, unnest(range(32)) AS j FROM k) b ON a.cell_id=b.cell_id AND a.i=b.j,
 LATERAL (SELECT (1+2*cos(2*pi()*(a.i-b.i)/32)+2*cos(4*pi()*(a.i-b.i)/32)+2*cos(6*pi()*(a.i-b.i)/32))/32 AS w) GROUP BY ALL),
-c2 AS (SELECT slide_id, cell_id, sum(x*x)/31 xx, sum(y*y)/31 yy, sum(x*y)/31 xy FROM f GROUP BY ALL) SELECT slide_id, cell_id, round(least(1,greatest(0,1-((xx+yy)/2+sqrt(greatest((xx+yy)*(xx+yy)/4-(xx*yy-xy*xy),0)))/(xx+yy))),3)+0.0 AS kappa FROM c2""")
+c2 AS (SELECT slide_id, cell_id, sum(x*x)/31 xx, sum(y*y)/31 yy, sum(x*y)/31 xy FROM f GROUP BY ALL),
+kk AS (SELECT slide_id, cell_id, round(least(1,greatest(0,1-((xx+yy)/2+sqrt(greatest((xx+yy)*(xx+yy)/4-(xx*yy-xy*xy),0)))/(xx+yy))),3)+0.0 AS kappa FROM c2)"""
+
+
+@query("kappa", KAPPA_SQL + " SELECT slide_id, cell_id, kappa FROM kk")
 def _(spark, d):
     """O090, O096, O097: kappa of rings (low-pass below frequency 4), against an explicit transform."""
     return cells_embed(spark, d).select("slide_id", "cell_id", (F.round(kernels.kappa_of(4)("ring"), 3) + 0.0).alias("kappa"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels, ring, score
 from ..operators import spatial
-from ..sources.fixtures import CELLS_SQL, POINTS_SQL, cells_embed, cells_parts, points_parts
+from ..sources.fixtures import CELLS_SQL, HULL_SQL, POINTS_SQL, cells_embed, cells_parts, points_parts
 from . import enrich
 
 QUERIES: dict = {}
@@ -76,15 +76,17 @@ _HU = """
 m AS (SELECT slide_id, cell_id, sum(pow(x-mx,2))/pow(32,2) AS n20, sum(pow(y-my,2))/pow(32,2) AS n02, sum((x-mx)*(y-my))/pow(32,2) AS n11,
              sum(pow(x-mx,3))/pow(32,2.5) AS n30, sum(pow(y-my,3))/pow(32,2.5) AS n03, sum(pow(x-mx,2)*(y-my))/pow(32,2.5) AS n21, sum((x-mx)*pow(y-my,2))/pow(32,2.5) AS n12
       FROM v JOIN s USING (slide_id, cell_id) GROUP BY ALL),
-h AS (SELECT slide_id, cell_id, n20+n02 AS h1, pow(n20-n02,2)+4*n11*n11 AS h2, pow(n30-3*n12,2)+pow(3*n21-n03,2) AS h3, pow(n30+n12,2)+pow(n21+n03,2) AS h4 FROM m)
+o AS (SELECT *, n30+n12 AS a, n21+n03 AS b, n30-3*n12 AS c, 3*n21-n03 AS d FROM m),
+h AS (SELECT slide_id, cell_id, n20+n02 AS h1, pow(n20-n02,2)+4*n11*n11 AS h2, c*c+d*d AS h3, a*a+b*b AS h4,
+             c*a*(a*a-3*b*b)+d*b*(3*a*a-b*b) AS h5, (n20-n02)*(a*a-b*b)+4*n11*a*b AS h6, d*a*(a*a-3*b*b)-c*b*(3*a*a-b*b) AS h7 FROM o)
 """
 
 
-@query("ring_hu_moments", f"WITH {CELLS_SQL}, {_HU} SELECT slide_id, cell_id, {', '.join(r(f'-log10(abs(h{i}))', 4) + f' AS hu{i}' for i in range(1, 5))} FROM h")
+@query("ring_hu_moments", f"WITH {CELLS_SQL}, {_HU} SELECT slide_id, cell_id, {', '.join(r(f'-log10(abs(h{i}))', 4) + f' AS hu{i}' for i in range(1, 8))} FROM h")
 def _(spark, d):
-    """O074: Hu invariants (the first four are compared)."""
+    """O074: all seven Hu invariants."""
     c = cells_embed(spark, d).select("slide_id", "cell_id", ring.hu_moments().alias("h"))
-    return rounded(c.select("slide_id", "cell_id", *[F.col("h")[i].alias(f"hu{i + 1}") for i in range(4)]), "hu1", "hu2", "hu3", "hu4", digits=4)
+    return rounded(c.select("slide_id", "cell_id", *[F.col("h")[i].alias(f"hu{i + 1}") for i in range(7)]), *[f"hu{i}" for i in range(1, 8)], digits=4)
 
 
 @query("ring_bbox", f"WITH {CELLS_SQL} SELECT slide_id, cell_id, {r('x0')} AS x0, {r('y0')} AS y0, {r('x1')} AS x1, {r('y1')} AS y1 FROM g")
@@ -168,7 +170,11 @@ def _(spark, d):
     return c.select("cell_id", F.size("ring").alias("vertices"), (F.round(ring.area(), 1) + 0.0).alias("area"))
 
 
-@query("ring_hull", None)
+_SOLID = """, pp AS (SELECT cell_id AS k, x, y FROM v), """ + HULL_SQL.format(t="pp", out="hh") + """, hs AS (SELECT k AS cell_id, sum(ax*byy-bx*ay)/2 AS ha, sum(sqrt((bx-ax)*(bx-ax)+(byy-ay)*(byy-ay))) AS hp FROM hh GROUP BY k),
+n AS (SELECT g.*, greatest(0,least(1,area/ha)) AS solidity, least(1,hp/perimeter) AS convexity, CASE WHEN l2<=1e-18 THEN 1 ELSE greatest(1,l1/l2) END AS aspect_ratio FROM g JOIN hs USING (cell_id))"""
+
+
+@query("ring_hull", f"WITH {CELLS_SQL}{_SOLID} SELECT slide_id, cell_id, {r('solidity')} AS solidity, {r('convexity')} AS convexity, {r('aspect_ratio')} AS aspect_ratio FROM n")
 def _(spark, d):
     """O075, O076: hull size, solidity and convexity of each ring."""
     return rounded(enrich.nodes(cells_embed(spark, d)).select("slide_id", "cell_id", "solidity", "convexity", "aspect_ratio"), "solidity", "convexity", "aspect_ratio")
@@ -236,7 +242,7 @@ def _(spark, d):
     return rounded(spatial.rbf_field(p, enrich.medians(p).select("slide_id", "sigma")), "rbf")
 
 
-@query("rbf_field_blocked", f"WITH {POINTS_SQL} SELECT a.slide_id, a.cell_id, {r('coalesce(sum(exp(-((a.centroid_x-b.centroid_x)*(a.centroid_x-b.centroid_x)+(a.centroid_y-b.centroid_y)*(a.centroid_y-b.centroid_y))/(2*50.0*50.0))),0)')} AS rbf FROM pts a LEFT JOIN pts b ON a.slide_id=b.slide_id AND a.cell_id<>b.cell_id AND b.cell_id<1000 GROUP BY ALL")
+@query("rbf_field_blocked", f"WITH {POINTS_SQL}, few AS (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY cell_id) AS k FROM pts) SELECT a.slide_id, a.cell_id, {r('coalesce(sum(exp(-((a.centroid_x-b.centroid_x)*(a.centroid_x-b.centroid_x)+(a.centroid_y-b.centroid_y)*(a.centroid_y-b.centroid_y))/(2*50.0*50.0))),0)')} AS rbf FROM pts a LEFT JOIN few b ON a.slide_id=b.slide_id AND a.cell_id<>b.cell_id AND b.k<=3072 GROUP BY ALL")
 def _(spark, d):
     """O129: the field of the first 3,072 cells of each slide."""
     return rounded(spatial.rbf_field(points_parts(spark, d), 50.0, first=3072), "rbf")
@@ -271,12 +277,22 @@ def _(spark, d):
     return rounded(out, "score", "knn_density", "rbf_risk_score")
 
 
-@query("enrich_flagship", None)
+_FLAG = ["area", "perimeter", "circularity", "eccentricity", "knn_density", "rbf_risk_score", "score", "distance_to_tumor_edge"]
+
+
+@query(
+    "enrich_flagship",
+    SCORE_SQL + f""", lab AS (SELECT sc.*, g.perimeter, CASE WHEN score>0.35 OR gate THEN 'Malignant' ELSE 'Normal' END AS clinical FROM sc JOIN g USING (slide_id, cell_id)),
+    bad AS (SELECT slide_id AS k, centroid_x AS x, centroid_y AS y FROM lab WHERE clinical='Malignant'), {HULL_SQL.format(t='bad', out='hh')},
+    far AS (SELECT slide_id, cell_id, sqrt(min(pow(centroid_x-ax-t*(bx-ax),2)+pow(centroid_y-ay-t*(byy-ay),2))) AS dist FROM (SELECT *, greatest(0,least(1,((centroid_x-ax)*(bx-ax)+(centroid_y-ay)*(byy-ay))/((bx-ax)*(bx-ax)+(byy-ay)*(byy-ay)))) AS t FROM lab JOIN hh ON k=slide_id) GROUP BY ALL),
+    one AS (SELECT k, any_value(x) AS x, any_value(y) AS y FROM hh_d GROUP BY k HAVING count(*)=1)
+    SELECT slide_id, cell_id, {r('area')} AS area, {r('perimeter')} AS perimeter, {r('circularity')} AS circularity, {r('eccentricity')} AS eccentricity, {r('knn_density')} AS knn_density, {r('rbf')} AS rbf_risk_score, {r('score')} AS score,
+    {r('coalesce(dist, sqrt(pow(centroid_x-one.x,2)+pow(centroid_y-one.y,2)), 0)')} AS distance_to_tumor_edge, clinical FROM lab LEFT JOIN far USING (slide_id, cell_id) LEFT JOIN one ON one.k=slide_id""",
+)
 def _(spark, d):
     """O030, O261: the whole plan with the distance to the malignant hull."""
     out = enrich.enrich(cells_embed(spark, d))
-    keep = ["area", "perimeter", "circularity", "eccentricity", "knn_density", "rbf_risk_score", "score", "distance_to_tumor_edge"]
-    return rounded(out.select("slide_id", "cell_id", *keep, "clinical"), *keep)
+    return rounded(out.select("slide_id", "cell_id", *_FLAG, "clinical"), *_FLAG)
 
 
 @query(

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import imaging, kernels, ring, sql, status
-from ..operators import graph, ordered, spatial, stats
+from ..operators import exemplars, graph, ordered, spatial, stats
 from ..sources.annotations import slabs
-from ..sources.fixtures import CELLS_SQL, cells_embed, cells_parts, points_parts
+from ..sources.fixtures import CELLS_SQL, FOLLOW_SQL, PARTS_SQL, cells_embed, cells_parts, followers, points_parts
 from . import enrich
-from .queries_geometry import r, rounded
+from .queries_extended import KAPPA_SQL, SPECTRUM_SQL
+from .queries_geometry import _SOLID, r, rounded
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -64,7 +65,7 @@ def _(spark, d):
     return rounded(imaging.fields(spark, 64, 0.4, 20.0, 30.0, 5.0, 2.0), "strain", "load")
 
 
-_TRI = "rg AS (SELECT p_partkey AS cell_id, p_size/2.0 AS h, cast(p_partkey*7919%1000 AS double)+0.25 AS cx, cast(p_partkey*104729%1000 AS double)+0.25 AS cy FROM part WHERE p_partkey%10=0)"
+_TRI = "rg AS (SELECT p_partkey AS cell_id, p_size/2.0 AS h, cast(p_partkey*7919%1000 AS double)+0.25 AS cx, cast(p_partkey*104729%1000 AS double)+0.25 AS cy FROM part)"
 
 
 def _squares(spark, d):
@@ -80,12 +81,17 @@ def _(spark, d):
     return imaging.rasterized(_squares(spark, d)).groupBy("cell_id").agg(F.count("*").alias("pixels"))
 
 
-@query("instance_info", f"WITH {_TRI}, q AS (SELECT cell_id, ceil(cx-h-0.5) x0, ceil(cx+h-0.5) x1, ceil(cy-h-0.5) y0, ceil(cy+h-0.5) y1 FROM rg) SELECT cell_id AS inst, cast(x0 AS bigint) AS x0, cast(y0 AS bigint) AS y0, cast(x1 AS bigint) AS x1, cast(y1 AS bigint) AS y1, {r('(x0+x1-1)/2')} AS cx, {r('(y0+y1-1)/2')} AS cy, cast((x1-x0)*(y1-y0) AS bigint) AS n FROM q")
+@query(
+    "instance_info",
+    f"""WITH {_TRI}, q AS (SELECT cell_id, cast(ceil(cx-h-0.5) AS bigint) x0, cast(ceil(cx+h-0.5) AS bigint) x1, cast(ceil(cy-h-0.5) AS bigint) y0, cast(ceil(cy+h-0.5) AS bigint) y1 FROM rg),
+    t AS (SELECT cell_id, px%3 AS type, count(*)*any_value(y1-y0) AS k FROM (SELECT *, unnest(range(x0,x1)) AS px FROM q) GROUP BY ALL), b AS (SELECT cell_id, arg_max(type, (type<>0)::int*1e12+k*10-type) AS type, arg_max(k, (type<>0)::int*1e12+k*10-type) AS k FROM t GROUP BY cell_id)
+    SELECT cell_id AS inst, x0, y0, x1, y1, {r('(x0+x1-1)/2')} AS cx, {r('(y0+y1-1)/2')} AS cy, (x1-x0)*(y1-y0) AS n, type, {r('k/((x1-x0)*(y1-y0)+1e-6)')} AS prob FROM q JOIN b USING (cell_id)""",
+)
 def _(spark, d):
-    """O236, O293: boxes and centroids of instances."""
+    """O236, O293: boxes, centroids and majority types of instances."""
     p = imaging.rasterized(_squares(spark, d)).withColumnRenamed("cell_id", "inst").withColumn("type", F.col("px") % 3)
-    out = rounded(imaging.instances(p), "cx", "cy")
-    return out.select("inst", *[F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")], "cx", "cy", "n")
+    out = rounded(imaging.instances(p), "cx", "cy", "prob")
+    return out.select("inst", *[F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")], "cx", "cy", "n", F.col("type").cast("long").alias("type"), "prob")
 
 
 @query("majority_type", "SELECT i//100 AS inst, cast(CASE WHEN (i//100)%2=0 THEN 2 ELSE 1 END AS bigint) AS type, round(30/(100+1e-6),6)+0.0 AS prob FROM (SELECT unnest(range(1000)) AS i) GROUP BY ALL")
@@ -131,11 +137,18 @@ def _(spark, d):
     return p.select("id", status.diagnosis("id", "kappa", "clinical").alias("line"))
 
 
-@query("heat_colors", "SELECT p_partkey AS id, cast(CASE WHEN p_size/50.0<0.5 THEN floor(255*p_size/25.0+0.5) ELSE 255 END AS integer) AS red FROM part WHERE p_size%25<>0")
+_RAMP = "CASE WHEN p_size/50.0<0.5 THEN {low} ELSE {high} END"
+
+
+@query(
+    "heat_colors",
+    f"""SELECT p_partkey AS id, cast({_RAMP.format(low='round(255*p_size/25.0)', high='255')} AS integer) AS red, cast({_RAMP.format(low='round(255*p_size/25.0)', high='round(255-255*(p_size-25)/25.0)')} AS integer) AS green,
+    cast({_RAMP.format(low='round(255-255*p_size/25.0)', high='0')} AS integer) AS blue FROM part""",
+)
 def _(spark, d):
     """O213: colour ramps."""
-    p = spark.read.parquet(f"{d}/part.parquet")
-    return p.select(F.col("p_partkey").alias("id"), imaging.heat_color(F.col("p_size") / 50.0)[0].alias("red"))
+    p = spark.read.parquet(f"{d}/part.parquet").withColumn("c", imaging.heat_color(F.col("p_size") / 50.0))
+    return p.select(F.col("p_partkey").alias("id"), *[F.col("c")[i].alias(n) for i, n in enumerate(("red", "green", "blue"))])
 
 
 @query("sql_functions", f"WITH {CELLS_SQL} SELECT slide_id, cell_id, {r('area')} AS area, {r('perimeter')} AS perimeter, {r('circularity')} AS circularity, {r('mx')} AS mean_x FROM g")
@@ -146,7 +159,7 @@ def _(spark, d):
     return rounded(c.withColumn("circularity", F.expr("ring_circularity(area, perimeter)")), "area", "perimeter", "circularity", "mean_x")
 
 
-@query("slab_kappa", None)
+@query("slab_kappa", KAPPA_SQL + " SELECT cast(cell_id AS varchar) AS path, 0 AS slab, kappa FROM kk")
 def _(spark, d):
     """O019, O098, O099: kappa of raw matrices: 64 x 1 blocks of the embeddings' bytes as 32 points."""
     import numpy as np
@@ -166,33 +179,30 @@ def _(spark, d):
 @query("exemplar_boxes", None)
 def _(spark, d):
     """O171, O172, O231, O244: peaks, boxes around them and pale boxes, one tile to a group."""
-    import numpy as np
-    import pandas as pd
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.zeros((64, 64))
-        h[pdf["y"], pdf["x"]] = pdf["h"]
-        rows = [(pdf["id"].iloc[0], *b) for b in imaging.exemplars(h, half=6)]
-        return pd.DataFrame(rows, columns=["id", "x0", "y0", "x1", "y1", "label"])
+    return exemplars.boxes(imaging.hematoxylin(_pixels(spark)), half=6)
 
-    return imaging.hematoxylin(_pixels(spark)).groupBy("id").applyInPandas(find, "id long, x0 double, y0 double, x1 double, y1 double, label int")
 
-
-@query("spectral_distances", None)
+@query(
+    "spectral_distances",
+    SPECTRUM_SQL + f", {FOLLOW_SQL} SELECT fo.slide_id, fo.a, fo.b, {r('sqrt(sum((p.power-q.power)*(p.power-q.power)))', 2)} AS distance FROM fo JOIN sp p ON p.cell_id=fo.a JOIN sp q ON q.cell_id=fo.b AND p.k=q.k AND p.k<8 GROUP BY ALL",
+)
 def _(spark, d):
-    """O102, O105: distances of the first eight spectrum bins among the ten least cells of each slide."""
-    from pyspark.sql import Window
-
-    c = cells_embed(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("slide_id").orderBy("cell_id"))).where("i <= 10").withColumn("s", F.slice(kernels.spectrum_udf("ring"), 1, 8))
-    a, b = c.select("slide_id", F.col("cell_id").alias("a"), F.col("s").alias("sa")), c.select("slide_id", F.col("cell_id").alias("b"), F.col("s").alias("sb"))
+    """O102, O105: distance of the first eight spectrum bins of each cell and the next one of its slide."""
+    bins = lambda c: F.slice(kernels.spectrum_udf(c), 1, 8)
+    p = followers(cells_embed(spark, d)).withColumns({"sa": bins("ra"), "sb": bins("rb")})
     dist = F.sqrt(F.expr("aggregate(zip_with(sa, sb, (x, y) -> (x - y) * (x - y)), 0D, (t, v) -> t + v)"))
-    return rounded(a.join(b, "slide_id").where("a < b").select("slide_id", "a", "b", dist.alias("distance")), "distance", digits=2)
+    return rounded(p.select("slide_id", "a", "b", dist.alias("distance")), "distance", digits=2)
 
 
-@query("node_table", None)
+@query(
+    "node_table",
+    f"WITH {PARTS_SQL}{_SOLID} SELECT slide_id, cell_id, {r('area', 4)} AS area, {r('perimeter', 4)} AS perimeter, {r('circularity', 4)} AS circularity, {r('CASE WHEN eccentricity<1e-3 THEN 0 ELSE eccentricity END', 4)} AS eccentricity, {r('solidity', 4)} AS solidity, {r('convexity', 4)} AS convexity, {r('aspect_ratio', 4)} AS aspect_ratio FROM n",
+)
 def _(spark, d):
-    """O075, O238: all shape columns of a cell."""
-    return rounded(enrich.nodes(cells_parts(spark, d)).select("slide_id", "cell_id", "area", "perimeter", "circularity", "eccentricity", "solidity", "convexity", "aspect_ratio"), "area", "perimeter", "circularity", "solidity", "convexity")
+    """O075, O238: all shape columns of a cell (regular rings: their eccentricity is noise, and taken for 0)."""
+    columns = ["area", "perimeter", "circularity", "eccentricity", "solidity", "convexity", "aspect_ratio"]
+    n = enrich.nodes(cells_parts(spark, d)).withColumn("eccentricity", F.when(F.col("eccentricity") < 1e-3, 0.0).otherwise(F.col("eccentricity")))
+    return rounded(n.select("slide_id", "cell_id", *columns), *columns, digits=4)
 
 
 @query("slide_innovations", None)

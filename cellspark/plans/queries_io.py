@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import ring
 from ..operators import spatial
 from ..sources import annotations, exports
-from ..sources.fixtures import CELLS_SQL, POINTS_SQL, cells_embed, cells_parts, points_parts
+from ..sources.fixtures import CELLS_SQL, HULL_SQL, PARTS_SQL, POINTS_SQL, cells_embed, cells_parts, points_parts
 from ..streaming import service
-from .queries_geometry import r, rounded
+from .queries_geometry import KNN_SQL, r, rounded
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -51,12 +51,13 @@ def _back(rows):
     return rounded(out, "x", "y", digits=3)
 
 
-@query("geojson_polygons", f"WITH {POINTS_SQL}, {_RANK} SELECT slide_id, position, 33 AS vertices, CASE WHEN cell_id%2=0 THEN 'Malignant' ELSE 'Normal' END AS source_class FROM rk")
+@query("geojson_polygons", f"WITH {POINTS_SQL}, {_RANK} SELECT slide_id, position, 33 AS vertices, centroid_x AS x, centroid_y AS y, CASE WHEN cell_id%2=0 THEN 'Malignant' ELSE 'Normal' END AS source_class FROM rk")
 def _(spark, d):
     """O009-O011, O037, O050: feature collections written and read again."""
     c = cells_parts(spark, d).withColumn("clinical", F.when(F.col("cell_id") % 2 == 0, "Malignant").otherwise("other"))
     text = exports.feature_collections(c).select(F.concat("slide_id", F.lit(".geojson")).alias("path"), F.col("json").cast("binary").alias("content"))
-    return _back(annotations.parse(text)).select("slide_id", "position", "vertices", "source_class")
+    back = annotations.parse(text).withColumn("closed", F.col("ring")).withColumn("ring", F.slice("ring", 1, F.size("ring") - 1))
+    return _back(back).withColumn("vertices", F.col("vertices") + 1)
 
 
 def _xml(spark, d, region, vertex):
@@ -166,28 +167,36 @@ def _(spark, d):
     return rounded(t.select("cell_id", "area", "predicted_class", F.when(F.isnan("attention"), -1.0).otherwise(F.col("attention")).alias("attention")), "area", "attention")
 
 
-@query("node_features", f"WITH {POINTS_SQL} SELECT cell_id, 12 AS n, CASE WHEN cell_id%4=0 THEN 1 ELSE 0 END AS malignant FROM pts")
+_SIXTHS = ["perimeter", "circularity", "eccentricity", "knn_density", "rbf_risk_score"]
+_NODE = [r("cast(cast(area AS float) AS double)", 3), *(f"{k}.5" for k in range(5)), "centroid_x", "centroid_y", *(f"CASE WHEN cell_id%4={k} THEN 1.0 ELSE 0.0 END" for k in range(4))]
+
+
+@query("node_features", f"WITH {POINTS_SQL} SELECT cell_id, {', '.join(f'cast({e} AS double) AS x{i}' for i, e in enumerate(_NODE))} FROM pts")
 def _(spark, d):
-    """O048: node features of the graph export."""
-    p = points_parts(spark, d).withColumns({c: F.lit(0.0) for c in ("perimeter", "circularity", "eccentricity", "knn_density", "rbf_risk_score")})
-    p = p.withColumn("clinical", F.when(F.col("cell_id") % 4 == 0, "Epithelial_Malignant").otherwise("Stromal"))
-    return exports.node_features(p).select("cell_id", F.size("x").alias("n"), F.col("x")[8].cast("int").alias("malignant"))
+    """O048: the twelve node features of the graph export."""
+    p = points_parts(spark, d).withColumns({c: F.lit(k + 0.5) for k, c in enumerate(_SIXTHS)})
+    p = p.withColumn("clinical", F.element_at(F.array(*map(F.lit, exports.LABELS)), (F.col("cell_id") % 4 + 1).cast("int")))
+    out = exports.node_features(p).select("cell_id", *[F.col("x")[i].cast("double").alias(f"x{i}") for i in range(12)])
+    return rounded(out, "x0", digits=3)
 
 
 @query(
     "project_instances",
     f"""WITH {POINTS_SQL}, i AS (SELECT slide_id, cell_id AS inst_id, centroid_x+cell_id%90 AS x, centroid_y AS y, (cell_id%10)/10.0 AS confidence, 'L'||cell_id%3 AS label FROM pts WHERE cell_id%5=0),
-    n AS (SELECT i.slide_id, inst_id, confidence, label, arg_min(p.cell_id, (x-centroid_x)*(x-centroid_x)+(y-centroid_y)*(y-centroid_y)+p.cell_id*1e-9) AS cell_id, min((x-centroid_x)*(x-centroid_x)+(y-centroid_y)*(y-centroid_y)) AS d2 FROM i JOIN pts p ON p.slide_id=i.slide_id GROUP BY ALL),
-    b AS (SELECT slide_id, cell_id, arg_max(label, confidence*1e7+inst_id) AS label, max(confidence) AS confidence FROM n WHERE d2<=4096 GROUP BY ALL)
-    SELECT p.slide_id, p.cell_id, coalesce(label,'Stromal') AS label, coalesce(confidence,0) AS confidence FROM pts p LEFT JOIN b USING (slide_id, cell_id)""",
+    n AS (SELECT i.slide_id, inst_id, arg_min(p.cell_id, (x-centroid_x)*(x-centroid_x)+(y-centroid_y)*(y-centroid_y)+p.cell_id*1e-9) AS cell_id, min((x-centroid_x)*(x-centroid_x)+(y-centroid_y)*(y-centroid_y)) AS d2 FROM i JOIN pts p ON p.slide_id=i.slide_id GROUP BY ALL),
+    o0 AS (SELECT i.slide_id, i.inst_id, p.cell_id, greatest(0,least(x+90,centroid_x+30)-greatest(x-10,centroid_x-30))*greatest(0,least(y+90,centroid_y+30)-greatest(y-10,centroid_y-30)) AS both FROM i JOIN n ON n.slide_id=i.slide_id AND n.inst_id=i.inst_id AND d2>900 JOIN pts p ON p.slide_id=i.slide_id),
+    o AS (SELECT slide_id, inst_id, cell_id FROM o0 WHERE both/(13600-both)>=0.05 QUALIFY row_number() OVER (PARTITION BY slide_id, inst_id ORDER BY both DESC, cell_id)=1),
+    h AS (SELECT slide_id, inst_id, cell_id FROM n WHERE d2<=900 UNION ALL FROM o),
+    b AS (SELECT slide_id, cell_id, arg_max(label, confidence*1e7+inst_id) AS label, max(confidence) AS confidence FROM h JOIN i USING (slide_id, inst_id) GROUP BY ALL)
+    SELECT p.slide_id, p.cell_id, coalesce(label,'Stromal') AS label, coalesce(confidence,0) AS confidence FROM pts p LEFT JOIN b USING (slide_id, cell_id)""".replace("both", "shared"),
 )
 def _(spark, d):
-    """O132: instances on cells by nearest centroid (boxes here are too small to overlap)."""
+    """O132: instances on cells by nearest centroid, else by the overlap of boxes."""
     p = points_parts(spark, d)
-    box = lambda x, y: F.struct(x.alias("x0"), y.alias("y0"), (x + 1e-9).alias("x1"), (y + 1e-9).alias("y1"))
-    cells = p.withColumn("box", box(F.col("centroid_x"), F.col("centroid_y")))
+    box = lambda x, y, before, after: F.struct((x - before).alias("x0"), (y - before).alias("y0"), (x + after).alias("x1"), (y + after).alias("y1"))
+    cells = p.withColumn("box", box(F.col("centroid_x"), F.col("centroid_y"), 30, 30))
     i = p.where("cell_id % 5 = 0").select("slide_id", F.col("cell_id").alias("inst_id"), (F.col("centroid_x") + F.col("cell_id") % 90).alias("x"), F.col("centroid_y").alias("y"), (F.col("cell_id") % 10 / 10.0).alias("confidence"), F.concat(F.lit("L"), (F.col("cell_id") % 3).cast("string")).alias("label"))
-    return spatial.project(cells, i.withColumn("box", box(F.col("x") + 5000, F.col("y"))))
+    return spatial.project(cells, i.withColumn("box", box(F.col("x"), F.col("y"), 10, 90)), most=30.0)
 
 
 @query("job_summary", "WITH j AS (SELECT user_id, count(*) AS total, count(*) FILTER (event_type<>'error') AS done, count(*) FILTER (event_type='error') AS failed FROM events GROUP BY ALL) SELECT user_id, total, done, failed, round(100.0*(done+failed)/total,1) AS progress, CASE WHEN failed=total THEN 'FAILED' ELSE 'COMPLETED' END AS status FROM j")
@@ -276,12 +285,13 @@ def _(spark, d):
     return n.select("slide_id", F.when(F.col("n") != 80, F.concat(F.lit("labels for 80 of "), F.col("n").cast("string"), F.lit(" cells"))).alias("message"))
 
 
-@query("prediction_files", "SELECT p_brand AS slide_id, count(*) AS n FROM part GROUP BY p_brand")
+@query("prediction_files", "SELECT p_brand AS slide_id, p_partkey AS cell_id, CASE WHEN p_partkey%2=0 THEN 'Stromal' ELSE 'Lymphocyte' END AS predicted_class FROM part")
 def _(spark, d):
     """O026, O280: prediction rows from a list or from records; an empty file is an error."""
-    p = points_parts(spark, d).groupBy("slide_id").agg(F.collect_list(F.struct("cell_id", F.lit("Stromal").alias("predicted_class"))).alias("r"))
+    kind = F.when(F.col("cell_id") % 2 == 0, "Stromal").otherwise("Lymphocyte")
+    p = points_parts(spark, d).groupBy("slide_id").agg(F.collect_list(F.struct("cell_id", kind.alias("predicted_class"))).alias("r"))
     text = p.withColumn("json", F.when(F.substring("slide_id", -1, 1) == "1", F.to_json("r")).otherwise(F.to_json(F.struct(F.col("r").alias("records")))))
-    return exports.prediction_records(text).groupBy("slide_id").agg(F.count("*").alias("n"))
+    return exports.prediction_records(text)
 
 
 @query("round_trip_export", "SELECT p_brand AS slide_id, count(*) AS regions, true AS same FROM part GROUP BY p_brand")
@@ -302,7 +312,23 @@ def _(spark, d):
     return p.groupBy("slide_id").agg(F.count("*").alias("cells"), F.count_if("is_cancer").alias("cancer"))
 
 
-@query("feature_table_full", None)
+_FULL = {
+    "area_px2": "area", "perimeter_px": "perimeter", "circularity": "cc", "eccentricity": "CASE WHEN e<1e-6 THEN 0 ELSE e END", "centroid_x": "mx", "centroid_y": "my", "knn_density": "CASE WHEN d5<1e-12 THEN 0 ELSE k5/(pi()*d5*d5) END", "rbf_risk_score": "rbf", "distance_to_tumor_edge": "dist",
+    "area_zscore": "(area-md)/greatest(sd,1e-12)", "circularity_penalty": "1-cc", "perimeter_area_ratio": "perimeter/greatest(area,1e-12)", "major_axis": "mj", "minor_axis": "mj*sqrt(1-e2)", "convex_hull_area": "area", "solidity": "1.0", "extent": "least(1,area/greatest(1e-12,(x1-x0)*(y1-y0)))",
+    "equivalent_diameter": "2*sqrt(area/pi())", "form_factor": "cc",
+}
+
+
+@query(
+    "feature_table_full",
+    f"""WITH {PARTS_SQL}, pts AS (SELECT slide_id, cell_id, mx AS centroid_x, my AS centroid_y FROM g), {KNN_SQL.format(t='pts', k=5)}, r5 AS (SELECT slide_id, src AS cell_id, max(rank) AS k5, max(d) AS d5 FROM edges GROUP BY ALL),
+    hp AS (SELECT slide_id, quantile_cont(sqrt(d2),0.5)/2 AS s FROM pairs WHERE src<dst GROUP BY ALL), rb AS (SELECT p.slide_id, src AS cell_id, (sum(exp(-d2/(2*s*s)))+1)/(count(*)+1) AS rbf FROM pairs p JOIN hp USING (slide_id) GROUP BY ALL),
+    pp AS (SELECT slide_id AS k, round(mx,6) AS x, round(my,6) AS y FROM g), {HULL_SQL.format(t='pp', out='hh')},
+    far AS (SELECT slide_id, cell_id, sqrt(min(pow(mx-ax-t*(bx-ax),2)+pow(my-ay-t*(byy-ay),2))) AS dist FROM (SELECT *, greatest(0,least(1,((mx-ax)*(bx-ax)+(my-ay)*(byy-ay))/((bx-ax)*(bx-ax)+(byy-ay)*(byy-ay)))) AS t FROM g JOIN hh ON k=slide_id) GROUP BY ALL),
+    m AS (SELECT slide_id, quantile_cont(area,0.5) md, stddev_pop(area) sd FROM g GROUP BY ALL), f0 AS (SELECT *, 1-sqrt(greatest(0,l2)/l1) AS e, 4*pi()*area/(perimeter*perimeter) AS cc FROM g JOIN m USING (slide_id)),
+    f1 AS (SELECT *, least(0.9999,greatest(0,e*e)) AS e2 FROM f0), f AS (SELECT *, sqrt(greatest(1e-12,area/(pi()*sqrt(1-e2)))) AS mj FROM f1)
+    SELECT slide_id, cell_id, {', '.join(f'{r(e, 4)} AS {n}' for n, e in _FULL.items())} FROM f JOIN r5 USING (slide_id, cell_id) JOIN rb USING (slide_id, cell_id) JOIN far USING (slide_id, cell_id)""",
+)
 def _(spark, d):
     """O045, O082, O223: all 19 columns, with the distance to the hull of all cells."""
     from .features import NAMES, features

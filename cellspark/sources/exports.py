@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import json
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Colours by class.
 COLORS = {"Malignant": (200, 40, 40), "Immune": (40, 90, 200), "Normal": (60, 160, 60)}
+#: Colours by predicted class, and of any other.
+CLASS_COLORS = {"Epithelial_Malignant": (229, 57, 53), "Inflammatory": (255, 179, 0), "Lymphocyte": (30, 136, 229), "Stromal": (67, 160, 71)}
+OTHER_COLOR = (200, 200, 200)
 LABELS = ("Epithelial_Malignant", "Inflammatory", "Lymphocyte", "Stromal")
 
 
@@ -50,6 +56,27 @@ def feature_collections(cells: DataFrame, label: str = "clinical") -> DataFrame:
     return slides.select("slide_id", F.concat(F.lit('{"type":"FeatureCollection","features":['), body, F.lit("]}")).alias("json"))
 
 
+def prediction_features(cells: DataFrame, predicted: DataFrame) -> DataFrame:
+    """slide_id, json: a feature collection of the cells that have a prediction, by slide.
+
+    ``cells``: slide_id, position (from 0 in the order of the slide), ring. ``predicted``: slide_id, position, cell_id,
+    predicted_class (null: Stromal), confidence (null: 0). Cells without a row, and rings that are empty or not finite,
+    are left out. A slide's document is one value, so it must fit into an executor, as any file of it must."""
+    from ..functions.ring import finite
+
+    name = F.coalesce("predicted_class", F.lit("Stromal"))
+    color = F.array(*map(F.lit, OTHER_COLOR))
+    for label, rgb in CLASS_COLORS.items():
+        color = F.when(name == label, F.array(*map(F.lit, rgb))).otherwise(color)
+    id_ = F.concat(F.lit("Cell_"), F.col("position").cast("string"))
+    props = F.struct(F.lit("annotation").alias("objectType"), id_.alias("name"), F.struct(name.alias("name"), color.alias("color")).alias("classification"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("cell_id", "position").alias("cell_id"))
+    one = F.struct(F.lit("Feature").alias("type"), id_.alias("id"), F.struct(F.lit("Polygon").alias("type"), F.array(coordinates(close=True)).alias("coordinates")).alias("geometry"), props.alias("properties"))
+    good = cells.select("slide_id", "position", "ring").where(finite() & (F.size("ring") > 0)).join(predicted, ["slide_id", "position"])
+    slides = good.groupBy("slide_id").agg(F.array_sort(F.collect_list(F.struct("position", F.to_json(one).alias("f")))).alias("fs"))
+    body = F.array_join(F.expr("transform(fs, x -> x.f)"), ",")
+    return slides.select("slide_id", F.concat(F.lit('{"type":"FeatureCollection","features":['), body, F.lit("]}")).alias("json"))
+
+
 def manifest(records: DataFrame, sources: DataFrame) -> DataFrame:
     """Annotations with cell_id, vertex-mean centroid and their file's digest, time and record count."""
     from ..functions.ring import vertex_mean
@@ -116,14 +143,44 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.option("compression", "snappy").mode("overwrite").partitionBy("slide_id").parquet(path)
 
 
-def write_bundle(path: str, members: dict[str, bytes]) -> None:
-    """A ZIP of small members with a manifest of their digests; made on the driver."""
-    import hashlib
+def bundles(members: DataFrame) -> DataFrame:
+    """bundle, content: a ZIP of each bundle's members (bundle, name, content) with a manifest of their digests and
+    sizes. A bundle is one file and is made in one task; its members must fit into it."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for own in batch.column("members").to_pylist():
+                about = {m["name"]: {"sha256": m["sha256"], "bytes": len(m["content"])} for m in own}
+                raw = io.BytesIO()
+                with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("manifest.json", json.dumps({"schema_version": "checkpoint_bundle_v1", "artifacts": about}))
+                    for m in own:
+                        z.writestr(zipfile.ZipInfo(m["name"]), m["content"], zipfile.ZIP_DEFLATED)
+                out.append(raw.getvalue())
+            yield pa.RecordBatch.from_pydict({"bundle": batch.column("bundle"), "content": pa.array(out, pa.binary())})
 
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, data in sorted(members.items()):
-            z.writestr(name, data)
-        z.writestr("manifest.json", json.dumps({n: {"sha256": hashlib.sha256(d).hexdigest(), "bytes": len(d)} for n, d in sorted(members.items())}))
+    own = members.select(F.col("bundle").cast("string").alias("bundle"), F.struct("name", F.sha2("content", 256).alias("sha256"), "content").alias("m"))
+    return own.groupBy("bundle").agg(F.array_sort(F.collect_list("m")).alias("members")).mapInArrow(run, "bundle string, content binary")
+
+
+def unbundled(zips: DataFrame) -> DataFrame:
+    """bundle, name, sha256, bytes, intact of the members of bundles, by their manifests; a missing member is not intact."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for bundle, raw in zip(batch.column("bundle").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    held = set(z.namelist())
+                    for name, about in json.loads(z.read("manifest.json"))["artifacts"].items():
+                        same = name in held and hashlib.sha256(z.read(name)).hexdigest() == about["sha256"]
+                        out.append((bundle, name, about["sha256"], about["bytes"], same))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = {"bundle": pa.string(), "name": pa.string(), "sha256": pa.string(), "bytes": pa.int64(), "intact": pa.bool_()}
+            yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for (n, t), c in zip(kinds.items(), columns, strict=True)})
+
+    return zips.select("bundle", "content").mapInArrow(run, "bundle string, name string, sha256 string, bytes long, intact boolean")
 
 
 def annotate_xml(raw: bytes, rows: list[dict]) -> bytes:
@@ -156,14 +213,17 @@ def unchanged(before: DataFrame, after: DataFrame, key: str = "path") -> DataFra
     return a.join(b, key, "full").select(key, F.coalesce(F.col("digest") == F.col("other"), F.lit(False)).alias("same"))
 
 
-def annotate_geojson(text: str, rows: dict[int, dict]) -> str:
-    """A feature collection with class, confidence and cell id of ``rows`` (by place) in its features' properties;
-    features without a row stay as they are, coordinates are not touched."""
+def annotate_geojson(text: str, rows: list[dict]) -> str:
+    """A feature collection with class, confidence and cell id of ``rows`` in the properties of its features that have a
+    geometry, in document order; counts must match. Coordinates are not touched."""
     doc = json.loads(text)
-    for i, f in enumerate(doc.get("features") or []):
-        if i in rows:
-            f["properties"] = (f.get("properties") or {}) | {"classification": {"name": rows[i]["clinical"]}, "confidence": rows[i]["confidence"], "cell_id": rows[i]["cell_id"]}
-    return json.dumps(doc)
+    open_ = [f for f in doc.get("features") or [] if isinstance(f, dict) and isinstance(f.get("geometry"), dict)]
+    if len(open_) != len(rows):
+        raise ValueError(f"{len(open_)} features, {len(rows)} predictions")
+    for f, row in zip(open_, rows, strict=True):
+        old = f.get("properties")
+        f["properties"] = (old if isinstance(old, dict) else {}) | {"Classification": row["clinical"], "Confidence": row["confidence"], "CellId": row["cell_id"]}
+    return json.dumps(doc, ensure_ascii=False)
 
 
 def with_defaults(slides: DataFrame) -> DataFrame:
@@ -186,13 +246,20 @@ def prediction_records(text: DataFrame) -> DataFrame:
     return own.withColumn("_ok", some).where(F.col("_ok").isNull()).select("slide_id", F.explode("r").alias("p")).select("slide_id", "p.*")
 
 
+def _labelled(sources: DataFrame, rows: DataFrame, label) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            out = [label(raw, own) for raw, own in zip(batch.column("content").to_pylist(), batch.column("rows").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"path": batch.column("path"), "content": pa.array(out, pa.binary())})
+
+    return sources.select("path", "content").join(rows, "path").mapInArrow(run, "path string, content binary")
+
+
 def labelled_xml(sources: DataFrame, rows: DataFrame) -> DataFrame:
     """path, content of XML files (path, content) with the labels of ``rows`` (path, rows in document order)."""
-    import pandas as pd
+    return _labelled(sources, rows, annotate_xml)
 
-    def run(parts):
-        for part in parts:
-            out = [annotate_xml(bytes(raw), list(own)) for raw, own in zip(part["content"], part["rows"], strict=True)]
-            yield pd.DataFrame({"path": part["path"], "content": out})
 
-    return sources.select("path", "content").join(rows, "path").mapInPandas(run, "path string, content binary")
+def labelled_geojson(sources: DataFrame, rows: DataFrame) -> DataFrame:
+    """path, content of GeoJSON files (path, content) with the labels of ``rows`` (path, rows in document order)."""
+    return _labelled(sources, rows, lambda raw, own: annotate_geojson(raw.decode("utf-8"), own).encode("utf-8"))

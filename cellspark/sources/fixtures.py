@@ -25,6 +25,15 @@ def cells_parts(spark: SparkSession, sf_dir: str, vertices: int = 32) -> DataFra
     return p.select("slide_id", "cell_id", ring.circle("cx", "cy", "r", vertices).alias("ring"))
 
 
+def followers(cells: DataFrame) -> DataFrame:
+    """slide_id, a, b, ra, rb: each cell's ring beside that of the next cell of its slide."""
+    from pyspark.sql import Window
+
+    after = Window.partitionBy("slide_id").orderBy("cell_id")
+    out = cells.select("slide_id", F.col("cell_id").alias("a"), F.lead("cell_id").over(after).alias("b"), F.col("ring").alias("ra"), F.lead("ring").over(after).alias("rb"))
+    return out.where("b IS NOT NULL")
+
+
 def points_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centroid-only cells of the parts."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -69,3 +78,27 @@ POINTS_SQL = """
 pts AS (SELECT p_brand AS slide_id, p_partkey AS cell_id, cast(p_partkey*7919%1000 AS double) AS centroid_x,
                cast(p_partkey*104729%1000 AS double) AS centroid_y, pi()*p_size*p_size/4 AS area FROM part)
 """
+
+_CELL_BODY = CELLS_SQL[CELLS_SQL.index("\ns AS (") :]
+
+#: DuckDB: the same tables of ``cells_parts``.
+PARTS_SQL = (
+    """
+v AS (SELECT p_brand AS slide_id, p_partkey AS cell_id, i, p_partkey*7919%1000+p_size/2*cos(2*pi()*i/32) AS x, p_partkey*104729%1000+p_size/2*sin(2*pi()*i/32) AS y,
+             p_partkey*7919%1000+p_size/2*cos(2*pi()*((i+1)%32)/32) AS nx, p_partkey*104729%1000+p_size/2*sin(2*pi()*((i+1)%32)/32) AS ny
+      FROM part, (SELECT unnest(range(32)) AS i)),"""
+    + _CELL_BODY
+)
+
+#: DuckDB: a and b, each cell of ``cells_embed`` and the next one of its slide.
+FOLLOW_SQL = "fo AS (SELECT slide_id, cell_id AS a, lead(cell_id) OVER (PARTITION BY slide_id ORDER BY cell_id) AS b FROM cells QUALIFY b IS NOT NULL)"
+
+#: DuckDB: edges (ax, ay to bx, byy) of the hull of the points (k, x, y) of a table, in counter-clockwise direction.
+HULL_SQL = """
+{out}_d AS (SELECT DISTINCT k, x, y FROM {t}),
+{out} AS (SELECT e.k, ax, ay, bx, byy FROM (SELECT a.k, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS byy FROM {out}_d a JOIN {out}_d b ON a.k=b.k AND (a.x<>b.x OR a.y<>b.y)) e JOIN {out}_d d ON d.k=e.k GROUP BY ALL
+    HAVING bool_and((bx-ax)*(d.y-ay)-(byy-ay)*(d.x-ax) > 0 OR ((d.x=ax AND d.y=ay) OR (d.x=bx AND d.y=byy)) OR ((bx-ax)*(d.y-ay)-(byy-ay)*(d.x-ax) = 0 AND (d.x-ax)*(bx-ax)+(d.y-ay)*(byy-ay) BETWEEN 0 AND (bx-ax)*(bx-ax)+(byy-ay)*(byy-ay))))
+"""
+
+#: DuckDB: squared distance of (px, py) to the segment (ax, ay) to (bx, byy).
+SEGMENT_SQL = "(SELECT pow(px-ax-t*(bx-ax),2)+pow(py-ay-t*(byy-ay),2) FROM (SELECT greatest(0,least(1,((px-ax)*(bx-ax)+(py-ay)*(byy-ay))/((bx-ax)*(bx-ax)+(byy-ay)*(byy-ay)))) AS t))"

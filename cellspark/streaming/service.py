@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources import annotations
@@ -27,24 +30,30 @@ def sessions(events: DataFrame, gap: str = "12 hours", late: str = "1 day") -> D
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("events"), F.sum("value").alias("value"))
 
 
-def limiter(events: DataFrame, seconds: int = 60, limit: int = 100) -> DataFrame:
-    """event_id, user_id, allowed: exact sliding-window limiter with the allowed times of each key as state."""
+def limiter(events: DataFrame, seconds: int = 60, limit: int = 100, late: str = "10 minutes") -> DataFrame:
+    """event_id, user_id, allowed: exact sliding-window limiter with the allowed times of each key as state, ``limit`` at
+    most. A key's state goes when the watermark has passed its last call by more than the window."""
 
     def decide(key, parts, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
         out = []
         rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        for event, at in zip(rows["event_id"], rows["ts"].astype("int64") / 1e9, strict=True):
-            times = [t for t in times if t > at - seconds]
+        at = 0.0
+        for event, at in zip(rows["event_id"], rows["ts"].astype("datetime64[ns]").astype("int64") / 1e9, strict=True):
+            times = [t for t in times if t >= at - seconds]
             ok = len(times) < limit
             if ok:
                 times.append(at)
             out.append((event, key[0], ok))
         state.update((times,))
+        state.setTimeoutTimestamp(max(int((at + seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["event_id", "user_id", "allowed"])
 
-    rows = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return rows.groupBy("user_id").applyInPandasWithState(decide, "event_id long, user_id long, allowed boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    rows = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    return rows.groupBy("user_id").applyInPandasWithState(decide, "event_id long, user_id long, allowed boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def jobs(events: DataFrame) -> DataFrame:
@@ -80,3 +89,49 @@ def fresh(artifacts: DataFrame, inputs: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, key: str, order: str) -> DataFrame:
     """Rows with their position within a key."""
     return df.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
+
+
+def run_to_end(stream: DataFrame, folder: str, output: str = "append", tag: str | None = None) -> DataFrame:
+    """What a stream has to say about all that has arrived, as a table: written to ``folder`` with its checkpoint, which a
+    later call goes on from. ``tag`` names its jobs, so that ``cancel`` can end them."""
+    spark = stream.sparkSession
+    if tag:
+        spark.addTag(tag)
+    try:
+        query = stream.writeStream.format("parquet").outputMode(output).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/rows")
+        query.awaitTermination()
+    finally:
+        if tag:
+            spark.removeTag(tag)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def cancel(spark: SparkSession, tag: str) -> list[str]:
+    """Interrupt the running operations of a tag; what they have written so far stays."""
+    return spark.interruptTag(tag)
+
+
+class Callback(StreamingQueryListener):
+    """Calls ``send`` with (query's id, event, rows or error) when a stream starts, makes progress and ends. What ``send``
+    raises is kept in ``failures`` and does not disturb the stream."""
+
+    def __init__(self, send: Callable[[str, str, object], None]):
+        self.send, self.failures = send, []
+
+    def _tell(self, *about):
+        try:
+            self.send(*about)
+        except Exception as e:  # the receiver's trouble is not the stream's
+            self.failures.append(repr(e))
+
+    def onQueryStarted(self, event):  # noqa: N802
+        self._tell(str(event.id), "started", None)
+
+    def onQueryProgress(self, event):  # noqa: N802
+        self._tell(str(event.progress.id), "progress", event.progress.numInputRows)
+
+    def onQueryIdle(self, event):  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event):  # noqa: N802
+        self._tell(str(event.id), "failed" if event.exception else "done", event.exception)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cellspark.functions import imaging, sql, status
 from cellspark.functions.kernels import shoelace
+from cellspark.operators import exemplars
 
 
 def test_outline_is_the_largest_part():
@@ -19,14 +20,68 @@ def test_outline_is_the_largest_part():
     assert imaging.outline(np.zeros((3, 3), bool)) == []
 
 
-def test_peaks_and_exemplars():
+def rows_of(spark, images):
+    return spark.createDataFrame([(i, y, x, float(v)) for i, h in images.items() for (y, x), v in np.ndenumerate(h)], "id long, y long, x long, h double")
+
+
+def blur_of(h, sigma):
+    reach = int(4 * sigma + 0.5)
+    k = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma * sigma))
+    for axis in (0, 1):
+        p = np.pad(h, [(reach, reach) if i == axis else (0, 0) for i in (0, 1)], mode="symmetric")
+        h = np.apply_along_axis(lambda v: np.convolve(v, k / k.sum(), "valid"), axis, p)
+    return h
+
+
+def test_blur_and_peaks(spark):
+    rng = np.random.default_rng(2)
+    images = {1: rng.random((30, 41)), 2: rng.random((17, 12))}
+    for i, h in images.items():
+        got = {(r["y"], r["x"]): r["h"] for r in exemplars.blurred(rows_of(spark, {i: h}), "h", 1.0).collect()}
+        want = blur_of(h, 1.0)
+        assert len(got) == h.size and max(abs(got[p] - v) for p, v in np.ndenumerate(want)) < 1e-9
     y, x = np.mgrid[0:96, 0:96]
     spots = [(20, 20), (20, 70), (70, 40)]
     h = sum(np.exp(-((x - a) ** 2 + (y - b) ** 2) / 50) for a, b in spots)
-    assert sorted((int(a), int(b)) for a, b, _ in imaging.peaks(h, 8, 70)) == sorted(spots)
-    boxes = imaging.exemplars(h, half=10)
-    assert sum(b[4] for b in boxes) == 3 and 0 < sum(1 - b[4] for b in boxes) <= 4
-    assert imaging.exemplars(np.zeros((9, 9))) == [] == imaging.exemplars(np.zeros((0, 0)))
+    found = exemplars.peaks(rows_of(spark, {5: h}), 8).collect()
+    assert sorted((int(r["x"]), int(r["y"])) for r in found) == sorted(spots) and {r["id"] for r in found} == {5}
+
+
+def test_exemplar_boxes_are_those_of_the_definition(spark):
+    """Boxes against a plain reading of the rule: greedy peaks, greedy boxes, greedy pale places away from them."""
+    rng = np.random.default_rng(4)
+    y, x = np.mgrid[0:60, 0:72]
+    h = sum(np.exp(-((x - a) ** 2 + (y - b) ** 2) / 30) for a, b in ((8, 9), (16, 12), (50, 40), (70, 58), (40, 12))) + rng.random((60, 72)) * 0.05
+    half, apart = 6, 5
+    b = blur_of(h, 1.0)
+    level = np.percentile(b, 70)
+    top = [p for p, v in np.ndenumerate(b) if v >= level and v == b[max(0, p[0] - 5) : p[0] + 6, max(0, p[1] - 5) : p[1] + 6].max()]
+    box = lambda u, v: (max(0.0, u - half), max(0.0, v - half), min(71.0, u + half), min(59.0, v + half))
+
+    def share(p, q):
+        w, v = min(p[2], q[2]) - max(p[0], q[0]), min(p[3], q[3]) - max(p[1], q[1])
+        both = max(0.0, w) * max(0.0, v)
+        return both / ((p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - both)
+
+    far, good, bad = [], [], []
+    for v, u in sorted(top, key=lambda p: -b[p]):
+        if all((u - s) ** 2 + (v - t) ** 2 >= apart**2 for s, t in far):
+            far.append((u, v))
+    centres = []
+    for u, v in far:
+        if all(share(box(u, v), g) <= 0.3 for g in good):
+            good.append(box(u, v))
+            centres.append((u, v))
+    pale = blur_of(h, 2.0)
+    for v, u in sorted((p for p, value in np.ndenumerate(pale) if value <= np.percentile(pale, 25)), key=lambda p: pale[p]):
+        q = box(u, v)
+        if len(bad) < 4 and q[2] - q[0] >= 4 and q[3] - q[1] >= 4 and all((u - s) ** 2 + (v - t) ** 2 >= 225 for s, t in centres) and all(share(q, n) <= 0.2 for n in bad):
+            bad.append(q)
+    flat = np.full((9, 9), 0.5)
+    got = exemplars.boxes(rows_of(spark, {1: h, 2: flat}), half=half).collect()
+    assert {r["id"] for r in got} == {1} and len(good) >= 4 and len(bad) == 4
+    assert sorted(tuple(r)[1:] for r in got) == sorted([(*g, 1) for g in good] + [(*n, 0) for n in bad])
+    assert exemplars.boxes(rows_of(spark, {2: flat})).count() == 0 == exemplars.boxes(rows_of(spark, {2: flat}).limit(0)).count()
 
 
 def test_models_load_once_in_each_task(spark):

@@ -2,6 +2,7 @@
 
 import io
 import json
+import time
 import zipfile
 
 import numpy as np
@@ -66,8 +67,9 @@ def test_manifest_and_bundle(spark, tmp_path):
     files = annotations.files(spark, str(tmp_path), "*.xml")
     row = exports.manifest(annotations.parse(files), files).first()
     assert (row["record_count"], row["region_id"], row["centroid_x"]) == (1, "1", 1) and len(row["source_sha256"]) == 64
-    exports.write_bundle(str(tmp_path / "b.zip"), {"x": b"1"})
-    assert sorted(zipfile.ZipFile(tmp_path / "b.zip").namelist()) == ["manifest.json", "x"]
+    zips = exports.bundles(spark.createDataFrame([("b", "x", bytearray(b"1")), ("b", "y/z", bytearray(b""))], "bundle string, name string, content binary"))
+    assert sorted(zipfile.ZipFile(io.BytesIO(bytes(zips.first()["content"]))).namelist()) == ["manifest.json", "x", "y/z"]
+    assert [r["intact"] for r in exports.unbundled(zips).collect()] == [True, True]
     out = exports.annotate_xml((tmp_path / "a.xml").read_bytes(), [{"clinical": "Normal", "confidence": 0.5, "cell_id": 0}])
     assert b'Confidence="0.5000"' in out
     with pytest.raises(ValueError):
@@ -101,10 +103,73 @@ def test_arrays(spark):
 
 
 def test_geojson_export_keeps_coordinates():
-    text = json.dumps({"features": [{"geometry": {"type": "Point", "coordinates": [1, 2]}, "properties": {"k": 1}}, {"geometry": None}]})
-    doc = json.loads(exports.annotate_geojson(text, {0: {"clinical": "Immune", "confidence": 0.5, "cell_id": 0}}))
-    assert doc["features"][0]["properties"] == {"k": 1, "classification": {"name": "Immune"}, "confidence": 0.5, "cell_id": 0}
-    assert doc["features"][0]["geometry"]["coordinates"] == [1, 2] and doc["features"][1] == {"geometry": None}
+    text = json.dumps({"features": [{"geometry": {"type": "Point", "coordinates": [1, 2]}, "properties": {"k": 1}}, {"geometry": None}, {"geometry": {"type": "Point", "coordinates": [3, 4]}, "properties": 5}]})
+    rows = [{"clinical": "Immune", "confidence": 0.5, "cell_id": 0}, {"clinical": "Normal", "confidence": 1.0, "cell_id": 7}]
+    doc = json.loads(exports.annotate_geojson(text, rows))
+    assert doc["features"][0]["properties"] == {"k": 1, "Classification": "Immune", "Confidence": 0.5, "CellId": 0}
+    assert doc["features"][0]["geometry"]["coordinates"] == [1, 2] and doc["features"][1] == {"geometry": None} and doc["features"][2]["properties"]["CellId"] == 7
+    with pytest.raises(ValueError):
+        exports.annotate_geojson(text, rows[:1])
+
+
+def test_images(spark, tmp_path):
+    """PNG files through Spark's image source: colour and gray."""
+    import struct
+    import zlib
+
+    def png(rows, channels):
+        chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        head = struct.pack(">IIBBBBB", len(rows[0]) // channels, len(rows), 8, 2 if channels == 3 else 0, 0, 0, 0)
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + bytes(r) for r in rows))) + chunk(b"IEND", b"")
+
+    (tmp_path / "a.png").write_bytes(png([[255, 0, 1, 2, 3, 4], [5, 6, 7, 8, 9, 250]], 3))
+    (tmp_path / "b.png").write_bytes(png([[9, 200]], 1))
+    (tmp_path / "c.txt").write_text("no image")
+    got = sorted((r["id"][-5:], r["y"], r["x"], r["r"], r["g"], r["b"]) for r in annotations.images(spark, str(tmp_path)).collect())
+    assert got == [("a.png", 0, 0, 255, 0, 1), ("a.png", 0, 1, 2, 3, 4), ("a.png", 1, 0, 5, 6, 7), ("a.png", 1, 1, 8, 9, 250), ("b.png", 0, 0, 9, 9, 9), ("b.png", 0, 1, 200, 200, 200)]
+
+
+def test_cache_and_callback(spark, tmp_path):
+    from cellspark.operators import checkpoints
+
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    assert [checkpoints.cached(spark, "t", key, make).count() for key in ("a", "a", "b")] == [3, 3, 3] and len(made) == 2
+    told = []
+    listener = service.Callback(lambda *a: told.append(a[1:]))
+    failing = service.Callback(lambda *a: 1 / 0)
+    spark.streams.addListener(listener)
+    spark.streams.addListener(failing)
+    spark.range(4).write.parquet(str(tmp_path / "in"))
+    rows = service.run_to_end(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), str(tmp_path / "out"), tag="t1")
+    assert rows.count() == 4 and service.cancel(spark, "t1") == []
+    spark.range(2).write.mode("append").parquet(str(tmp_path / "in"))
+    assert service.run_to_end(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), str(tmp_path / "out")).count() == 6
+    for _ in range(100):
+        if ("done", None) in told and len(failing.failures) > 3:
+            break
+        time.sleep(0.1)
+    for x in (listener, failing):
+        spark.streams.removeListener(x)
+    assert ("started", None) in told and ("progress", 4) in told and ("done", None) in told and failing.failures
+
+
+def test_patch_models_must_keep_their_contract(spark):
+    from cellspark.operators import patches
+
+    pixels = spark.createDataFrame([("i", y, x, 255, 51, 0) for y in range(6) for x in range(8)], "id string, y int, x int, r int, g int, b int")
+    cells = spark.createDataFrame([("i", 1, 3.9, 2.2), ("i", 2, 0.0, 0.0), ("i", 3, 900.0, 5.0)], "id string, cell_id long, centroid_x double, centroid_y double")
+    rows = {r["cell_id"]: np.array(r["patch"]).reshape(3, 4, 4) for r in patches.patches(pixels, cells, 4).collect()}
+    assert (rows[1][0] == 1).all() and np.allclose(rows[1][1], 0.2) and not rows[3].any()
+    assert rows[2][0].tolist() == [[0, 0, 0, 0], [0, 0, 0, 0], [0, 0, 1, 1], [0, 0, 1, 1]]
+    good = patches.visual_features(patches.patches(pixels, cells, 4), lambda: lambda b: b.mean((2, 3)), 4, 3).collect()
+    assert {r["cell_id"]: round(r["features"][0], 3) for r in good} == {1: 1.0, 2: 0.25, 3: 0.0}
+    with pytest.raises(Exception, match="must return"):
+        patches.visual_features(patches.patches(pixels, cells, 4), lambda: lambda b: b.mean((2, 3)), 4).collect()
 
 
 def test_formats_are_those_of_whole_files(spark):
