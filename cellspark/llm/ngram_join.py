@@ -26,7 +26,8 @@ Equal ids are one node; rows with a null id are in no link and have a null compo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -180,7 +181,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
 
-def _meet(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _meet(docs: DataFrame, sets_of, percent: int) -> DataFrame:
     """Rows (kind, key, a, b, bits): sizes and sketches of documents (SIZE: a, b, bits), equal sets within a task (PAIR:
     a, b), and pairs of the first and another member of each bucket (KEY: key, a, b)."""
 
@@ -188,7 +189,7 @@ def _meet(docs: DataFrame, words: int, percent: int) -> DataFrame:
         bands, known = Bands(percent), {}
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            sets = shingle_sets(batch.column("text").to_pylist(), words)
+            sets = iter(sets_of(batch.column("text").to_pylist()))
             for at in range(0, len(ids), 500):
                 own, key, of, pairs = ids[at : at + 500], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
                 sizes, bits = [], []
@@ -245,21 +246,21 @@ def _meet(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return met.repartition("key").sortWithinPartitions("key", "a").mapInArrow(first, "kind byte, " + shape)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """doc_id and shingle hashes of the documents named in ``ids`` (and of a few others), from one pass over the texts."""
+def _sets(docs: DataFrame, ids: DataFrame, sets_of) -> DataFrame:
+    """doc_id and set of the documents named in ``ids`` (and of a few others), from one pass over the texts."""
     held = key_filter(ids, "doc_id")
 
     def run(batches):
         for batch in batches:
             batch = batch.filter(pa.array(may_hold(held.value, batch.column("doc_id").to_numpy())))
             if batch.num_rows:
-                sets = [s.view(np.int64) for s in shingle_sets(batch.column("text").to_pylist(), words)]
+                sets = [s.view(np.int64) for s in sets_of(batch.column("text").to_pylist())]
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "s": _lists(sets)})
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, s array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, sets_of, percent: int) -> DataFrame:
     """The distinct pairs (a, b) with whether they link. Sketches that differ in more bits than linked sets may in
     shingles settle most of the others, so that whole sets are made only where a link is likely."""
     x, y = (marks.select(F.col("doc_id").alias(k), F.col("size").alias(f"n{k}"), F.col("bits").alias(f"b{k}")) for k in "ab")
@@ -267,7 +268,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, words: int, p
     near = apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
     judged = materialize(pairs.select("a", "b").distinct().join(x, "a").join(y, "b").select("a", "b", near.alias("near")))
     likely = judged.where("near")
-    sets = materialize(_sets(docs, likely.select(F.col("a").alias("doc_id")).union(likely.select("b")), words))
+    sets = materialize(_sets(docs, likely.select(F.col("a").alias("doc_id")).union(likely.select("b")), sets_of))
     u, v = (sets.select(F.col("doc_id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     exact = likely.join(u, "a").join(v, "b").select("a", "b", (both * 100 >= percent * (F.size("sa") + F.size("sb") - both)).alias("linked"))
@@ -311,13 +312,19 @@ def _blocks(members: DataFrame, bands_of: int) -> DataFrame:
 
 def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``, which has doc_id and text."""
+    return cluster_sets(docs, partial(shingle_sets, words=words), percent).withColumnRenamed("size", "n_shingles")
+
+
+def cluster_sets(docs: DataFrame, sets_of: Callable[[list], Iterable[np.ndarray]], percent: int) -> DataFrame:
+    """doc_id, size and component_id of every row of ``docs`` (doc_id, text), where ``sets_of`` gives for a list of texts
+    the sorted distinct 64-bit hashes of each."""
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    met = materialize(_meet(named, words, percent))
+    met = materialize(_meet(named, sets_of, percent))
     buckets = met.where(F.col("kind") == KEY).select("key", "a", "b")
     equal = met.where(F.col("kind") == PAIR).select("a", "b")
     sizes = met.where(F.col("kind") == SIZE).select(F.col("a").alias("doc_id"), F.col("b").alias("size"), "bits")
     marks = sizes.where("size > 0")
-    tried = _verified(buckets, named, marks, words, percent)
+    tried = _verified(buckets, named, marks, sets_of, percent)
     links = equal.union(tried.where("linked").select("a", "b"))
     labels = components(links)
 
@@ -334,31 +341,31 @@ def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
         own = _labelled(members, labels)
         to = _labelled(lead.withColumnRenamed("lead", "doc_id"), labels).select("key", F.col("doc_id").alias("lead"), F.col("component").alias("lead_component"))
         second = own.join(to, "key").where("component <> lead_component").select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b"))
-        again = _verified(second, named, marks, words, percent)
+        again = _verified(second, named, marks, sets_of, percent)
         links = links.union(again.where("linked").select("a", "b"))
         labels = components(links)
 
         own = materialize(_labelled(members.select("key", "doc_id"), labels))
         mixed = own.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "n")
         third = _blocks(own.join(mixed, "key").join(marks, "doc_id"), percent)
-        found = _verified(third, named, marks, words, percent)
+        found = _verified(third, named, marks, sets_of, percent)
         held += [again, own, found]
         links = links.union(found.where("linked").select("a", "b"))
         labels = components(links)
     release(*held)
-    out = _labelled(sizes.select("doc_id", F.col("size").alias("n_shingles")), labels).withColumnRenamed("component", "component_id")
-    return out.union(_nameless(docs, words))
+    out = _labelled(sizes.select("doc_id", "size"), labels).withColumnRenamed("component", "component_id")
+    return out.union(_nameless(docs, sets_of))
 
 
-def _nameless(docs: DataFrame, words: int) -> DataFrame:
+def _nameless(docs: DataFrame, sets_of) -> DataFrame:
     """Sizes of the rows with a null id."""
 
     def run(batches):
         for batch in batches:
-            n = [len(s) for s in shingle_sets(batch.column("text").to_pylist(), words)]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(n), pa.int64()), "n_shingles": pa.array(n, pa.int64()), "component_id": pa.nulls(len(n), pa.int64())})
+            n = [len(s) for s in sets_of(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(n), pa.int64()), "size": pa.array(n, pa.int64()), "component_id": pa.nulls(len(n), pa.int64())})
 
-    return docs.where("doc_id is null").select("text").mapInArrow(run, "doc_id long, n_shingles long, component_id long")
+    return docs.where("doc_id is null").select("text").mapInArrow(run, "doc_id long, size long, component_id long")
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:

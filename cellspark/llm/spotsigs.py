@@ -6,10 +6,12 @@ document's fingerprint is the set of its signatures, each a 32-bit hash. A text
 has the hashes of its words as its set, so that short texts compare too; a text without words has the hash of its
 characters (the empty text: the empty set). Likeness is the Jaccard coefficient of two sets; that of two empty sets is 1.
 
-``matches`` finds all pairs at or above a threshold without comparing all: sets are partitioned by length so that only
-partitions whose lengths allow the threshold meet, each set is joined by the rarest of its signatures (prefix filter),
-and candidates are compared whole. Equal sets are compared once, through their representative. ``op10_spotsigs`` compares
-each document with two given texts and needs none of this.
+``classes`` puts together all documents that likenesses of at least a threshold link. Sets are partitioned by length into
+bands, so that only sets whose lengths allow the threshold meet; within a band candidates meet by parity words of their
+signatures, which no pair at the threshold can miss. The comparison is pruned: lengths first, then sketches, whose
+distance bounds the likeness from above, and only what is left by the exact coefficient. Equal sets are one from the
+start, and no bucket is compared pair by pair (see ngram_join, whose rounds these are). Empty sets are linked with nothing.
+Likenesses in a class are not stored; those of a document with its edited text and its successor are exact.
 
 Null text: as the empty text. Rows are kept one for one; repeated ids and texts have equal fingerprints. The next
 document is the one that follows in (doc_id, text) order, null ids first, and the first follows the last.
@@ -21,12 +23,17 @@ import base64
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ngram_join import cluster_sets
+from .shared import materialize, mix
+
 #: Common function words of English, German, French and Spanish.
 ANCHORS = frozenset(
     "a an and are as at be but by can do for from had has have he his if in is it its not of on or said she that the there they this to was were which will with you "
@@ -35,7 +42,7 @@ ANCHORS = frozenset(
     "al como con cuando del el ella ellos entre eran este esta fue ha hay la las lo los más me mi muy no nos o para pero por que se ser si sin sobre su sus también te tiene una uno unos unas".split()
 )
 CHAIN, SPACING = 2, 1
-THRESHOLD = 0.8
+PERCENT = 80
 ROWS, MOST_BUCKETS = 250, 65_536
 
 _words = re.compile(r"[^\W_]+")
@@ -93,36 +100,17 @@ def fingerprints(docs: DataFrame, carry=("doc_id",), chain: int = CHAIN, spacing
     return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, kept + "signatures array<long>")
 
 
-def _band(n: Column, threshold: float) -> Column:
-    """Partition of a set length: lengths of one partition or two neighbouring ones can reach the threshold."""
-    return F.floor(F.log(n) / -float(np.log(threshold)) + 1e-9).cast("int")
-
-
-def matches(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (a, b, likeness), a < b, of representatives (the least id of equal sets) at or above ``threshold``.
-
-    ``prints`` has doc_id and signatures. Membership in a representative is ``representatives``."""
-    reps = prints.where("size(signatures) > 0").groupBy("signatures").agg(F.min("doc_id").alias("doc_id"))
-    n = F.size("signatures")
-    one = reps.select("doc_id", "signatures", n.alias("n"), F.posexplode("signatures").alias("_", "s"))
-    df = one.groupBy("s").agg(F.count("*").alias("df"))
-    ranked = one.join(df, "s").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("r"), F.first("n").alias("n"))
-    keep = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
-    prefix = ranked.select("doc_id", "n", _band(F.col("n"), threshold).alias("band"), F.explode(F.slice("r", 1, keep)).alias("x")).select("doc_id", "n", "band", F.col("x.s").alias("s"))
-    left = prefix.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "band", "s")
-    right = prefix.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "band", "s")
-    near = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("a") < F.col("b")))
-    pairs = left.join(right, ["band", "s"]).where(near & (F.col("na") >= F.col("nb") * threshold - 1e-9)).select("a", "b").distinct()
-    x, y = (reps.select(F.col("doc_id").alias(k), F.col("signatures").alias(f"s{k}")) for k in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    found = pairs.join(x, "a").join(y, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("likeness")).where(F.col("likeness") >= threshold - 1e-12)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
+def signature_sets(texts: list[str | None], chain: int = CHAIN, spacing: int = SPACING) -> Iterator[np.ndarray]:
+    """The signatures of each text, spread over 64 bits."""
+    for text in texts:
+        yield np.sort(mix(signatures(text, chain, spacing).astype(np.uint64) + np.uint64(1)))
 
 
-def representatives(prints: DataFrame) -> DataFrame:
-    """doc_id and the representative whose set it shares."""
-    reps = prints.groupBy("signatures").agg(F.min("doc_id").alias("representative"))
-    return prints.join(reps, "signatures").select("doc_id", "representative")
+def classes(docs: DataFrame, percent: int = PERCENT, chain: int = CHAIN, spacing: int = SPACING) -> DataFrame:
+    """doc_id, n_signatures and class_id (the least id reachable by likenesses of ``percent``) of every row of ``docs``;
+    rows with a null id have a null class."""
+    found = cluster_sets(docs, partial(signature_sets, chain=chain, spacing=spacing), percent)
+    return found.select("doc_id", F.col("size").alias("n_signatures"), F.col("component_id").alias("class_id"))
 
 
 def _ranges(docs: DataFrame, rows: int) -> tuple[np.ndarray, int | None]:
@@ -188,5 +176,7 @@ def edits(docs: DataFrame, rows: int = ROWS, chain: int = CHAIN, spacing: int =
 
 
 def op10_spotsigs(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints of every whole document and of its edited text, with likenesses."""
-    return edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Fingerprints of every whole document and of its edited text, with likenesses, and the class of near fingerprints."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    near = materialize(classes(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id")))
+    return edits(docs).join(near, "doc_id", "left")

@@ -40,10 +40,9 @@ def shingles(text, k):
     return frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) or (frozenset([tuple(words)]) if words else frozenset())
 
 
-def classes(texts, k, percent):
-    """Least id reachable by links, by comparing all."""
-    sets = {i: shingles(t, k) for i, t in texts.items()}
-    up = {i: i for i in texts}
+def linked(sets, percent):
+    """Least id reachable by links of sets, by comparing all."""
+    up = {i: i for i in sets}
 
     def find(i):
         while up[i] != i:
@@ -55,7 +54,12 @@ def classes(texts, k, percent):
         if x and y and 100 * len(x & y) >= percent * len(x | y):
             u, v = find(a), find(b)
             up[max(u, v)] = min(u, v)
-    return {i: find(i) for i in texts}
+    return {i: find(i) for i in sets}
+
+
+def classes(texts, k, percent):
+    """``linked`` for shingles."""
+    return linked({i: shingles(t, k) for i, t in texts.items()}, percent)
 
 
 def kept_bytes(texts, n=100):

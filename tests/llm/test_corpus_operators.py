@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cellspark.llm import graph, ngram_join, queries, sharding, spotsigs, suffix_dedup
 
-from .conftest import TEXTS, classes, kept_bytes, shingles
+from .conftest import TEXTS, classes, kept_bytes, linked, shingles
 
 
 def frame(spark, texts):
@@ -232,14 +232,14 @@ def test_spot_edits_are_brute_force(spark, odd, none):
     assert spotsigs.edits(frame(spark, {5: "one text"})).first()["near_next"] == 1
 
 
-def test_spot_matches_are_brute_force(spark):
-    texts = {i: f"the {t} and a {t} of the end" for i, t in near_copies(8).items() if t}
-    sets = {i: spotsigs.signatures(t) for i, t in texts.items()}
-    prints = spotsigs.fingerprints(frame(spark, texts))
-    reps = {r["doc_id"]: r["representative"] for r in spotsigs.representatives(prints).collect()}
-    ids = sorted(set(reps.values()))
-    want = {(a, b) for a in ids for b in ids if a < b and spotsigs.likeness(sets[a], sets[b]) >= 0.8}
-    assert {(r["a"], r["b"]) for r in spotsigs.matches(prints).collect()} == want
+def test_spot_classes_are_brute_force(spark, odd, none):
+    texts = {i: f"the {t} and a {t} of the end" if t else t for i, t in near_copies(8).items()}
+    sets = {i: frozenset(spotsigs.signatures(t).tolist()) for i, t in texts.items()}
+    want = linked(sets, 80)
+    got = {r["doc_id"]: r for r in spotsigs.classes(frame(spark, texts)).collect()}
+    assert {i: r["class_id"] for i, r in got.items()} == want and len(set(want.values())) < len([s for s in sets.values() if s])
+    assert all(r["n_signatures"] == len(sets[i]) for i, r in got.items())
+    assert spotsigs.classes(odd).count() == odd.count() and spotsigs.classes(none).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
