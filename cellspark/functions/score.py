@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Above them a cell is malignant.
 THRESHOLD, GATE = 0.35, 1.5
 #: The weights of the score.
 WEIGHTS = {"area": 0.17, "circularity": 0.21, "rbf": 0.21, "packing": 0.17, "eccentricity": 0.24}

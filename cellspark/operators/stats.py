@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.score import buckets, finite
 
+#: Bounds of the readings and their names.
 NAI = ([0.2, 0.4, 0.6], ["low", "mild", "moderate", "high"])
 TADS = ([1.5, 2.5, 3.5], ["organized", "mild", "moderate", "severe"])
 SKEW = ([-0.5, 0.5, 1.5], ["dispersed", "uniform", "clustered", "focal"])
@@ -20,10 +21,7 @@ def median(v: Column) -> Column:
 
 def upper_median(df: DataFrame, value: str, keys=("slide_id",)) -> DataFrame:
     """The element in the middle of each group, the upper of two."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(*keys))
-    ranked = df.select(*keys, value, F.row_number().over(order).alias("_i"), n.alias("_n"))
-    return ranked.where(F.col("_i") == F.floor(F.col("_n") / 2) + 1).select(*keys, F.col(value).alias("upper_median"))
+    return df.groupBy(*keys).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC)").alias("upper_median"))
 
 
 def distribution(df: DataFrame, value: str, keys=("slide_id",)) -> DataFrame:
@@ -42,34 +40,59 @@ def entropy(df: DataFrame, value: str, bins: int = 20, keys=("slide_id",)) -> Da
     return counts.groupBy(*keys).agg((-F.sum(p * F.ln(p)) + 0.0).alias("entropy"))
 
 
+def ranked(df: DataFrame, value: str, keys=("slide_id",), rows: int = 1_000) -> DataFrame:
+    """``df`` with _rank, the place (from 1) of each row in its group in ascending order of ``value``.
+
+    A group is cut into buckets between its extremes, about ``rows`` rows each if values are even, so that rows are sorted
+    within a bucket and only the buckets' counts along the group."""
+    ends = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.ceil(F.count("*") / rows).alias("_parts"))
+    place = F.floor((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * F.col("_parts"))
+    own = df.join(ends, list(keys)).withColumn("_b", F.coalesce(place, F.lit(0)))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = own.groupBy(*keys, "_b").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    within = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(value))
+    return own.withColumn("_i", within).join(sums, [*keys, "_b"]).withColumn("_rank", F.col("_before") + F.col("_i")).select(*df.columns, "_rank")
+
+
 def gini(df: DataFrame, value: str, keys=("slide_id",)) -> DataFrame:
     """2 sum(rank x) / (n sum x) - (n + 1) / n over ascending ranks; 0 where the sum is 0."""
-    ranked = df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(value)))
-    sums = ranked.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(value).alias("_s"), F.sum(F.col("_i") * F.col(value)).alias("_w"))
+    own = ranked(df.select(*keys, value), value, keys)
+    sums = own.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(value).alias("_s"), F.sum(F.col("_rank") * F.col(value)).alias("_w"))
     n = F.col("_n")
     return sums.select(*keys, F.coalesce(2 * F.col("_w") / F.nullif(n * F.col("_s"), F.lit(0.0)) - (n + 1) / n, F.lit(0.0)).alias("gini"))
 
 
+def _skew(value: str) -> Column:
+    return F.when(F.stddev_pop(value) > 1e-12, F.skewness(value)).otherwise(0.0).alias("skew")
+
+
 def skewness(df: DataFrame, value: str, keys=("slide_id",)) -> DataFrame:
     """Population skewness; 0 for one value."""
-    return df.groupBy(*keys).agg(F.when(F.stddev_pop(value) > 1e-12, F.skewness(value)).otherwise(0.0).alias("skew"))
+    return df.groupBy(*keys).agg(_skew(value))
 
 
-def class_counts(df: DataFrame, label: str = "clinical", keys=("slide_id",)) -> DataFrame:
-    """Counts and shares of malignant, immune and all other labels, trimmed and without case."""
+def _counts(label: str) -> list[Column]:
     low = F.lower(F.trim(label))
-    out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(low == "malignant").alias("malignant"), F.count_if(low == "immune").alias("immune"))
+    return [F.count("*").alias("n"), F.count_if(low == "malignant").alias("malignant"), F.count_if(low == "immune").alias("immune")]
+
+
+def _shares(out: DataFrame) -> DataFrame:
     out = out.withColumn("normal", F.col("n") - F.col("malignant") - F.col("immune"))
     return out.withColumns({f"{c}_fraction": F.col(c) / F.col("n") for c in ("malignant", "immune", "normal")})
 
 
+def class_counts(df: DataFrame, label: str = "clinical", keys=("slide_id",)) -> DataFrame:
+    """Counts and shares of malignant, immune and all other labels, trimmed and without case."""
+    return _shares(df.groupBy(*keys).agg(*_counts(label)))
+
+
 def biomarkers(df: DataFrame) -> DataFrame:
     """One row by slide: class counts, atypia, disruption, infiltration skew and heterogeneity with their readings.
 
     ``df``: slide_id, clinical, circularity, eccentricity, knn_density, rbf_risk_score."""
     own = df.withColumn("atypia", 0.5 * (1 - F.col("circularity")) + 0.5 * F.col("eccentricity"))
-    out = class_counts(own).join(own.groupBy("slide_id").agg(F.avg("atypia").alias("nai"), F.stddev_pop("atypia").alias("nai_std")), "slide_id")
-    out = out.join(entropy(own, "rbf_risk_score").withColumnRenamed("entropy", "tads"), "slide_id").join(skewness(own, "knn_density"), "slide_id").join(gini(own, "eccentricity").withColumnRenamed("gini", "ths"), "slide_id")
+    out = _shares(own.groupBy("slide_id").agg(*_counts("clinical"), F.avg("atypia").alias("nai"), F.stddev_pop("atypia").alias("nai_std"), _skew("knn_density")))
+    out = out.join(entropy(own, "rbf_risk_score").withColumnRenamed("entropy", "tads"), "slide_id").join(gini(own, "eccentricity").withColumnRenamed("gini", "ths"), "slide_id")
     reads = {"nai_reading": ("nai", NAI), "tads_reading": ("tads", TADS), "skew_reading": ("skew", SKEW), "ths_reading": ("ths", THS)}
     return out.withColumns({n: buckets(F.col(c), *b) for n, (c, b) in reads.items()})
 

@@ -206,7 +206,8 @@ def _(spark, d):
     return rounded(rounded(out, *cols), "perimeter_area_ratio", digits=3)
 
 
-@query("feature_spatial", f"""WITH {POINTS_SQL}, {KNN_SQL.format(t='pts', k=5)}, r5 AS (SELECT slide_id, src AS cell_id, max(rank) AS k, max(d) AS d FROM edges GROUP BY ALL), hp AS (SELECT a.slide_id, quantile_cont(sqrt(d2),0.5)/2 AS s FROM pairs a WHERE src<dst GROUP BY ALL),
+@query("feature_spatial", f"""WITH {POINTS_SQL}, {KNN_SQL.format(t='pts', k=5)}, r5 AS (SELECT slide_id, src AS cell_id, max(rank) AS k, max(d) AS d FROM edges GROUP BY ALL), few AS (SELECT slide_id, cell_id FROM pts QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY md5(cast(cell_id AS varchar)))<=200),
+hp AS (SELECT p.slide_id, quantile_cont(sqrt(d2),0.5)/2 AS s FROM pairs p JOIN few a ON a.slide_id=p.slide_id AND a.cell_id=src JOIN few b ON b.slide_id=p.slide_id AND b.cell_id=dst WHERE src<dst GROUP BY ALL),
 rb AS (SELECT p.slide_id, src AS cell_id, (sum(exp(-d2/(2*s*s)))+1)/(count(*)+1) AS rbf FROM pairs p JOIN hp USING (slide_id) GROUP BY ALL)
 SELECT slide_id, cell_id, {r('CASE WHEN d<1e-12 THEN 0 ELSE k/(pi()*d*d) END')} AS knn_density, {r('rbf')} AS rbf_risk_score FROM r5 JOIN rb USING (slide_id, cell_id)""")
 def _(spark, d):

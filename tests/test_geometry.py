@@ -86,6 +86,70 @@ def test_communities_and_patches(spark):
     assert [tuple(p) for p in patches] == [(0, 4), (4, 4)]
 
 
+def merged(n, edges, target):
+    """Communities by the rule read plainly: of all pairs of groups the one with most edges between, the first of equals."""
+    groups = [[i] for i in range(n)]
+    while len(groups) > target:
+        between = lambda a, b: sum((x in a and y in b) or (x in b and y in a) for x, y in edges)
+        pairs = [(between(groups[i], groups[j]), -i, -j) for i in range(len(groups)) for j in range(i + 1, len(groups))]
+        best = max(pairs)
+        if not best[0]:
+            break
+        groups[-best[1]] += groups.pop(-best[2])
+    return sorted(map(sorted, groups))
+
+
+def test_communities_are_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(s, 10 * i + 3, rng.random() * 100, rng.random() * 100, 1.0) for s, n in (("a", 30), ("b", 17), ("c", 3), ("d", 5)) for i in range(n)]
+    cells = spark.createDataFrame(rows, "slide_id string, cell_id long, centroid_x double, centroid_y double, area double")
+    edges = spatial.knn(cells, 3)
+    links, got = {}, {}
+    for e in edges.collect():
+        links.setdefault(e["slide_id"], []).append(((e["src"] - 3) // 10, (e["dst"] - 3) // 10))
+    for r in graph.communities(cells, edges).collect():
+        got.setdefault(r["slide_id"], {}).setdefault(r["module"], []).append((r["cell_id"] - 3) // 10)
+    assert set(got) == {"a", "b", "d"}
+    for s, n in (("a", 30), ("b", 17), ("d", 5)):
+        assert sorted(map(sorted, got[s].values())) == merged(n, links[s], min(max(int(n**0.5), 4), n // 2))
+
+
+def test_ranks_over_buckets(spark):
+    from cellspark.operators import stats
+
+    rows = [("a", float(i * i % 101)) for i in range(300)] + [("b", 5.0)] * 40 + [("c", 1.0)]
+    df = spark.createDataFrame(rows, "slide_id string, v double")
+    got = {}
+    for r in stats.ranked(df, "v", rows=20).collect():
+        got.setdefault(r["slide_id"], []).append((r["_rank"], r["v"]))
+    for k, own in got.items():
+        assert [v for _, v in sorted(own)] == sorted(v for s, v in rows if s == k) and sorted(i for i, _ in own) == list(range(1, len(own) + 1))
+    mids = {r["slide_id"]: r["upper_median"] for r in stats.upper_median(df, "v").collect()}
+    assert mids == {k: sorted(v for s, v in rows if s == k)[sum(s == k for s, _ in rows) // 2] for k in "abc"}
+
+
+def test_fields_and_neighbours_of_clustered_slides(spark):
+    """Squares change nothing: fields, surfaces and neighbours of clusters far apart are those of all pairs."""
+    import random
+
+    rng = random.Random(8)
+    pts = [(rng.gauss(cx, 3), rng.gauss(cy, 3)) for cx, cy in ((0, 0), (5000, 10), (5000, 9000)) for _ in range(60)]
+    cells = spark.createDataFrame([("s", i, x, y, 1.0) for i, (x, y) in enumerate(pts)], "slide_id string, cell_id long, centroid_x double, centroid_y double, area double")
+    d2 = lambda a, b: (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2
+    got = {r["cell_id"]: r["rbf"] for r in spatial.rbf_field(cells, 4.0).collect()}
+    assert all(abs(got[i] - sum(math.exp(-d2(p, q) / 32) for j, q in enumerate(pts) if j != i)) < 1e-9 for i, p in enumerate(pts))
+    near = {}
+    for e in spatial.knn(cells, 5).collect():
+        near.setdefault(e["src"], {})[e["rank"]] = e["dst"]
+    assert all([near[i][k] for k in range(1, 6)] == sorted((j for j in range(len(pts)) if j != i), key=lambda j: (d2(pts[i], pts[j]), j))[:5] for i in range(len(pts)))
+    xs, ys = [p[0] for p in pts], [p[1] for p in pts]
+    step = lambda v, i: min(v) + (i + 0.5) * (max(v) - min(v)) / 4
+    for r in spatial.surface(cells, 4, 50.0).collect():
+        assert abs(r["value"] - sum(math.exp(-d2((step(xs, r["i"]), step(ys, r["j"])), q) / 5000) for q in pts)) < 1e-9
+
+
 def test_suppression_and_distance(spark):
     b = spark.createDataFrame([("g", 1, 0.0, 0.0, 10.0, 10.0, 0.9), ("g", 2, 1.0, 1.0, 11.0, 11.0, 0.8), ("g", 3, 50.0, 50.0, 60.0, 60.0, 0.7)], "group string, id long, x0 double, y0 double, x1 double, y1 double, score double")
     assert sorted(r["id"] for r in graph.suppress(b).collect()) == [1, 3]
