@@ -12,13 +12,17 @@ of them goes on. A document's size and its sketch of 2048 bits come from the sam
 
 Verification, without comparing all members of a bucket. Round 1 compares each member with the first of its bucket,
 exactly. Buckets of three and more where that failed go to round 2, which compares with the member that shares most
-buckets, usually the original of a family. Where a bucket still holds several components, round 3 compares members of
-different components in blocks of bounded size by 2048-bit parity sketches, whose Hamming distance is a lower bound of
-the difference, and verifies exactly those pairs that the bound lets pass. Every pair that might link and whose ends are
-not yet connected is thus tried, and components are those of all links. Before whole sets are made, the sketches rule out
-most unlike pairs; the sets of the others come from one pass over the texts, which a filter of fixed size keeps to the
-documents named, so texts are never shuffled. Shingles are compared as 64-bit hashes: for two sets of a thousand shingles
-each a wrong match has odds of about one to 10**13.
+buckets, usually the original of a family. Where a bucket of at most BLOCK members still holds several components, round 3
+compares members of different components by 2048-bit parity sketches, whose Hamming distance is a lower bound of the
+difference, and verifies exactly those pairs that the bound lets pass. Members of larger mixed buckets, such as
+documents that have half of their text in common, get new keys: 4 (D + 1) finer parity words, of which linked sets share
+all but D, so that each needs only the D + 1 rarest of its words. What all have in common is frequent and drops
+out, and rounds 2 and 3 go over the small buckets of rare words; only words that even then are both rarest and in over
+BLOCK mixed members (documents that all but link) are compared in blocks of BLOCK by BLOCK. Every pair that might link and
+whose ends are not yet connected is thus tried, and components are those of all links. Before whole sets are made, the
+sketches rule out most unlike pairs; the sets of the others come from one pass over the texts, which a filter of fixed size
+keeps to the documents named, so texts are never shuffled. Shingles are compared as 64-bit hashes: for two sets of a
+thousand shingles each a wrong match has odds of about one to 10**13.
 
 No words or null text: size 0, linked with nothing. Fewer words than a shingle has: the whole sequence is one shingle.
 Equal ids are one node; rows with a null id are in no link and have a null component. Other columns are not read.
@@ -102,10 +106,11 @@ def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
 
 
 class Bands:
-    """Size bands of a threshold in percent: bounds, the most differences and the number of parity words of each."""
+    """Size bands of a threshold in percent: bounds, the most differences and the number of parity words of each; 4 (D + 1)
+    words where ``fine``."""
 
-    def __init__(self, percent: int):
-        self.percent = percent
+    def __init__(self, percent: int, fine: bool = False):
+        self.percent, self.fine = percent, fine
         self.low, self.parts = [1], []
 
     def most(self, total: int) -> int:
@@ -119,8 +124,8 @@ class Bands:
             high = low * 100 // self.percent
             self.low.append(high + 1)
             d = self.most(high + high * 100 // self.percent)
-            m = d + 1 + (d > 0)
-            while d and m < 2 * d + 2 and m - d <= 1.6 * m * np.exp(-low / m) + 1:
+            m = 4 * (d + 1) if self.fine else d + 1 + (d > 0)
+            while d and not self.fine and m < 2 * d + 2 and m - d <= 1.6 * m * np.exp(-low / m) + 1:
                 m += 1
             self.parts.append((d, m))
         return int(np.searchsorted(self.low, n, side="right")) - 1
@@ -145,6 +150,19 @@ class Bands:
         return np.unique(np.concatenate(out)).view(np.int64)
 
 
+    def words(self, s: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(band, most differences, keys of all parity words, the empty ones too) of a set in each of its bands."""
+        inner = mix(s ^ np.uint64(0x5DEECE66D1234567))
+        for k in self.of(len(s)):
+            d, m = self.parts[k]
+            part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            value = np.zeros(m, np.uint64)
+            value[part[first].astype(np.int64)] = np.bitwise_xor.reduceat(inner, first)
+            place = np.arange(m, dtype=np.uint64)
+            yield k, d, mix(value + mix(place * np.uint64(1 << 20) + np.uint64(k + 1))).view(np.int64)
+
+
 def sketch(s: np.ndarray) -> np.ndarray:
     """SKETCH_BITS parity bits of a set as 64-bit words: each shingle flips one bit."""
     bit = mix(s + np.uint64(77)) % np.uint64(SKETCH_BITS)
@@ -283,11 +301,12 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
-def _blocks(members: DataFrame, bands_of: int) -> DataFrame:
-    """Pairs of different components whose sketches do not rule a link out, from (key, n, doc_id, component, size, bits)."""
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components whose sketches do not rule a link out, from (key, n, doc_id, component, size,
+    bits): all members of buckets of up to BLOCK, of larger ones in blocks, each of which meets each other block."""
 
     def compare(batches):
-        bands = Bands(bands_of)
+        bands = Bands(percent)
         for run in _runs(batches, ("key", "i", "j"), ("own", "doc_id", "component", "size", "bits")):
             i, j = run["i"][0], run["j"][0]
             left, right = np.flatnonzero(run["own"] == i), np.flatnonzero(run["own"] == j)
@@ -310,6 +329,63 @@ def _blocks(members: DataFrame, bands_of: int) -> DataFrame:
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long")
 
 
+def _rare_words(docs: DataFrame, ids: DataFrame, sets_of, percent: int) -> DataFrame:
+    """(key, doc_id): of the fine parity words of the documents named in ``ids``, the D + 1 rarest of each in each band."""
+    held = key_filter(ids, "doc_id")
+
+    def run(batches):
+        bands = Bands(percent, fine=True)
+        for batch in batches:
+            batch = batch.filter(pa.array(may_hold(held.value, batch.column("doc_id").to_numpy())))
+            sets = sets_of(batch.column("text").to_pylist()) if batch.num_rows else ()
+            words = [(doc, band, d + 1, key) for doc, s in zip(batch.column("doc_id").to_pylist(), sets, strict=True) if len(s) for band, d, key in bands.words(s)]
+            for at in range(0, len(words), 500):
+                *heads, keys = zip(*words[at : at + 500], strict=True)
+                heads = [np.repeat(np.array(h, np.int64), [len(k) for k in keys]) for h in heads]
+                yield pa.RecordBatch.from_pydict({n: pa.array(h) for n, h in zip(("doc_id", "band", "keep", "key"), (*heads, np.concatenate(keys)), strict=True)})
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, band long, keep long, key long").distinct()
+    rows = materialize(rows.join(ids.distinct(), "doc_id", "left_semi"))
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
+    words = rows.join(counts, "key").groupBy("doc_id", "band", "keep").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("w"))  # of one document
+    rare = words.select("doc_id", F.explode(F.slice("w", F.lit(1), F.col("keep").cast("int"))).alias("w")).where("w.n > 1")
+    found = materialize(rare.select(F.col("w.key").alias("key"), "doc_id").distinct())
+    release(rows)
+    return found
+
+
+def _rounds(members: DataFrame, links: DataFrame, labels: DataFrame, docs: DataFrame, marks: DataFrame, sets_of, percent: int, fine: bool = False) -> DataFrame:
+    """Labels after rounds 2 and 3 over the buckets ``members`` (key, doc_id)."""
+    counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(members.join(counts, "key"))
+    if members.isEmpty():
+        return labels
+    shared = members.groupBy("doc_id").agg(F.sum("n").alias("shared"))
+    lead = members.join(shared, "doc_id").groupBy("key").agg(F.max(F.struct("shared", -F.col("doc_id"), "doc_id")).alias("m")).select("key", F.col("m.doc_id").alias("lead"))
+    own = _labelled(members, labels)
+    to = _labelled(lead.withColumnRenamed("lead", "doc_id"), labels).select("key", F.col("doc_id").alias("lead"), F.col("component").alias("lead_component"))
+    second = own.join(to, "key").where("component <> lead_component").select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b"))
+    again = _verified(second, docs, marks, sets_of, percent)
+    links = links.union(again.where("linked").select("a", "b"))
+    labels = components(links)
+
+    own = materialize(_labelled(members.select("key", "doc_id"), labels))
+    mixed = own.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "n")
+    mixed = materialize(mixed)
+    near = mixed if fine else mixed.where(F.col("n") <= BLOCK)
+    third = _across(own.join(near, "key").join(marks, "doc_id"), percent)
+    found = _verified(third, docs, marks, sets_of, percent)
+    links = links.union(found.where("linked").select("a", "b"))
+    labels = components(links)
+    large = mixed.where(F.col("n") > BLOCK)
+    if not fine and not large.isEmpty():
+        words = _rare_words(docs, own.join(large, "key").select("doc_id"), sets_of, percent)
+        labels = _rounds(words, links, labels, docs, marks, sets_of, percent, True)
+        release(words)
+    release(members, again, own, mixed, found)
+    return labels
+
+
 def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``, which has doc_id and text."""
     return cluster_sets(docs, partial(shingle_sets, words=words), percent).withColumnRenamed("size", "n_shingles")
@@ -330,29 +406,10 @@ def cluster_sets(docs: DataFrame, sets_of: Callable[[list], Iterable[np.ndarray]
 
     open_keys = buckets.join(tried.where("not linked"), ["a", "b"]).select("key").distinct()
     inside = materialize(buckets.join(open_keys, "key", "left_semi"))
-    held = [tried, inside]
     members = inside.select("key", F.col("b").alias("doc_id")).union(inside.select("key", "a").distinct()).distinct()
     counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
-    members = materialize(members.join(counts, "key"))
-    held.append(members)
-    if not members.isEmpty():
-        shared = members.groupBy("doc_id").agg(F.sum("n").alias("shared"))
-        lead = members.join(shared, "doc_id").groupBy("key").agg(F.max(F.struct("shared", -F.col("doc_id"), "doc_id")).alias("m")).select("key", F.col("m.doc_id").alias("lead"))
-        own = _labelled(members, labels)
-        to = _labelled(lead.withColumnRenamed("lead", "doc_id"), labels).select("key", F.col("doc_id").alias("lead"), F.col("component").alias("lead_component"))
-        second = own.join(to, "key").where("component <> lead_component").select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b"))
-        again = _verified(second, named, marks, sets_of, percent)
-        links = links.union(again.where("linked").select("a", "b"))
-        labels = components(links)
-
-        own = materialize(_labelled(members.select("key", "doc_id"), labels))
-        mixed = own.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "n")
-        third = _blocks(own.join(mixed, "key").join(marks, "doc_id"), percent)
-        found = _verified(third, named, marks, sets_of, percent)
-        held += [again, own, found]
-        links = links.union(found.where("linked").select("a", "b"))
-        labels = components(links)
-    release(*held)
+    labels = _rounds(members.join(counts, "key", "left_semi"), links, labels, named, marks, sets_of, percent)
+    release(tried, inside)
     out = _labelled(sizes.select("doc_id", "size"), labels).withColumnRenamed("component", "component_id")
     return out.union(_nameless(docs, sets_of))
 

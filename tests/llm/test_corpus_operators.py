@@ -99,6 +99,43 @@ def test_ngram_join_of_a_family_without_a_centre(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in rows} == classes(texts, 3, 90)
 
 
+@pytest.mark.parametrize(("share", "percent"), [(0.75, 80), (0.8, 90)])
+def test_ngram_join_of_documents_with_much_in_common(spark, monkeypatch, share, percent):
+    """Documents that share a passage but do not link, among them some that do, in buckets larger than a block."""
+    rng = random.Random(int(100 * share) + percent)
+    n = 120
+    passage = [f"p{i}" for i in range(int(n * share))]
+    texts, i = {}, 0
+    while len(texts) < 90:
+        own = [f"o{i}.{j}" for j in range(n - len(passage))]
+        texts[i] = " ".join(passage + own)
+        if rng.random() < 0.3:
+            own[rng.randrange(len(own))] = f"x{i}"
+            texts[i + 1] = " ".join(passage + own)
+        i += 2
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rare = []
+    plain = ngram_join._rare_words
+    monkeypatch.setattr(ngram_join, "_rare_words", lambda *a: rare.append(1) or plain(*a))
+    rows = ngram_join.cluster(frame(spark, texts), 2, percent).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == classes(texts, 2, percent) and rare
+
+
+def test_rare_words_miss_no_link():
+    """Of 4 (D + 1) words linked sets share all but D, so the D + 1 rarest of each have one in common."""
+    rng = np.random.default_rng(14)
+    for percent in (80, 90):
+        bands = ngram_join.Bands(percent, fine=True)
+        for n in (3, 10, 45, 400):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            d = next(d for d in range(n, -1, -1) if 100 * (n - d) >= percent * (n + d))
+            b = np.unique(np.concatenate((a[d:], rng.integers(0, 1 << 63, d).astype(np.uint64))))
+            x, y = ({band: (most, key) for band, most, key in bands.words(s)} for s in (a, b))
+            assert set(x) & set(y)
+            for band in set(x) & set(y):
+                assert len(np.intersect1d(x[band][1], y[band][1])) >= len(x[band][1]) - x[band][0] and len(x[band][1]) == 4 * (x[band][0] + 1)
+
+
 def test_parity_words_bound_the_difference():
     rng = np.random.default_rng(4)
     for percent in (60, 80, 90):
