@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import imaging, ring
-from ..operators import checkpoints, patches
+from ..operators import checkpoints, patches, segment
 from ..sources import annotations, exports
 from ..sources.fixtures import POINTS_SQL, cells_parts, points_parts
 from ..streaming import service
@@ -144,6 +144,33 @@ def _(spark, d):
     return rounded(out.select("id", "cell_id", *[F.col("features")[i].alias(n) for i, n in enumerate(("red", "green", "blue"))], F.col("features")[3].cast("long").alias("covered")), "red", "green", "blue", digits=3)
 
 
+@query(
+    "tiled_segments",
+    "SELECT b AS id, ((9+k)*(9+k))::double AS area, x0+(9+k)/2.0 AS x, y0+(9+k)/2.0 AS y FROM (SELECT b, k, 3+31*k+length(b) AS x0, 5+(k*47+length(b)*3)%120 AS y0 FROM (SELECT DISTINCT p_brand AS b FROM part), (SELECT unnest(range(6)) AS k))",
+)
+def _(spark, d):
+    """O233, O234: images cut into overlapping tiles, segmented by a model (here one that outlines bright parts), shifted back
+    and freed of what several tiles found."""
+
+    def load():
+        def model(image):
+            labels = imaging.parts(image[:, :, 0] > 128)
+            return [imaging.outline(labels == i)[:-1] for i in range(1, labels.max() + 1)]
+
+        return model
+
+    b = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("id")).distinct()
+    n = F.length("id")
+    p = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(200 * 150 - 1)))).select("id", F.expr("int(i div 200)").alias("y"), F.expr("int(i % 200)").alias("x"), n.alias("n"))
+    bright = F.lit(False)
+    for k in range(6):
+        bright = bright | ((F.col("x") - (3 + 31 * k) - F.col("n")).between(0, 8 + k) & (F.col("y") - 5 - (k * 47 + F.col("n") * 3) % 120).between(0, 8 + k))
+    p = p.withColumn("r", F.when(bright, 250).otherwise(20)).withColumns({"g": F.col("r"), "b": F.lit(0)})
+    images = b.withColumns({"width": F.lit(200), "height": F.lit(150)})
+    out = segment.segments(p, images, load, 64, 32)
+    return rounded(out.select("id", "area", F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y")), "area", "x", "y")
+
+
 @query("stream_limiter", f"SELECT event_id, allowed FROM ({EXTENDED['sliding_counter']})")
 def _(spark, d):
     """O250 as a stream: the limiter over events as they arrive, with a state for each key."""
