@@ -9,6 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: dict[str, list[str]] = {}
+
 
 def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir. Where it is unset and Spark runs on this machine alone, as in tests, a temporary folder is
@@ -24,13 +27,30 @@ def folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again: later plans start from its rows, and a lost
-    executor costs no more than the stage it was in."""
+    executor costs no more than the stage it was in. The shuffle files behind the rows go, so ``df`` itself should not be
+    executed again; the rows stay until ``clear``."""
     spark = df.sparkSession
     path = f"{folder(spark)}/cellspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Delete what ``cut`` has written in this application, once no plan reads it any more; how many tables that were."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
+
+
 def cached(spark: SparkSession, name: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The rows that ``make`` gave for this name and key before, from the shared folder, or now. The key should be a
     digest of all that the rows depend on, such as those of the sources' files."""

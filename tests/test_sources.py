@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import time
 import zipfile
 
@@ -132,6 +133,9 @@ def test_images(spark, tmp_path):
 def test_cache_and_callback(spark, tmp_path):
     from cellspark.operators import checkpoints
 
+    rows = checkpoints.cut(spark.range(5).repartition(2))
+    path = rows.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert rows.count() == 5 and os.path.isdir(path) and checkpoints.clear(spark) >= 1 and not os.path.exists(path)
     made = []
 
     def make():
