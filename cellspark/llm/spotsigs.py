@@ -124,11 +124,12 @@ def _ranges(docs: DataFrame, rows: int) -> tuple[np.ndarray, int | None]:
     return np.array(sorted({x for x in found or [] if x is not None and x > least}), np.int64), None if nulls else least
 
 
-def edits(docs: DataFrame, rows: int = ROWS, chain: int = CHAIN, spacing: int = SPACING) -> DataFrame:
+def edits(docs: DataFrame, rows: int = ROWS, chain: int = CHAIN, spacing: int = SPACING, beside: DataFrame | None = None) -> DataFrame:
     """Each document beside its edited text and its next document: doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next.
+    edited_fingerprint, near_edited, near_next, and class_id of ``beside`` (doc_id, class_id; one row an id at most).
 
     Texts are dealt once, by ranges of doc_id; the first row of a range also goes, as ``tail``, to the range before it.
+    Rows of ``beside`` go to the same ranges, so that neither texts nor fingerprints are shuffled again for them.
     There are at most MOST_BUCKETS ranges, whose bounds are all that the driver sees."""
     spark = docs.sparkSession
     bounds, least = _ranges(docs, rows)
@@ -149,34 +150,46 @@ def edits(docs: DataFrame, rows: int = ROWS, chain: int = CHAIN, spacing: int =
             rows_at = pa.array(np.concatenate((np.arange(n), again)))
             bucket = np.concatenate((own, (own[again] - 1) % (len(edges.value) + 1)))
             tail = np.concatenate((np.zeros(n, bool), np.ones(len(again), bool)))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(rows_at), "text": batch.column("text").take(rows_at), "bucket": pa.array(bucket, pa.int32()), "tail": pa.array(tail)})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(rows_at), "text": batch.column("text").take(rows_at), "bucket": pa.array(bucket, pa.int32()), "tail": pa.array(tail), "class_id": pa.nulls(len(bucket), pa.int64())})
+
+    def deal_beside(batches):
+        for batch in batches:
+            own, _ = places(batch.column("doc_id"))
+            n = batch.num_rows
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": pa.nulls(n, pa.string()), "bucket": pa.array(own, pa.int32()), "tail": pa.array(np.zeros(n, bool)), "class_id": batch.column("class_id")})
 
     def compare(batches):
-        names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        last = None
+        names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id")
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64())
+        last, known = None, (None, None)
         for batch in batches:
             out = []
-            for doc, text, bucket, tail in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "tail")), strict=True):
+            for doc, text, bucket, tail, own_class in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "tail", "class_id")), strict=True):
+                if text is None:  # what stands beside the rows of this id, which follow
+                    known = (doc, own_class)
+                    continue
                 if tail and (last is None or last[0] != bucket):
                     continue  # a further tail of this bucket
                 own = signatures(text, chain, spacing)
                 if last is not None and last[0] == bucket:
-                    _, before, old, prints = last
+                    _, before, old, prints, found = last
                     new = edited(old, text)
                     marks = signatures(new, chain, spacing)
-                    out.append((before, len(old), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), packed(prints), packed(marks), likeness(prints, marks), likeness(prints, own)))
-                last = None if tail else (bucket, doc, text, own)
+                    out.append((before, len(old), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), packed(prints), packed(marks), likeness(prints, marks), likeness(prints, own), found))
+                last = None if tail else (bucket, doc, text, own, known[1] if doc is not None and known[0] == doc else None)
             columns = list(zip(*out, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_pydict({c: pa.array(v, k) for c, v, k in zip(names, columns, kinds, strict=True)})
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(deal, "doc_id long, text string, bucket int, tail boolean")
-    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "tail", "doc_id", "text")
-    return ordered.mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    shape = "doc_id long, text string, bucket int, tail boolean, class_id long"
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(deal, shape)
+    if beside is not None:
+        dealt = dealt.union(beside.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "class_id").mapInArrow(deal_beside, shape))
+    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "tail", "doc_id", F.asc_nulls_first("text"))
+    return ordered.mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long")
 
 
 def op10_spotsigs(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole document and of its edited text, with likenesses, and the class of near fingerprints."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     near = materialize(classes(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id")))
-    return edits(docs).join(near, "doc_id", "left")
+    return edits(docs, beside=near)

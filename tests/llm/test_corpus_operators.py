@@ -256,8 +256,9 @@ def test_spot_edits_are_brute_force(spark, odd, none):
     texts = {i * 3: t for i, t in enumerate(TEXTS * 3)}
     order = sorted(texts)
     for rows in (1, 5, 1000):
-        got = {r["doc_id"]: r for r in spotsigs.edits(frame(spark, texts), rows).collect()}
-        assert set(got) == set(order)
+        beside = spark.createDataFrame([(d, -d) for d in order if d % 2], "doc_id long, class_id long")
+        got = {r["doc_id"]: r for r in spotsigs.edits(frame(spark, texts), rows, beside=beside).collect()}
+        assert set(got) == set(order) and all(r["class_id"] == (-d if d % 2 else None) for d, r in got.items())
         for i, d in enumerate(order):
             t, after = texts[d] or "", texts[order[(i + 1) % len(order)]] or ""
             new = spotsigs.edited(t, after)
@@ -269,6 +270,14 @@ def test_spot_edits_are_brute_force(spark, odd, none):
     assert spotsigs.edits(frame(spark, {5: "one text"})).first()["near_next"] == 1
 
 
+def test_spot_query_has_classes_of_all_rows(spark, odd, sf_dir):
+    rows = spotsigs.edits(odd, 3, beside=spotsigs.classes(odd).where("doc_id is not null").distinct()).collect()
+    assert len(rows) == odd.count() and {r["class_id"] for r in rows if r["doc_id"] is None} == {None}
+    assert {r["doc_id"]: r["class_id"] for r in rows if r["doc_id"] in (0, 1, 2)} == {0: 0, 1: 0, 2: 2}
+    got = spotsigs.op10_spotsigs(spark, sf_dir).where("class_id is null or class_id > doc_id")
+    assert got.count() == 0
+
+
 def test_spot_classes_are_brute_force(spark, odd, none):
     texts = {i: f"the {t} and a {t} of the end" if t else t for i, t in near_copies(8).items()}
     sets = {i: frozenset(spotsigs.signatures(t).tolist()) for i, t in texts.items()}
