@@ -43,6 +43,7 @@ from .shared import key_filter, materialize, may_hold, mix, release
 
 WORDS, PERCENT = 3, 90
 BLOCK = 256
+LEAST_KEYS = 8
 SKETCH_BITS = 2048
 TEXTS = 1_000_000  # bytes hashed at once
 KNOWN = 100_000  # sets whose hash a task remembers
@@ -301,14 +302,17 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components whose sketches do not rule a link out, from (key, n, doc_id, component, size,
-    bits): all members of buckets of up to BLOCK, of larger ones in blocks, each of which meets each other block."""
+def _across(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components whose sketches do not rule a link out, from (key, n, doc_id, component)
+    and the sketches of ``marks``: all members of buckets of up to BLOCK, of larger ones in blocks, each of which meets each other block.
+
+    A pair that shares several buckets is left to the least of them where that is known from the LEAST_KEYS least keys of
+    both, so that similar documents do not come out once for every key they share."""
 
     def compare(batches):
         bands = Bands(percent)
-        for run in _runs(batches, ("key", "i", "j"), ("own", "doc_id", "component", "size", "bits")):
-            i, j = run["i"][0], run["j"][0]
+        for run in _runs(batches, ("key", "i", "j"), ("own", "doc_id", "component", "size", "bits", "least")):
+            i, j, key = run["i"][0], run["j"][0], run["key"][0]
             left, right = np.flatnonzero(run["own"] == i), np.flatnonzero(run["own"] == j)
             bits = np.stack(list(run["bits"])).view(np.uint64)
             out = []
@@ -317,15 +321,17 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
                 y = y[run["component"][y] != run["component"][x]]
                 total = run["size"][y] + run["size"][x]
                 y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(1) <= total * (100 - bands.percent) // (100 + bands.percent)]
-                out += [(run["doc_id"][x], run["doc_id"][k]) for k in y.tolist()]
+                mine = {k for k in run["least"][x].tolist() if k < key}
+                out += [(run["doc_id"][x], run["doc_id"][k]) for k in y.tolist() if not mine.intersection(run["least"][k].tolist())]
             if out:
                 a, b = np.array(out, np.int64).T
                 yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
+    least = members.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAST_KEYS).alias("least"))  # of one document
     n = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = members.join(least, "doc_id").join(marks, "doc_id").withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select("key", "i", "j", "own", "doc_id", "component", "size", "bits")
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select("key", "i", "j", "own", "doc_id", "component", "size", "bits", "least")
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long")
 
 
@@ -373,7 +379,7 @@ def _rounds(members: DataFrame, links: DataFrame, labels: DataFrame, docs: DataF
     mixed = own.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "n")
     mixed = materialize(mixed)
     near = mixed if fine else mixed.where(F.col("n") <= BLOCK)
-    third = _across(own.join(near, "key").join(marks, "doc_id"), percent)
+    third = _across(materialize(own.join(near, "key")), marks, percent)
     found = _verified(third, docs, marks, sets_of, percent)
     links = links.union(found.where("linked").select("a", "b"))
     labels = components(links)
