@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .shared import held_out
 
 DIM = 1024
-GROUP_DOCS, GROUP_CHARS = 256, 1_000_000
+GROUP_DOCS, GROUP_CHARS, BATCH = 256, 1_000_000, 1_000
 LENGTH = 1 << 20  # of a learned text; sums of up to 2**33 texts stay exact in doubles
 UNKNOWN = "und"
 #: Of the least score that counts as a learned language (least_scores).
@@ -125,6 +125,13 @@ def bundle(texts: list, dim: int = DIM, grams: np.ndarray | None = None) -> np.n
     return out
 
 
+def _small(batches) -> Iterator[pa.RecordBatch]:
+    """Batches of at most BATCH rows: a row's vector takes more memory than a short text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH):
+            yield batch.slice(at, BATCH)
+
+
 def scaled(h: np.ndarray) -> np.ndarray:
     """Bundles of one LENGTH, in whole numbers; zeros stay."""
     norm = np.linalg.norm(h, axis=1, keepdims=True)
@@ -136,7 +143,7 @@ def prototypes(labelled: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
 
     def sums(batches):
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in _small(batches):
             langs = np.array(batch.column("lang").to_pylist(), object)
             v = scaled(bundle(batch.column("text").to_pylist(), dim))
             for name in set(langs):
@@ -162,7 +169,7 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], dim: int = DIM, carr
     protos = np.stack([v / (np.linalg.norm(v) or 1) for v in model.values()]) if names else np.zeros((0, dim))
 
     def predict(batches):
-        for batch in batches:
+        for batch in _small(batches):
             texts = batch.column("text").to_pylist()
             cos = np.zeros((len(texts), max(1, len(names))))
             grams = np.zeros(len(texts), np.int64)

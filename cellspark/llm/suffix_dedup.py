@@ -29,6 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,7 @@ from .ngram_join import _BASE, _BYTE, _power
 from .shared import key_filter, materialize, may_hold, mix, release
 
 WINDOW, GRAM = 100, 32
-BYTES = 1_000_000  # parsed at once
+BYTES, RANKED = 1_000_000, 500_000  # parsed and ranked at once
 HOT = 1_000
 LOW = np.uint64((1 << 30) - 1)
 FIRST, GONE = 0, 1
@@ -280,11 +281,24 @@ def _suffixes(docs: DataFrame, first: DataFrame, hot_from: int) -> DataFrame:
                 trigger = rows.column("trigger").to_numpy()
                 cut_at = int(np.flatnonzero(_changes([trigger]))[-1])
                 if cut_at:
-                    yield ranked(rows.slice(0, cut_at))
+                    yield from in_parts(rows.slice(0, cut_at))
                 held = rows.slice(cut_at).combine_chunks().to_batches()[0]
         if held is not None:
             yield ranked(pa.Table.from_batches([held]))
 
+    def in_parts(rows):
+        """Whole triggers, about RANKED bytes at once, which bounds the memory of ranking."""
+        opens = np.flatnonzero(_changes([rows.column("trigger").to_numpy()]))
+        size = np.cumsum(pc.binary_length(rows.column("bytes")).to_numpy())
+        at = 0
+        while at < rows.num_rows:
+            most = int(np.searchsorted(size, (size[at - 1] if at else 0) + RANKED, side="right"))
+            later = opens[opens > at]
+            fitting = later[later <= most]
+            end = int(fitting[-1] if len(fitting) and most < rows.num_rows else later[0] if len(later) and most < rows.num_rows else rows.num_rows)
+            yield ranked(rows.slice(at, end - at))
+            at = end
+
     def ranked(rows):
         data, text, start, place = _strings(rows.column("bytes").to_pylist())
         doc, tie, at = (rows.column(c).to_numpy()[text] for c in _PLACE)
