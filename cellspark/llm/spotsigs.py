@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_join import cluster_sets
-from .shared import materialize, mix
+from .shared import mix
 
 #: Common function words of English, German, French and Spanish.
 ANCHORS = frozenset(
@@ -189,7 +189,5 @@ def edits(docs: DataFrame, rows: int = ROWS, chain: int = CHAIN, spacing: int =
 
 
 def op10_spotsigs(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints of every whole document and of its edited text, with likenesses, and the class of near fingerprints."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    near = materialize(classes(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id")))
-    return edits(docs, beside=near)
+    """Fingerprints of every whole document and of its edited text, with likenesses."""
+    return edits(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("class_id")
