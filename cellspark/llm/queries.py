@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, language_id, ngram_join, quality, sharding, spotsigs, suffix_dedup, token_counts, url_filter
+from . import byte_bpe, collocations, decontamination, language_id, ngram_join, quality, sharding, spotsigs, suffix_dedup, token_counts, url_filter
 from .shared import bounded_batches
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_spotsigs": spotsigs.op10_spotsigs,
+    "op11_collocations": collocations.op11_collocations,
 }
 
 #: Every 100-byte string by its hexadecimal digits; those that start earlier too mark what goes.
@@ -42,7 +43,20 @@ c AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT u.b, c.r FROM c JOI
 SELECT s.doc_id, len(s)::bigint AS n_shingles, m AS component_id FROM s JOIN (SELECT doc_id, min(r) AS m FROM c GROUP BY doc_id) USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op4_suffix_dedup": _REPEATS, "op6_ngram_join": _LINKS}
+#: All runs of one to four words; scores by 128-bit numbers.
+_COLLOCATIONS = r"""WITH p AS (SELECT coalesce(lang,'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x FROM documents),
+w AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w)-m+2), lambda i: array_to_string(w[i:i+m-1],' '))) AS s FROM w, (SELECT unnest([1,2,3,4]) AS m) WHERE len(w)>=m),
+f AS MATERIALIZED (SELECT lang, m, s, string_split(s,' ') AS g, count(*) AS f FROM g GROUP BY ALL HAVING count(*)>=30),
+n AS (SELECT lang, sum(len(w))::bigint AS n FROM w GROUP BY lang),
+c AS (SELECT lang, s, f AS a, k, array_to_string(g[1:k],' ') AS x, array_to_string(g[k+1:],' ') AS y FROM f JOIN (SELECT unnest([1,2,3]) AS k) ON k<m),
+b AS (SELECT c.lang, c.s, a, k, l.f AS l, r.f AS r, (2000000::hugeint*a)//(l.f+r.f) AS score FROM c JOIN f l ON l.lang=c.lang AND l.s=x JOIN f r ON r.lang=c.lang AND r.s=y QUALIFY row_number() OVER (PARTITION BY c.lang, c.s ORDER BY score, k)=1),
+o AS (SELECT lang, s, max(f) AS f FROM (SELECT lang, f, unnest(flatten(list_transform(range(2, m), lambda s: list_transform(range(1, m-s+2), lambda i: array_to_string(g[i:i+s-1],' '))))) AS s FROM f WHERE m>2) GROUP BY ALL),
+z AS (SELECT b.lang, b.s AS phrase, a, l, r, n, score::bigint AS score FROM b JOIN n USING (lang) LEFT JOIN o ON o.lang=b.lang AND o.s=b.s WHERE o.f IS NULL OR 100*o.f<80*a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM z QUALIFY rank<=2000
+"""
+
+ORACLES: dict[str, str] = {"op4_suffix_dedup": _REPEATS, "op6_ngram_join": _LINKS, "op11_collocations": _COLLOCATIONS}
 
 
 def _bounded(f):
