@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, collocations, decontamination, language_id, ngram_join, quality, sharding, spotsigs, suffix_dedup, token_counts, url_filter
+from . import alignment, byte_bpe, collocations, decontamination, language_id, ngram_join, quality, sharding, spotsigs, suffix_dedup, token_counts, url_filter
 from .shared import bounded_batches
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_spotsigs": spotsigs.op10_spotsigs,
     "op11_collocations": collocations.op11_collocations,
+    "op12_alignment": alignment.op12_alignment,
 }
 
 #: Every 100-byte string by its hexadecimal digits; those that start earlier too mark what goes.
