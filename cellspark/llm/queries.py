@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, byte_bpe, collocations, decontamination, language_id, ngram_join, quality, sharding, spotsigs, suffix_dedup, token_counts, url_filter
+from . import alignment, byte_bpe, chat_trees, collocations, decontamination, language_id, ngram_join, quality, sharding, spotsigs, suffix_dedup, token_counts, url_filter
 from .shared import bounded_batches
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_spotsigs": spotsigs.op10_spotsigs,
     "op11_collocations": collocations.op11_collocations,
     "op12_alignment": alignment.op12_alignment,
+    "op13_chat_trees": chat_trees.op13_chat_trees,
 }
 
 #: Every 100-byte string by its hexadecimal digits; those that start earlier too mark what goes.
@@ -57,7 +58,16 @@ z AS (SELECT b.lang, b.s AS phrase, a, l, r, n, score::bigint AS score FROM b JO
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM z QUALIFY rank<=2000
 """
 
-ORACLES: dict[str, str] = {"op4_suffix_dedup": _REPEATS, "op6_ngram_join": _LINKS, "op11_collocations": _COLLOCATIONS}
+#: Turns in their order; a formatted turn has 17 characters and a line break besides role and text as escaped.
+_CHATS = r"""WITH c AS (SELECT conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations
+UNION ALL SELECT -7, unnest([0,1]), unnest(['user','assistant']), '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(replace(replace(replace(replace(role||chr(0)||text,'\','\\'),'[INST]','[\INST]'),'[/INST]','[\/INST]'),'</s>','<\/s>'))-1 AS k FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role||chr(10)||text||chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+coalesce(sum(length(text)) FILTER (role='assistant'),0)::bigint AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role='assistant'),'')) AS loss_sha256,
+sum(k+18)::bigint AS formatted_chars FROM e GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op4_suffix_dedup": _REPEATS, "op6_ngram_join": _LINKS, "op11_collocations": _COLLOCATIONS, "op13_chat_trees": _CHATS}
 
 
 def _bounded(f):
