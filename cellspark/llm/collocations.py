@@ -38,7 +38,7 @@ from .shared import materialize, mix, table
 
 LEAST, MOST_WORDS, INSIDE, TOP = 30, 4, 80, 2000
 CELL_BITS, RANGE_BITS = 28, 16
-HASHED, SKETCHED, SCANNED = 1 << 20, 1 << 21, 8 << 20
+HASHED, SKETCHED, SCANNED = 1 << 19, 1 << 21, 4 << 20
 SALTS = 8
 
 #: Lower case; tabs are spaces, delimiters breaks.
@@ -69,7 +69,7 @@ class Hasher:
         """Starts, ends and hashes of the words; a break's hash is 0."""
         raw = np.frombuffer(text, np.uint8)
         self._powers(len(raw))
-        gaps = np.flatnonzero(raw == 32)
+        gaps = np.flatnonzero(raw == 32).astype(np.int32)
         starts, ends = gaps[:-1] + 1, gaps[1:]
         if len(starts) and starts[0] == ends[0]:  # nothing but a space
             return starts[:0], ends[:0], np.zeros(0, np.uint64)
@@ -79,16 +79,11 @@ class Hasher:
         return starts, ends, found
 
 
-def joined(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the phrases of ``n`` words from each word on; 0 where the piece ends before."""
-    found = hashes[: max(0, len(hashes) - n + 1)].copy()
-    whole = found != 0
-    for j in range(1, n):
-        own = hashes[j : j + len(found)]
-        whole &= own != 0
-        found = mix(found * _ODD + own)
-    found[~whole] = 0
-    return found
+def longer(found: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the phrases of ``n`` words from each word on, from those of n - 1; 0 where the piece ends before."""
+    last = hashes[n - 1 :]
+    found = found[: len(last)]
+    return np.where((found != 0) & (last != 0), mix(found * _ODD + last) | np.uint64(1), np.uint64(0))
 
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
@@ -151,8 +146,7 @@ def sketch(source: DataFrame, bits: int, least: int = LEAST):
             for lang, texts in _by_language(batch):
                 for block in _blocks(texts, HASHED):
                     words = hasher.words(normal(block), _salt(lang))[2]
-                    for n in (1, 2):
-                        own = joined(words, n)
+                    for own in (words, longer(words, words, 2)):
                         held.append((own[own != 0] >> np.uint64(64 - bits)).astype(np.uint32))
                         size += len(held[-1])
                     if size > SKETCHED:
@@ -211,21 +205,20 @@ def _matches(text: str, patterns: list[str]) -> np.ndarray:
     for i, p in enumerate(patterns):
         automaton.add_word(p, i)
     automaton.make_automaton()
-    return np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), minlength=len(patterns))
+    return np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int32), minlength=len(patterns))
 
 
 def scan(text: bytes, words: tuple[np.ndarray, np.ndarray, np.ndarray], bitmap: np.ndarray, bits: int, most_words: int) -> tuple[list[str], np.ndarray]:
     """(phrase, occurrences) of all phrases of a normalised text that a sketch lets through."""
     starts, ends, hashes = words
-    pairs = _lets_through(bitmap, bits, joined(hashes, 2))
-    spans, open_ = [], None
+    own, through, pairs, spans = hashes, _lets_through(bitmap, bits, hashes), None, []
     for n in range(1, most_words + 1):
-        own = joined(hashes, n)
-        if n == 1:
-            through = _lets_through(bitmap, bits, own)
-        else:
-            open_ = pairs if n == 2 else open_[: len(own)] & pairs[n - 2 : n - 2 + len(own)]
-            through = open_
+        if n > 1:
+            own = longer(own, hashes, n)
+            if n == 2:
+                through = pairs = _lets_through(bitmap, bits, own)
+            else:
+                through = through[: len(own)] & pairs[n - 2 : n - 2 + len(own)]
         at = np.flatnonzero(through)
         spans.append((starts[at], ends[at + n - 1], own[at]))
     patterns, counts = _phrases(text, spans)
