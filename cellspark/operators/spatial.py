@@ -1,31 +1,19 @@
 """Spatial joins within slides.
 
-Neighbours: slides of at most PAIRS cells are joined with themselves; larger ones go over a grid, whose ring of
-neighbouring squares is widened only for the cells that still might have nearer ones outside. Both are exact, ties go
-to the lower id. Gaussian fields meet in squares of REACH sigma: what lies further away adds less than the last bit of
+Neighbours are found over leaves that follow the cells' density (neighbours.py). Gaussian fields meet in squares of REACH sigma: what lies further away adds less than the last bit of
 one term (exp(-REACH**2 / 2) is under 1e-16), so the cost grows with the cells, not with their pairs."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .checkpoints import cut
+from . import neighbours
 
 K = 8
-PAIRS = 100
-PER_SQUARE = 4
 REACH = 8.7
 
 
-def _top(pairs: DataFrame, k: int) -> DataFrame:
-    """The k nearest dst of each src."""
-    order = Window.partitionBy("slide_id", "src").orderBy("d2", "dst")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def _points(cells: DataFrame) -> DataFrame:
     ok = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     return cells.select("slide_id", "cell_id", F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y")).where(ok("centroid_x") & ok("centroid_y"))
@@ -43,56 +31,12 @@ def _d2() -> Column:
     return dx * dx + dy * dy
 
 
-def _by_pairs(points: DataFrame, k: int) -> DataFrame:
-    a, b = _sides(points, points)
-    pairs = a.join(b, "slide_id").where("src <> dst").select("slide_id", "src", "dst", _d2().alias("d2"))
-    return _top(pairs, k)
-
-
-def _by_grid(points: DataFrame, k: int) -> DataFrame:
-    """Rounds over a grid of about PER_SQUARE points to a square."""
-    box = points.groupBy("slide_id").agg(F.count("*").alias("_n"), F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.max("x").alias("_x1"), F.max("y").alias("_y1"))
-    side = F.sqrt((F.col("_x1") - F.col("_x0")) * (F.col("_y1") - F.col("_y0")) * PER_SQUARE / F.col("_n"))
-    width = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
-    box = box.withColumn("_s", F.when(side > 0, side).when(width > 0, width * PER_SQUARE / F.col("_n")).otherwise(1.0))
-    box = box.withColumn("_far", F.ceil(width / F.col("_s")) + 1)
-    placed = points.join(box, "slide_id")
-    placed = placed.withColumns({"_gx": F.floor((F.col("x") - F.col("_x0")) / F.col("_s")), "_gy": F.floor((F.col("y") - F.col("_y0")) / F.col("_s"))})
-    placed = placed.select("slide_id", "cell_id", "x", "y", "_n", "_x0", "_y0", "_s", "_far", "_gx", "_gy")
-    done, open_, reach = [], placed, 1
-    while True:
-        r = reach
-        spread = open_.withColumn("_ix", F.explode(F.sequence(F.col("_gx") - r, F.col("_gx") + r))).withColumn("_iy", F.explode(F.sequence(F.col("_gy") - r, F.col("_gy") + r)))
-        a = spread.select("slide_id", F.col("cell_id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), "_ix", "_iy")
-        b = placed.select("slide_id", F.col("cell_id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("_gx").alias("_ix"), F.col("_gy").alias("_iy"))
-        found = _top(a.join(b, ["slide_id", "_ix", "_iy"]).where("src <> dst").select("slide_id", "src", "dst", _d2().alias("d2")), k)
-        last = found.groupBy("slide_id", "src").agg(F.count("*").alias("_got"), F.max("d2").alias("_worst"))
-        inner = [F.col("x") - (F.col("_x0") + (F.col("_gx") - r) * F.col("_s")), F.col("_x0") + (F.col("_gx") + r + 1) * F.col("_s") - F.col("x"), F.col("y") - (F.col("_y0") + (F.col("_gy") - r) * F.col("_s")), F.col("_y0") + (F.col("_gy") + r + 1) * F.col("_s") - F.col("y")]
-        safe = F.least(*inner)
-        state = open_.join(last.withColumnRenamed("src", "cell_id"), ["slide_id", "cell_id"], "left")
-        sure = (F.col("_far") <= r) | ((F.coalesce("_got", F.lit(0)) >= F.least(F.lit(k), F.col("_n") - 1)) & (F.sqrt("_worst") < safe))
-        state = cut(state.withColumn("_sure", F.coalesce(sure, F.lit(False))).select(*placed.columns, "_sure"))
-        done.append(found.join(state.where("_sure").select("slide_id", F.col("cell_id").alias("src")), ["slide_id", "src"], "left_semi").select("slide_id", "src", "dst", "d2", "rank"))
-        open_ = state.where(~F.col("_sure")).drop("_sure")
-        if open_.isEmpty():
-            return reduce(DataFrame.union, done)
-        reach *= 2
-
-
-def knn(cells: DataFrame, k: int = K, pairs: int = PAIRS) -> DataFrame:
+def knn(cells: DataFrame, k: int = K, leaf: int = neighbours.LEAF) -> DataFrame:
     """Directed edges (slide_id, src, dst, rank, d) to the min(k, n - 1) nearest other cells of the slide.
 
-    ``cells`` has slide_id, cell_id, centroid_x, centroid_y; rows without finite centroids take no part."""
-    points = _points(cells)
-    sizes = points.groupBy("slide_id").agg(F.count("*").alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest <= pairs:
-        found = _by_pairs(points, k)
-    else:
-        big = sizes.where(F.col("n") > pairs).select("slide_id")
-        found = _by_grid(points.join(big, "slide_id", "left_semi"), k)
-        small = points.join(big, "slide_id", "left_anti")
-        found = found.select("slide_id", "src", "dst", "d2", "rank").union(_by_pairs(small, k).select("slide_id", "src", "dst", "d2", "rank"))
+    ``cells`` has slide_id, cell_id, centroid_x, centroid_y; rows without finite centroids take no part. ``leaf`` is the
+    most cells that one kernel compares with each other."""
+    found = neighbours.nearest_neighbours(_points(cells), k, leaf)
     return found.select("slide_id", "src", "dst", F.col("rank").cast("int").alias("rank"), F.sqrt("d2").alias("d"))
 
 
@@ -119,15 +63,14 @@ def rbf_field(cells: DataFrame, sigma: DataFrame | float, first: int | None = No
     """
     p = _points(cells)
     p = p.withColumn("sigma", F.lit(sigma)) if isinstance(sigma, float) else p.join(sigma, "slide_id")
-    p = p.withColumn("sigma", F.greatest("sigma", F.lit(1e-12))).withColumn("_side", F.col("sigma") * REACH)
+    p = p.withColumn("_sigma", F.greatest("sigma", F.lit(1e-12))).withColumn("_side", F.col("_sigma") * REACH)
     sources = p
     if first is not None:
         rank = F.row_number().over(Window.partitionBy("slide_id").orderBy("cell_id"))
         sources = p.withColumn("_rank", rank).where(F.col("_rank") <= first).drop("_rank")
     a, b = _sides(_squares(p, "x", "y", "_side", 0), _squares(sources, "x", "y", "_side", 1))
-    both = a.drop("_side").withColumnRenamed("src", "cell_id").join(p.select("slide_id", "cell_id", "sigma"), ["slide_id", "cell_id"])
-    both = both.withColumnRenamed("cell_id", "src").join(b.drop("_side"), ["slide_id", "_gx", "_gy"])
-    term = F.when(F.col("src") != F.col("dst"), F.exp(-_d2() / (2 * F.col("sigma") * F.col("sigma")))).otherwise(0.0)
+    both = a.drop("_side").join(b.drop("_side", "_sigma"), ["slide_id", "_gx", "_gy"])
+    term = F.when(F.col("src") != F.col("dst"), F.exp(-_d2() / (2 * F.col("_sigma") * F.col("_sigma")))).otherwise(0.0)
     sums = both.groupBy("slide_id", F.col("src").alias("cell_id")).agg(F.sum(term).alias("rbf"))
     return cells.select("slide_id", "cell_id").join(sums, ["slide_id", "cell_id"], "left").withColumn("rbf", F.coalesce("rbf", F.lit(0.0)))
 

@@ -226,9 +226,9 @@ def _(spark, d):
 
 @query("knn_density_grid", f"WITH {POINTS_SQL}, {KNN_SQL.format(t='pts', k=8)} SELECT slide_id, cell_id, {r('knn_density')} AS knn_density FROM knn")
 def _(spark, d):
-    """O125 over the grid that large slides take."""
+    """O125 over many leaves, as large slides have them."""
     p = points_parts(spark, d)
-    return rounded(spatial.knn_density(p, spatial.knn(p, pairs=0)).select("slide_id", "cell_id", "knn_density"), "knn_density")
+    return rounded(spatial.knn_density(p, spatial.knn(p, leaf=32)).select("slide_id", "cell_id", "knn_density"), "knn_density")
 
 
 RBF_SQL = "rbf AS (SELECT p.slide_id, src AS cell_id, sum(exp(-d2/(2*sigma*sigma))) AS rbf FROM pairs p JOIN sig USING (slide_id) GROUP BY ALL)"

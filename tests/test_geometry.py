@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,12 +43,75 @@ def test_two_nodes(spark):
     assert [r["rbf"] for r in spatial.rbf_field(near, 1.0).collect()] == [pytest.approx(math.exp(-0.5))] * 2
 
 
-def test_grid_neighbours_are_the_pairs_neighbours(spark):
+PLACES = "slide_id string, cell_id long, centroid_x double, centroid_y double"
+
+
+def placed(spark, *slides):
+    rows = [(f"s{j}", i * 3 + j, float(x), float(y)) for j, xy in enumerate(slides) for i, (x, y) in enumerate(xy)]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["slide_id", "cell_id", "centroid_x", "centroid_y"]), PLACES).repartition(4)
+
+
+def brute_neighbours(xy, j, k):
+    """(src, dst, rank) by comparing all cells."""
+    out, ids = [], np.arange(len(xy)) * 3 + j
+    for i in range(len(xy)):
+        d2 = (xy[i, 0] - xy[:, 0]) * (xy[i, 0] - xy[:, 0]) + (xy[i, 1] - xy[:, 1]) * (xy[i, 1] - xy[:, 1])
+        d2[i] = np.inf
+        best = np.lexsort((ids, d2))[: min(k, len(xy) - 1)]
+        out += [(f"s{j}", int(ids[i]), int(ids[b]), r + 1) for r, b in enumerate(best)]
+    return out
+
+
+@pytest.mark.parametrize("leaf", [16, 60, 1024])
+def test_neighbours_are_brute_force(spark, leaf):
     rng = np.random.default_rng(3)
-    xy = np.concatenate((rng.normal(0, 1, (150, 2)), rng.normal(500, 3, (80, 2)), np.zeros((12, 2)))).round(1)
-    p = spark.createDataFrame([("s", i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "slide_id string, cell_id long, centroid_x double, centroid_y double")
-    one, two = (sorted(map(tuple, spatial.knn(p, 5, pairs=n).select("src", "dst", "rank").collect())) for n in (0, 10_000))
-    assert one == two and len(one) == len(xy) * 5
+    slides = [
+        np.concatenate((rng.normal(0, 1, (150, 2)), rng.normal(500, 3, (80, 2)), np.zeros((12, 2)))).round(1),
+        np.concatenate((rng.random((300, 2)), [[1e6, -1e6], [1e6, 1e6 + 1]])),  # far outliers
+        np.concatenate((np.full((90, 2), 5.0), rng.integers(0, 4, (200, 2)))).astype(float),  # a pile, and a lattice of ties
+        np.stack((np.zeros(200), rng.random(200)), 1), np.full((70, 2), -1.5), np.array([[0.0, 0.0]]), np.zeros((3, 2)),
+        np.concatenate((np.stack((np.zeros(190), np.zeros(190)), 1), [[0.0, i] for i in range(1, 9)], [[i, 0.0] for i in range(1, 9)])),
+    ]
+    got = sorted((r["slide_id"], r["src"], r["dst"], r["rank"]) for r in spatial.knn(placed(spark, *slides), 5, leaf).collect())
+    assert got == sorted(e for j, xy in enumerate(slides) for e in brute_neighbours(xy, j, 5))
+
+
+def test_often_visited_leaves_are_dealt_out(spark, monkeypatch):
+    from cellspark.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "VISITORS", 5)
+    xy = np.random.default_rng(8).random((400, 2))
+    got = sorted((r["slide_id"], r["src"], r["dst"], r["rank"]) for r in spatial.knn(placed(spark, xy), 5, 40).collect())
+    assert got == sorted(brute_neighbours(xy, 0, 5))
+
+
+@pytest.mark.parametrize("shape", ["outlier", "corner"])
+def test_skewed_slides_have_leaves_of_bounded_size(spark, shape):
+    """200,000 cells, all but one in one square of the slide's box, or nine tenths in a hundredth of it."""
+    from cellspark.operators import neighbours
+
+    rng, n = np.random.default_rng(4), 200_000
+    xy = rng.random((n, 2)) * 1000
+    if shape == "outlier":
+        xy[0] = 1e9
+    else:
+        xy[: n * 9 // 10] /= 10
+    cells = placed(spark, xy)
+    leaves, boxes = neighbours.split(spatial._points(cells))
+    sizes = [r["count"] for r in leaves.groupBy("slide_id", "node").count().collect()]
+    assert sum(sizes) == n and max(sizes) <= neighbours.LEAF and len(sizes) < 10 * n / neighbours.LEAF and boxes.where("leaf").count() == len(sizes)
+    edges = spatial.knn(cells, 8).cache()
+    assert edges.count() == 8 * n
+    asked = [0, 1, 7, n // 2, n - 1] + rng.integers(0, n, 60).tolist()
+    got = {}
+    for r in edges.where(F.col("src").isin([3 * i for i in asked])).collect():
+        got.setdefault(r["src"] // 3, []).append((r["rank"], r["dst"] // 3))
+    for i in asked:
+        d2 = (xy[i, 0] - xy[:, 0]) ** 2 + (xy[i, 1] - xy[:, 1]) ** 2
+        d2[i] = np.inf
+        best = np.argpartition(d2, 8)[:8]
+        assert [b for _, b in sorted(got[i])] == best[np.lexsort((best, d2[best]))].tolist()
+    edges.unpersist()
 
 
 def test_hull_and_distance(spark):
