@@ -28,6 +28,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,12 +43,25 @@ from .shared import materialize, mix, table
 from .token_counts import byte_symbols
 
 VOCABULARIES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-CACHE, SHORT, EXPANDED = 250_000, 400, 64
+CACHE, SHORT, EXPANDED, LEARNED = 200_000, 400, 64, 32
 GROUPS, BLOCK, PART, PACKED = 16, 1 << 20, 2_000_000, 1 << 16
 
+TOGETHER, DIFFERENT = 256, "!"
+NOTHING = [0, 0, 0, 0], "", np.zeros(0, np.int64), np.zeros(0, np.int64)
+
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
+class Kept(dict):
+    """A cache of two generations: what is found in the one before moves into this one."""
+
+    before: dict = {}
+
+    def __missing__(self, key):
+        self[key] = found = self.before[key]
+        return found
+
+
 class Aligner:
     """Encodes texts by two vocabularies and cuts them into groups; one for each worker and pair of files."""
 
@@ -68,7 +82,7 @@ class Aligner:
         self.bytes_a = [bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in map(names.get, range(max(names) + 1))]
         pieces = [self.b.id_to_piece(i) for i in range(len(self.b))]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.len_a, self.len_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+        self.len_a, self.len_b = np.array(list(map(len, self.bytes_a))), np.array(list(map(len, self.bytes_b)))
         with open(path_a, encoding="utf-8") as f:
             spec = json.load(f)
         before = spec["pre_tokenizer"] or {}
@@ -77,86 +91,94 @@ class Aligner:
         apart = apart and not any("\n" in p for p in pieces)
         #: Up to the next space or line break that follows no white space.
         self.stretches = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+") if apart else re.compile(r"(?s).+")
-        self.cache: dict[str, tuple[str, bytes, bytes]] = {}
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
-        """Ids of A and B of each text; None where bytes differ."""
-        found_a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-        found_b = self.b.encode(texts, num_threads=1)
-        for text, a, b in zip(texts, found_a, found_b, strict=True):
-            raw = text.encode("utf-8", "replace")
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
-            yield (a, b) if same else None
-
-    def groups(self, a: list[int], b: list[int]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of A and B between offsets where both end a token."""
-        len_a, len_b, i, j = self.len_a, self.len_b, 0, 0
-        while i < len(a):
-            from_a, from_b, end_a, end_b = i, j, len_a[a[i]], len_b[b[j]]
-            i, j = i + 1, j + 1
-            while end_a != end_b:
-                if end_a < end_b:
-                    end_a += len_a[a[i]]
-                    i += 1
-                else:
-                    end_b += len_b[b[j]]
-                    j += 1
-            yield a[from_a:i], b[from_b:j]
-
-    def figures(self, ids: tuple[list[int], list[int]] | None) -> tuple[str, bytes, bytes]:
-        """A stretch's groups as text, its pairs (A id << 32 | B id, then the multiplicity), and its numbers of A ids,
-        B ids, groups and links, packed. Where bytes differ: one group too many, which no text has."""
-        if ids is None:
-            return "", b"", np.array([0, 0, -1, 0], np.int64).tobytes()
+        self.apart, self.cache = apart, Kept()
+
+    def encode(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids of A and B; None where their bytes are not the text's."""
+        a, b, raw = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text), text.encode("utf-8", "replace")
+        same = b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
+        return (a, b) if same else None
+
+    def figures(self, stretches: list[str]) -> list[tuple[str, bytes, int]] | None:
+        """Of each stretch: its groups as text, its pairs (A id << 32 | B id, then the multiplicity), packed, and the
+        numbers of its A and B ids, as n_a << 32 | n_b. The stretches are encoded as one text; None where its bytes
+        come out differently, or where one of them ends inside a group."""
+        if (ids := self.encode("".join(stretches))) is None:
+            return None
         a, b = ids
-        found, pairs, links = [], [], 0
-        for x, y in self.groups(a, b):
-            found.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
-            links += len(x) * len(y)
-            if len(x) * len(y) <= EXPANDED:
-                for i in x:
-                    for j in y:
-                        pairs += (i << 32 | j, 1)
-            else:
-                of_a, of_b = Counter(x), Counter(y)
-                for i, m in of_a.items():
-                    for j, n in of_b.items():
-                        pairs += (i << 32 | j, m * n)
-        return ";".join(found), np.array(pairs, np.int64).tobytes(), np.array([len(a), len(b), len(found), links], np.int64).tobytes()
-
-    def _learn(self, stretches: list[str]) -> None:
-        new = {s for s in stretches if s not in self.cache}
+        ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        ends = np.cumsum([len(s.encode("utf-8", "replace")) for s in stretches])
+        last = np.searchsorted(common, ends)
+        if not np.array_equal(common[np.minimum(last, len(common) - 1)], ends):
+            return None
+        cut_a, cut_b = (np.searchsorted(e, common) + 1 for e in (ends_a, ends_b))
+        cut_a, cut_b, out, g, i, j = cut_a.tolist(), cut_b.tolist(), [], 0, 0, 0
+        for end in last.tolist():
+            said, pairs, from_a, from_b = [], [], i, j
+            while g <= end:
+                x, y = a[i : cut_a[g]], b[j : cut_b[g]]
+                i, j, g = cut_a[g], cut_b[g], g + 1
+                if len(x) == len(y) == 1:
+                    said.append(f"{x[0]}|{y[0]}")
+                    pairs += (x[0] << 32 | y[0], 1)
+                else:
+                    said.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
+                    pairs += multiplied(x, y)
+            out.append((";".join(said), array("q", pairs).tobytes(), i - from_a << 32 | j - from_b))
+        return out
+
+    def learn(self, stretches: set[str]) -> None:
+        """Put the figures of short stretches into the cache, those between white space and other characters together.
+        What was in use last stays when the cache is full."""
+        new = [s for s in stretches if len(s) <= SHORT and s not in self.cache and s not in self.cache.before]
         if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = set(stretches)
-        short = [s for s in new if len(s) <= SHORT]
-        for s, ids in zip(short, self.encode(short), strict=True):
-            self.cache[s] = self.figures(ids)
-
-    def _look(self, s: str) -> tuple[str, bytes, bytes]:
-        return self.cache[s] if len(s) <= SHORT else self.figures(next(self.encode([s])))
-
-    def align(self, text: str) -> tuple[list[int], str, np.ndarray, np.ndarray]:
-        """Numbers of A ids, B ids, groups and links, the groups' digest, distinct pairs and their multiplicities."""
-        stretches = self.stretches.findall(" " + text)
-        sha, pairs, numbers = hashlib.sha256(), [], np.zeros(4, np.int64)
+            older, self.cache = self.cache, Kept()
+            older.before = {}
+            self.cache.before = older
+            new = [s for s in stretches if len(s) <= SHORT and s not in older]
+        plain = [s for s in new if s[0] in " \n" and not s[-1].isspace()] if self.apart else []
+        for lo in range(0, len(plain), TOGETHER):
+            own = plain[lo : lo + TOGETHER]
+            if (found := self.figures(own)) is None:
+                found = map(self.alone, own)
+            self.cache.update(zip(own, found, strict=True))
+        self.cache.update((s, self.alone(s)) for s in set(new).difference(plain))
+
+    def alone(self, stretch: str) -> tuple[str, bytes, int]:
+        """A stretch's figures; where bytes differ, a mark that no text has."""
+        return (self.figures([stretch]) or [(DIFFERENT, b"", 0)])[0]
+
+    def align(self, stretches: list[str]) -> tuple[list[int], str, np.ndarray, np.ndarray]:
+        """Numbers of A ids, B ids, groups and links, the groups' digest, distinct pairs and their multiplicities of a
+        text, from its stretches."""
+        sha, pairs, numbers, groups = hashlib.sha256(), [], 0, 0
         for lo in range(0, len(stretches), CACHE // 2):
             own = stretches[lo : lo + CACHE // 2]
             try:
                 found = list(map(self.cache.__getitem__, own))
             except KeyError:
-                self._learn(own)
-                found = list(map(self._look, own))
+                self.learn(set(own))
+                found = [self.cache[s] if len(s) <= SHORT else self.alone(s) for s in own]
             said, packed, counts = zip(*found, strict=True)
-            counted = np.frombuffer(b"".join(counts), np.int64).reshape(-1, 4)
-            if (counted[:, 2] < 0).any():
-                return [0, 0, 0, 0], "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-            numbers += counted.sum(0)
-            sha.update((";" * (lo > 0) + ";".join(said)).encode())
+            said = ";".join(said)
+            if DIFFERENT in said:
+                return NOTHING
+            numbers += sum(counts)
+            groups += said.count("|")
+            sha.update((";" * (lo > 0) + said).encode())
             both = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 2)
             pairs.append(summed(both[:, 0], both[:, 1]))
         keys, times = pairs[0] if len(pairs) == 1 else summed(*map(np.concatenate, zip(*pairs, strict=True)))
-        return numbers.tolist(), sha.hexdigest(), keys, times
+        return [numbers >> 32, numbers & 0xFFFFFFFF, groups, int(times.sum())], sha.hexdigest(), keys, times
+
+
+def multiplied(a: list[int], b: list[int]) -> list[int]:
+    """Distinct pairs of a group's ids, each followed by its multiplicity; small groups list every pair once."""
+    if len(a) * len(b) <= EXPANDED:
+        return [v for x in a for y in b for v in (x << 32 | y, 1)]
+    of_a, of_b = Counter(a), Counter(b)
+    return [v for x, m in of_a.items() for y, n in of_b.items() for v in (x << 32 | y, m * n)]
 
 
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,9 +216,11 @@ def align(docs: DataFrame, carry=("doc_id",), paths: tuple[str, str] | None = No
 
     def run(batches):
         own = aligner(path_a, path_b)
-        nothing = [0, 0, 0, 0], "", np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            found = [own.align(t) if t else nothing for t in batch.column("text").to_pylist()]
+            stretches = [own.stretches.findall(" " + t) if t else None for t in batch.column("text").to_pylist()]
+            for lo in range(0, len(stretches), LEARNED):
+                own.learn(set().union(*filter(None, stretches[lo : lo + LEARNED])))
+            found = [own.align(s) if s else NOTHING for s in stretches]
             numbers, digests, pairs, times = zip(*found, strict=True) if found else ((), (), (), ())
             out = {c: batch.column(c) for c in carry} | {n: pa.array([x[k] for x in numbers], pa.int64()) for k, n in enumerate(names)}
             yield pa.RecordBatch.from_pydict(out | {"groups_sha256": pa.array(digests, pa.string()), "pairs": _lists(list(pairs)), "times": _lists(list(times))})

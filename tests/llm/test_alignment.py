@@ -103,19 +103,22 @@ def test_many_places_give_the_same(spark, sf_dir, coders, monkeypatch):
     assert rows(alignment.link_figures(df)) == brute(coders, texts)
 
 
-def test_large_groups_are_multiplied(coders):
+def test_large_groups_are_multiplied():
+    found = alignment.multiplied([1, 1, 2] * 5, [7, 8] * 5)
+    assert dict(zip(found[::2], found[1::2], strict=True)) == {1 << 32 | 7: 50, 1 << 32 | 8: 50, 2 << 32 | 7: 25, 2 << 32 | 8: 25}
+    assert sorted(alignment.multiplied([1, 1], [7])) == [1, 1, 1 << 32 | 7, 1 << 32 | 7]
+
+
+def test_a_small_cache_gives_the_same(spark, sf_dir, coders, monkeypatch):
+    monkeypatch.setattr(alignment, "CACHE", 50)
+    monkeypatch.setattr(alignment, "_aligners", {})
     own = alignment.aligner(*alignment.default_vocabularies())
-    a, b = [1, 1, 2] * 5, [7, 8] * 5
-    own_groups, own.groups = own.groups, lambda x, y: iter([(x, y)])
-    try:
-        _, pairs, numbers = own.figures((a, b))
-    finally:
-        own.groups = own_groups
-    import numpy as np
-
-    found = dict(np.frombuffer(pairs, np.int64).reshape(-1, 2).tolist())
-    assert found == {1 << 32 | 7: 50, 1 << 32 | 8: 50, 2 << 32 | 7: 25, 2 << 32 | 8: 25}
-    assert np.frombuffer(numbers, np.int64).tolist() == [15, 10, 1, 150]
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20).collect()] + ODD
+    for t in filter(None, texts):
+        want = whole(coders, t)
+        numbers, digest = own.align(own.stretches.findall(" " + t))[:2]
+        assert numbers[:3] == [sum(len(a) for a, _ in want or []), sum(len(b) for _, b in want or []), len(want or [])]
+        assert bool(digest) == bool(want)
 
 
 def test_odd_rows(odd, none):
