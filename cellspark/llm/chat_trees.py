@@ -99,8 +99,10 @@ def _numbered(messages: DataFrame, unique: bool) -> tuple[DataFrame, DataFrame]:
         rows = materialize(messages.select("tree", "node", "parent", role, text, score, F.monotonically_increasing_id().alias("id")))
         least = F.min(F.struct("parent", "role", "text", "id"))["id"]
         known = rows.where(F.col("node").isNotNull()).groupBy("node").agg(least.alias("up")).withColumnRenamed("node", "parent")
-    links = rows.select("id", "tree", "node", "parent", "score").join(known, "parent", "left")
-    return rows.select("id", "role", "text"), materialize(links.select("id", "up", "tree", "node", "score"))
+    below, columns = rows.select("id", "tree", "node", "parent", "score"), ["id", "up", "tree", "node", "score"]
+    links = below.where(F.col("parent").isNotNull()).join(known, "parent", "left").select(columns)
+    roots = below.where(F.col("parent").isNull()).withColumn("up", F.lit(None).cast("long")).select(columns)  # no key, no shuffle
+    return rows.select("id", "role", "text"), materialize(links.unionByName(roots))
 
 
 def _jumps(rows: DataFrame) -> tuple[list[DataFrame], DataFrame]:
