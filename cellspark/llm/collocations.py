@@ -1,11 +1,12 @@
 """Phrases of two to four words that hold together, counted exactly for each language.
 
-Texts are lower-cased (A-Z), split into pieces and those into words. Three passes:
+Texts are lower-cased (A-Z), split into pieces and those into words. Passes:
 
-1. Sketch. Every task hashes its words and word pairs, keyed by language, to cells and sends sums of cells, packed by
+1. Sketches. Every task hashes its words and word pairs, keyed by language, to cells and sends sums of cells, packed by
    ranges of cells; summed up, a cell at or over ``least`` is one bit. A cell's sum is an upper bound for all that fall
-   into it, and a longer phrase is no more frequent than the pairs inside it. The bits are a broadcast of at most
-   2**CELL_BITS bits (32 MB). Fuller cells let more through, which costs work and changes nothing.
+   into it, and a longer phrase is no more frequent than the pairs inside it. A second sketch takes the longer phrases
+   whose pairs pass the first. The bits are two broadcasts of at most 2**CELL_BITS bits (32 MB) each. Fuller cells let
+   more through, which costs work and changes nothing.
 2. Automata. A task takes blocks of its shard's text. The words and phrases of a block that the sketch lets through
    become the patterns of a pyahocorasick automaton, with a space on both sides as guard; the text has one space around
    every word and a break between pieces, so overlapping matches all count and none crosses a piece. As every phrase at
@@ -122,9 +123,26 @@ def cell_bits(docs: DataFrame, text: str = "text") -> int:
     return min(CELL_BITS, max(RANGE_BITS, int(size // 4).bit_length()))
 
 
-def sketch(source: DataFrame, bits: int, least: int = LEAST):
+def _open(words: np.ndarray, first, second, bits: int, most_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, hashes of the phrases of n words from each word on, which of them may be frequent): words and pairs by the
+    first sketch, longer phrases by their pairs and, where it is there, the second sketch."""
+    own, through, pairs = words, None, None
+    for n in range(1, most_words + 1):
+        own = longer(own, words, n) if n > 1 else own
+        if n <= 2:
+            through = (own != 0) if first is None else _lets_through(first, bits, own)
+            pairs = through
+        else:
+            through = through[: len(own)] & pairs[n - 2 : n - 2 + len(own)]
+            if second is not None:
+                at = np.flatnonzero(through)
+                through[at] = _lets_through(second, bits, own[at])
+        yield n, own, through
+
+
+def sketch(source: DataFrame, bits: int, least: int = LEAST, most_words: int = 2, first=None):
     """A broadcast bit map of 2**bits cells: those whose words and word pairs (column ``lang`` and ``text``) come to
-    ``least`` together."""
+    ``least`` together; with the ``first`` sketch those of the longer phrases whose pairs pass it."""
     spark, top = source.sparkSession, min(255, least)
     if least > top:
         raise ValueError("a cell counts to 255")
@@ -146,9 +164,10 @@ def sketch(source: DataFrame, bits: int, least: int = LEAST):
             for lang, texts in _by_language(batch):
                 for block in _blocks(texts, HASHED):
                     words = hasher.words(normal(block), _salt(lang))[2]
-                    for own in (words, longer(words, words, 2)):
-                        held.append((own[own != 0] >> np.uint64(64 - bits)).astype(np.uint32))
-                        size += len(held[-1])
+                    for n, own, through in _open(words, first and first.value, None, bits, most_words):
+                        if (n > 2) == (first is not None):
+                            held.append((own[through] >> np.uint64(64 - bits)).astype(np.uint32))
+                            size += len(held[-1])
                     if size > SKETCHED:
                         yield from send(held)
                         held, size = [], 0
@@ -208,17 +227,11 @@ def _matches(text: str, patterns: list[str]) -> np.ndarray:
     return np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int32), minlength=len(patterns))
 
 
-def scan(text: bytes, words: tuple[np.ndarray, np.ndarray, np.ndarray], bitmap: np.ndarray, bits: int, most_words: int) -> tuple[list[str], np.ndarray]:
-    """(phrase, occurrences) of all phrases of a normalised text that a sketch lets through."""
+def scan(text: bytes, words: tuple[np.ndarray, np.ndarray, np.ndarray], first: np.ndarray, second: np.ndarray | None, bits: int, most_words: int) -> tuple[list[str], np.ndarray]:
+    """(phrase, occurrences) of all phrases of a normalised text that the sketches let through."""
     starts, ends, hashes = words
-    own, through, pairs, spans = hashes, _lets_through(bitmap, bits, hashes), None, []
-    for n in range(1, most_words + 1):
-        if n > 1:
-            own = longer(own, hashes, n)
-            if n == 2:
-                through = pairs = _lets_through(bitmap, bits, own)
-            else:
-                through = through[: len(own)] & pairs[n - 2 : n - 2 + len(own)]
+    spans = []
+    for n, own, through in _open(hashes, first, second, bits, most_words):
         at = np.flatnonzero(through)
         spans.append((starts[at], ends[at + n - 1], own[at]))
     patterns, counts = _phrases(text, spans)
@@ -236,7 +249,8 @@ def occurrences(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORD
     """lang, phrase and f of every phrase of 1 to ``most_words`` words with f >= ``least``; besides one row for each
     language with a null phrase, whose f counts its words."""
     source, bits = _source(docs, text, lang), cell_bits(docs, text)
-    shared = sketch(source, bits, least)
+    first = sketch(source, bits, least, min(2, most_words))
+    second = sketch(source, bits, least, most_words, first) if most_words > 2 else None
 
     def count(held: dict[str, list[bytes]], hasher: Hasher) -> Iterator[pa.RecordBatch]:
         for lang, texts in held.items():
@@ -246,7 +260,7 @@ def occurrences(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORD
                 parts = [hasher.words(plain, _salt(lang))] if len(plain) <= HASHED else list(_cut(plain, hasher, lang))
                 words = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
                 sizes += int((words[2] != 0).sum())
-                phrases, n = scan(plain, words, shared.value, bits, most_words)
+                phrases, n = scan(plain, words, first.value, second and second.value, bits, most_words)
                 for lo in range(0, len(phrases), 20_000):
                     part = phrases[lo : lo + 20_000]
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(part)), "phrase": pa.array(part, pa.string()), "f": pa.array(n[lo : lo + 20_000])})

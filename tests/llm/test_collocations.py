@@ -70,7 +70,7 @@ def test_phrases_of_one_hash_are_told_apart():
     starts, ends, hashes = collocations.Hasher().words(plain, 0)
     every = np.full(1 << 13, 255, np.uint8)
     same = np.where(hashes == hashes[2], hashes[5], hashes)  # c and d
-    phrases, n = collocations.scan(plain, (starts, ends, same), every, 16, 2)
+    phrases, n = collocations.scan(plain, (starts, ends, same), every, None, 16, 2)
     assert dict(zip(phrases, n.tolist(), strict=True)) == {"a": 2, "b": 2, "c": 1, "d": 1, "a b": 2, "b c": 1, "c a": 1, "b d": 1}
 
 
