@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -11,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import nuclei
+from .nuclei import parts
+
 #: Optical-density vectors of the two stains.
 STAINS = ((0.650, 0.704, 0.286), (0.268, 0.570, 0.776))
 
@@ -91,70 +93,6 @@ def fields(spark, size: int, vf: float, x: float, y: float, load: float, complex
     return g.crossJoin(g.agg(F.max("s").alias("top"))).select("py", "px", (F.col("s") / (F.col("top") + 1e-9)).alias("strain"), "volume", "load")  # one row
 
 
-def blurred(a: np.ndarray, sigma: float) -> np.ndarray:
-    """Gaussian blur with mirrored edges."""
-    reach = int(4 * sigma + 0.5)
-    k = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma * sigma))
-    k /= k.sum()
-    for axis in (0, 1):
-        p = np.pad(a, [(reach, reach) if i == axis else (0, 0) for i in (0, 1)], mode="symmetric")
-        a = sum(w * np.take(p, range(i, i + a.shape[axis]), axis) for i, w in enumerate(k))
-    return a
-
-
-def parts(mask: np.ndarray) -> np.ndarray:
-    """4-connected parts of a mask, numbered from 1 in row order."""
-    out, n = np.zeros(mask.shape, int), 0
-    for start in zip(*np.nonzero(mask), strict=True):
-        if out[start]:
-            continue
-        n += 1
-        out[start], stack = n, [start]
-        while stack:
-            y, x = stack.pop()
-            for v, u in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
-                if 0 <= v < mask.shape[0] and 0 <= u < mask.shape[1] and mask[v, u] and not out[v, u]:
-                    out[v, u] = n
-                    stack.append((v, u))
-    return out
-
-
-def flooded(height: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Watershed: markers grow over a mask in the order of height, earlier reached places first."""
-    out, count = np.where(mask, markers, 0), 0
-    queue = [(float(height[p]), i, p) for i, p in enumerate(zip(*np.nonzero(out), strict=True))]
-    heapq.heapify(queue)
-    count = len(queue)
-    while queue:
-        level, _, (y, x) = heapq.heappop(queue)
-        for v, u in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
-            if 0 <= v < mask.shape[0] and 0 <= u < mask.shape[1] and mask[v, u] and not out[v, u]:
-                out[v, u] = out[y, x]
-                heapq.heappush(queue, (max(level, float(height[v, u])), count, (v, u)))
-                count += 1
-    return out
-
-
-def split_instances(nuclei: np.ndarray, horizontal: np.ndarray, vertical: np.ndarray, threshold: float = 0.5, smallest: int = 10, edge: float = 0.4) -> np.ndarray:
-    """Numbered instances from a nuclei probability and the maps of horizontal and vertical distance to the centres.
-
-    Touching nuclei differ by a sharp step of the distance maps; the places without a step are markers, from which the
-    nuclei are flooded. Parts under ``smallest`` pixels are left out."""
-
-    def scaled(a):
-        return (a - a.min()) / (a.max() - a.min()) if a.max() > a.min() else np.zeros(a.shape)
-
-    def large(mask):
-        own = parts(mask)
-        return np.isin(own, np.flatnonzero(np.bincount(own.ravel()) >= smallest)) & mask
-
-    mask = large(nuclei >= threshold)
-    step = np.maximum(1 - scaled(np.gradient(blurred(scaled(horizontal), 1.0), axis=1)), 1 - scaled(np.gradient(blurred(scaled(vertical), 1.0), axis=0)))
-    step = np.where(mask, step, 0)
-    markers = parts(large(mask & (step < edge)))
-    return flooded(-blurred((1 - step) * mask, 1.0), markers, mask)
-
-
 def outline(mask: np.ndarray) -> list[tuple[float, float]]:
     """Corners of the outer pixel edge of the largest 4-connected part of a mask, closed; empty without one."""
     seen, best = np.zeros(mask.shape, bool), []
@@ -210,14 +148,14 @@ def mask_instances(masks: DataFrame, height: int, width: int, least: int = 20) -
     return masks.select(F.col("id").cast("long").alias("id"), "mask").mapInArrow(run, "id long, inst long, n long, ring array<struct<x:double,y:double>>")
 
 
-def nuclei_instances(maps: DataFrame, height: int, width: int, threshold: float = 0.5) -> DataFrame:
-    """id, px, py, inst of tiles (id, nuclei, horizontal, vertical: height * width numbers each) by ``split_instances``."""
+def nuclei_instances(maps: DataFrame, height: int, width: int, threshold: float = nuclei.THRESHOLD) -> DataFrame:
+    """id, px, py, inst of tiles (id, nuclei, horizontal, vertical: height * width numbers each) by ``nuclei.split``."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for own, *maps_ in zip(*(batch.column(c).to_pylist() for c in ("id", "nuclei", "horizontal", "vertical")), strict=True):
-                labels = split_instances(*(np.array(m, float).reshape(height, width) for m in maps_), threshold)
+                labels = nuclei.split(*(np.array(m, float).reshape(height, width) for m in maps_), threshold)
                 y, x = np.nonzero(labels)
                 rows.append((np.full(len(x), own, np.int64), x, y, labels[y, x]))
             columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 4
@@ -226,6 +164,29 @@ def nuclei_instances(maps: DataFrame, height: int, width: int, threshold: float
     return maps.select(F.col("id").cast("long").alias("id"), "nuclei", "horizontal", "vertical").mapInArrow(run, "id long, px long, py long, inst long")
 
 
+def contours(pixels: DataFrame, least: int = 3) -> DataFrame:
+    """slide_id, inst, contour (x, y) of instances of pixels (slide_id, inst, px, py) by ``nuclei.contour``; those with
+    fewer than ``least`` corners are left out. One kernel sees an instance's pixels, not those of a slide."""
+    point = pa.struct([("x", pa.int64()), ("y", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            found = [nuclei.contour(np.array(x), np.array(y)) for x, y in zip(batch.column("px").to_pylist(), batch.column("py").to_pylist(), strict=True)]
+            kept = [i for i, c in enumerate(found) if len(c) >= least]
+            rings = pa.array([[{"x": x, "y": y} for x, y in found[i]] for i in kept], pa.list_(point))
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).take(pa.array(kept, pa.int64())) for c in ("slide_id", "inst")} | {"contour": rings})
+
+    kinds = {f.name: f.dataType.simpleString() for f in pixels.schema}
+    own = pixels.groupBy("slide_id", "inst").agg(*[F.collect_list(F.col(c).cast("long")).alias(c) for c in ("px", "py")])
+    return own.mapInArrow(run, f"slide_id {kinds['slide_id']}, inst {kinds['inst']}, contour array<struct<x:bigint,y:bigint>>")
+
+
+def instance_info(pixels: DataFrame) -> DataFrame:
+    """``instances`` with their ``contours``; instances whose contour has fewer than three corners (single pixels and
+    straight lines of them) are left out."""
+    return instances(pixels).join(contours(pixels), ["slide_id", "inst"])
+
+
 def with_model(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
     """Rows of a model: ``load`` runs once in each task and returns a function from batch to batch. Segmentation,
     embedding and classification models, whose weights are not part of this library, plug in here."""

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ring import iou
-from . import graph
+from . import choice
 from .checkpoints import cut
 
 #: Of peaks and boxes.
@@ -60,7 +60,7 @@ def peaks(pixels: DataFrame, apart: int, share: float = PEAK_SHARE) -> DataFrame
     order = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("v"), "y", "x"))  # of the maxima of one image
     cells = found.select(F.col("id").cast("string").alias("slide_id"), order.cast("long").alias("cell_id"), "id", "v", F.col("x").cast("double").alias("centroid_x"), F.col("y").cast("double").alias("centroid_y"))
     cells = cut(cells.withColumn("area", -F.col("cell_id").cast("double")))
-    kept = graph.dedupe_by_distance(cells, float(apart))
+    kept = choice.dedupe_by_distance(cells, float(apart))
     return cells.join(kept, ["slide_id", "cell_id"], "left_semi").select("id", F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y"), "v", F.col("cell_id").alias("order"))
 
 
@@ -77,7 +77,7 @@ def boxes(pixels: DataFrame, half: float = HALF, most: int = MOST_PEAKS, pale: i
     pixels = pixels.join(sizes.select("id"), "id", "left_semi")
     corners = ["x0", "y0", "x1", "y1"]
     around = cut(_boxed(peaks(pixels, max(LEAST_APART, int(half * APART_OF_HALF))), sizes, half))
-    kept = graph.suppress(around.select(F.col("id").cast("string").alias("group"), F.col("order").alias("id"), *corners, F.col("v").alias("score")), overlap)
+    kept = choice.suppress(around.select(F.col("id").cast("string").alias("group"), F.col("order").alias("id"), *corners, F.col("v").alias("score")), overlap)
     best = around.withColumn("group", F.col("id").cast("string")).join(kept.withColumnRenamed("id", "order"), ["group", "order"], "left_semi").drop("group")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("order"))
     good = cut(best.withColumn("_i", rank).where(F.col("_i") <= most).select("id", "x", "y", *corners))  # ``most`` an image

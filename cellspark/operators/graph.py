@@ -1,4 +1,4 @@
-"""Graphs of cells: components, communities, greedy suppression, constrained weights, spectral embedding."""
+"""Graphs of cells: components, communities, constrained weights, spectral embedding."""
 
 from __future__ import annotations
 
@@ -138,44 +138,6 @@ def constrained_weights(edges: DataFrame, cells: DataFrame, columns: list[str],
     return both.select("slide_id", "src", "dst", d2.alias("d2")).groupBy("slide_id").applyInPandas(descend, "slide_id string, loss double, rounds long")
 
 
-def suppress(boxes: DataFrame, most: float = 0.3) -> DataFrame:
-    """Greedy suppression by group: boxes (group, id, x0, y0, x1, y1, score) kept in order of score whose overlap with
-    all kept before is at most ``most``."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
-        b = pdf[["x0", "y0", "x1", "y1"]].to_numpy()
-        size = np.clip(b[:, 2] - b[:, 0], 0, None) * np.clip(b[:, 3] - b[:, 1], 0, None)
-        kept: list[int] = []
-        for i in range(len(b)):
-            k = np.array(kept, int)
-            w = np.clip(np.minimum(b[k, 2], b[i, 2]) - np.maximum(b[k, 0], b[i, 0]), 0, None)
-            h = np.clip(np.minimum(b[k, 3], b[i, 3]) - np.maximum(b[k, 1], b[i, 1]), 0, None)
-            union = size[k] + size[i] - w * h
-            if not len(k) or (np.where(union <= 1e-12, 0, w * h / np.maximum(union, 1e-300)) <= most).all():
-                kept.append(i)
-        return pdf.iloc[kept][["group", "id"]]
-
-    return boxes.select("group", "id", "x0", "y0", "x1", "y1", "score").groupBy("group").applyInPandas(keep, "group string, id long")
-
-
-def dedupe_by_distance(cells: DataFrame, least: float = 12.0) -> DataFrame:
-    """Cells kept, largest area first, whose centroid is at least ``least`` from all kept before."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["area", "cell_id"], ascending=[False, True])
-        squares: dict[tuple[int, int], list] = defaultdict(list)
-        kept = []
-        for i, (x, y) in enumerate(zip(pdf["centroid_x"], pdf["centroid_y"], strict=True)):
-            gx, gy = int(x // least), int(y // least)
-            if all((x - a) ** 2 + (y - b) ** 2 >= least * least for u in (-1, 0, 1) for v in (-1, 0, 1) for a, b in squares[gx + u, gy + v]):
-                squares[gx, gy].append((x, y))
-                kept.append(i)
-        return pdf.iloc[kept][["slide_id", "cell_id"]]
-
-    return cells.select("slide_id", "cell_id", "area", "centroid_x", "centroid_y").groupBy("slide_id").applyInPandas(keep, "slide_id string, cell_id long")
-
-
 def spectral(cells: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """(by slide: singular_values, rank90, energy; by cell: u, the left vector, and its quadrant).
 

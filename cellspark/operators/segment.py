@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ring
-from . import graph, ordered
+from . import choice, ordered
 from .checkpoints import cut
 
 POLYGON = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
@@ -59,5 +59,5 @@ def segments(pixels: DataFrame, images: DataFrame, load: Callable[[], Callable[[
     x, y = ring.centroid()
     shaped = found.select("id", "ring", ring.area().alias("area"), x.alias("centroid_x"), y.alias("centroid_y"))
     cells = cut(shaped.withColumns({"slide_id": F.col("id").cast("string"), "cell_id": F.xxhash64("id", "ring")}))
-    kept = graph.dedupe_by_distance(cells, apart)
+    kept = choice.dedupe_by_distance(cells, apart)
     return cells.join(kept, ["slide_id", "cell_id"], "left_semi").select("id", "cell_id", "area", "centroid_x", "centroid_y", "ring")

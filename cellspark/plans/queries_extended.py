@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import kernels, ring, score
-from ..operators import graph, ordered, spatial
+from ..operators import choice, graph, ordered, spatial
 from ..sources.fixtures import CELLS_SQL, FOLLOW_SQL, POINTS_SQL, cells_embed, followers, points_parts
 from . import enrich
 from .queries_geometry import KNN_SQL, r, rounded
@@ -279,13 +279,13 @@ def _(spark, d):
     p = points_parts(spark, d)
     half = F.sqrt(F.col("area") / F.pi())
     b = p.select(F.col("slide_id").alias("group"), F.col("cell_id").alias("id"), (F.col("centroid_x") - half).alias("x0"), (F.col("centroid_y") - half).alias("y0"), (F.col("centroid_x") + half).alias("x1"), (F.col("centroid_y") + half).alias("y1"), F.col("area").alias("score"))
-    return graph.suppress(b)
+    return choice.suppress(b)
 
 
 @query("dedupe_by_distance", f"WITH RECURSIVE {POINTS_SQL}, {_GREEDY.format(clash='(c.x-k.x)*(c.x-k.x)+(c.y-k.y)*(c.y-k.y)<1600')} SELECT slide_id, cell_id FROM s WHERE kept")
 def _(spark, d):
     """O137: cells kept by area whose centroids are apart."""
-    return graph.dedupe_by_distance(points_parts(spark, d), 40.0)
+    return choice.dedupe_by_distance(points_parts(spark, d), 40.0)
 
 
 #: Power of each frequency, by an explicit transform, in single precision.

@@ -104,16 +104,23 @@ def _(spark, d):
     return m.select("id", "inst", "n", ring.area().alias("area"), F.size("ring").cast("long").alias("corners"))
 
 
-@query("nuclei_instances", "SELECT p_partkey AS id, k AS nucleus, 1::bigint AS instances, (CASE WHEN k=0 THEN 81 ELSE 49 END)::bigint AS n FROM part, (SELECT unnest(range(2)) AS k)")
+_SIDE = "(13 + p_size % 8)"
+
+
+@query("nuclei_instances", f"SELECT p_partkey AS id, k AS nucleus, 1::bigint AS instances, ({_SIDE}*{_SIDE})::bigint AS n, 4::bigint AS corners FROM part, (SELECT unnest(range(2)) AS k)")
 def _(spark, d):
-    """O235, O290, O292: nuclei split by the maps of a segmentation model; two squares to a tile here."""
-    p = spark.read.parquet(f"{d}/part.parquet").withColumnRenamed("p_partkey", "id")
-    x, y = "(k % 40)", "(k div 40)"
-    left, right = f"({x} BETWEEN 4 AND 12 AND {y} BETWEEN 6 AND 14)", f"({x} BETWEEN 22 AND 28 AND {y} BETWEEN 20 AND 26)"
-    one = lambda e: F.expr(f"transform(sequence(0, 1599), k -> {e})")
-    maps = p.select("id", one(f"CASE WHEN {left} OR {right} THEN 0.9D ELSE 0.1D END").alias("nuclei"), one(f"CASE WHEN {left} THEN ({x} - 8) / 4D WHEN {right} THEN ({x} - 25) / 3D ELSE 0D END").alias("horizontal"), one(f"CASE WHEN {left} THEN ({y} - 10) / 4D WHEN {right} THEN ({y} - 23) / 3D ELSE 0D END").alias("vertical"))
-    own = imaging.nuclei_instances(maps, 40, 40).withColumn("nucleus", F.when(F.col("px") < 18, 0).otherwise(1).cast("long"))
-    return own.groupBy("id", "nucleus").agg(F.count_distinct("inst").alias("instances"), F.count("*").alias("n"))
+    """O235, O290, O292: nuclei split by the maps of a segmentation model; here two squares to a tile that touch, whose
+    sides are the parts' sizes."""
+    p = spark.read.parquet(f"{d}/part.parquet").withColumnRenamed("p_partkey", "id").withColumn("a", F.expr(_SIDE))
+    x, y = "(k % 48)", "(k div 48)"
+    mask, left = f"({x} BETWEEN 3 AND 2 + 2 * a AND {y} BETWEEN 4 AND 3 + a)", f"({x} < 3 + a)"
+    one = lambda e: F.expr(f"transform(sequence(0, 1535), k -> CASE WHEN {mask} THEN {e} ELSE 0D END)")
+    middle = "(a - 1) / 2D"
+    maps = p.select("id", one("0.4D").alias("nuclei"), one(f"({x} - 3 - CASE WHEN {left} THEN 0 ELSE a END - {middle}) * 2 / a").alias("horizontal"), one(f"({y} - 4 - {middle}) * 2 / a").alias("vertical"))
+    own = imaging.nuclei_instances(maps, 32, 48).join(p.select("id", "a"), "id").withColumn("nucleus", F.when(F.col("px") < 3 + F.col("a"), 0).otherwise(1).cast("long"))
+    corners = imaging.contours(own.withColumn("slide_id", F.col("id"))).select(F.col("slide_id").alias("id"), "inst", F.size("contour").cast("long").alias("c"))
+    own = own.join(corners, ["id", "inst"])
+    return own.groupBy("id", "nucleus").agg(F.count_distinct("inst").alias("instances"), F.count("*").alias("n"), F.max("c").alias("corners"))
 
 
 _GRID = "px AS (SELECT i//4096 AS id, (i%4096)//64 AS y, i%64 AS x, (i*37+(i%64)*5)%256 AS r, (i*11+13)%256 AS g, (i*7+(i//64)*3)%256 AS b FROM (SELECT unnest(range(20480)) AS i))"

@@ -85,21 +85,25 @@ def _(spark, d):
     "instance_info",
     f"""WITH {_TRI}, q AS (SELECT cell_id, cast(ceil(cx-h-0.5) AS bigint) x0, cast(ceil(cx+h-0.5) AS bigint) x1, cast(ceil(cy-h-0.5) AS bigint) y0, cast(ceil(cy+h-0.5) AS bigint) y1 FROM rg),
     t AS (SELECT cell_id, px%3 AS type, count(*)*any_value(y1-y0) AS k FROM (SELECT *, unnest(range(x0,x1)) AS px FROM q) GROUP BY ALL), b AS (SELECT cell_id, arg_max(type, (type<>0)::int*1e12+k*10-type) AS type, arg_max(k, (type<>0)::int*1e12+k*10-type) AS k FROM t GROUP BY cell_id)
-    SELECT cell_id AS inst, x0, y0, x1, y1, {r('(x0+x1-1)/2')} AS cx, {r('(y0+y1-1)/2')} AS cy, (x1-x0)*(y1-y0) AS n, type, {r('k/((x1-x0)*(y1-y0)+1e-6)')} AS prob FROM q JOIN b USING (cell_id)""",
+    SELECT cell_id AS inst, x0, y0, x1, y1, {r('(x0+x1-1)/2')} AS cx, {r('(y0+y1-1)/2')} AS cy, (x1-x0)*(y1-y0) AS n, type, {r('k/((x1-x0)*(y1-y0)+1e-6)')} AS prob,
+    concat_ws(' ', x0, y0, x0, y1-1, x1-1, y1-1, x1-1, y0) AS contour FROM q JOIN b USING (cell_id) WHERE x1-x0>1 AND y1-y0>1""",
 )
 def _(spark, d):
-    """O236, O293: boxes, centroids and majority types of instances."""
+    """O236, O293: boxes, centroids, majority types and contours of instances; a line of pixels has no contour."""
     p = imaging.rasterized(_squares(spark, d)).withColumnRenamed("cell_id", "inst").withColumn("type", F.col("px") % 3)
-    out = rounded(imaging.instances(p), "cx", "cy", "prob")
-    return out.select("inst", *[F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")], "cx", "cy", "n", F.col("type").cast("long").alias("type"), "prob")
+    out = rounded(imaging.instance_info(p), "cx", "cy", "prob")
+    corners = F.expr("array_join(flatten(transform(contour, c -> array(c.x, c.y))), ' ')")
+    return out.select("inst", *[F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")], "cx", "cy", "n", F.col("type").cast("long").alias("type"), "prob", corners.alias("contour"))
 
 
-@query("majority_type", "SELECT i//100 AS inst, cast(CASE WHEN (i//100)%2=0 THEN 2 ELSE 1 END AS bigint) AS type, round(30/(100+1e-6),6)+0.0 AS prob FROM (SELECT unnest(range(1000)) AS i) GROUP BY ALL")
+@query(
+    "majority_type",
+    f"""WITH t AS (SELECT p_brand AS inst, p_size%4 AS type, count(*) AS k FROM part GROUP BY ALL), n AS (SELECT inst, sum(k) AS n, max(CASE WHEN type<>0 THEN k END) AS best FROM t GROUP BY inst)
+    SELECT inst, min(type)::bigint AS type, {r('any_value(k)/(any_value(n)+1e-6)')} AS prob FROM t JOIN n USING (inst) WHERE best IS NULL OR type<>0 AND k=best GROUP BY inst""",
+)
 def _(spark, d):
     """O236: the majority type leaves the background out."""
-    i = F.col("id")
-    kind = F.when(i % 100 < 50, 0).when(i % 100 < 80, F.when(F.floor(i / 100) % 2 == 0, 2).otherwise(1)).otherwise(3)
-    p = spark.range(1000).select(F.lit("s").alias("slide_id"), F.floor(i / 100).alias("inst"), (i % 10).alias("px"), F.floor(i % 100 / 10).alias("py"), kind.cast("long").alias("type"))
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.lit("s").alias("slide_id"), F.col("p_brand").alias("inst"), (F.col("p_partkey") % 1000).alias("px"), F.floor(F.col("p_partkey") / 1000).alias("py"), (F.col("p_size") % 4).cast("long").alias("type"))
     return rounded(imaging.instances(p).select("inst", "type", "prob"), "prob")
 
 

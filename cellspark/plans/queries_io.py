@@ -313,8 +313,8 @@ def _(spark, d):
 
 
 _FULL = {
-    "area_px2": "area", "perimeter_px": "perimeter", "circularity": "cc", "eccentricity": "CASE WHEN e<1e-6 THEN 0 ELSE e END", "centroid_x": "mx", "centroid_y": "my", "knn_density": "CASE WHEN d5<1e-12 THEN 0 ELSE k5/(pi()*d5*d5) END", "rbf_risk_score": "rbf", "distance_to_tumor_edge": "dist",
-    "area_zscore": "(area-md)/greatest(sd,1e-12)", "circularity_penalty": "1-cc", "perimeter_area_ratio": "perimeter/greatest(area,1e-12)", "major_axis": "mj", "minor_axis": "mj*sqrt(1-e2)", "convex_hull_area": "area", "solidity": "1.0", "extent": "least(1,area/greatest(1e-12,(x1-x0)*(y1-y0)))",
+    "area_px2": "area", "perimeter_px": "perimeter", "circularity": "cc", "eccentricity": "CASE WHEN e<1e-6 THEN 0 ELSE e END", "centroid_x": "mx", "centroid_y": "my", "knn_density_k5": "CASE WHEN d5<1e-12 THEN 0 ELSE k5/(pi()*d5*d5) END", "rbf_risk_score": "rbf", "distance_to_tumor_edge": "dist",
+    "area_zscore": "(area-md)/greatest(sd,1e-12)", "circularity_penalty": "1-cc", "perimeter_area_ratio": "perimeter/greatest(area,1e-12)", "major_axis_length": "mj", "minor_axis_length": "mj*sqrt(1-e2)", "solidity": "1.0", "convex_hull_area": "area", "extent": "least(1,area/greatest(1e-12,(x1-x0)*(y1-y0)))",
     "equivalent_diameter": "2*sqrt(area/pi())", "form_factor": "cc",
 }
 

@@ -196,12 +196,12 @@ def _(spark, d):
 
 
 @query("feature_table", f"""WITH {CELLS_SQL}, m AS (SELECT slide_id, quantile_cont(area,0.5) md, stddev_pop(area) sd FROM g GROUP BY ALL), f AS (SELECT *, 1-sqrt(greatest(0,l2)/l1) AS e, least(0.9999,greatest(0,pow(1-sqrt(greatest(0,l2)/l1),2))) AS e2, 4*pi()*area/(perimeter*perimeter) AS cc FROM g JOIN m USING (slide_id))
-SELECT slide_id, cell_id, {r('(area-md)/greatest(sd,1e-12)')} AS area_zscore, {r('1-cc')} AS circularity_penalty, {r('perimeter/greatest(area,1e-12)',3)} AS perimeter_area_ratio, {r('sqrt(greatest(1e-12,area/(pi()*sqrt(1-e2))))')} AS major_axis, {r('sqrt(greatest(1e-12,area/(pi()*sqrt(1-e2))))*sqrt(1-e2)')} AS minor_axis, {r('least(1,area/greatest(1e-12,(x1-x0)*(y1-y0)))')} AS extent, {r('2*sqrt(area/pi())')} AS equivalent_diameter, {r('e')} AS eccentricity FROM f""")
+SELECT slide_id, cell_id, {r('(area-md)/greatest(sd,1e-12)')} AS area_zscore, {r('1-cc')} AS circularity_penalty, {r('perimeter/greatest(area,1e-12)',3)} AS perimeter_area_ratio, {r('sqrt(greatest(1e-12,area/(pi()*sqrt(1-e2))))')} AS major_axis_length, {r('sqrt(greatest(1e-12,area/(pi()*sqrt(1-e2))))*sqrt(1-e2)')} AS minor_axis_length, {r('least(1,area/greatest(1e-12,(x1-x0)*(y1-y0)))')} AS extent, {r('2*sqrt(area/pi())')} AS equivalent_diameter, {r('e')} AS eccentricity FROM f""")
 def _(spark, d):
     """O082, O046: the row-local and slide-relative columns of the feature table."""
     from .features import features
 
-    cols = ["area_zscore", "circularity_penalty", "major_axis", "minor_axis", "extent", "equivalent_diameter", "eccentricity"]
+    cols = ["area_zscore", "circularity_penalty", "major_axis_length", "minor_axis_length", "extent", "equivalent_diameter", "eccentricity"]
     out = features(cells_embed(spark, d), spatial_columns=False).select("slide_id", "cell_id", *cols, "perimeter_area_ratio")
     return rounded(rounded(out, *cols), "perimeter_area_ratio", digits=3)
 
@@ -209,13 +209,13 @@ def _(spark, d):
 @query("feature_spatial", f"""WITH {POINTS_SQL}, {KNN_SQL.format(t='pts', k=5)}, r5 AS (SELECT slide_id, src AS cell_id, max(rank) AS k, max(d) AS d FROM edges GROUP BY ALL), few AS (SELECT slide_id, cell_id FROM pts QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY md5(cast(cell_id AS varchar)))<=200),
 hp AS (SELECT p.slide_id, quantile_cont(sqrt(d2),0.5)/2 AS s FROM pairs p JOIN few a ON a.slide_id=p.slide_id AND a.cell_id=src JOIN few b ON b.slide_id=p.slide_id AND b.cell_id=dst WHERE src<dst GROUP BY ALL),
 rb AS (SELECT p.slide_id, src AS cell_id, (sum(exp(-d2/(2*s*s)))+1)/(count(*)+1) AS rbf FROM pairs p JOIN hp USING (slide_id) GROUP BY ALL)
-SELECT slide_id, cell_id, {r('CASE WHEN d<1e-12 THEN 0 ELSE k/(pi()*d*d) END')} AS knn_density, {r('rbf')} AS rbf_risk_score FROM r5 JOIN rb USING (slide_id, cell_id)""")
+SELECT slide_id, cell_id, {r('CASE WHEN d<1e-12 THEN 0 ELSE k/(pi()*d*d) END')} AS knn_density_k5, {r('rbf')} AS rbf_risk_score FROM r5 JOIN rb USING (slide_id, cell_id)""")
 def _(spark, d):
     """O220, O221: neighbour density and mean field by the definitions of the feature table."""
     from .features import neighbour_density, mean_field
 
     p = points_parts(spark, d)
-    return rounded(neighbour_density(p).join(mean_field(p), ["slide_id", "cell_id"]), "knn_density", "rbf_risk_score")
+    return rounded(neighbour_density(p).join(mean_field(p), ["slide_id", "cell_id"]), "knn_density_k5", "rbf_risk_score")
 
 
 @query("mappings", "SELECT p_partkey AS id, CASE p_partkey%4 WHEN 0 THEN 'Malignant' WHEN 1 THEN 'Immune' WHEN 2 THEN 'Immune' ELSE 'Normal' END AS clinical, CASE WHEN p_partkey%4=0 THEN 'Epithelial_Malignant' ELSE 'Stromal' END AS biology, CASE WHEN p_size>10 THEN 1 ELSE 0 END AS phenotype FROM part")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellspark.functions import kernels, ring, score
-from cellspark.operators import graph, spatial
+from cellspark.operators import choice, graph, spatial
 from cellspark.plans import enrich
 
 RING = "slide_id string, cell_id long, ring array<struct<x:double,y:double>>"
@@ -216,9 +216,9 @@ def test_fields_and_neighbours_of_clustered_slides(spark):
 
 def test_suppression_and_distance(spark):
     b = spark.createDataFrame([("g", 1, 0.0, 0.0, 10.0, 10.0, 0.9), ("g", 2, 1.0, 1.0, 11.0, 11.0, 0.8), ("g", 3, 50.0, 50.0, 60.0, 60.0, 0.7)], "group string, id long, x0 double, y0 double, x1 double, y1 double, score double")
-    assert sorted(r["id"] for r in graph.suppress(b).collect()) == [1, 3]
+    assert sorted(r["id"] for r in choice.suppress(b).collect()) == [1, 3]
     c = spark.createDataFrame([("s", 1, 5.0, 0.0, 0.0), ("s", 2, 4.0, 3.0, 0.0), ("s", 3, 3.0, 30.0, 0.0)], "slide_id string, cell_id long, area double, centroid_x double, centroid_y double")
-    assert sorted(r["cell_id"] for r in graph.dedupe_by_distance(c).collect()) == [1, 3]
+    assert sorted(r["cell_id"] for r in choice.dedupe_by_distance(c).collect()) == [1, 3]
 
 
 def test_empty_cells(spark):
@@ -242,3 +242,65 @@ def test_blocked_field_and_walk_take_the_limits_of_the_reference(spark, monkeypa
     want = {900 + 10 * i: round(sum(math.exp(-((i * i - j * j) ** 2) / 5000) for j in range(60) if j != i), 6) for i in range(60)}
     assert {r["cell_id"]: r["rbf"] for r in registry.queries()["rbf_field_blocked"](spark, "").collect()} == pytest.approx(want, abs=2e-6)
     assert [r["cell_id"] for r in registry.queries()["radial_walk"](spark, "").orderBy("step").collect()] == [900 + 10 * i for i in range(51)]
+
+
+def brute_choice(rows, clash):
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r["score"], r["id"])):
+        if not any(clash(r, k) for k in kept):
+            kept.append(r)
+    return sorted((r["slide_id"], r["id"]) for r in kept)
+
+
+def overlap(a, b):
+    w, h = (max(0.0, min(a[f"{c}1"], b[f"{c}1"]) - max(a[f"{c}0"], b[f"{c}0"])) for c in "xy")
+    area = lambda r: max(0.0, r["x1"] - r["x0"]) * max(0.0, r["y1"] - r["y0"])
+    union = area(a) + area(b) - w * h
+    return 0.0 if union <= 1e-12 else w * h / union
+
+
+def some_boxes(n, seed):
+    rng, out = np.random.default_rng(seed), []
+    for i in range(n):
+        x, y, scale = *rng.integers(0, 60, 2), float(rng.choice([0.5, 3, 8, 30]))
+        w, h = (float(v) for v in rng.integers(0, 5, 2) * scale / 2)
+        out.append({"slide_id": f"s{i % 2}", "id": i, "x0": float(x), "y0": float(y), "x1": x + w, "y1": y + h, "score": float(rng.integers(0, 9))})
+    return out + [dict(out[k % 20], id=n + k, score=float(k % 9)) for k in range(60)]  # copies
+
+
+BOXES = "slide_id string, id long, x0 double, y0 double, x1 double, y1 double, score double"
+
+
+@pytest.mark.parametrize("most", [0.0, 0.1, 0.3, 0.8])
+def test_boxes_kept_are_the_greedy_ones(spark, most):
+    rows = some_boxes(500, 6)
+    df = spark.createDataFrame(pd.DataFrame(rows), BOXES).repartition(4)
+    got = sorted((r["slide_id"], r["id"]) for r in choice.apart_boxes(df, most).collect())
+    assert got == brute_choice(rows, lambda a, b: a["slide_id"] == b["slide_id"] and overlap(a, b) > most)
+
+
+@pytest.mark.parametrize("rounds", [0, 2, 50])
+def test_points_kept_are_the_greedy_ones(spark, rounds, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [{"slide_id": f"s{i % 3}", "id": i, "x": float(x), "y": float(y), "score": float(s)} for i, (x, y, s) in enumerate(zip(*rng.integers(0, 40, (2, 400)), rng.integers(0, 5, 400), strict=True))]
+    rows += [{"slide_id": "chain", "id": 1000 + i, "x": 3.0 * i, "y": 0.0, "score": float(-i)} for i in range(120)]
+    df = spark.createDataFrame(pd.DataFrame(rows), "slide_id string, id long, x double, y double, score double").repartition(4)
+    monkeypatch.setattr(choice.beaten, "__defaults__", (rounds,))
+    got = sorted((r["slide_id"], r["id"]) for r in choice.apart(df, 4.0).collect())
+    assert got == brute_choice(rows, lambda a, b: a["slide_id"] == b["slide_id"] and (a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2 < 16)
+
+
+def test_a_slide_of_a_million_boxes_is_spread(spark):
+    """No plan reads a slide as one group."""
+    i = F.col("id")
+    boxes = spark.range(1_000_000).select(F.lit("s").alias("slide_id"), "id", (i % 1000 * 10).cast("double").alias("x0"), (F.floor(i / 1000) * 10).cast("double").alias("y0"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("score"))
+    boxes = boxes.withColumns({"x1": F.col("x0") + 13, "y1": F.col("y0") + 10})
+    kept = choice.apart_boxes(boxes, 0.1).select("id", F.spark_partition_id().alias("p"))
+    sizes = [r["count"] for r in kept.groupBy("p").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    own = boxes.where("y0 = 50").select("id", "score").orderBy(F.desc("score"), "id").collect()
+    taken = set()
+    for r in own:  # a row of boxes, each over the next by 3 of 23
+        if not {r["id"] - 1, r["id"] + 1} & taken:
+            taken.add(r["id"])
+    assert {r["id"] for r in kept.where(F.col("id").between(5000, 5999)).collect()} == taken

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellspark.functions import imaging, sql, status
+from cellspark.functions import imaging, nuclei, sql, status
 from cellspark.functions.kernels import shoelace
 from cellspark.operators import exemplars
 
@@ -114,7 +114,7 @@ def test_touching_nuclei_are_split():
     own = np.where((x - 20) ** 2 + (y - 20) ** 2 <= (x - 41) ** 2 + (y - 20) ** 2, 20, 41)
     mask = left | right
     h, v = np.where(mask, (x - own) / 12, 0), np.where(mask, (y - 20) / 12, 0)
-    got = imaging.split_instances(mask.astype(float), h, v)
+    got = nuclei.split(mask.astype(float), h, v)
     assert set(np.unique(got)) == {0, 1, 2} and got[20, 14] != got[20, 47] and ((got > 0) == mask).mean() > 0.99
 
 
@@ -129,7 +129,7 @@ def test_imaging_queries_take_every_part(spark, tmp_path):
         cx, cy, h = i * 7919 % 1000 + 0.25, i * 104729 % 1000 + 0.25, size / 2
         inside[i] = [(x, y) for x in range(-30, 1030) if abs(x + 0.5 - cx) < h for y in range(-30, 1030) if abs(y + 0.5 - cy) < h]
     assert {r["cell_id"]: r["pixels"] for r in run("rasterize")} == {i: len(p) for i, p in inside.items()}
-    boxes = {i: (min(x for x, _ in p), min(y for _, y in p), max(x for x, _ in p) + 1, max(y for _, y in p) + 1, len(p)) for i, p in inside.items()}
+    boxes = {i: (min(x for x, _ in p), min(y for _, y in p), max(x for x, _ in p) + 1, max(y for _, y in p) + 1, len(p)) for i, p in inside.items() if len(p) > 1}
     assert {r["inst"]: (r["x0"], r["y0"], r["x1"], r["y1"], r["n"]) for r in run("instance_info")} == boxes
     assert {r["id"]: r["red"] for r in run("heat_colors")} == {1: 10, 2: 255, 3: 255, 10: 71, 25: 122}
 
