@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import heapq
+import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,52 +41,60 @@ def equilibrium_patches(cells: DataFrame, edges: DataFrame, value: str, most: fl
     return components(calm).select("slide_id", F.col("component").alias("patch"), "cell_id")
 
 
-def _merge(n: int, edges: list[tuple[int, int]], target: int) -> list[list[int]]:
-    """Groups left after merging, again and again, the two with the most edges between them (the first of equals)."""
+def merged(n: int, src: np.ndarray, dst: np.ndarray, target: int) -> np.ndarray:
+    """The least member of the group of each of ``n`` nodes, after merging, again and again, the two groups with the most
+    edges between them (of equals, those of the least members) until ``target`` are left or none are joined.
+
+    A heap holds the pairs of groups by weight; a pair whose weight has changed since is passed over."""
+    up, left = np.arange(n), n
     if n <= target:
-        return [[i] for i in range(n)]
-    groups: dict[int, list[int]] = {i: [i] for i in range(n)}
-    weight: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
-    for a, b in edges:
-        if a != b:
-            weight[a][b] += 1
-            weight[b][a] += 1
-    while len(groups) > target:
-        order = {g: k for k, g in enumerate(groups)}
-        best = min(((-w, order[a], order[b], a, b) for a, row in weight.items() for b, w in row.items() if order[a] < order[b] and w), default=None)
-        if best is None:
-            break
-        a, b = best[3:]
-        groups[a] += groups.pop(b)
-        for c, w in weight.pop(b).items():
-            weight[c].pop(b, None)
-            if c != a:
-                weight[a][c] += w
-                weight[c][a] += w
-    return list(groups.values())
+        return up
+    lo, hi = np.minimum(src, dst), np.maximum(src, dst)
+    pairs, weights = np.unique((lo * n + hi)[lo != hi], return_counts=True)
+    near: list[dict[int, int]] = [{} for _ in range(n)]
+    heap = []
+    for pair, w in zip(pairs.tolist(), weights.tolist(), strict=True):
+        a, b = divmod(pair, n)
+        near[a][b] = near[b][a] = w
+        heap.append((-w, a, b))
+    heapq.heapify(heap)
+    while heap and left > target:
+        w, a, b = heapq.heappop(heap)
+        if near[a].get(b) != -w:
+            continue
+        up[b], left = a, left - 1
+        own, gone, near[b] = near[a], near[b], {}
+        del own[b], gone[a]
+        for c, v in gone.items():
+            del near[c][b]
+            own[c] = near[c][a] = v = own.get(c, 0) + v
+            heapq.heappush(heap, (-v, min(a, c), max(a, c)))
+    for i in range(n):  # a group's node comes before those merged into it
+        up[i] = up[up[i]]
+    return up
 
 
 def communities(cells: DataFrame, edges: DataFrame) -> DataFrame:
-    """slide_id, module, cell_id: greedy merging down to max(4, floor(sqrt n)) groups, at most n / 2.
+    """slide_id, module, cell_id: greedy merging down to max(4, floor(sqrt n)) groups, at most n / 2; a slide of fewer
+    than four cells has none. Modules are numbered by their least cells.
 
     Every merge depends on the one before, so a slide's edges go through one kernel; slides run side by side."""
-    sizes = cells.groupBy("slide_id").agg(F.collect_list("cell_id").alias("ids"))
-    lists = edges.groupBy("slide_id").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
-    kind = T.ArrayType(T.ArrayType(T.LongType()))
-
-    @F.pandas_udf(kind)
-    def merge(ids: pd.Series, pairs: pd.Series) -> pd.Series:
-        out = []
-        for own, links in zip(ids, pairs, strict=True):
-            own = sorted(own)
-            place = {c: i for i, c in enumerate(own)}
-            n = len(own)
-            links = [] if links is None else sorted((place[e["src"]], place[e["dst"]]) for e in links)
-            out.append([] if n < 4 else [[own[i] for i in g] for g in _merge(n, links, min(max(int(np.sqrt(n)), 4), n // 2))])
-        return pd.Series(out)
-
-    found = sizes.join(lists, "slide_id", "left").select("slide_id", F.posexplode(merge("ids", "edges")).alias("module", "members"))
-    return found.select("slide_id", "module", F.explode("members").alias("cell_id"))
+    sizes = cells.groupBy("slide_id").agg(F.array_sort(F.collect_list("cell_id")).alias("ids"))
+    lists = edges.groupBy("slide_id").agg(F.collect_list("src").alias("src"), F.collect_list("dst").alias("dst"))
+    kinds = {f.name: f.dataType.simpleString() for f in cells.select("slide_id", "cell_id").schema}
+
+    def run(batches):
+        for batch in batches:
+            for k, slide in enumerate(batch.column("slide_id")):
+                ids, src, dst = (np.asarray(batch.column(c)[k].values) if batch.column(c)[k].is_valid else np.zeros(0, np.int64) for c in ("ids", "src", "dst"))
+                n = len(ids)
+                if n >= 4:
+                    group = merged(n, np.searchsorted(ids, src), np.searchsorted(ids, dst), min(max(math.isqrt(n), 4), n // 2))
+                    module = np.unique(group, return_inverse=True)[1]
+                    yield pa.RecordBatch.from_pydict({"slide_id": pa.array([slide.as_py()] * n, batch.schema.field("slide_id").type), "module": pa.array(module.astype(np.int32)), "cell_id": pa.array(ids, batch.schema.field("ids").type.value_type)})
+
+    found = sizes.join(lists, "slide_id", "left").select("slide_id", "ids", "src", "dst")
+    return found.mapInArrow(run, f"slide_id {kinds['slide_id']}, module int, cell_id {kinds['cell_id']}")
 
 
 def tissue_iq(cells: DataFrame, modules: DataFrame, phenotype: str, area: str = "area") -> DataFrame:

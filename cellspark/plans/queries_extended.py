@@ -113,14 +113,30 @@ def _(spark, d):
     return graph.equilibrium_patches(p, spatial.knn(p, 3), "area", 200.0)
 
 
-@query("communities", None)
+#: DuckDB: groups of ``pts`` (ph: by the rank of their least cell) merged pair by pair, a step for each.
+_MERGED = f"""{POINTS_SQL}, {KNN_SQL.format(t='pts', k=8)}, no AS (SELECT slide_id, cell_id, row_number() OVER (PARTITION BY slide_id ORDER BY cell_id) AS k FROM pts),
+un AS (SELECT e.slide_id, a.k AS x, b.k AS y FROM edges e JOIN no a ON a.slide_id=e.slide_id AND a.cell_id=src JOIN no b ON b.slide_id=e.slide_id AND b.cell_id=dst),
+ta AS (SELECT slide_id, least(greatest(cast(floor(sqrt(count(*))) AS bigint),4), count(*)//2) AS target FROM no GROUP BY slide_id HAVING count(*)>=4),
+lab AS (SELECT slide_id, 0 AS i, k, k AS g FROM no SEMI JOIN ta USING (slide_id) UNION ALL
+  SELECT l.slide_id, l.i+1, l.k, CASE WHEN l.g=b.hi THEN b.lo ELSE l.g END FROM lab l
+  JOIN (SELECT slide_id, lo, hi FROM (SELECT u.slide_id, least(p.g,q.g) AS lo, greatest(p.g,q.g) AS hi, count(*) AS w FROM un u JOIN lab p ON p.slide_id=u.slide_id AND p.k=x JOIN lab q ON q.slide_id=u.slide_id AND q.k=y WHERE p.g<>q.g GROUP BY ALL)
+        QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY w DESC, lo, hi)=1) b ON b.slide_id=l.slide_id
+  JOIN (SELECT slide_id FROM lab JOIN ta USING (slide_id) GROUP BY slide_id, target HAVING count(DISTINCT g)>target) c ON c.slide_id=l.slide_id),
+mo AS (SELECT slide_id, cast(dense_rank() OVER (PARTITION BY slide_id ORDER BY g)-1 AS integer) AS module, cell_id FROM (SELECT * FROM lab QUALIFY i=max(i) OVER (PARTITION BY slide_id)) JOIN no USING (slide_id, k))"""
+
+
+@query("communities", f"WITH RECURSIVE {_MERGED} SELECT slide_id, module, cell_id FROM mo")
 def _(spark, d):
     """O181: greedy communities of the neighbour graph."""
     p = points_parts(spark, d)
     return graph.communities(p, spatial.knn(p))
 
 
-@query("tissue_iq_pipeline", None)
+@query(
+    "tissue_iq_pipeline",
+    f"""WITH RECURSIVE {_MERGED}, m AS (SELECT slide_id, module, count(DISTINCT area>1)/avg(greatest(area,1e-12)) AS iq FROM mo JOIN pts USING (slide_id, cell_id) GROUP BY ALL), a AS (SELECT slide_id, count(*) n, avg(iq) mu, stddev_pop(iq) sd FROM m GROUP BY ALL)
+    SELECT slide_id, any_value(n) AS n_modules, {r('any_value(mu)')} AS mean_iq, {r('any_value(sd)')} AS std_iq, {r('any_value(sd)/any_value(mu)')} AS cv_iq, count(*) FILTER (iq>mu+sd) AS heterogeneous FROM m JOIN a USING (slide_id) GROUP BY slide_id""",
+)
 def _(spark, d):
     """O182: neighbours, communities and their scores."""
     p = points_parts(spark, d).withColumn("phenotype", (F.col("area") > 1.0).cast("int"))
