@@ -24,6 +24,7 @@ rows.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -43,7 +44,7 @@ from .shared import materialize, mix, table
 from .token_counts import byte_symbols
 
 VOCABULARIES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-CACHE, SHORT, EXPANDED, LEARNED = 200_000, 400, 64, 32
+CACHE, SHORT, EXPANDED, LEARNED = 200_000, 400, 4096, 32
 GROUPS, BLOCK, PART, PACKED = 16, 1 << 20, 2_000_000, 1 << 16
 
 TOGETHER, DIFFERENT = 256, "!"
@@ -83,6 +84,9 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(len(self.b))]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.len_a, self.len_b = np.array(list(map(len, self.bytes_a))), np.array(list(map(len, self.bytes_b)))
+        #: What stands for an id in a group's text: A and B ids inside a run, and at its end.
+        self.said = [f"{i}{mark}" for n, mark in ((len(self.len_a), ","), (len(self.len_a), "|"), (len(self.len_b), ","), (len(self.len_b), ";")) for i in range(n)]
+        self.said_from = np.cumsum([0, len(self.len_a), len(self.len_a), len(self.len_b)])
         with open(path_a, encoding="utf-8") as f:
             spec = json.load(f)
         before = spec["pre_tokenizer"] or {}
@@ -95,7 +99,7 @@ class Aligner:
 
     def encode(self, text: str) -> tuple[list[int], list[int]] | None:
         """Ids of A and B; None where their bytes are not the text's."""
-        a, b, raw = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text), text.encode("utf-8", "replace")
+        a, b, raw = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text), text.encode("utf-8", "replace")
         same = b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
         return (a, b) if same else None
 
@@ -105,28 +109,34 @@ class Aligner:
         come out differently, or where one of them ends inside a group."""
         if (ids := self.encode("".join(stretches))) is None:
             return None
-        a, b = ids
+        a, b = (np.array(x, np.int64) for x in ids)
         ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         ends = np.cumsum([len(s.encode("utf-8", "replace")) for s in stretches])
         last = np.searchsorted(common, ends)
         if not np.array_equal(common[np.minimum(last, len(common) - 1)], ends):
             return None
-        cut_a, cut_b = (np.searchsorted(e, common) + 1 for e in (ends_a, ends_b))
-        cut_a, cut_b, out, g, i, j = cut_a.tolist(), cut_b.tolist(), [], 0, 0, 0
-        for end in last.tolist():
-            said, pairs, from_a, from_b = [], [], i, j
-            while g <= end:
-                x, y = a[i : cut_a[g]], b[j : cut_b[g]]
-                i, j, g = cut_a[g], cut_b[g], g + 1
-                if len(x) == len(y) == 1:
-                    said.append(f"{x[0]}|{y[0]}")
-                    pairs += (x[0] << 32 | y[0], 1)
-                else:
-                    said.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
-                    pairs += multiplied(x, y)
-            out.append((";".join(said), array("q", pairs).tobytes(), i - from_a << 32 | j - from_b))
-        return out
+        # Ids of A and of B before the end of each group, and of each group.
+        to_a, to_b = (np.searchsorted(e, common) + 1 for e in (ends_a, ends_b))
+        n_a, n_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        # The text: a group's A ids, then its B ids, each with what follows it.
+        words = np.empty(len(a) + len(b), np.int64)
+        kind_a, kind_b = np.zeros(len(a), np.int64), np.full(len(b), 2)
+        kind_a[to_a - 1], kind_b[to_b - 1] = 1, 3
+        words[np.arange(len(a)) + np.repeat(to_b - n_b, n_a)] = self.said_from[kind_a] + a
+        words[np.arange(len(b)) + np.repeat(to_a, n_b)] = self.said_from[kind_b] + b
+        said, upto = list(map(self.said.__getitem__, words.tolist())), (to_a + to_b)[last].tolist()
+        # The pairs: every A id of a group with every B id.
+        links, many = n_a * n_b, np.repeat(n_b, n_a)
+        if links.max() > EXPANDED:
+            pairs = [b"".join(multiplied(a[i - n : i].tolist(), b[j - m : j].tolist()) for i, n, j, m in zip(to_a[g:h].tolist(), n_a[g:h].tolist(), to_b[g:h].tolist(), n_b[g:h].tolist(), strict=True)) for g, h in zip([0, *(last[:-1] + 1).tolist()], (last + 1).tolist(), strict=True)]
+        else:
+            packed = np.ones((int(links.sum()), 2), np.int64)
+            packed[:, 0] = np.repeat(a, many) << 32 | b[np.repeat(np.repeat(to_b - n_b, n_a) - np.cumsum(many) + many, many) + np.arange(len(packed))]
+            packed, at = packed.tobytes(), (16 * np.cumsum(links)[last]).tolist()
+            pairs = [packed[i:j] for i, j in zip([0, *at], at, strict=False)]
+        sizes = (np.diff(to_a[last], prepend=0) << 32 | np.diff(to_b[last], prepend=0)).tolist()
+        return [("".join(said[i:j])[:-1], p, n) for i, j, p, n in zip([0, *upto], upto, pairs, sizes, strict=False)]
 
     def learn(self, stretches: set[str]) -> None:
         """Put the figures of short stretches into the cache, those between white space and other characters together.
@@ -173,16 +183,18 @@ class Aligner:
         return [numbers >> 32, numbers & 0xFFFFFFFF, groups, int(times.sum())], sha.hexdigest(), keys, times
 
 
-def multiplied(a: list[int], b: list[int]) -> list[int]:
-    """Distinct pairs of a group's ids, each followed by its multiplicity; small groups list every pair once."""
-    if len(a) * len(b) <= EXPANDED:
-        return [v for x in a for y in b for v in (x << 32 | y, 1)]
+def multiplied(a: list[int], b: list[int]) -> bytes:
+    """Distinct pairs of a group's ids, each followed by its multiplicity, packed."""
     of_a, of_b = Counter(a), Counter(b)
-    return [v for x, m in of_a.items() for y, n in of_b.items() for v in (x << 32 | y, m * n)]
+    return array("q", [v for x, m in of_a.items() for y, n in of_b.items() for v in (x << 32 | y, m * n)]).tobytes()
 
 
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and the sums of their values, in whole numbers."""
+    if (values == 1).all():
+        keys = np.sort(keys)
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        return keys[first], np.diff(first, append=len(keys))
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
@@ -193,6 +205,7 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     """This process's aligner."""
     if (path_a, path_b) not in _aligners:
         _aligners[path_a, path_b] = Aligner(path_a, path_b)
+        gc.freeze()  # what lasts as long as the worker need not be looked through again
     return _aligners[path_a, path_b]
 
 

@@ -5,6 +5,7 @@ import os
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,10 +104,16 @@ def test_many_places_give_the_same(spark, sf_dir, coders, monkeypatch):
     assert rows(alignment.link_figures(df)) == brute(coders, texts)
 
 
-def test_large_groups_are_multiplied():
-    found = alignment.multiplied([1, 1, 2] * 5, [7, 8] * 5)
-    assert dict(zip(found[::2], found[1::2], strict=True)) == {1 << 32 | 7: 50, 1 << 32 | 8: 50, 2 << 32 | 7: 25, 2 << 32 | 8: 25}
-    assert sorted(alignment.multiplied([1, 1], [7])) == [1, 1, 1 << 32 | 7, 1 << 32 | 7]
+def test_large_groups_are_multiplied(coders, monkeypatch):
+    found = np.frombuffer(alignment.multiplied([1, 1, 2] * 5, [7, 8] * 5), np.int64)
+    assert dict(zip(found[::2].tolist(), found[1::2].tolist(), strict=True)) == {1 << 32 | 7: 50, 1 << 32 | 8: 50, 2 << 32 | 7: 25, 2 << 32 | 8: 25}
+    own = alignment.aligner(*alignment.default_vocabularies())
+    texts = [" eauouon. naïve", " 日本語のテキスト", " éé", " xyzzy\nabc"]
+    few = own.figures(texts)
+    monkeypatch.setattr(alignment, "EXPANDED", 0)
+    for x, y in zip(few, own.figures(texts), strict=True):
+        sums = [alignment.summed(*np.frombuffer(p[1], np.int64).reshape(-1, 2).T) for p in (x, y)]
+        assert x[0] == y[0] and x[2] == y[2] and all(np.array_equal(u, v) for u, v in zip(*sums, strict=True))
 
 
 def test_a_small_cache_gives_the_same(spark, sf_dir, coders, monkeypatch):
