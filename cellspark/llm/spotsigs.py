@@ -121,7 +121,18 @@ def _ranges(docs: DataFrame, rows: int) -> tuple[np.ndarray, int | None]:
     if buckets < 2:
         return np.zeros(0, np.int64), None if nulls else least
     found = ids.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], max(10_000, 4 * buckets))).first()[0]
-    return np.array(sorted({x for x in found or [] if x is not None and x > least}), np.int64), None if nulls else least
+    cuts = np.array(sorted({x for x in found or [] if x is not None}), np.int64)  # of doubles, so perhaps no ids
+
+    def firsts(batches):
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            order = np.argsort(own, kind="stable")
+            place, at = np.unique(np.searchsorted(cuts, own[order], side="right"), return_index=True)
+            yield pa.RecordBatch.from_pydict({"range": pa.array(place.astype(np.int32)), "first": pa.array(own[order][at])})
+
+    known = ids.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).mapInArrow(firsts, "range int, first long")
+    first = sorted(r["first"] for r in known.groupBy("range").agg(F.min("first").alias("first")).collect())  # a row for each bucket
+    return np.array(first[1:], np.int64), None if nulls else least
 
 
 def edits(docs: DataFrame, rows: int = ROWS, chain: int = CHAIN, spacing: int = SPACING, beside: DataFrame | None = None) -> DataFrame:
@@ -136,10 +147,9 @@ def edits(docs: DataFrame, rows: int = ROWS, chain: int = CHAIN, spacing: int =
     edges = spark.sparkContext.broadcast(bounds)
 
     def places(ids):
-        known = ids.to_numpy(zero_copy_only=False).astype(float) if ids.null_count else ids.to_numpy(zero_copy_only=False)
-        missing = np.array(ids.is_null())
-        own = np.where(missing, 0, np.searchsorted(edges.value, np.where(missing, 0, known).astype(np.int64), side="right"))
-        opens = np.isin(np.where(missing, 0, known).astype(np.int64), edges.value) & ~missing
+        known, missing = ids.fill_null(0).to_numpy(zero_copy_only=False), np.array(ids.is_null())
+        own = np.where(missing, 0, np.searchsorted(edges.value, known, side="right"))
+        opens = np.isin(known, edges.value) & ~missing
         opens |= missing if least is None else (known == least) & ~missing
         return own, opens
 

@@ -270,6 +270,16 @@ def test_spot_edits_are_brute_force(spark, odd, none):
     assert spotsigs.edits(frame(spark, {5: "one text"})).first()["near_next"] == 1
 
 
+@pytest.mark.parametrize("nulls", [0, 1])
+def test_spot_edits_of_large_ids_are_whole(spark, nulls):
+    """Ids that doubles cannot tell apart, beside a null id."""
+    ids = [2**53 + 2 * i + 1 for i in range(39)] + [2**62 + i for i in range(7)] + [-(2**60) - i for i in range(5)]
+    rows = [(d, f"the text of {i} and a house of the {i % 5} town") for i, d in enumerate(ids)] + [(None, "a text")] * nulls
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one, two = (sorted(map(tuple, spotsigs.edits(df, n).collect()), key=str) for n in (2, 1000))
+    assert one == two and sorted(r[0] for r in one if r[0] is not None) == sorted(ids) and len(one) == len(rows)
+
+
 def test_spot_edits_carry_classes_of_all_rows(spark, odd):
     rows = spotsigs.edits(odd, 3, beside=spotsigs.classes(odd).where("doc_id is not null").distinct()).collect()
     assert len(rows) == odd.count() and {r["class_id"] for r in rows if r["doc_id"] is None} == {None}
