@@ -2,8 +2,9 @@
 
 Words lose outer punctuation and become template tokens: numbers (digits or number words) are <num>, units behind a
 number are <unit>, numbers with a unit attached are <measure>, capitalised words that do not open a sentence are <name>,
-all others are their lower case. Windows of SIZE template tokens, at least half of them plain words, are joined by hash
-with those of the benchmark; items with fewer tokens (at least LEAST) are one window of their length. Whether a word opens
+all others are their lower case; signs of arithmetic beside a number are words too. Windows of SIZE template tokens with a plain word among them are joined by hash
+with those of the benchmark; items with fewer tokens (at least LEAST) are one window of their length. A window of slots
+alone would be any row of numbers; literal windows compare those. Whether a word opens
 a sentence depends on what stands before it, so a window whose first word is capitalised is joined in both readings; the
 other reading than the item's takes the same word only. Matched windows on
 one diagonal of a document and an item are put together. Their slots must be consistent: within a type each value of the
@@ -52,6 +53,7 @@ UNITS = frozenset(
     "gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres dollar dollars cent cents euro euros degree degrees".split()
 )
 PLAIN, NUM, UNIT, MEASURE, NAME = range(5)
+SIGN, SIGNS = -2, frozenset("+-*/=<>^×÷")
 _kind_hash = np.array([0] + [xxhash.xxh64_intdigest(f"<{k}>") for k in ("num", "unit", "measure", "name")], np.uint64)
 _number = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*")
 _measure = re.compile(r"([+-]?\d[\d.,]*)([^\W\d_]+|%)")
@@ -74,7 +76,7 @@ class Words(dict):
             return self._add(word, low, kind, kind == PLAIN and bare[0].isupper() and bare[1:] == bare[1:].lower(), low in UNITS)
         bare = word if _number.fullmatch(word) else _edges.sub("", word)
         low = bare.lower()
-        kind = -1 if not bare else NUM if _number.fullmatch(bare) or low in NUMBER_WORDS else MEASURE if (m := _measure.fullmatch(bare)) and m[2].lower() in UNITS else PLAIN
+        kind = (SIGN if SIGNS.issuperset(word) else -1) if not bare else NUM if _number.fullmatch(bare) or low in NUMBER_WORDS else MEASURE if (m := _measure.fullmatch(bare)) and m[2].lower() in UNITS else PLAIN
         unit = low in UNITS or word == "%"
         if word == "%":
             kind, low = PLAIN, "%"
@@ -98,9 +100,12 @@ class Words(dict):
         hashes = np.frombuffer(self.hashes, np.uint64)
         opens = np.ones(len(ids), bool)
         opens[1:] = own[:-1, 3] > 0
-        real, literal = own[:, 0] >= 0, hashes[ids]
+        number, beside = own[:, 0] == NUM, np.zeros(len(ids), bool)
+        beside[1:] |= number[:-1]
+        beside[:-1] |= number[1:]
+        real, literal = (own[:, 0] >= 0) | ((own[:, 0] == SIGN) & beside), hashes[ids]
         ids, own, opens = ids[real], own[real], opens[real]
-        kind = own[:, 0].copy()
+        kind = np.maximum(own[:, 0], PLAIN)
         kind[(own[:, 1] > 0) & ~opens] = NAME
         after = np.zeros(len(ids), bool)
         after[1:] = kind[:-1] == NUM
@@ -145,9 +150,9 @@ def _item(words: Words, text: str):
     for place, h in enumerate(windows(hashes, size).tolist()):
         part = slice(place, place + size)
         own, rest = kind[part] == PLAIN, (place, size, len(kind), kind[part].astype(np.int8).tobytes(), plain[part].tobytes())
-        if 2 * own.sum() >= size:
+        if own.any():
             yield h, False, *rest
-        if capital[place] and 2 * (own[1:].sum() + 1) >= size:
+        if capital[place] and (own[1:].any() or not own[0]):  # the other reading has a plain word
             other = hashes[part].copy()
             other[0] = _kind_hash[NAME] if own[0] else plain[place]
             yield int(windows(other, size)[0]), False, *rest

@@ -354,6 +354,13 @@ def test_decontamination_of_items_without_plain_words(spark):
     assert leaked(spark, texts, items) == {0: ([1], [1]), 1: ([2], [2]), 2: ([3], [3]), 3: ([4], [4]), 4: ([5], [])} | {i: ([], []) for i in (5, 6, 7, 8)}
 
 
+def test_decontamination_of_other_numbers_and_names_among_few_plain_words(spark):
+    items = [(1, "Compute 12 + 7 * 3 - 4 / 2 = 9"), (2, "At 9:30 Alice Smith paid Bob Jones 45 dollars for 3 kg"), (3, "12 7 3 4 2 9 8 1")]
+    texts = ["then compute 40 + 9 * 2 - 6 / 3 = 5 now", "At 8:15 Carol White paid Dave Green 70 dollars for 9 kg", "At 8:15 Carol White paid Carol Green 70 dollars for 9 kg",
+             "compute 40 - 9 * 2 + 6 / 3 = 5 now", "1 2 3 4 5 6 7 8 9 10", "see 12 7 3 4 2 9 8 1 there", "a table - 3 - 4 - 5 - 6 - 7 - 8 of rows"]
+    assert leaked(spark, texts, items) == {0: ([1], []), 1: ([2], []), 5: ([3], [3])} | {i: ([], []) for i in (2, 3, 4, 6)}
+
+
 def test_decontamination_of_several_items_and_odd_rows(spark, odd, none):
     items = [(i, f"item number {w} speaks of {w} and nothing else but {w} in the whole wide world of words") for i, w in enumerate(("apple", "pear", "plum", "fig"))]
     texts = [t for _, t in items] + [items[0][1] + " then " + items[3][1]] + [items[2][1]] * 40
