@@ -70,27 +70,31 @@ def instances(pixels: DataFrame) -> DataFrame:
     return shape.join(best, keys).select(*keys, "x0", "y0", "x1", "y1", "cx", "cy", "n", F.col("m.type").alias("type"), (F.col("m.k") / (F.col("n") + 1e-6)).alias("prob"))
 
 
-def element_sets(spark, mask: DataFrame, width: int, height: int, nx: int, ny: int) -> DataFrame:
-    """element, material of a mesh nx by ny: the mask pixel (px, py, v) under each element's centre."""
-    e = spark.range(nx * ny).select((F.col("id") + 1).alias("element"), (F.col("id") % nx).alias("ex"), F.floor(F.col("id") / nx).alias("ey"))
+def element_sets(masks: DataFrame, width: int, height: int, nx: int, ny: int) -> DataFrame:
+    """id, element, material of a mesh nx by ny over each mask: its pixel (id, px, py, v) under an element's centre."""
+    e = masks.select("id").distinct().withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(nx * ny - 1))))
+    e = e.select("id", (F.col("e") + 1).cast("long").alias("element"), (F.col("e") % nx).alias("ex"), F.floor(F.col("e") / nx).alias("ey"))
     e = e.withColumns({"px": F.least(F.floor(width * (F.col("ex") + 0.5) / nx), F.lit(width - 1)), "py": F.least(F.floor(height * (F.col("ey") + 0.5) / ny), F.lit(height - 1))})
-    return e.join(mask, ["px", "py"], "left").select("element", F.coalesce(F.col("v") > 0, F.lit(False)).alias("material"))
+    return e.join(masks, ["id", "px", "py"], "left").select("id", "element", F.coalesce(F.col("v") > 0, F.lit(False)).alias("material"))
 
 
 def element_lines(elements: DataFrame, per_line: int = 16) -> DataFrame:
-    """material, line, text: element ids of each set, sixteen to a line."""
-    own = Window.partitionBy("material").orderBy("element")
+    """id, material, line, text: element ids of each mesh's sets, ``per_line`` to a line."""
+    own = Window.partitionBy("id", "material").orderBy("element")
     lines = elements.withColumn("line", F.floor((F.row_number().over(own) - 1) / per_line))
-    return lines.groupBy("material", "line").agg(F.concat_ws(", ", F.expr("transform(array_sort(collect_list(element)), e -> string(e))")).alias("text"))
-
-
-def fields(spark, size: int, vf: float, x: float, y: float, load: float, complexity: float) -> DataFrame:
-    """py, px and three channels (0 to 1) of a synthetic load case without noise."""
-    g = spark.range(size * size).select((F.col("id") % size).alias("px"), F.floor(F.col("id") / size).alias("py"))
-    d2 = (F.col("px") - x) ** 2 + (F.col("py") - y) ** 2
-    wave = F.abs(F.sin(F.col("px") / (10 + complexity) + F.col("py") / (12 + complexity))) * 0.35
-    g = g.withColumns({"s": F.exp(-d2 / (2 * (60 + complexity * 8) ** 2)) * 0.65 + wave * (load / 10), "volume": F.lit(min(1.0, max(0.0, vf))), "load": F.least(F.lit(1.0), F.exp(-d2 / 3200.0) * (load / 10))})
-    return g.crossJoin(g.agg(F.max("s").alias("top"))).select("py", "px", (F.col("s") / (F.col("top") + 1e-9)).alias("strain"), "volume", "load")  # one row
+    return lines.groupBy("id", "material", "line").agg(F.concat_ws(", ", F.expr("transform(array_sort(collect_list(element)), e -> string(e))")).alias("text"))
+
+
+def fields(cases: DataFrame, size: int) -> DataFrame:
+    """id, py, px and three channels (0 to 1) of synthetic load cases without noise: id, vf (share of volume), x, y (where
+    the load stands), load and complexity."""
+    axis = F.sequence(F.lit(0), F.lit(size - 1))
+    g = cases.withColumn("px", F.explode(axis)).withColumn("py", F.explode(axis))
+    d2, c = (F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2, F.col("complexity")
+    wave = F.abs(F.sin(F.col("px") / (10 + c) + F.col("py") / (12 + c))) * 0.35
+    g = g.select("id", "py", "px", (F.exp(-d2 / (2 * (60 + c * 8) ** 2)) * 0.65 + wave * (F.col("load") / 10)).alias("s"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("vf"))).alias("volume"), F.least(F.lit(1.0), F.exp(-d2 / 3200.0) * (F.col("load") / 10)).alias("load"))
+    top = g.groupBy("id").agg(F.max("s").alias("top"))
+    return g.join(top, "id").select("id", "py", "px", (F.col("s") / (F.col("top") + 1e-9)).alias("strain"), "volume", "load")
 
 
 def outline(mask: np.ndarray) -> list[tuple[float, float]]:

@@ -27,11 +27,23 @@ def patches(pixels: DataFrame, cells: DataFrame, side: int = SIDE) -> DataFrame:
     placed = pixels.withColumns({"_gx": F.floor(F.col("x") / side), "_gy": F.floor(F.col("y") / side)})
     u, v = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
     met = wide.join(placed, ["id", "_gx", "_gy"]).where(u.between(0, side - 1) & v.between(0, side - 1))
-    channels = [F.struct((c * side * side + v * side + u).cast("int").alias("k"), (F.col(n) / 255.0).cast("float").alias("v")) for c, n in enumerate("rgb")]
-    some = met.select("id", "cell_id", F.explode(F.array(*channels)).alias("p")).groupBy("id", "cell_id").agg(F.map_from_entries(F.collect_list("p")).alias("m"))  # one patch
-    filled = F.transform(F.sequence(F.lit(0), F.lit(3 * side * side - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0).cast("float")))
-    zeros = F.array_repeat(F.lit(0.0).cast("float"), 3 * side * side)
-    return own.select("id", "cell_id").join(some, ["id", "cell_id"], "left").select("id", "cell_id", F.when(F.col("m").isNull(), zeros).otherwise(filled).alias("patch"))
+    at = (v * side + u).cast("int")
+    some = met.select("id", "cell_id", at.alias("at"), *[F.col(c).cast("float").alias(c) for c in "rgb"])
+    lists = own.select("id", "cell_id").join(some.groupBy("id", "cell_id").agg(*[F.collect_list(c).alias(c) for c in ("at", *"rgb")]), ["id", "cell_id"], "left")  # one patch
+    kinds = {f.name: f.dataType.simpleString() for f in own.select("id", "cell_id").schema}
+
+    def place(batches):
+        for batch in batches:
+            n = batch.num_rows
+            out = np.zeros((n, 3, side * side), np.float32)
+            lengths = np.diff(batch.column("at").offsets.to_numpy())
+            row, to = np.repeat(np.arange(n), lengths), batch.column("at").flatten().to_numpy(zero_copy_only=False)
+            for k, c in enumerate("rgb"):
+                out[row, k, to] = batch.column(c).flatten().to_numpy(zero_copy_only=False) / np.float32(255)
+            ends = pa.array(np.arange(n + 1, dtype=np.int32) * 3 * side * side)
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "cell_id": batch.column("cell_id"), "patch": pa.ListArray.from_arrays(ends, pa.array(out.ravel()))})
+
+    return lists.mapInArrow(place, f"id {kinds['id']}, cell_id {kinds['cell_id']}, patch array<float>")
 
 
 def visual_features(rows: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], side: int = SIDE, width: int = WIDTH) -> DataFrame:

@@ -13,6 +13,7 @@ from ..sources.fixtures import POINTS_SQL, cells_parts, points_parts
 from ..streaming import service
 from .queries_extended import ORACLES as EXTENDED
 from .queries_geometry import r, rounded
+from .queries_imaging import _PIX, _pixels
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -123,32 +124,29 @@ def _(spark, d):
     return own.groupBy("id", "nucleus").agg(F.count_distinct("inst").alias("instances"), F.count("*").alias("n"), F.max("c").alias("corners"))
 
 
-_GRID = "px AS (SELECT i//4096 AS id, (i%4096)//64 AS y, i%64 AS x, (i*37+(i%64)*5)%256 AS r, (i*11+13)%256 AS g, (i*7+(i//64)*3)%256 AS b FROM (SELECT unnest(range(20480)) AS i))"
 _SPOTS = "c AS (SELECT p_partkey%5 AS id, p_partkey AS cell_id, (p_partkey*13%64)+0.5 AS cx, (p_partkey*29%64)+0.5 AS cy FROM part)"
 
 
 @query(
     "visual_features",
-    f"WITH {_GRID}, {_SPOTS} SELECT c.id, cell_id, {r('sum(r)/255.0', 3)} AS red, {r('sum(g)/255.0', 3)} AS green, {r('sum(b)/255.0', 3)} AS blue, count(*)::bigint AS covered FROM c JOIN px ON px.id=c.id AND x BETWEEN floor(cx)-16 AND floor(cx)+15 AND y BETWEEN floor(cy)-16 AND floor(cy)+15 GROUP BY ALL",
+    f"WITH {_PIX}, {_SPOTS} SELECT c.id, cell_id, sum(r)::double AS red, sum(g)::double AS green, sum(b)::double AS blue, count(*) FILTER (r+g+b>0) AS covered FROM c JOIN px ON px.id=c.id AND x BETWEEN floor(cx)-16 AND floor(cx)+15 AND y BETWEEN floor(cy)-16 AND floor(cy)+15 GROUP BY ALL",
 )
 def _(spark, d):
     """O240: patches around cells, read by a model with the contract of the embedding network (here one that adds up)."""
-    from .queries_imaging import _pixels
-
     def load():
         import numpy as np
 
         def model(batch):
             out = np.zeros((len(batch), patches.WIDTH))
-            out[:, :3], out[:, 3] = batch.astype(float).sum((2, 3)), (batch.sum(1) > 0).sum((1, 2))
+            out[:, :3], out[:, 3] = np.rint(batch.astype(float) * 255).sum((2, 3)), (batch.sum(1) > 0).sum((1, 2))
             return out
 
         return model
 
     p = spark.read.parquet(f"{d}/part.parquet")
     c = p.select((F.col("p_partkey") % 5).alias("id"), F.col("p_partkey").alias("cell_id"), (F.col("p_partkey") * 13 % 64 + 0.5).alias("centroid_x"), (F.col("p_partkey") * 29 % 64 + 0.5).alias("centroid_y"))
-    out = patches.visual_features(patches.patches(_pixels(spark), c), load)
-    return rounded(out.select("id", "cell_id", *[F.col("features")[i].alias(n) for i, n in enumerate(("red", "green", "blue"))], F.col("features")[3].cast("long").alias("covered")), "red", "green", "blue", digits=3)
+    out = patches.visual_features(patches.patches(_pixels(spark, d), c), load)
+    return out.select("id", "cell_id", *[F.col("features")[i].alias(n) for i, n in enumerate(("red", "green", "blue"))], F.col("features")[3].cast("long").alias("covered"))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import imaging, kernels, ring, sql, status
 from ..operators import exemplars, graph, ordered, spatial, stats
+from ..sources import schema
 from ..sources.annotations import slabs
 from ..sources.fixtures import CELLS_SQL, FOLLOW_SQL, PARTS_SQL, cells_embed, cells_parts, followers, points_parts
 from . import enrich
@@ -28,13 +29,15 @@ def query(name: str, sql_: str | None = None):
     return add
 
 
-_PIX = "px AS (SELECT i//4096 AS id, (i%4096)//64 AS y, i%64 AS x, (i*37+(i%64)*5)%256 AS r, (i*11+13)%256 AS g, (i*7+(i//64)*3)%256 AS b FROM (SELECT unnest(range(20480)) AS i))"
+#: Images of 64 x 64 pixels: an embedding is a row of one.
+_PIX = """px AS (SELECT vec_id//64 AS id, vec_id%64 AS y, x, v%256 AS r, (v*7+x*5)%256 AS g, (v*3+vec_id*11)%256 AS b FROM
+(SELECT vec_id, x, cast(floor(abs(cast(embedding[x+1] AS double))*1000) AS bigint) AS v FROM embeddings, (SELECT unnest(range(64)) AS x)))"""
 
 
-def _pixels(spark):
-    i = F.col("id")
-    p = spark.range(20480).select(F.floor(i / 4096).alias("k"), F.floor(i % 4096 / 64).alias("y"), (i % 64).alias("x"), ((i * 37 + (i % 64) * 5) % 256).alias("r"), ((i * 11 + 13) % 256).alias("g"), ((i * 7 + F.floor(i / 64) * 3) % 256).alias("b"))
-    return p.withColumnRenamed("k", "id")
+def _pixels(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("x", "e"))
+    v, x, n = F.floor(F.abs(F.col("e").cast("double")) * 1000), F.col("x").cast("long"), F.col("vec_id")
+    return e.select(F.floor(n / 64).alias("id"), (n % 64).alias("y"), x.alias("x"), (v % 256).alias("r"), ((v * 7 + x * 5) % 256).alias("g"), ((v * 3 + n * 11) % 256).alias("b"))
 
 
 _OD = "+".join(f"({w!r})*(-ln(least(greatest({c}/255.0,1e-6),1)))" for w, c in zip(imaging.stain_weights(), "rgb", strict=True))
@@ -43,26 +46,35 @@ _OD = "+".join(f"({w!r})*(-ln(least(greatest({c}/255.0,1e-6),1)))" for w, c in z
 @query("hematoxylin", f"WITH {_PIX}, v AS (SELECT id, y, x, {_OD} AS v FROM px), e AS (SELECT id, min(v) lo, max(v) hi FROM v GROUP BY id) SELECT id, y, x, {r('(v-lo)/(hi-lo)')} AS h FROM v JOIN e USING (id)")
 def _(spark, d):
     """O230: stain unmixing by pixel."""
-    return rounded(imaging.hematoxylin(_pixels(spark)), "h")
+    return rounded(imaging.hematoxylin(_pixels(spark, d)), "h")
 
 
 @query("grayscale", f"WITH {_PIX} SELECT id, y, x, cast(floor((r+g+b)/3) AS integer) AS v FROM px")
 def _(spark, d):
     """O023, O294: mean of the channels."""
-    return _pixels(spark).select("id", "y", "x", imaging.gray().alias("v"))
+    return _pixels(spark, d).select("id", "y", "x", imaging.gray().alias("v"))
 
 
 @query("softmax_foreground", f"WITH {_PIX} SELECT id, y, x, {r('1/(1+exp(r/50.0-g/50.0))')} AS p, 1/(1+exp(r/50.0-g/50.0))>0.5 AS mask FROM px")
 def _(spark, d):
     """O053, O241: probability and mask of two logits."""
-    p = _pixels(spark).withColumns({"l0": F.col("r") / 50.0, "l1": F.col("g") / 50.0}).withColumn("p", imaging.foreground("l0", "l1"))
+    p = _pixels(spark, d).withColumns({"l0": F.col("r") / 50.0, "l1": F.col("g") / 50.0}).withColumn("p", imaging.foreground("l0", "l1"))
     return rounded(p.select("id", "y", "x", "p", (F.col("p") > 0.5).alias("mask")), "p")
 
 
-@query("synthetic_fields", f"WITH g AS (SELECT i%64 AS px, i//64 AS py FROM (SELECT unnest(range(4096)) AS i)), s AS (SELECT py, px, exp(-((px-20)*(px-20)+(py-30)*(py-30))/(2*76.0*76.0))*0.65+abs(sin(px/12.0+py/14.0))*0.35*0.5 AS s, least(1,exp(-((px-20)*(px-20)+(py-30)*(py-30))/3200.0)*0.5) AS load FROM g) SELECT py, px, {r('s/((SELECT max(s) FROM s)+1e-9)')} AS strain, 0.4 AS volume, {r('load')} AS load FROM s")
+_CASE = "(p_size%10)/10.0 AS vf, (p_partkey*7%16) AS cx, (p_partkey*11%16) AS cy, p_size/10.0 AS load, (p_partkey%5) AS c"
+
+
+@query(
+    "synthetic_fields",
+    f"""WITH k AS (SELECT p_partkey AS id, {_CASE} FROM part), g AS (SELECT k.*, px, py, (px-cx)*(px-cx)+(py-cy)*(py-cy) AS d2 FROM k, (SELECT unnest(range(16)) AS px), (SELECT unnest(range(16)) AS py)),
+    s AS (SELECT *, exp(-d2/(2*(60+c*8)*(60+c*8)))*0.65+abs(sin(px/(10.0+c)+py/(12.0+c)))*0.35*(load/10) AS s FROM g), t AS (SELECT id, max(s) AS top FROM s GROUP BY id)
+    SELECT id, py, px, {r('s/(top+1e-9)')} AS strain, cast(vf AS double) AS volume, {r('least(1,exp(-d2/3200.0)*(load/10))')} AS load FROM s JOIN t USING (id)""",
+)
 def _(spark, d):
-    """O243: analytic fields of a load case."""
-    return rounded(imaging.fields(spark, 64, 0.4, 20.0, 30.0, 5.0, 2.0), "strain", "load")
+    """O243: analytic fields of load cases, one for each part."""
+    cases = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey AS id", "CAST(p_size % 10 AS DOUBLE) / 10 AS vf", "p_partkey * 7 % 16 AS x", "p_partkey * 11 % 16 AS y", "p_size / 10D AS load", "p_partkey % 5 AS complexity")
+    return rounded(imaging.fields(cases, 16), "strain", "load")
 
 
 _TRI = "rg AS (SELECT p_partkey AS cell_id, p_size/2.0 AS h, cast(p_partkey*7919%1000 AS double)+0.25 AS cx, cast(p_partkey*104729%1000 AS double)+0.25 AS cy FROM part)"
@@ -107,17 +119,26 @@ def _(spark, d):
     return rounded(imaging.instances(p).select("inst", "type", "prob"), "prob")
 
 
-@query("element_sets", "SELECT i+1 AS element, (least(floor(16*((i%40)+0.5)/40),15)+least(floor(12*((i//40)+0.5)/30),11))%3>0 AS material FROM (SELECT unnest(range(1200)) AS i)")
+_MASKS = "k AS (SELECT p_brand AS id, p_partkey%16 AS px, p_partkey//16%12 AS py, max(p_size) AS m FROM part GROUP BY ALL)"
+_ELEMENTS = f"{_MASKS}, e AS (SELECT b AS id, i+1 AS element, least(floor(16*((i%40)+0.5)/40),15) AS px, least(floor(12*((i//40)+0.5)/30),11) AS py FROM (SELECT DISTINCT id AS b FROM k), (SELECT unnest(range(1200)) AS i)), el AS (SELECT e.id, element, coalesce(m>25,false) AS material FROM e LEFT JOIN k USING (id, px, py))"
+
+
+def _elements(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    mask = p.groupBy(F.col("p_brand").alias("id"), (F.col("p_partkey") % 16).alias("px"), (F.floor(F.col("p_partkey") / 16) % 12).alias("py")).agg((F.max("p_size") > 25).cast("int").alias("v"))
+    return imaging.element_sets(mask, 16, 12, 40, 30)
+
+
+@query("element_sets", f"WITH {_ELEMENTS} SELECT id, element, material FROM el")
 def _(spark, d):
-    """O052: elements over a mask."""
-    mask = spark.range(192).select((F.col("id") % 16).alias("px"), F.floor(F.col("id") / 16).alias("py")).withColumn("v", (F.col("px") + F.col("py")) % 3)
-    return imaging.element_sets(spark, mask, 16, 12, 40, 30)
+    """O052: elements over the masks of the brands."""
+    return _elements(spark, d)
 
 
-@query("element_lines", "SELECT m AS material, i//16 AS line, string_agg(cast(e AS varchar), ', ' ORDER BY e) AS text FROM (SELECT e%2=0 AS m, e, row_number() OVER (PARTITION BY e%2=0 ORDER BY e)-1 AS i FROM (SELECT unnest(range(1,101)) AS e)) GROUP BY ALL")
+@query("element_lines", f"WITH {_ELEMENTS} SELECT id, material, (i//16)::bigint AS line, string_agg(cast(element AS varchar), ', ' ORDER BY element) AS text FROM (SELECT *, row_number() OVER (PARTITION BY id, material ORDER BY element)-1 AS i FROM el) GROUP BY ALL")
 def _(spark, d):
-    """O052: sixteen ids to a line."""
-    return imaging.element_lines(spark.range(1, 101).select(F.col("id").alias("element"), (F.col("id") % 2 == 0).alias("material")))
+    """O052: sixteen ids to a line of each set."""
+    return imaging.element_lines(_elements(spark, d))
 
 
 @query("tile_core", "SELECT p_partkey AS id, (p_partkey%256)>=46 AND (p_partkey%256)<210 AND (p_partkey*7%256)>=46 AND (p_partkey*7%256)<210 AS keep FROM part")
@@ -183,7 +204,7 @@ def _(spark, d):
 @query("exemplar_boxes", None)
 def _(spark, d):
     """O171, O172, O231, O244: peaks, boxes around them and pale boxes, one tile to a group."""
-    return exemplars.boxes(imaging.hematoxylin(_pixels(spark)), half=6)
+    return exemplars.boxes(imaging.hematoxylin(_pixels(spark, d)), half=6)
 
 
 @query(
@@ -236,13 +257,20 @@ def _(spark, d):
     return p.select("slide_id").distinct().join(n, "slide_id", "left").select("slide_id", F.when(F.col("n").isNull(), "no cells").alias("error"))
 
 
-@query("schema_gate", "SELECT p_partkey AS id, p_size BETWEEN 1 AND 40 AND p_partkey%3<>0 AS valid FROM part")
+@query(
+    "schema_gate",
+    """SELECT p_partkey AS id, CASE k WHEN 2 THEN '$.cells[1]' WHEN 3 THEN '$.cells' WHEN 6 THEN '$.cells[0][2][1]' WHEN 7 THEN '$.cells' ELSE '$' END AS path,
+    CASE k WHEN 1 THEN 'cell_count' WHEN 2 THEN 'minItems' WHEN 3 THEN 'minItems' WHEN 4 THEN 'required' WHEN 5 THEN 'json' ELSE 'type' END AS keyword FROM (SELECT p_partkey, p_partkey%8 AS k FROM part) WHERE k<>0""",
+)
 def _(spark, d):
-    """O111, O112: one predicate for each rule of a document, all of which must hold."""
-    p = spark.read.parquet(f"{d}/part.parquet")
-    rules = {"size_in_range": F.col("p_size").between(1, 40), "known_label": (F.col("p_partkey") % 3 != 0), "area_not_negative": F.col("p_size") >= 0}
-    checked = p.select(F.col("p_partkey").alias("id"), *[c.alias(n) for n, c in rules.items()])
-    return checked.select("id", F.forall(F.array(*rules), lambda v: v).alias("valid"))
+    """O111, O112: segment documents against their schema; seven of eight parts' documents break one rule each."""
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 8).alias("k"), F.col("p_size").alias("s"))
+    corner = "concat('[[0,0],[', s, ',0],[', s, ',', CASE WHEN k = 6 THEN '\"a\"' ELSE string(s) END, '],[0,', s, ']]')"
+    cells = f"CASE k WHEN 3 THEN '[]' WHEN 7 THEN '\"none\"' WHEN 2 THEN concat('[', {corner}, ',[[1,1],[2,1],[1,2]]]') ELSE concat('[', {corner}, ']') END"
+    count = "CASE k WHEN 4 THEN '' ELSE concat(',\"cell_count\":', CASE k WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 0 ELSE 1 END) END"
+    docs = p.select("id", F.expr(f"concat('{{\"cells\":', {cells}, {count}, CASE WHEN k = 5 THEN '' ELSE '}}' END)").alias("json"))
+    rules, also = schema.gold_segments(4)
+    return schema.failures(docs, rules, also=also)
 
 
 @query("bbox_of_cells", f"WITH {CELLS_SQL} SELECT slide_id, {r('min(x0)')} AS x0, {r('max(x1)')} AS x1 FROM g GROUP BY slide_id")
