@@ -62,19 +62,21 @@ def _(spark, d):
     return rounded(p.select("id", "y", "x", "p", (F.col("p") > 0.5).alias("mask")), "p")
 
 
-_CASE = "(p_size%10)/10.0 AS vf, (p_partkey*7%16) AS cx, (p_partkey*11%16) AS cy, p_size/10.0 AS load, (p_partkey%5) AS c"
+#: Load cases of the parts on 16 x 16 points (s), and the largest value of each (t).
+CASES_SQL = """k AS (SELECT p_partkey AS id, (p_size%10)/10.0 AS vf, p_partkey*7%16 AS cx, p_partkey*11%16 AS cy, p_size/10.0 AS load, p_partkey%5 AS c FROM part),
+g0 AS (SELECT k.*, px, py, (px-cx)*(px-cx)+(py-cy)*(py-cy) AS d2 FROM k, (SELECT unnest(range(16)) AS px), (SELECT unnest(range(16)) AS py)),
+s AS (SELECT *, exp(-d2/(2*(60+c*8)*(60+c*8)))*0.65+abs(sin(px/(10.0+c)+py/(12.0+c)))*0.35*(load/10) AS s FROM g0), t AS (SELECT id, max(s) AS top FROM s GROUP BY id)"""
 
 
-@query(
-    "synthetic_fields",
-    f"""WITH k AS (SELECT p_partkey AS id, {_CASE} FROM part), g AS (SELECT k.*, px, py, (px-cx)*(px-cx)+(py-cy)*(py-cy) AS d2 FROM k, (SELECT unnest(range(16)) AS px), (SELECT unnest(range(16)) AS py)),
-    s AS (SELECT *, exp(-d2/(2*(60+c*8)*(60+c*8)))*0.65+abs(sin(px/(10.0+c)+py/(12.0+c)))*0.35*(load/10) AS s FROM g), t AS (SELECT id, max(s) AS top FROM s GROUP BY id)
-    SELECT id, py, px, {r('s/(top+1e-9)')} AS strain, cast(vf AS double) AS volume, {r('least(1,exp(-d2/3200.0)*(load/10))')} AS load FROM s JOIN t USING (id)""",
-)
+def cases(spark, d):
+    """One load case for each part."""
+    return spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey AS id", "CAST(p_size % 10 AS DOUBLE) / 10 AS vf", "p_partkey * 7 % 16 AS x", "p_partkey * 11 % 16 AS y", "p_size / 10D AS load", "p_partkey % 5 AS complexity")
+
+
+@query("synthetic_fields", f"WITH {CASES_SQL} SELECT id, py, px, {r('s/(top+1e-9)')} AS strain, cast(vf AS double) AS volume, {r('least(1,exp(-d2/3200.0)*(load/10))')} AS load FROM s JOIN t USING (id)")
 def _(spark, d):
-    """O243: analytic fields of load cases, one for each part."""
-    cases = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey AS id", "CAST(p_size % 10 AS DOUBLE) / 10 AS vf", "p_partkey * 7 % 16 AS x", "p_partkey * 11 % 16 AS y", "p_size / 10D AS load", "p_partkey % 5 AS complexity")
-    return rounded(imaging.fields(cases, 16), "strain", "load")
+    """O243: analytic fields of load cases."""
+    return rounded(imaging.fields(cases(spark, d), 16), "strain", "load")
 
 
 _TRI = "rg AS (SELECT p_partkey AS cell_id, p_size/2.0 AS h, cast(p_partkey*7919%1000 AS double)+0.25 AS cx, cast(p_partkey*104729%1000 AS double)+0.25 AS cy FROM part)"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_extended, queries_files, queries_geometry, queries_imaging, queries_io, queries_stats
+from . import queries_extended, queries_files, queries_geometry, queries_imaging, queries_io, queries_models, queries_stats
 
-MODULES: tuple = (queries_geometry, queries_stats, queries_extended, queries_io, queries_imaging, queries_files)
+MODULES: tuple = (queries_geometry, queries_stats, queries_extended, queries_io, queries_imaging, queries_files, queries_models)
 
 
 def queries() -> dict:
