@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import imaging, ring
 from ..operators import checkpoints, patches, segment
-from ..sources import annotations, exports
+from ..sources import annotations, exports, matrices
 from ..sources.fixtures import POINTS_SQL, cells_parts, points_parts
 from ..streaming import service
 from .queries_extended import ORACLES as EXTENDED
@@ -194,3 +194,32 @@ def _(spark, d):
     rows = service.run_to_end(service.arriving_files(spark, f"{at}/in", 2), f"{at}/out")
     x, y = ring.vertex_mean()
     return rounded(rows.select(x.alias("x"), y.alias("y")), "x", "y", digits=3).groupBy("x", "y").agg(F.count("*").alias("n"))
+
+
+@query("slab_files", f"WITH e AS (SELECT vec_id%7 AS file, row_number() OVER (PARTITION BY vec_id%7 ORDER BY vec_id)-1 AS slab, embedding AS e FROM embeddings) SELECT file, slab, {r('list_sum(list_transform(e, lambda v: v::double))', 4)} AS total, {r('e[64]::double', 4)} AS last FROM e")
+def _(spark, d):
+    """O019, O098, O267: raw matrices in files, read by ranges of bytes. The embeddings are written first, as matrices of
+    32 x 2, in seven files of several ranges each."""
+    at = _folder(spark).removeprefix("file://")
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select((F.col("vec_id") % 7).alias("file"), "vec_id", F.col("embedding").cast("array<float>").alias("e"))
+
+    def write(batches):
+        import os
+
+        import pyarrow as pa
+
+        os.makedirs(f"{at}/slabs", exist_ok=True)
+        seen = {}
+        for batch in batches:
+            for file, values in zip(batch.column("file").to_pylist(), batch.column("e"), strict=True):
+                with open(f"{at}/slabs/{file}.raw", "ab" if file in seen else "wb") as f:
+                    f.write(values.values.to_numpy().astype("<f4").tobytes())
+                seen[file] = seen.get(file, 0) + 1
+        yield pa.RecordBatch.from_pydict({"file": pa.array(list(seen), pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
+
+    e.repartition("file").sortWithinPartitions("file", "vec_id").mapInArrow(write, "file long, n long").collect()  # seven rows
+    matrices.register(spark)
+    own = spark.read.format("slabs").options(dims=2, rows=32, splitBytes=2048).load(f"{at}/slabs")
+    total = F.aggregate("values", F.lit(0.0), lambda t, v: t + v.cast("double"))
+    rows = own.select(F.regexp_extract("path", r"(\d+)\.raw$", 1).cast("long").alias("file"), "slab", total.alias("total"), F.element_at("values", -1).cast("double").alias("last"))
+    return rounded(rows, "total", "last", digits=4)

@@ -264,39 +264,46 @@ def parse(contents: DataFrame) -> DataFrame:
 
 
 def slabs(content: DataFrame, dims: int, rows: int = 64) -> DataFrame:
-    """(path, slab, values array<float>) of raw little-endian single-precision matrices of ``rows`` x ``dims``; a length
-    that is no multiple of a slab is an error."""
+    """(path, slab, values array<float>, error) of raw little-endian single-precision matrices of ``rows`` x ``dims`` in
+    files that are values (path, content); a length that is no multiple of a slab gives a row with an error. Files of any
+    size are read by ``matrices.SlabSource``."""
     import numpy as np
 
     def run(parts):
         for part in parts:
-            out = []
+            out, size = [], rows * dims * 4
             for path, raw in zip(part["path"], part["content"], strict=True):
-                size = rows * dims * 4
-                if len(raw) < size or len(raw) % size:
-                    raise ValueError(f"{path}: {len(raw)} bytes are no whole number of {rows} x {dims} matrices")
-                values = np.frombuffer(bytes(raw), "<f4").reshape(-1, rows * dims)
-                out += [(path, i, v.tolist()) for i, v in enumerate(values)]
-            yield pd.DataFrame(out, columns=["path", "slab", "values"])
+                whole = 0 if raw is None else len(raw) // size
+                values = np.frombuffer(bytes(raw[: whole * size]), "<f4").reshape(-1, rows * dims) if whole else []
+                out += [(path, i, v.tolist(), None) for i, v in enumerate(values)]
+                if raw is None or len(raw) % size or not whole:
+                    out.append((path, whole, None, f"{0 if raw is None else len(raw)} bytes are no whole number of matrices of {size} bytes"))
+            yield pd.DataFrame(out, columns=["path", "slab", "values", "error"], dtype=object)
 
-    return content.select("path", "content").mapInPandas(run, "path string, slab long, values array<float>")
+    return content.select("path", "content").mapInPandas(run, "path string, slab long, values array<float>, error string")
 
 
 def arrays(content: DataFrame, name: str = "image") -> DataFrame:
-    """(path, height, width, channels, values) of the array ``name`` (or ``name``s, or the first) of NPZ files."""
+    """(path, height, width, channels, values, error) of the array ``name`` (or ``name``s, or the first) of NPZ files; a
+    file that has none, or none of two dimensions, gives a row with an error."""
     import numpy as np
 
     def run(parts):
         for part in parts:
             out = []
             for path, raw in zip(part["path"], part["content"], strict=True):
-                with np.load(io.BytesIO(bytes(raw)), allow_pickle=False) as z:
-                    a = np.asarray(z[next((n for n in (name, f"{name}s") if n in z.files), z.files[0])], np.float32)
-                a = a.reshape(*a.shape[:2], -1)
-                out.append((path, *a.shape, a.ravel().tolist()))
-            yield pd.DataFrame(out, columns=["path", "height", "width", "channels", "values"])
+                try:
+                    with np.load(io.BytesIO(bytes(raw)), allow_pickle=False) as z:
+                        a = np.asarray(z[next((n for n in (name, f"{name}s") if n in z.files), z.files[0])], np.float32)
+                    if a.ndim < 2:
+                        raise ValueError(f"an array of shape {a.shape} is no image")
+                    a = a.reshape(*a.shape[:2], -1)
+                    out.append((path, *a.shape, a.ravel().tolist(), None))
+                except Exception as e:  # a bad file becomes a row of its own
+                    out.append((path, None, None, None, None, f"{type(e).__name__}: {e}"[:300]))
+            yield pd.DataFrame(out, columns=["path", "height", "width", "channels", "values", "error"], dtype=object)
 
-    return content.select("path", "content").mapInPandas(run, "path string, height int, width int, channels int, values array<float>")
+    return content.select("path", "content").mapInPandas(run, "path string, height int, width int, channels int, values array<float>, error string")
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
