@@ -5,8 +5,9 @@ offsets where a token of each ends cut both encodings into groups. Every A and B
 pair's count is the number of documents that hold it linked, over all documents.
 
 Encoding. White space behind another character begins a new match of A's pattern, and no piece of B holds a space or a
-line break behind another character; so texts are cut there, each stretch is encoded by itself, and a worker keeps a
-bounded cache of what it has seen. ``Aligner`` checks both properties and otherwise takes whole texts. B's model is
+line break behind another character; the same holds for a stop or comma behind a letter. So texts are cut there, each
+stretch is encoded by itself, and a worker keeps a bounded cache of what it has seen. ``Aligner`` checks B's pieces and
+A's kind and otherwise takes whole texts. B's model is
 read without its prefix space, which is part of the stretch.
 
 Counting. Each document's distinct pairs and their multiplicities are its postings; ``align`` gives them with the
@@ -94,7 +95,10 @@ class Aligner:
         apart = apart and not any(p[i] in "▁ \n" and p[i - 1] not in "▁ \n" for p, b in zip(pieces, self.bytes_b, strict=True) if len(b) > 1 for i in range(1, len(p)))
         apart = apart and not any("\n" in p for p in pieces)
         #: Up to the next space or line break that follows no white space.
-        self.stretches = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+") if apart else re.compile(r"(?s).+")
+        # Marks that begin a match of A and a piece of B behind a letter.
+        marks = "".join(c for c in ".,;:!?" if not any(p[i] == c and p[i - 1].isalpha() for p in pieces for i in range(1, len(p))))
+        words = rf"\s*[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[{marks}])|" if marks else ""
+        self.stretches = re.compile(words + r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+") if apart else re.compile(r"(?s).+")
         self.apart, self.cache = apart, Kept()
 
     def encode(self, text: str) -> tuple[list[int], list[int]] | None:
