@@ -10,7 +10,10 @@ import csv
 import io
 import json
 import math
+import re
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -19,8 +22,9 @@ from pyspark.sql import functions as F
 
 SCHEMA = "path string, format string, source_index int, region_id string, source_class string, ring array<struct<x:double,y:double>>, error string"
 SEGMENT = "cell_count int, cells array<array<array<float>>>"
+#: Names of the columns that group vertices, in the order they are looked for.
 GROUPS = ("polygon_id", "cell_id", "object_id", "region_id", "id")
-RING = 128
+RING, HELD = 128, 200_000
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -93,16 +97,166 @@ def _tag(e) -> str:
     return e.tag.rpartition("}")[2]
 
 
-def from_xml(raw: bytes) -> list[tuple]:
-    """Regions (or leaf annotations) with at least three vertices or coordinates, in document order."""
-    out = []
-    for e in ET.fromstring(raw).iter():
+@dataclass
+class _Open:
+    """A region or annotation whose end has not come: its points, and records inside it that it must come before."""
+
+    name: str
+    id: str | None
+    points: list = field(default_factory=list)
+    regions: bool = False
+    held: list = field(default_factory=list)
+
+    def waits(self) -> bool:
+        return self.name == "Region" or not self.regions
+
+    def records(self) -> list[tuple]:
+        own = [(self.id, None, self.points)] if self.waits() and len(self.points) >= 3 else []
+        return own + self.held
+
+
+def _elements(stream) -> Iterator[tuple[str, ET.Element]]:
+    """(start or end, element) of a document; elements that have ended leave the tree."""
+    above: list[ET.Element] = []
+    for event, e in ET.iterparse(stream, events=("start", "end")):
+        if event == "start":
+            above.append(e)
+            yield event, e
+        else:
+            yield event, e
+            above.pop()
+            if above:
+                above[-1].remove(e)
+
+
+def xml_records(stream) -> Iterator[tuple]:
+    """Regions (or annotations without one) with at least three vertices or coordinates, in document order, as they end:
+    no more of a document is held than what is open."""
+    stack: list[_Open] = []
+    for event, e in _elements(stream):
         name = _tag(e)
-        if name == "Region" or name == "Annotation" and not any(_tag(c) == "Region" for c in e.iter()):
-            pts = [q for c in e.iter() if _tag(c) in ("Vertex", "Coordinate") and (q := _pair((c.get("X", c.get("x")), c.get("Y", c.get("y")))))]
-            if len(pts) >= 3:
-                out.append((e.get("Id") or e.get("Name"), None, pts))
-    return out
+        if event == "start" and name in ("Region", "Annotation"):
+            if name == "Region":
+                waiting = None
+                for o in stack:
+                    o.regions = True
+                    if o.waits():
+                        waiting = o
+                        continue
+                    found, o.points, o.held = o.held, [], []  # it gives no record, so nothing waits for it
+                    if waiting is None:
+                        yield from found
+                    else:
+                        waiting.held += found
+            stack.append(_Open(name, e.get("Id") or e.get("Name")))
+        elif event == "start" and name in ("Vertex", "Coordinate"):
+            if stack and (q := _pair((e.get("X", e.get("x")), e.get("Y", e.get("y"))))):
+                for o in stack:
+                    if o.waits():
+                        o.points.append(q)
+        elif event == "end" and name in ("Region", "Annotation"):
+            found = stack.pop().records()
+            waiting = next((o for o in reversed(stack) if o.waits()), None)
+            if waiting is None:
+                yield from found
+            else:
+                waiting.held += found
+
+
+def from_xml(raw: bytes) -> list[tuple]:
+    """``xml_records`` of a whole document."""
+    return list(xml_records(io.BytesIO(raw)))
+
+
+def _xml_format(stream) -> str:
+    """Which XML a document is, by all its tags; it is gone through as a whole, so one that is not well-formed gives no
+    record."""
+    tags = {_tag(e) for event, e in _elements(stream) if event == "start"}
+    return "asap_xml" if "Coordinate" in tags and not tags & {"Region", "Vertex"} else "aperio_xml"
+
+
+_SPACE = re.compile(r"[ \t\n\r]*")
+
+
+def _members(text: str) -> Iterator[tuple[str, object]] | None:
+    """(key, value) of the members of a document that is an object, its lists of objects as iterators; such an iterator is
+    used up before the next member. None for any other document."""
+    decode, skip = json.JSONDecoder().raw_decode, lambda at: _SPACE.match(text, at).end()
+    at = skip(1 if text[:1] == "\ufeff" else 0)
+    if text[at : at + 1] != "{":
+        return None
+
+    def wrong(at: int):
+        return json.JSONDecodeError("Unexpected character", text, at)
+
+    def walk(at: int):
+        at = skip(at + 1)
+        if text[at : at + 1] == "}":
+            at += 1
+        else:
+            while True:
+                key, at = decode(text, at)
+                at = skip(at)
+                if not isinstance(key, str) or text[at : at + 1] != ":":
+                    raise wrong(at)
+                at = skip(at + 1)
+                if text[at : at + 1] == "[" and text[(inner := skip(at + 1)) : inner + 1] == "{":
+                    place = [inner]
+
+                    def items(place=place):
+                        while True:
+                            item, end = decode(text, place[0])
+                            end = skip(end)
+                            place[0] = skip(end + 1)
+                            yield item
+                            if text[end : end + 1] != ",":
+                                if text[end : end + 1] != "]":
+                                    raise wrong(end)
+                                return
+
+                    yield key, (own := items())
+                    for _ in own:
+                        pass
+                    at = place[0]
+                else:
+                    value, at = decode(text, at)
+                    yield key, value
+                    at = skip(at)
+                if text[at : at + 1] == "}":
+                    at += 1
+                    break
+                if text[at : at + 1] != ",":
+                    raise wrong(at)
+                at = skip(at + 1)
+        if skip(at) != len(text):
+            raise json.JSONDecodeError("Extra data", text, at)
+
+    return walk(at)
+
+
+def json_records(text: str) -> tuple[str, Iterator[tuple]]:
+    """(geojson or json, records) of a document. Of a collection of features one at a time is held; the whole document is
+    gone through first, so what is not well-formed gives no record."""
+    members = _members(text)
+    kind, lists = None, 0
+    for key, value in members or ():
+        kind = value if key == "type" else kind
+        lists += key == "features"
+        if isinstance(value, Iterator):
+            for _ in value:
+                pass
+    if members is None or kind != "FeatureCollection" or lists != 1:
+        doc = json.loads(text)
+        collection = isinstance(doc, dict) and doc.get("type") == "FeatureCollection"
+        return ("geojson", iter(from_geojson(doc))) if collection else ("json", iter(from_json(doc)))
+
+    def features():
+        for key, value in _members(text):
+            if key == "features":
+                for one in value or ():
+                    yield from from_geojson({"features": [one]})
+
+    return "geojson", features()
 
 
 def _class(props: dict) -> str | None:
@@ -219,45 +373,47 @@ def from_html(text: str) -> list[tuple]:
     return out
 
 
-def format_of(kind: str, raw: bytes) -> str:
-    """The format of a whole file whose name says ``kind``: of XML and JSON the parsed document decides."""
+def records(kind: str, raw: bytes) -> tuple[str, Iterator[tuple]]:
+    """The format of a whole file whose name says ``kind`` (of XML and JSON the document decides), and its records
+    (region, class, points), one after another."""
     if kind in ("aperio_xml", "asap_xml"):
-        tags = {_tag(e) for e in ET.fromstring(raw).iter()}
-        return "asap_xml" if "Coordinate" in tags and not tags & {"Region", "Vertex"} else "aperio_xml"
+        return _xml_format(io.BytesIO(raw)), xml_records(io.BytesIO(raw))
+    text = raw.decode("utf-8", "replace")
     if kind == "json":
-        doc = json.loads(raw.decode("utf-8", "replace"))
-        return "geojson" if isinstance(doc, dict) and doc.get("type") == "FeatureCollection" else "json"
-    return kind
+        return json_records(text)
+    if kind == "geojson":
+        found = json_records(text)
+        return "geojson", found[1] if found[0] == "geojson" else iter(from_geojson(json.loads(text)))
+    return kind, iter(from_csv(text) if kind == "csv" else from_html(text) if kind == "html" else [])
 
 
 def parse_one(kind: str, raw: bytes) -> list[tuple]:
-    """(region, class, points) of one file."""
-    if kind in ("aperio_xml", "asap_xml"):
-        return from_xml(raw)
-    text = raw.decode("utf-8", "replace")
-    if kind == "geojson":
-        return from_geojson(json.loads(text))
-    if kind == "json":
-        return from_json(json.loads(text))
-    return from_csv(text) if kind == "csv" else from_html(text) if kind == "html" else []
+    """The records of one file."""
+    return list(records(kind, raw)[1])
 
 
 def parse(contents: DataFrame) -> DataFrame:
-    """SCHEMA rows of files (path, content)."""
+    """SCHEMA rows of files (path, content). Records leave in batches, so a file's are never all held; what is wrong
+    behind some of them is a row after them."""
+    columns = ["path", "format", "source_index", "region_id", "source_class", "ring", "error"]
 
     def run(parts):
+        out, held = [], 0
         for part in parts:
-            out = []
             for path, kind, raw in zip(part["path"], part["format"], part["content"], strict=True):
                 try:
                     if kind == "unknown":
                         raise ValueError("unsupported annotation format")
-                    kind = format_of(kind, bytes(raw))
-                    for i, (region, label, pts) in enumerate(parse_one(kind, bytes(raw))):
+                    kind, found = records(kind, bytes(raw))
+                    for i, (region, label, pts) in enumerate(found):
                         out.append((path, kind, i, None if region is None else str(region), label, [{"x": x, "y": y} for x, y in pts], None))
+                        held += len(pts)
+                        if held > HELD:
+                            yield pd.DataFrame(out, columns=columns)
+                            out, held = [], 0
                 except Exception as e:  # a bad file becomes a row of its own
                     out.append((path, kind, None, None, None, None, f"{type(e).__name__}: {e}"[:300]))
-            yield pd.DataFrame(out, columns=["path", "format", "source_index", "region_id", "source_class", "ring", "error"])
+        yield pd.DataFrame(out, columns=columns)
 
     named = contents.select("path", detect(F.col("path"), F.lit("")).alias("format"), "content")
     return named.mapInPandas(run, SCHEMA)
