@@ -100,10 +100,11 @@ class Words(dict):
         hashes = np.frombuffer(self.hashes, np.uint64)
         opens = np.ones(len(ids), bool)
         opens[1:] = own[:-1, 3] > 0
-        number, beside = own[:, 0] == NUM, np.zeros(len(ids), bool)
-        beside[1:] |= number[:-1]
-        beside[:-1] |= number[1:]
-        real, literal = (own[:, 0] >= 0) | ((own[:, 0] == SIGN) & beside), hashes[ids]
+        real, literal, sign = own[:, 0] >= 0, hashes[ids], own[:, 0] == SIGN
+        if sign.any():
+            number = own[:, 0] == NUM
+            beside = np.append(number[1:], False) | np.append(False, number[:-1])
+            real |= sign & beside
         ids, own, opens = ids[real], own[real], opens[real]
         kind = np.maximum(own[:, 0], PLAIN)
         kind[(own[:, 1] > 0) & ~opens] = NAME
@@ -113,20 +114,31 @@ class Words(dict):
         return ids, kind, np.where(kind == PLAIN, hashes[ids], _kind_hash[kind]), literal
 
 
-def windows(hashes: np.ndarray, size: int) -> np.ndarray:
-    """The hash of each window, put together from those of its parts of 1, 2, 4 and 8 tokens."""
-    n = len(hashes) - size + 1
+def doubled(hashes: np.ndarray, most: int) -> list[np.ndarray]:
+    """The hashes of each run of 1, 2, 4, ... tokens, up to ``most``."""
+    out, width = [hashes], 1
+    while 2 * width <= most:
+        out.append(mix(out[-1][:-width] * np.uint64(3) + out[-1][width:]))
+        width *= 2
+    return out
+
+
+def composed(runs: list[np.ndarray], size: int) -> np.ndarray:
+    """The hash of each window of ``size`` tokens, put together from those of its runs of ``doubled``."""
+    n = len(runs[0]) - size + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    out, at, part, width = np.full(n, size, np.uint64), 0, hashes, 1
-    while True:
-        if size & width:
-            out = mix(out * np.uint64(3) + part[at : at + n])
-            at += width
-        if 2 * width > size:
-            return out
-        part = mix(part[:-width] * np.uint64(3) + part[width:])
-        width *= 2
+    out, at = np.full(n, size, np.uint64), 0
+    for k, run in enumerate(runs):
+        if size >> k & 1:
+            out = mix(out * np.uint64(3) + run[at : at + n])
+            at += 1 << k
+    return out
+
+
+def windows(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each window."""
+    return composed(doubled(hashes, size), size)
 
 
 def _literal(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -192,19 +204,23 @@ def _hits(texts: DataFrame, known, sizes: list[tuple[bool, int]]) -> DataFrame:
         for batch in batches:
             rows = []
             for key, n, text in zip(*(batch.column(c).to_pylist() for c in ("text_hash", "bytes", "text")), strict=True):
-                if not text or (key, n) in seen:
+                if not text or not sizes or (key, n) in seen:
                     continue
                 if len(seen) > KNOWN:
                     seen.clear()
                 seen.add((key, n))
                 ids, kind, hashes, literal = words.template(text)
                 plain = np.frombuffer(words.hashes, np.uint64)[ids]
-                for is_literal, size in sizes:
-                    found = _literal(literal, size) if is_literal else windows(hashes, size)
-                    for at in np.flatnonzero(may_hold(known.value, found)).tolist():
-                        part = slice(at, at + size)
-                        own = (b"", b"") if is_literal else (kind[part].astype(np.int8).tobytes(), plain[part].tobytes())
-                        rows.append((key, n, _signed(int(found[at])), at, *own))
+                runs = doubled(hashes, SIZE), doubled(literal, SIZE)
+                found = [mix(composed(runs[1], size) ^ LITERAL) if is_literal else composed(runs[0], size) for is_literal, size in sizes]
+                ends, found = np.cumsum(list(map(len, found))), np.concatenate(found)
+                held = np.flatnonzero(may_hold(known.value, found))
+                which = np.searchsorted(ends, held, side="right")
+                for h, w, at in zip(found[held].tolist(), which.tolist(), (held - np.concatenate(([0], ends))[which]).tolist(), strict=True):
+                    is_literal, size = sizes[w]
+                    part = slice(at, at + size)
+                    own = (b"", b"") if is_literal else (kind[part].astype(np.int8).tobytes(), plain[part].tobytes())
+                    rows.append((key, n, _signed(h), at, *own))
             yield _columns(_HIT, rows)
 
     return texts.mapInArrow(run, "text_hash long, bytes long, hash long, place int, own_kinds binary, own_tokens binary").distinct()
