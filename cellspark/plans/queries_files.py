@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import imaging, ring
-from ..operators import checkpoints, patches, segment
+from ..operators import checkpoints, patches, regions, segment
 from ..sources import annotations, exports, matrices
 from ..sources.fixtures import POINTS_SQL, cells_parts, points_parts
 from ..streaming import service
@@ -108,6 +108,17 @@ def _(spark, d):
 _SIDE = "(13 + p_size % 8)"
 
 
+@query("mask_parts", "SELECT p_partkey AS id, (5*2147483648+3)::bigint AS part, n, n::double AS area, 5::bigint AS corners FROM (SELECT p_partkey, ((1+p_size%25)*(1+p_size%20))::bigint AS n FROM part) WHERE n>=20")
+def _(spark, d):
+    """O106, O232: parts that lie over several tiles of a mask, put together from runs of pixels; here a rectangle of each
+    part's size over four tiles."""
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), "p_size")
+    t = p.withColumn("x", F.explode(F.array(F.lit(0), F.lit(16)))).withColumn("y", F.explode(F.array(F.lit(0), F.lit(16))))
+    mask = F.expr("transform(sequence(0, 255), k -> (x + k % 16 BETWEEN 3 AND 3 + p_size % 25) AND (y + k div 16 BETWEEN 5 AND 5 + p_size % 20))")
+    m = regions.mask_parts(t.select("id", F.col("x").cast("long"), F.col("y").cast("long"), F.lit(16).alias("height"), F.lit(16).alias("width"), mask.alias("mask")))
+    return m.select("id", "part", "n", ring.area().alias("area"), F.size("ring").cast("long").alias("corners"))
+
+
 @query("nuclei_instances", f"SELECT p_partkey AS id, k AS nucleus, 1::bigint AS instances, ({_SIDE}*{_SIDE})::bigint AS n, 4::bigint AS corners FROM part, (SELECT unnest(range(2)) AS k)")
 def _(spark, d):
     """O235, O290, O292: nuclei split by the maps of a segmentation model; here two squares to a tile that touch, whose
