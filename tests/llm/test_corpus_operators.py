@@ -195,6 +195,18 @@ def test_sharding_of_repeated_rows(spark, monkeypatch):
     assert sum(r["doc_id"] == 5 and r["size"] == 1 for r in got) == 500
 
 
+def test_a_changed_text_does_not_move_its_document(spark):
+    """Where shards have room, only the key decides; a key of most rows is still cut into buckets."""
+    rows = spark.range(5000).select((F.col("id") * 7).alias("doc_id"), F.lit("c").alias("text"))
+    changed = rows.withColumn("text", F.when(F.col("doc_id") % 35 == 0, F.lit("other")).otherwise(F.col("text")))
+    one, two = ({r["doc_id"]: r["shard"] for r in sharding.assign(df, slack=1.0).collect()} for df in (rows, changed))
+    assert one == two
+    hot = rows.union(spark.range(20_000).select(F.lit(-1).cast("long"), F.col("id").cast("string")))
+    got = sharding.assign(hot).collect()
+    counts = Counter(r["shard"] for r in got)
+    assert len({(r["shard"], r["slot"]) for r in got}) == len(got) == 25_000 and max(counts.values()) - min(counts.values()) <= 1
+
+
 def test_sharding_moves_little(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"))
     moved = {}
@@ -236,9 +248,9 @@ def test_sharding_plan_is_the_sequential_rule(slack):
 def test_sharding_is_the_sequential_ring(spark):
     """Row by row, with ranks taken over several buckets of each arc."""
     rows = spark.range(900).select((F.col("id") * 13).alias("doc_id"))
-    names = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("1")), 1)
+    cell, own = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(False)), 64 - sharding.CELL_BITS), F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("1")), 32)
     places, owners = sharding.ring(5, 3)
-    keys = {r["doc_id"]: (sharding.place_of(r["h"] >> 63 - sharding.CELL_BITS, places), r["h"]) for r in rows.select("doc_id", names.alias("h")).collect()}
+    keys = {r["doc_id"]: (sharding.place_of(r["c"], places), r["c"] << 32 | r["h"]) for r in rows.select("doc_id", cell.alias("c"), own.alias("h")).collect()}
     want = sequential(list(keys.values()), places, owners, sharding.bounds_of(900, 5))
     got = {r["doc_id"]: r["shard"] for r in sharding.assign(rows, 5, 3).collect()}
     assert got == {d: want[k] for d, k in keys.items()}
