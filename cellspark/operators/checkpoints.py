@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,9 +42,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> int:
-    """Delete what ``cut`` has written in this application, once no plan reads it any more; how many tables that were."""
-    paths = _written.pop(spark.sparkContext.applicationId, [])
+def clear(spark: SparkSession, since: int = 0) -> int:
+    """Delete what ``cut`` has written in this application but its first ``since`` tables, once no plan reads it any more;
+    how many tables that were."""
+    written = _written.setdefault(spark.sparkContext.applicationId, [])
+    paths, written[since:] = written[since:], []
     jvm = spark.sparkContext._jvm
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -51,6 +54,17 @@ def clear(spark: SparkSession) -> int:
     return len(paths)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What ``cut`` writes inside goes at the end, also after an error. Results must have been written or collected by
+    then: ``with scratch(spark): enrich(cells).write.parquet(path)``."""
+    since = len(_written.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        clear(spark, since)
+
+
 def cached(spark: SparkSession, name: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The rows that ``make`` gave for this name and key before, from the shared folder, or now. The key should be a
     digest of all that the rows depend on, such as those of the sources' files."""

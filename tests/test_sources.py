@@ -136,6 +136,11 @@ def test_cache_and_callback(spark, tmp_path):
     rows = checkpoints.cut(spark.range(5).repartition(2))
     path = rows.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
     assert rows.count() == 5 and os.path.isdir(path) and checkpoints.clear(spark) >= 1 and not os.path.exists(path)
+    kept = checkpoints.cut(spark.range(3))
+    with pytest.raises(ValueError), checkpoints.scratch(spark):
+        gone = checkpoints.cut(spark.range(4)).inputFiles()[0]
+        raise ValueError
+    assert kept.count() == 3 and not os.path.exists(gone.removeprefix("file://"))
     made = []
 
     def make():
