@@ -10,6 +10,7 @@ import zipfile
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Colours by class.
 COLORS = {"Malignant": (200, 40, 40), "Immune": (40, 90, 200), "Normal": (60, 160, 60)}
@@ -199,11 +200,27 @@ def annotate_xml(raw: bytes, rows: list[dict]) -> bytes:
     return ET.tostring(root)
 
 
+@F.arrow_udf(StringType())  # a type, not a string: workers import this module without a session
+def six_digits(rings: pa.Array) -> pa.Array:
+    """x,y; of each vertex to six digits. The number as it is stored is rounded, ties to even: Spark's format_string rounds
+    a tie, such as 0.0078125, away from zero."""
+    out = []
+    for ring in rings:
+        points = ring.values
+        if points is None:
+            out.append(None)
+        elif points.null_count or any(points.field(c).null_count for c in "xy"):
+            out.append("".join("null,null;" if p is None else "".join(("null" if p[c] is None else f"{p[c]:.6f}") + end for c, end in (("x", ","), ("y", ";"))) for p in points.to_pylist()))
+        else:
+            flat = [v for p in zip(*(points.field(c).to_pylist() for c in "xy"), strict=True) for v in p]
+            out.append("%.6f,%.6f;" * len(points) % tuple(flat))
+    return pa.array(out, pa.string())
+
+
 def coordinate_digests(records: DataFrame, key: str = "path", order: str = "source_index") -> DataFrame:
     """key, digest: sha256 over all coordinates (six digits) of a document in its order, to show that an export has left
     the geometry alone."""
-    line = F.expr("array_join(transform(ring, p -> format_string('%.6f,%.6f;', p.x, p.y)), '')")
-    own = records.select(key, F.struct(F.col(order).alias("i"), line.alias("t")).alias("c")).groupBy(key).agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    own = records.select(key, F.struct(F.col(order).alias("i"), six_digits("ring").alias("t")).alias("c")).groupBy(key).agg(F.array_sort(F.collect_list("c")).alias("cs"))
     return own.select(key, F.sha2(F.array_join(F.expr("transform(cs, c -> c.t)"), "").cast("binary"), 256).alias("digest"))
 
 
