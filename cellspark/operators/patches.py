@@ -62,3 +62,14 @@ def visual_features(rows: DataFrame, load: Callable[[], Callable[[np.ndarray], n
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "cell_id": batch.column("cell_id"), "features": pa.array(list(out), pa.list_(pa.float64()))})
 
     return rows.select("id", "cell_id", "patch").mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in kinds.items()) + ", features array<double>")
+
+
+def cell_features(pixels: DataFrame, cells: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], side: int = SIDE, width: int = WIDTH) -> DataFrame:
+    """id, cell_id, features of the patches around cells. Cells whose patches begin at the same pixel share one, which is
+    cut out and read by the model once."""
+    start = ["id", "_x", "_y"]
+    own = cells.select("id", "cell_id", *[F.col(c).cast("int").alias(n) for c, n in (("centroid_x", "_x"), ("centroid_y", "_y"))])
+    places = own.groupBy(start).agg(F.min("cell_id").alias("cell_id")).where("_x IS NOT NULL AND _y IS NOT NULL")
+    read = visual_features(patches(pixels, places.select("id", "cell_id", F.col("_x").alias("centroid_x"), F.col("_y").alias("centroid_y")), side), load, side, width)
+    named = places.join(read, ["id", "cell_id"]).drop("cell_id")
+    return own.hint("merge").join(named, start).select("id", "cell_id", "features")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIDE = 256
+COLUMNS = ("py", "px", "dx", "dy", "volume")
 
 
 def to_bytes(a: np.ndarray) -> np.ndarray:
@@ -56,9 +57,13 @@ def _mesh(y: np.ndarray, x: np.ndarray, *fields: np.ndarray) -> list[np.ndarray]
 def layouts(points: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], side: int = SIDE) -> DataFrame:
     """id, height, width, probability (row by row), binary, foreground (the share of material) and error of each mesh of
     ``points`` (id, py, px, dx, dy, volume). ``load`` runs once in each task and returns the model."""
-    columns = ("py", "px", "dx", "dy", "volume")
-    kind = points.schema["id"].dataType.simpleString()
-    lists = points.groupBy("id").agg(*[F.collect_list(F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))).alias(c) for c in columns])  # one mesh
+    return mesh_layouts(points.groupBy("id").agg(*[F.collect_list(F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))).alias(c) for c in COLUMNS]), load, side)  # one mesh
+
+
+def mesh_layouts(meshes: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], side: int = SIDE) -> DataFrame:
+    """``layouts`` of meshes whose points are lists already (id and COLUMNS, one mesh to a row): nothing is shuffled."""
+    columns, kind = COLUMNS, meshes.schema["id"].dataType.simpleString()
+    lists = meshes.select("id", *[F.transform(F.col(c).cast("array<double>"), lambda v: F.coalesce(v, F.lit(float("nan")))).alias(c) for c in columns])
 
     def run(batches):
         model = load()

@@ -67,8 +67,8 @@ def _(spark, d):
 
         return model
 
-    f = rounded(imaging.fields(cases(spark, d), 16), "strain", "load")
-    points = f.select("id", "py", "px", F.col("strain").alias("dx"), F.col("load").alias("dy"), "volume")
-    out = topology.layouts(points, load, 16)
+    digits = lambda c: F.transform(c, lambda v: F.round(v, 6) + 0.0)
+    meshes = imaging.field_lists(cases(spark, d), 16).select("id", "py", "px", digits("strain").alias("dx"), digits("load").alias("dy"), "volume")
+    out = topology.mesh_layouts(meshes, load, 16)
     mean = F.expr("aggregate(probability, 0D, (s, p) -> s + p) / size(probability)")
     return rounded(out.select("id", "height", "width", mean.alias("mean"), "foreground", "error"), "mean", "foreground")
