@@ -5,13 +5,18 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import pickle
 import zipfile
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from . import annotations
+from .fixtures import spread
+
 #: Colours by class.
 COLORS = {"Malignant": (200, 40, 40), "Immune": (40, 90, 200), "Normal": (60, 160, 60)}
 #: Colours by predicted class, and of any other.
@@ -36,6 +41,15 @@ def envelopes(cells: DataFrame) -> DataFrame:
     return slides.select("slide_id", F.to_json(doc).alias("json"))
 
 
+def pieces(items: DataFrame, path: Column, order: str, text: Column, head: str = "", tail: str = "", between: str = "") -> DataFrame:
+    """path, part, content: documents of the ``text`` of their items in the order of ``order``, a piece for each item, so
+    that no document is a value. ``annotations.parse`` reads them one after another."""
+    w = Window.partitionBy("_p").orderBy(order)
+    own = items.withColumn("_p", path).withColumns({"_n": (F.row_number().over(w) - 1).cast("long"), "_last": F.lead(F.lit(True)).over(w).isNull()})
+    body = F.concat(F.when(F.col("_n") == 0, head).otherwise(between), F.coalesce(text, F.lit("")), F.when(F.col("_last"), tail).otherwise(""))
+    return spread(own).select(F.col("_p").alias("path"), F.col("_n").alias("part"), body.cast("binary").alias("content"))
+
+
 def feature(label: Column, extra: tuple[Column, ...] = ()) -> Column:
     """One GeoJSON polygon with its class; labels outside COLORS are Normal."""
     known = F.when(label.isin(*COLORS), label).otherwise("Normal")
@@ -57,6 +71,14 @@ def feature_collections(cells: DataFrame, label: str = "clinical") -> DataFrame:
     return slides.select("slide_id", F.concat(F.lit('{"type":"FeatureCollection","features":['), body, F.lit("]}")).alias("json"))
 
 
+def feature_pieces(cells: DataFrame, path: Column, label: str = "clinical") -> DataFrame:
+    """path, part, content: ``feature_collections`` in pieces."""
+    from ..functions.ring import finite
+
+    good = cells.where(finite() & (F.size("ring") > 0))
+    return pieces(good, path, "cell_id", F.to_json(feature(F.col(label))), '{"type":"FeatureCollection","features":[', "]}", ",")
+
+
 def prediction_features(cells: DataFrame, predicted: DataFrame) -> DataFrame:
     """slide_id, json: a feature collection of the cells that have a prediction, by slide.
 
@@ -79,13 +101,19 @@ def prediction_features(cells: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def manifest(records: DataFrame, sources: DataFrame) -> DataFrame:
-    """Annotations with cell_id, vertex-mean centroid and their file's digest, time and record count."""
+    """Annotations with cell_id, vertex-mean centroid and their file's digest, time and record count. ``sources``: files (path,
+    content, modificationTime), or such files in pieces (with ``part``)."""
     from ..functions.ring import vertex_mean
+    from ..operators.checkpoints import cut
 
     x, y = vertex_mean()
-    about = sources.select("path", F.sha2("content", 256).alias("source_sha256"), F.length("content").alias("source_bytes"), "modificationTime")
-    count = records.groupBy("path").agg(F.count("*").alias("record_count"))
-    own = records.select("path", F.col("source_index").alias("cell_id"), "source_index", "region_id", x.alias("centroid_x"), y.alias("centroid_y"))
+    if "part" in sources.columns:
+        times = sources.groupBy("path").agg(F.max("modificationTime").alias("modificationTime"))
+        about = _digests(sources, "path", "part", "content", "source_sha256").withColumn("source_bytes", F.col("bytes").cast("int")).drop("bytes").join(times, "path")
+    else:
+        about = sources.select("path", F.sha2("content", 256).alias("source_sha256"), F.length("content").alias("source_bytes"), "modificationTime")
+    own = cut(records.select("path", F.col("source_index").alias("cell_id"), "source_index", "region_id", x.alias("centroid_x"), y.alias("centroid_y")))  # files are parsed once
+    count = own.groupBy("path").agg(F.count("*").alias("record_count"))
     return own.join(count, "path").join(about, "path")
 
 
@@ -184,20 +212,102 @@ def unbundled(zips: DataFrame) -> DataFrame:
     return zips.select("bundle", "content").mapInArrow(run, "bundle string, name string, sha256 string, bytes long, intact boolean")
 
 
-def annotate_xml(raw: bytes, rows: list[dict]) -> bytes:
-    """XML with class, confidence (four digits) and cell id set on its regions in document order; counts must match."""
-    import xml.etree.ElementTree as ET
+class _Labelled:
+    """A target of XMLParser that writes a document as ElementTree does, with the next of ``rows`` on each element of a
+    name. ``spaces``: prefixes of its namespaces."""
+
+    def __init__(self, name: str, rows, spaces: dict[str, str]):
+        self.name, self.rows, self.spaces, self.out, self.text, self.open, self.root = name, rows, spaces, [], [], False, True
+
+    def _flush(self, end: bool = False):
+        text = "".join(self.text)
+        if self.open and not (end and not text):
+            self.out.append(">")
+            self.open = False
+        if text:
+            self.out.append(_XML["cdata"](text))
+            self.text = []
+
+    def _named(self, tag: str) -> str:
+        if tag[:1] != "{":
+            return tag
+        uri, name = tag[1:].rsplit("}", 1)
+        return f"{self.spaces[uri]}:{name}"
+
+    def start(self, tag, attributes):
+        self._flush()
+        if tag.rpartition("}")[2] == self.name:
+            row = next(self.rows)
+            attributes = dict(attributes) | {"Classification": row["clinical"], "Confidence": f"{row['confidence']:.4f}", "CellId": str(row["cell_id"])}
+        self.out.append("<" + self._named(tag))
+        if self.root:
+            self.out += [f' xmlns:{p}="{_XML["attribute"](u)}"' for u, p in sorted(self.spaces.items(), key=lambda x: x[1]) if p != "xml"]
+            self.root = False
+        self.out += [f' {self._named(k)}="{_XML["attribute"](v)}"' for k, v in attributes.items()]
+        self.open = True
+
+    def data(self, text):
+        self.text.append(text)
+
+    def end(self, tag):
+        self._flush(True)
+        self.out.append(" />" if self.open else f"</{self._named(tag)}>")
+        self.open = False
+
+    def close(self):
+        pass
+
+
+def _replaced(*pairs):
+    def run(text: str) -> str:
+        for a, b in pairs:
+            text = text.replace(a, b)
+        return text
+
+    return run
+
+
+_AND = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"))
+_XML = {"cdata": _replaced(*_AND), "attribute": _replaced(*_AND, ('"', "&quot;"), ("\r", "&#13;"), ("\n", "&#10;"), ("\t", "&#09;"))}
 
-    root = ET.fromstring(raw)
-    name = lambda e: e.tag.rpartition("}")[2]
-    regions = [e for e in root.iter() if name(e) == "Region"] or [e for e in root.iter() if name(e) == "Annotation"]
-    if len(regions) != len(rows):
-        raise ValueError(f"{len(regions)} regions, {len(rows)} predictions")
-    for e, row in zip(regions, rows, strict=True):
-        e.set("Classification", row["clinical"])
-        e.set("Confidence", f"{row['confidence']:.4f}")
-        e.set("CellId", str(row["cell_id"]))
-    return ET.tostring(root)
+
+class _Spaces:
+    """Namespaces of a document in the order in which they come, with ElementTree's prefixes."""
+
+    def __init__(self):
+        self.found: dict[str, str] = {}
+
+    def start(self, tag, attributes):
+        from xml.etree.ElementTree import _namespace_map as known
+
+        for name in (tag, *attributes):
+            if name[:1] == "{" and (uri := name[1:].rsplit("}", 1)[0]) not in self.found:
+                self.found[uri] = known.get(uri) or f"ns{sum(p != 'xml' for p in self.found.values())}"
+
+    def close(self):
+        pass
+
+
+def xml_labelled(stream, n: int, rows) -> Iterator[bytes]:
+    """Parts of an XML document with class, confidence (four digits) and cell id of ``n`` rows set on its regions (without
+    one: its annotations) in document order; counts must match."""
+    count = annotations.tags(stream)
+    name = "Region" if count.get("Region") else "Annotation"
+    if count.get(name, 0) != n:
+        raise ValueError(f"{count.get(name, 0)} regions, {n} predictions")
+    stream.seek(0)
+    spaces = _Spaces()
+    for _ in annotations._fed(stream, spaces):
+        pass
+    stream.seek(0)
+    for own in annotations._fed(stream, _Labelled(name, iter(rows), spaces.found)):
+        out, own.out = own.out, []
+        yield "".join(out).encode("us-ascii", "xmlcharrefreplace")
+
+
+def annotate_xml(raw: bytes, rows: list[dict]) -> bytes:
+    """``xml_labelled`` of a whole document."""
+    return b"".join(xml_labelled(io.BytesIO(raw), len(rows), rows))
 
 
 @F.arrow_udf(StringType())  # a type, not a string: workers import this module without a session
@@ -217,11 +327,40 @@ def six_digits(rings: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+def _digests(rows: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
+    """key, ``name`` (sha256) and bytes of all values of a key in their order, which go by one after another; null is
+    nothing."""
+
+    def run(batches):
+        at = own = None
+        size, out = 0, []
+        for batch in batches:
+            for k, v in zip(batch.column("k").to_pylist(), batch.column("v"), strict=True):
+                if own is None or k != at:
+                    if own is not None:
+                        out.append((at, own.hexdigest(), size))
+                    at, own, size = k, hashlib.sha256(), 0
+                if v.is_valid:
+                    own.update(v.as_buffer())
+                    size += len(v.as_buffer())
+            if out:
+                yield made(out, batch.schema.field("k").type)
+                out = []
+        if own is not None:
+            yield made([(at, own.hexdigest(), size)], batch.schema.field("k").type)
+
+    def made(out, kind):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (kind, pa.string(), pa.int64()), strict=True)], names=["k", "d", "n"])
+
+    own = rows.select(F.col(key).alias("k"), F.col(order).alias("i"), F.col(value).cast("binary").alias("v"))
+    found = own.repartition("k").sortWithinPartitions("k", "i", "v").select("k", "v").mapInArrow(run, f"k {rows.schema[key].dataType.simpleString()}, d string, n long")
+    return found.select(F.col("k").alias(key), F.col("d").alias(name), F.col("n").alias("bytes"))
+
+
 def coordinate_digests(records: DataFrame, key: str = "path", order: str = "source_index") -> DataFrame:
     """key, digest: sha256 over all coordinates (six digits) of a document in its order, to show that an export has left
     the geometry alone."""
-    own = records.select(key, F.struct(F.col(order).alias("i"), six_digits("ring").alias("t")).alias("c")).groupBy(key).agg(F.array_sort(F.collect_list("c")).alias("cs"))
-    return own.select(key, F.sha2(F.array_join(F.expr("transform(cs, c -> c.t)"), "").cast("binary"), 256).alias("digest"))
+    return _digests(records.select(key, F.col(order).alias("_i"), six_digits("ring").alias("_t")), key, "_i", "_t", "digest").drop("bytes")
 
 
 def unchanged(before: DataFrame, after: DataFrame, key: str = "path") -> DataFrame:
@@ -230,17 +369,51 @@ def unchanged(before: DataFrame, after: DataFrame, key: str = "path") -> DataFra
     return a.join(b, key, "full").select(key, F.coalesce(F.col("digest") == F.col("other"), F.lit(False)).alias("same"))
 
 
+def geojson_labelled(stream, n: int, rows) -> Iterator[bytes]:
+    """Parts of a feature collection with class, confidence and cell id of ``n`` rows in the properties of its features that
+    have a geometry, in document order; counts must match. Coordinates are not touched."""
+    again = lambda: annotations._decoded(stream)
+    has = lambda f: isinstance(f, dict) and isinstance(f.get("geometry"), dict)
+    keys, found = [], 0
+    for key, value in annotations._members(again()) or ():
+        keys.append(key)
+        if key == "features":
+            found += sum(map(has, value or ()))
+        elif isinstance(value, Iterator):
+            for _ in value:
+                pass
+    members = annotations._members(again()) if keys and len(set(keys)) == len(keys) else None
+    if members is None:  # no object, or one with a key twice, of which the last counts
+        doc = json.loads("".join(again()))
+        members, found = iter(doc.items()), sum(map(has, doc.get("features") or []))
+    if found != n:
+        raise ValueError(f"{found} features, {n} predictions")
+    own, dump = iter(rows), lambda v: json.dumps(v, ensure_ascii=False)
+
+    def labelled(f):
+        if has(f):
+            row, old = next(own), f.get("properties")
+            f["properties"] = (old if isinstance(old, dict) else {}) | {"Classification": row["clinical"], "Confidence": row["confidence"], "CellId": row["cell_id"]}
+        return f
+
+    yield b"{"
+    for i, (key, value) in enumerate(members):
+        yield f"{', ' if i else ''}{dump(key)}: ".encode()
+        if key == "features" and isinstance(value, list | Iterator):
+            value = map(labelled, value)
+        if isinstance(value, Iterator):
+            yield b"["
+            for k, item in enumerate(value):
+                yield f"{', ' if k else ''}{dump(item)}".encode()
+            yield b"]"
+        else:
+            yield dump(value).encode()
+    yield b"}"
+
+
 def annotate_geojson(text: str, rows: list[dict]) -> str:
-    """A feature collection with class, confidence and cell id of ``rows`` in the properties of its features that have a
-    geometry, in document order; counts must match. Coordinates are not touched."""
-    doc = json.loads(text)
-    open_ = [f for f in doc.get("features") or [] if isinstance(f, dict) and isinstance(f.get("geometry"), dict)]
-    if len(open_) != len(rows):
-        raise ValueError(f"{len(open_)} features, {len(rows)} predictions")
-    for f, row in zip(open_, rows, strict=True):
-        old = f.get("properties")
-        f["properties"] = (old if isinstance(old, dict) else {}) | {"Classification": row["clinical"], "Confidence": row["confidence"], "CellId": row["cell_id"]}
-    return json.dumps(doc, ensure_ascii=False)
+    """``geojson_labelled`` of a whole document."""
+    return b"".join(geojson_labelled(io.BytesIO(text.encode()), len(rows), rows)).decode()
 
 
 def with_defaults(slides: DataFrame) -> DataFrame:
@@ -264,19 +437,70 @@ def prediction_records(text: DataFrame) -> DataFrame:
 
 
 def _labelled(sources: DataFrame, rows: DataFrame, label) -> DataFrame:
+    """Files with what ``label`` (stream, count, rows) makes of them. Rows and pieces of a file pass through one task as
+    streams, rows first; files of one of them only are left out."""
+    whole = "part" not in sources.columns
+    if "rows" in rows.columns:
+        rows = rows.select("path", F.posexplode("rows").alias("position", "r")).select("path", "position", "r.*")
+
     def run(batches):
+        path = own = held = None
+        n = 0
         for batch in batches:
-            out = [label(raw, own) for raw, own in zip(batch.column("content").to_pylist(), batch.column("rows").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"path": batch.column("path"), "content": pa.array(out, pa.binary())})
-
-    return sources.select("path", "content").join(rows, "path").mapInArrow(run, "path string, content binary")
+            columns = [batch.column(c) for c in ("path", "content", "row")]
+            for p, raw, row in zip(columns[0].to_pylist(), columns[1], columns[2].to_pylist(), strict=True):
+                if own is None or p != path:
+                    if own is not None:
+                        yield from done(path, own, n, held)
+                    path, own, held, n = p, annotations.spool(), None, 0
+                if row is not None:
+                    pickle.dump(row, own)
+                    n += 1
+                    continue
+                held = held or annotations.spool()
+                if raw.is_valid:
+                    held.write(raw.as_buffer())
+        if own is not None:
+            yield from done(path, own, n, held)
+
+    def done(path, own, n, held):
+        if n and held is not None:
+            own.seek(0)
+            held.seek(0)
+            found = label(held, n, (pickle.load(own) for _ in range(n)))
+            for i, raw in enumerate([b"".join(found)] if whole else _grouped(found)):
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([i], pa.int64()), pa.array([raw], pa.binary())], names=["path", "part", "content"])
+        for f in (own, held):
+            if f is not None:
+                f.close()
+
+    row = F.struct("clinical", "confidence", "cell_id")
+    kinds = rows.select(row.alias("row")).schema["row"].dataType
+    texts = sources.select("path", F.lit(1).alias("kind"), (F.lit(0) if whole else F.col("part")).cast("long").alias("i"), "content", F.lit(None).cast(kinds).alias("row"))
+    labels = rows.select("path", F.lit(0).alias("kind"), F.col("position").cast("long").alias("i"), F.lit(None).cast("binary").alias("content"), row.alias("row"))
+    both = annotations.by_path(texts.unionByName(labels)).sortWithinPartitions("path", "kind", "i").select("path", "content", "row")
+    out = both.mapInArrow(run, "path string, part long, content binary")
+    return out.drop("part") if whole else out
+
+
+def _grouped(parts: Iterator[bytes], size: int = 1 << 18) -> Iterator[bytes]:
+    held, n = [], 0
+    for p in parts:
+        held.append(p)
+        n += len(p)
+        if n >= size:
+            yield b"".join(held)
+            held, n = [], 0
+    if held:
+        yield b"".join(held)
 
 
 def labelled_xml(sources: DataFrame, rows: DataFrame) -> DataFrame:
-    """path, content of XML files (path, content) with the labels of ``rows`` (path, rows in document order)."""
-    return _labelled(sources, rows, annotate_xml)
+    """XML files (path, content; or in pieces with ``part``) with the labels of ``rows``: clinical, confidence, cell_id by path
+    and position in the document, or path with ``rows`` as an array of them."""
+    return _labelled(sources, rows, xml_labelled)
 
 
 def labelled_geojson(sources: DataFrame, rows: DataFrame) -> DataFrame:
-    """path, content of GeoJSON files (path, content) with the labels of ``rows`` (path, rows in document order)."""
-    return _labelled(sources, rows, lambda raw, own: annotate_geojson(raw.decode("utf-8"), own).encode("utf-8"))
+    """GeoJSON files with the labels of ``rows``, as ``labelled_xml``."""
+    return _labelled(sources, rows, geojson_labelled)
