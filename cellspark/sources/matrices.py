@@ -2,12 +2,13 @@
 
 ``register(spark)``, then ``spark.read.format("slabs").option("dims", 2).load(folder)``: rows (path, slab, values, error) of
 little-endian single-precision matrices of ``rows`` (64) x ``dims`` that stand one after another in files. Files are split
-at whole matrices, about ``splitBytes`` (64 MB) to a task, so neither a task nor a row ever holds a file. What is left at
+at whole matrices, about ``splitBytes`` (64 MB) to a task, or as many times that as keep it to some 1,000 tasks, so neither a task nor a row ever holds a file. What is left at
 the end of a file is a row with an error; an empty file is one, too, as is a file that cannot be read. Files are in any
 place that pyarrow's file systems reach (local or shared folders, HDFS, object stores)."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "path string, slab long, values array<float>, error string"
-ROWS, SPLIT, BATCH = 64, 64 << 20, 4 << 20
+ROWS, SPLIT, BATCH, TASKS = 64, 64 << 20, 4 << 20, 1000
 
 
 @dataclass
@@ -54,9 +55,11 @@ class SlabReader(DataSourceReader):
             raise ValueError(f"{self.path} does not exist")
         found = [info] if info.is_file else system.get_file_info(fs.FileSelector(root, recursive=True))
         out, size = [], self.values * 4
-        for f in sorted((f for f in found if f.is_file and not f.base_name.startswith(("_", "."))), key=lambda f: f.path):
+        found = sorted((f for f in found if f.is_file and not f.base_name.startswith(("_", "."))), key=lambda f: f.path)
+        each = self.each * max(1, math.ceil(sum(f.size for f in found) / (self.each * size * TASKS)))
+        for f in found:
             whole = f.size // size
-            out += [Range(f.path, at, min(self.each, whole - at)) for at in range(0, whole, self.each)]
+            out += [Range(f.path, at, min(each, whole - at)) for at in range(0, whole, each)]
             if f.size % size or not whole:
                 out.append(Range(f.path, whole, 0, f"{f.size} bytes are no whole number of matrices of {size} bytes"))
         return out or [Range("", 0, 0)]
