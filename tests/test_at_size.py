@@ -101,3 +101,9 @@ def test_envelopes_are_parsed_once(spark):
 
     rows = annotations.segment_cells(spark.createDataFrame([("s", '{"cell_count": 1, "cells": [[[0, 0], [1, 0], [1, 1]]]}')], "slide_id string, json string"))
     assert plan(rows).count("from_json") == 1 and len(rows.first().ring) == 3
+
+
+def test_rings_of_parts_are_made_by_all_cores(spark, sf_dir):
+    from cellspark.sources import fixtures
+
+    assert fixtures.cells_parts(spark, sf_dir).rdd.getNumPartitions() > 4
