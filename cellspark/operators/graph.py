@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 
 from .checkpoints import cut
 
+#: Fixed value: cells of a slide that meet as many others at a time.
+BUCKET = 1_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """slide_id, cell_id and component (the least id reachable) of all ends of edges (slide_id, src, dst).
@@ -182,11 +185,25 @@ def spectral(cells: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame
     return slides.drop("vectors"), per.withColumn("cluster", quadrant)
 
 
-def orthogonal_pairs(embedded: DataFrame, tol: float = 0.05) -> DataFrame:
-    """Pairs a < b of a slide whose vectors have a product of at most ``tol`` over the first rank90 entries."""
-    a, b = embedded.select("slide_id", F.col("cell_id").alias("a"), F.col("u").alias("ua"), "rank90"), embedded.select("slide_id", F.col("cell_id").alias("b"), F.col("u").alias("ub"))
-    dot = F.expr("aggregate(zip_with(slice(ua, 1, rank90), slice(ub, 1, rank90), (x, y) -> x * y), 0D, (t, x) -> t + x)")
-    return a.join(b, "slide_id").where("a < b").withColumn("dot", dot).where(F.abs("dot") <= tol).select("slide_id", "a", "b", "dot")
+def orthogonal_pairs(embedded: DataFrame, tol: float = 0.05, width: int | None = None) -> DataFrame:
+    """Pairs a < b of a slide whose vectors have a product of at most ``tol`` over the first rank90 entries. ``width``: most
+    entries of a vector, counted if not given.
+
+    Of many cells nearly all pairs are results, so all are looked at. The cells of a slide are dealt to buckets of some
+    ``BUCKET``, and two buckets meet at a time: no task grows with a slide, and a pair costs products of plain columns."""
+    own = cut(embedded.select("slide_id", "cell_id", "u", "rank90").where("cell_id IS NOT NULL"))
+    if width is None:
+        width = own.agg(F.max(F.size("u"))).first()[0] or 0
+    sizes = own.groupBy("slide_id").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("_n"))
+    entry = lambda i: F.when(F.lit(i) < F.least("rank90", F.size("u")), F.get("u", F.lit(i))).otherwise(0.0)
+    own = own.join(sizes, "slide_id").withColumn("_at", F.pmod(F.xxhash64("cell_id"), F.col("_n")).cast("int"))
+    side = lambda k, i, j: own.select("slide_id", i.alias("_i"), j.alias("_j"), F.col("cell_id").alias(f"_{k}"), *[entry(n).alias(f"_{k}{n}") for n in range(width)])
+    keys, n = ["slide_id", "_i", "_j"], int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = side("a", F.col("_at"), F.explode(F.sequence("_at", F.col("_n") - 1))).repartition(n, *keys)
+    b = side("b", F.explode(F.sequence(F.lit(0), F.col("_at"))), F.col("_at")).repartition(n, *keys)
+    dot = sum((F.col(f"_a{i}") * F.col(f"_b{i}") for i in range(width)), F.lit(0.0))
+    both = a.join(b.hint("merge"), keys).where("_i < _j OR _a < _b").withColumn("dot", dot).where(F.abs("dot") <= tol)
+    return both.select("slide_id", F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "dot")
 
 
 def best_axis(cells: DataFrame, first: str, second: str, flag: str, steps: int = 7) -> DataFrame:

@@ -193,7 +193,8 @@ def _(spark, d):
     """O133, O188: nearly orthogonal pairs and quadrants."""
     c = enrich.shape(cells_embed(spark, d)).select("slide_id", "cell_id", "circularity", "eccentricity", (F.col("area") / 10).alias("a10"))
     _, cells = graph.spectral(c, ["a10", "circularity", "eccentricity"])
-    return rounded(graph.orthogonal_pairs(cells, 0.01), "dot")
+    dot = F.signum("dot") * (F.floor(F.abs("dot") * 1e6 + 0.5) / 1e6) + 0.0  # at most 10,000 millionths: no decimals for each pair
+    return graph.orthogonal_pairs(cells, 0.01, 3).withColumn("dot", dot)
 
 
 _Q = f"""q0 AS (SELECT slide_id, cell_id, centroid_x, centroid_y, (1-least(1,greatest(0,eccentricity)))*circularity AS w, cos(2*pi()*0.25*(cell_id%4))*eccentricity AS x, sin(2*pi()*0.25*(cell_id%4))*eccentricity AS y, greatest(-1,least(1,area/10)) AS z FROM g),

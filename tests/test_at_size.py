@@ -107,3 +107,19 @@ def test_rings_of_parts_are_made_by_all_cores(spark, sf_dir):
     from cellspark.sources import fixtures
 
     assert fixtures.cells_parts(spark, sf_dir).rdd.getNumPartitions() > 4
+
+
+def test_pairs_of_a_slide_are_dealt_to_tasks(spark, monkeypatch):
+    from cellspark.operators import graph
+
+    draw = np.random.default_rng(5)
+    rows = [(s, i // 2 if s == "t" else i, [float(x) for x in draw.normal(size=3)], rank) for s, n, rank in (("s", 90, 2), ("t", 7, 3), ("u", 1, 1), ("v", 4, 0)) for i in range(n)]
+    rows += [("s", 900, [float("nan")] * 3, 2), ("s", None, [0.0] * 3, 2), (None, 1, [0.0] * 3, 2), (None, 2, [0.0] * 3, 2), ("s", 901, [None, 0.0, 0.0], 2), ("w", 1, [0.5], 3), ("w", 2, [0.1], 3)]
+    cells = spark.createDataFrame(rows, "slide_id string, cell_id long, u array<double>, rank90 int")
+    good = [r for r in rows if r[0] and r[1] is not None and r[2][0] is not None]
+    want = sorted((s, i, j, round(d, 9)) for s, i, u, rank in good for t, j, v, _ in good if s == t and i < j and abs(d := sum(x * y for x, y in zip(u[:rank], v[:rank], strict=True))) <= 0.3)
+    monkeypatch.setattr(graph, "BUCKET", 8, raising=False)
+    for width in (None, 3):
+        own = graph.orthogonal_pairs(cells, 0.3, width).withColumn("task", F.spark_partition_id()).collect()
+        assert sorted((r.slide_id, r.a, r.b, round(r.dot, 9)) for r in own) == want and len(want) > 500
+        assert len({r.task for r in own if r.slide_id == "s"}) == 4
