@@ -41,11 +41,14 @@ def envelopes(cells: DataFrame) -> DataFrame:
     return slides.select("slide_id", F.to_json(doc).alias("json"))
 
 
-def pieces(items: DataFrame, path: Column, order: str, text: Column, head: str = "", tail: str = "", between: str = "") -> DataFrame:
+def pieces(items: DataFrame, path: Column, order: str, text: Column, head: str = "", tail: str = "", between: str = "", keep: Column | None = None) -> DataFrame:
     """path, part, content: documents of the ``text`` of their items in the order of ``order``, a piece for each item, so
-    that no document is a value. ``annotations.parse`` reads them one after another."""
-    w = Window.partitionBy("_p").orderBy(order)
-    own = items.withColumn("_p", path).withColumns({"_n": (F.row_number().over(w) - 1).cast("long"), "_last": F.lead(F.lit(True)).over(w).isNull()})
+    that no document is a value. ``annotations.parse`` reads them one after another. ``keep``: which items are put in; the
+    others go once items are numbered, since a filter before that would be pushed down to the few tasks that read a small
+    file, with all that makes the columns it looks at."""
+    w = Window.partitionBy("_p").orderBy(F.desc("_k"), order)
+    own = items.withColumn("_p", path).withColumn("_k", F.lit(True) if keep is None else F.coalesce(keep, F.lit(False)))
+    own = own.withColumns({"_n": (F.row_number().over(w) - 1).cast("long"), "_last": ~F.coalesce(F.lead("_k").over(w), F.lit(False))}).where("_k")
     body = F.concat(F.when(F.col("_n") == 0, head).otherwise(between), F.coalesce(text, F.lit("")), F.when(F.col("_last"), tail).otherwise(""))
     return spread(own).select(F.col("_p").alias("path"), F.col("_n").alias("part"), body.cast("binary").alias("content"))
 
@@ -75,8 +78,7 @@ def feature_pieces(cells: DataFrame, path: Column, label: str = "clinical") -> D
     """path, part, content: ``feature_collections`` in pieces."""
     from ..functions.ring import finite
 
-    good = cells.where(finite() & (F.size("ring") > 0))
-    return pieces(good, path, "cell_id", F.to_json(feature(F.col(label))), '{"type":"FeatureCollection","features":[', "]}", ",")
+    return pieces(cells, path, "cell_id", F.to_json(feature(F.col(label))), '{"type":"FeatureCollection","features":[', "]}", ",", finite() & (F.size("ring") > 0))
 
 
 def prediction_features(cells: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -314,16 +316,20 @@ def annotate_xml(raw: bytes, rows: list[dict]) -> bytes:
 def six_digits(rings: pa.Array) -> pa.Array:
     """x,y; of each vertex to six digits. The number as it is stored is rounded, ties to even: Spark's format_string rounds
     a tie, such as 0.0078125, away from zero."""
+    import numpy as np
+
     out = []
-    for ring in rings:
-        points = ring.values
-        if points is None:
-            out.append(None)
-        elif points.null_count or any(points.field(c).null_count for c in "xy"):
-            out.append("".join("null,null;" if p is None else "".join(("null" if p[c] is None else f"{p[c]:.6f}") + end for c, end in (("x", ","), ("y", ";"))) for p in points.to_pylist()))
-        else:
-            flat = [v for p in zip(*(points.field(c).to_pylist() for c in "xy"), strict=True) for v in p]
-            out.append("%.6f,%.6f;" * len(points) % tuple(flat))
+    for start in range(0, len(rings), 1000):
+        own = rings.slice(start, 1000)
+        points, sizes = own.flatten(), own.value_lengths().to_pylist()
+        if points.null_count or any(points.field(c).null_count for c in "xy"):
+            for ring in own.to_pylist():
+                out.append(None if ring is None else "".join("null,null;" if p is None else "".join(("null" if p[c] is None else f"{p[c]:.6f}") + end for c, end in (("x", ","), ("y", ";"))) for p in ring))
+            continue
+        flat, at = np.stack([points.field(c).to_numpy() for c in "xy"], 1).ravel().tolist(), 0
+        for n in sizes:
+            out.append(None if n is None else "%.6f,%.6f;" * n % tuple(flat[at : at + 2 * n]))
+            at += 2 * (n or 0)
     return pa.array(out, pa.string())
 
 
@@ -371,44 +377,53 @@ def unchanged(before: DataFrame, after: DataFrame, key: str = "path") -> DataFra
 
 def geojson_labelled(stream, n: int, rows) -> Iterator[bytes]:
     """Parts of a feature collection with class, confidence and cell id of ``n`` rows in the properties of its features that
-    have a geometry, in document order; counts must match. Coordinates are not touched."""
-    again = lambda: annotations._decoded(stream)
+    have a geometry, in document order; counts must match. Coordinates are not touched. The document is read once; what is
+    made of it waits for its end."""
     has = lambda f: isinstance(f, dict) and isinstance(f.get("geometry"), dict)
+    dump = json.JSONEncoder(ensure_ascii=False).encode
     keys, found = [], 0
-    for key, value in annotations._members(again()) or ():
-        keys.append(key)
-        if key == "features":
-            found += sum(map(has, value or ()))
-        elif isinstance(value, Iterator):
-            for _ in value:
-                pass
-    members = annotations._members(again()) if keys and len(set(keys)) == len(keys) else None
-    if members is None:  # no object, or one with a key twice, of which the last counts
-        doc = json.loads("".join(again()))
-        members, found = iter(doc.items()), sum(map(has, doc.get("features") or []))
-    if found != n:
-        raise ValueError(f"{found} features, {n} predictions")
-    own, dump = iter(rows), lambda v: json.dumps(v, ensure_ascii=False)
-
-    def labelled(f):
+
+    def labelled(f, own):
+        nonlocal found
         if has(f):
-            row, old = next(own), f.get("properties")
-            f["properties"] = (old if isinstance(old, dict) else {}) | {"Classification": row["clinical"], "Confidence": row["confidence"], "CellId": row["cell_id"]}
+            found += 1
+            if (row := next(own, None)) is not None:
+                old = f.get("properties")
+                f["properties"] = (old if isinstance(old, dict) else {}) | {"Classification": row["clinical"], "Confidence": row["confidence"], "CellId": row["cell_id"]}
         return f
 
-    yield b"{"
-    for i, (key, value) in enumerate(members):
-        yield f"{', ' if i else ''}{dump(key)}: ".encode()
-        if key == "features" and isinstance(value, list | Iterator):
-            value = map(labelled, value)
-        if isinstance(value, Iterator):
-            yield b"["
-            for k, item in enumerate(value):
-                yield f"{', ' if k else ''}{dump(item)}".encode()
-            yield b"]"
-        else:
-            yield dump(value).encode()
-    yield b"}"
+    def parts(members):
+        own = iter(rows)
+        yield "{"
+        for i, (key, value) in enumerate(members):
+            keys.append(key)
+            yield f"{', ' if i else ''}{dump(key)}: "
+            if key == "features" and isinstance(value, list | Iterator):
+                value = (labelled(f, own) for f in value)
+            if isinstance(value, Iterator):
+                yield "["
+                for k, item in enumerate(value):
+                    yield f"{', ' if k else ''}{dump(item)}"
+                yield "]"
+            else:
+                yield dump(value)
+        yield "}"
+
+    with annotations.spool(annotations.CHUNK) as out:
+        members = annotations._members(annotations._decoded(stream))
+        for text in parts(members) if members is not None else ():
+            out.write(text.encode())
+        if members is None or len(set(keys)) < len(keys):  # no object, or one with a key twice, of which the last counts
+            doc, found = json.loads("".join(annotations._decoded(stream))), 0
+            out.seek(0)
+            out.truncate()
+            for text in parts(doc.items()):
+                out.write(text.encode())
+        if found != n:
+            raise ValueError(f"{found} features, {n} predictions")
+        out.seek(0)
+        while raw := out.read(annotations.CHUNK):
+            yield raw
 
 
 def annotate_geojson(text: str, rows: list[dict]) -> str:
@@ -436,6 +451,17 @@ def prediction_records(text: DataFrame) -> DataFrame:
     return own.withColumn("_ok", some).where(F.col("_ok").isNull()).select("slide_id", F.explode("r").alias("p")).select("slide_id", "p.*")
 
 
+class _Pickled:
+    """``n`` values of a file, which can be gone through again."""
+
+    def __init__(self, file, n: int):
+        self.file, self.n = file, n
+
+    def __iter__(self):
+        self.file.seek(0)
+        return (pickle.load(self.file) for _ in range(self.n))
+
+
 def _labelled(sources: DataFrame, rows: DataFrame, label) -> DataFrame:
     """Files with what ``label`` (stream, count, rows) makes of them. Rows and pieces of a file pass through one task as
     streams, rows first; files of one of them only are left out."""
@@ -465,9 +491,8 @@ def _labelled(sources: DataFrame, rows: DataFrame, label) -> DataFrame:
 
     def done(path, own, n, held):
         if n and held is not None:
-            own.seek(0)
             held.seek(0)
-            found = label(held, n, (pickle.load(own) for _ in range(n)))
+            found = label(held, n, _Pickled(own, n))
             for i, raw in enumerate([b"".join(found)] if whole else _grouped(found)):
                 yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([i], pa.int64()), pa.array([raw], pa.binary())], names=["path", "part", "content"])
         for f in (own, held):

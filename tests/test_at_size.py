@@ -123,3 +123,22 @@ def test_pairs_of_a_slide_are_dealt_to_tasks(spark, monkeypatch):
         own = graph.orthogonal_pairs(cells, 0.3, width).withColumn("task", F.spark_partition_id()).collect()
         assert sorted((r.slide_id, r.a, r.b, round(r.dot, 9)) for r in own) == want and len(want) > 500
         assert len({r.task for r in own if r.slide_id == "s"}) == 4
+
+
+def test_rings_of_features_are_not_made_where_parts_are_read(spark, sf_dir):
+    from cellspark.sources import fixtures
+
+    cells = fixtures.cells_parts(spark, sf_dir).withColumn("clinical", F.lit("Immune"))
+    docs = exports.feature_pieces(cells, F.col("slide_id"))
+    text = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Repartition", text.index("Window")) > text.index("forall(")  # the plan's end is the file
+
+    points = "array<struct<x:double,y:double>>"
+    ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]
+    rows = [("s", 1, []), ("s", 2, ring), ("s", 3, [(float("inf"), 0.0)]), ("s", 4, ring), ("s", 5, None), ("s", None, ring), ("t", 1, []), (None, 7, ring)]
+    cells = spark.createDataFrame([(*r, "Immune") for r in rows], f"slide_id string, cell_id long, ring {points}, clinical string")
+    whole = {r.slide_id: r.json for r in exports.feature_collections(cells.where("cell_id IS NOT NULL")).collect()}
+    found = {}
+    for r in sorted(exports.feature_pieces(cells.where("cell_id IS NOT NULL"), F.col("slide_id")).collect(), key=lambda r: r.part):
+        found[r.path] = found.get(r.path, "") + bytes(r.content).decode()
+    assert found == whole and set(found) == {"s", None}
