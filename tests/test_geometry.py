@@ -244,6 +244,18 @@ def test_blocked_field_and_walk_take_the_limits_of_the_reference(spark, monkeypa
     assert [r["cell_id"] for r in registry.queries()["radial_walk"](spark, "").orderBy("step").collect()] == [900 + 10 * i for i in range(51)]
 
 
+def test_blocked_field_reads_all_cells_of_a_slide(spark, monkeypatch):
+    """Cells beyond the first 3,072 of a slide are sources too, and its SQL has no limit either."""
+    from cellspark.plans import queries_geometry, registry
+
+    cells = spark.range(3200).select(F.lit("s").alias("slide_id"), F.col("id").alias("cell_id"), (F.col("id") * 40.0).alias("centroid_x"), F.lit(0.0).alias("centroid_y"))
+    monkeypatch.setattr(queries_geometry, "points_parts", lambda *_: cells)
+    got = {r["cell_id"]: r["rbf"] for r in registry.queries()["rbf_field_blocked"](spark, "").collect()}
+    term = [math.exp(-((40 * k) ** 2) / 5000) for k in range(12)]
+    assert got == pytest.approx({i: sum(term[abs(i - j)] for j in range(max(0, i - 11), min(3200, i + 12)) if j != i) for i in range(3200)}, abs=2e-6)
+    assert "3072" not in registry.oracle_sql()["rbf_field_blocked"]
+
+
 def brute_choice(rows, clash):
     kept = []
     for r in sorted(rows, key=lambda r: (-r["score"], r["id"])):
